@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import decontaminate, packing, token_output
+from ledgerline.llm import decontaminate, near_dup, packing, token_output
 
 
 def queries() -> dict:
     return {
         "op2_packing": packing.op2_packing,
         "op5_token_output": token_output.op5_token_output,
+        "op6_minhash_near_dedup": near_dup.op6_minhash_near_dedup,
         "op9_decontamination": decontaminate.op9_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": decontaminate.SQL}
+    return {"op6_minhash_near_dedup": near_dup.SQL, "op9_decontamination": decontaminate.SQL}
