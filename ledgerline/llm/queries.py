@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import decontaminate, near_dup, packing, token_output
+from ledgerline.llm import decontaminate, near_dup, packing, quality, secrets, token_output, topk, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_quality_classifier": quality.op1_quality_classifier,
         "op2_packing": packing.op2_packing,
+        "op3_secret_scans": secrets.op3_secret_scans,
         "op5_token_output": token_output.op5_token_output,
         "op6_minhash_near_dedup": near_dup.op6_minhash_near_dedup,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op9_decontamination": decontaminate.op9_decontamination,
+        "op10_exact_top_k": topk.op10_exact_top_k,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_near_dedup": near_dup.SQL, "op9_decontamination": decontaminate.SQL}
+    return {"op6_minhash_near_dedup": near_dup.SQL, "op9_decontamination": decontaminate.SQL, "op10_exact_top_k": topk.SQL}
