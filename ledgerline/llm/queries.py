@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerline.llm import decontaminate, near_dup, packing, quality, secrets, token_output, topk, toxicity
+from ledgerline.llm import decontaminate, near_dup, packing, quality, secrets, suffix_dedup, token_output, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,9 +10,11 @@ def queries() -> dict:
         "op1_quality_classifier": quality.op1_quality_classifier,
         "op2_packing": packing.op2_packing,
         "op3_secret_scans": secrets.op3_secret_scans,
+        "op4_suffix_array_dedup": suffix_dedup.op4_suffix_array_dedup,
         "op5_token_output": token_output.op5_token_output,
         "op6_minhash_near_dedup": near_dup.op6_minhash_near_dedup,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_warc_derivatives": warc.op8_warc_derivatives,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_exact_top_k": topk.op10_exact_top_k,
     }
