@@ -39,7 +39,10 @@ COORDINATES, TREES, BRANCHES, LEVELS = 96, 4, 3, 8
 #: A pair whose estimate is below goes unconfirmed: 4 standard errors under the threshold.
 LIKELY, CONFIDENT = 0.573, 0.85
 #: Open pairs up to which a node is compared exhaustively; rows of a larger node held at once.
-OPEN_PAIRS, SLAB, PIVOTS = 20_000, 4096, 4
+OPEN_PAIRS, SLAB, PIVOTS = 2_000_000, 4096, 4
+#: Of the first tokens so many must agree before all are compared; at the threshold 1 in 10**7
+#: pairs has fewer.
+GLANCE, AGREE = 32, 10
 #: Endpoints up to which their ids (8 bytes each) are broadcast to the scan of the texts.
 BROADCAST_IDS = 500_000
 
@@ -139,9 +142,10 @@ def _branch(rows: DataFrame, level: int) -> DataFrame:
 
 def _pairs(sig: np.ndarray, ids: np.ndarray, comp: np.ndarray, all_pairs: bool) -> tuple[list[tuple[int, int]], bool]:
     """Likely pairs of different components; and whether some were left out as implied."""
-    found = []
+    found, head = [], np.ascontiguousarray(sig[:, :GLANCE])
     for i in range(len(ids) - 1):
         other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+        other = other[np.count_nonzero(head[other] == head[i], axis=1) >= AGREE]
         if len(other):
             same = (sig[other] == sig[i]).mean(axis=1)
             k = same >= LIKELY
