@@ -12,9 +12,9 @@ Scale and skew: documents with equal sets are one node from the start (a partial
 so copies cost nothing more. A node with many open pairs is not compared in full: its rows go
 through in slabs, a few pivots link what they can, and after the components are known its rows
 branch on, until no two components are left in it. No pair is dropped for a node's size. All
-pairs of a group of copies are never made: inside one comparison, links that confident ones
-imply are left out and the node is looked at again with the true components. Rows of a node
-that lies in one component end there.
+pairs of a group of copies are never made: at the first level, links that confident ones imply
+are left out and the node is looked at again with the true components, where only pairs across
+them are left. Rows of a node that lies in one component end there.
 
 Defined cases: a document without words or text has an empty set and links with nothing; a null
 id has no component (null) and stays kept; rows that repeat a doc_id count as one document;
@@ -36,8 +36,9 @@ from ledgerline.llm.tokens import CHUNK
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 COORDINATES, TREES, BRANCHES, LEVELS = 96, 4, 3, 8
-#: A pair whose estimate is below goes unconfirmed: 4 standard errors under the threshold.
-LIKELY, CONFIDENT = 0.573, 0.85
+#: A pair whose estimate is below goes unconfirmed: 4 standard errors under the threshold. One
+#: above the second, as far over it, may stand for others of its node until it is confirmed.
+LIKELY, CONFIDENT = 0.573, 0.95
 #: Open pairs up to which a node is compared exhaustively; rows of a larger node held at once.
 OPEN_PAIRS, SLAB, PIVOTS = 2_000_000, 4096, 4
 #: Of the first tokens so many must agree before all are compared; at the threshold 1 in 10**7
@@ -171,7 +172,7 @@ def _pairs(sig: np.ndarray, ids: np.ndarray, comp: np.ndarray, all_pairs: bool)
     return out, left_out
 
 
-def _compare(rows: DataFrame, last: bool) -> DataFrame:
+def _compare(rows: DataFrame, first: bool, last: bool) -> DataFrame:
     """Likely pairs (a < b, node null) and the rows of nodes that are still open (b null)."""
 
     def table_(pairs: list[tuple[int, int]], open_: list[tuple]) -> pa.RecordBatch:
@@ -190,7 +191,7 @@ def _compare(rows: DataFrame, last: bool) -> DataFrame:
         ordered = lambda i, j: (min(int(i), int(j)), max(int(i), int(j)))
         as_open = lambda: list(zip(node.tolist(), tree.tolist(), ids.tolist(), comp.tolist(), [s.tobytes() for s in sig]))
         if not more and (last or cross <= OPEN_PAIRS):
-            pairs, left = _pairs(sig, ids, comp, last)
+            pairs, left = _pairs(sig, ids, comp, not first)
             return [ordered(ids[i], ids[j]) for i, j in pairs], as_open() if left else [], []
         pairs, pivots, free = [], list(pivots or []), np.ones(n, bool)
         for p_id, p_comp, p_sig in pivots:
@@ -319,7 +320,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = usable.groupBy("doc_id").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("doc_id")
     links, labels = cut(spark, usable.join(several, "doc_id").join(nodes.select("set_id", "rep"), "set_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))), None
     for level in range(LEVELS):
-        found = cut(spark, _compare(_branch(rows, level), level == LEVELS - 1))
+        found = cut(spark, _compare(_branch(rows, level), level == 0, level == LEVELS - 1))
         pairs = found.where("b is not null").select("a", "b").distinct()
         new = confirmed(docs, pairs, nodes)
         links = cut(spark, links.union(new))
