@@ -322,9 +322,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for level in range(LEVELS):
         found = cut(spark, _compare(_branch(rows, level), level == 0, level == LEVELS - 1))
         pairs = found.where("b is not null").select("a", "b").distinct()
-        new = confirmed(docs, pairs, nodes)
-        links = cut(spark, links.union(new))
-        labels = cut(spark, components(links))
+        new = cut(spark, confirmed(docs, pairs, nodes))
+        if labels is None or not new.isEmpty():
+            links = cut(spark, links.union(new))
+            labels = cut(spark, components(links))
         still = found.where("b is null").select("node", "tree", "a", "sig").join(nodes.select(F.col("set_id").alias("a"), "rep"), "a")
         still = still.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("node", "tree", "a", F.coalesce("component", "rep").alias("comp"), "sig")
         mixed = still.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("node")
