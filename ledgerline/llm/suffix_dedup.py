@@ -16,8 +16,8 @@ name form a segment of 50 to 80 bytes.
 Scale and skew: what is shuffled are packed byte blocks, not rows per suffix: the texts once per
 pass, the names at 6 bytes for about 16 bytes of text, and segments of repeated names only.
 Copies and passages count once per group of documents, however many documents hold them. A name
-that very many groups have goes on window by window, dealt by the window's own hash, so a short
-phrase with ever different surroundings doesn't gather in one bucket. Hashes only choose what is
+that stands in many different segments goes on window by window, dealt by the window's own hash,
+so a short phrase with ever different surroundings doesn't gather in one bucket. Hashes only choose what is
 compared; ties are decided on the bytes. (Within one group, segments are told apart by 64 bits.)
 
 Defined cases: a null text is empty; texts under 50 bytes keep all; rows that repeat a doc_id are
@@ -34,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import BYTE, clean_text, cut, flat, mix, release, table, tune
+from ledgerline.llm.common import BYTE, clean_text, cut, flat, mix, release, table, tune, word_hashes
 
 WIDTH, GRAM = 50, 20
 SPAN = WIDTH - GRAM + 1
 #: Text bytes of a group of documents, bytes looked at together, symbols of one suffix array,
-#: and the number of groups from which a name goes on window by window.
-GROUP_BYTES, CHUNK_BYTES, ARRAY_SYMBOLS, MANY_GROUPS = 6 << 20, 1 << 20, 1_500_000, 48
+#: and the number of different segments in one group from which a name goes on window by window.
+GROUP_BYTES, CHUNK_BYTES, ARRAY_SYMBOLS, VARIED = 8 << 20, 1 << 20, 1_500_000, 16
 LAST = np.iinfo(np.int64).max
 
 _BASE = 0x9E3779B97F4A7C15
@@ -67,6 +67,20 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[:n], m[width - size : width - size + n])
 
 
+def _grams(data: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` bytes from each place on, joined from powers of two."""
+    x, size, out, done = BYTE[data], 1, None, 0
+    while True:
+        if length & size:
+            n = len(data) - done - size + 1
+            out = x[:n] if out is None else out[:n] * np.uint64(pow(_BASE, size, 1 << 64)) + x[done : done + n]
+            done += size
+        if 2 * size > length:
+            return out
+        x = x[:-size] * np.uint64(pow(_BASE, size, 1 << 64)) + x[size:]
+        size *= 2
+
+
 class Chunk:
     """The segments of some documents: runs of window starts low..high (inclusive) that share
     a name, none across documents."""
@@ -79,13 +93,7 @@ class Chunk:
         if n < WIDTH:
             return
         with np.errstate(over="ignore"):
-            b = np.uint64(_BASE)
-            one = BYTE[data]
-            two = one[:-1] * b + one[1:]
-            four = two[:-2] * b ** np.uint64(2) + two[2:]
-            eight = four[:-4] * np.uint64(pow(_BASE, 4, 1 << 64)) + four[4:]
-            sixteen = eight[:-8] * np.uint64(pow(_BASE, 8, 1 << 64)) + eight[8:]
-            gram = mix(sixteen[: n - GRAM + 1] * np.uint64(pow(_BASE, 4, 1 << 64)) + four[16 : 16 + n - GRAM + 1])
+            gram = mix(_grams(data, GRAM))
         bits = np.uint64(max(24, n.bit_length()))
         # Leftmost of equal grams: the place stands in the low bits.
         least = _sliding_least((gram >> bits << bits) | np.arange(len(gram), dtype=np.uint64), SPAN)
@@ -140,32 +148,42 @@ def _by_key(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
 
 
-def _names(n_buckets: int):
-    """Pass 1 of a group: (bucket, grp, block): its distinct names; the lowest bit is set where two
-    documents of the group have the name."""
+def _z(a: np.ndarray) -> bytes:
+    raw = a.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unz(parts: list[bytes], dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(pa.decompress(b[8:], decompressed_size=int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True) for b in parts), dtype)
+
+
+def _names(n_buckets: int, many: int = VARIED):
+    """Pass 1 of a group: (bucket, grp, block): its distinct names. Bit 0 is set where two documents
+    of the group have the name, bit 1 where it stands in ``many`` different segments."""
 
     def run(t: pa.Table) -> pa.Table:
         ids, grp = _ids(t), t["grp"][0].as_py()
-        name, doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        name, doc, segment = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for first, c in chunks(t["text"]):
-            name.append(c.name)
+            name.append(c.name >> np.uint64(2))
             doc.append(ids[first + c.doc])
-        name, doc = np.concatenate(name), np.concatenate(doc)
-        order, starts = _by_key(name)
-        if not len(starts):
+            segment.append(c.hashes(c.low, c.high + WIDTH))
+        name, doc, segment = np.concatenate(name), np.concatenate(doc), np.concatenate(segment)
+        if not len(name):
             return pa.table({"bucket": pa.array([], pa.int64()), "grp": pa.array([], pa.int64()), "block": pa.array([], pa.binary())})
-        d = doc[order]
+        order = np.lexsort((segment, name))
+        k, d, s = name[order], doc[order], segment[order]
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         several = np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
-        x = name[order[starts]] >> np.uint64(1) << np.uint64(1)
-        bucket = _bucket(x, n_buckets)
-        x |= several.astype(np.uint64)
-        return _dealt(bucket, x, grp)
+        varied = np.add.reduceat(np.concatenate([[1], (s[1:] != s[:-1]) | (k[1:] != k[:-1])]), starts) >= many
+        x = k[starts]
+        return _dealt(_bucket(x, n_buckets), x << np.uint64(2) | several.astype(np.uint64) | (varied.astype(np.uint64) << np.uint64(1)), grp)
 
     return run
 
 
 def _bucket(name: np.ndarray, n: int) -> np.ndarray:
-    return (mix(name >> np.uint64(1)) % np.uint64(n)).astype(np.int64)
+    return (mix(name) % np.uint64(n)).astype(np.int64)
 
 
 def _dealt(bucket: np.ndarray, x: np.ndarray, grp: int) -> pa.Table:
@@ -176,45 +194,45 @@ def _dealt(bucket: np.ndarray, x: np.ndarray, grp: int) -> pa.Table:
 
 
 def _repeated(t: pa.Table) -> pa.Table:
-    """Pass 2, a bucket: (grp, block): each group's names that two documents have; the lowest bit is
-    set for names that MANY_GROUPS groups have."""
+    """Pass 2, a bucket: (grp, block): each group's names that two documents have; bit 0 is set for
+    names that are varied in some group."""
     groups, parts = t["grp"].to_pylist(), [_from_six(b) for b in t["block"].to_pylist()]
     n = [len(p) for p in parts]
     x, owner = np.concatenate(parts), np.repeat(np.arange(len(n)), n)
-    key = x >> np.uint64(1)
+    key = x >> np.uint64(2)
     order, starts = _by_key(key)
     counts = np.diff(np.append(starts, len(order)))
-    several = np.maximum.reduceat((x & np.uint64(1))[order], starts) > 0
-    good = np.repeat((counts > 1) | several, counts)
-    many = np.repeat(counts >= MANY_GROUPS, counts)
+    flags = np.bitwise_or.reduceat(x[order] & np.uint64(3), starts)
+    good = np.repeat((counts > 1) | ((flags & np.uint64(1)) > 0), counts)
+    varied = np.repeat(flags >> np.uint64(1), counts)
     back = order[good]
-    value, who = (key[back] << np.uint64(1)) | many[good].astype(np.uint64), owner[back]
+    value, who = (key[back] << np.uint64(1)) | varied[good], owner[back]
     by, starts = _by_key(who)
     bounds = np.append(starts, len(by)).tolist()
     return pa.table({"grp": pa.array([groups[who[by[s]]] for s in starts.tolist()], pa.int64()), "block": pa.array([_six(value[by[a:b]]) for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())})
 
 
-def _known(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The repeated names of a group, sorted, and which of them many groups have."""
-    x = np.sort(np.concatenate([np.zeros(0, np.uint64), *(_from_six(b) for b in t["block"].to_pylist())]))
+def _known(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The repeated names of a group, sorted, and which of them are varied."""
+    x = np.sort(np.concatenate([np.zeros(0, np.uint64), *map(_from_six, blocks)]))
     return x >> np.uint64(1), (x & np.uint64(1)) > 0
 
 
-def _marked(c: Chunk, names: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which runs have a repeated name, and which of those one that many groups have."""
+def _marked(c: Chunk, names: np.ndarray, varied: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which runs have a repeated name, and which of those a varied one."""
     if not len(names) or not len(c.name):
         none = np.zeros(len(c.name), bool)
         return none, none
-    key = c.name >> np.uint64(1)
+    key = c.name >> np.uint64(2)
     k = np.minimum(np.searchsorted(names, key), len(names) - 1)
     hit = names[k] == key
-    return hit, hit & many[k]
+    return hit, hit & varied[k]
 
 
-def _pieces(c: Chunk, names: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, ...]:
+def _pieces(c: Chunk, names: np.ndarray, varied: np.ndarray) -> tuple[np.ndarray, ...]:
     """(low, high, doc, hash, deal) of the runs with a repeated name; runs of names that many
     groups have are split into single windows. deal is what buckets are dealt by."""
-    hit, lots = _marked(c, names, many)
+    hit, lots = _marked(c, names, varied)
     whole = np.flatnonzero(hit & ~lots)
     split = np.flatnonzero(lots)
     n = c.high[split] - c.low[split] + 1
@@ -225,7 +243,36 @@ def _pieces(c: Chunk, names: np.ndarray, many: np.ndarray) -> tuple[np.ndarray,
     return low, high, doc, h, np.concatenate([c.name[whole], h[len(whole) :]])
 
 
-SEGMENTS = "bucket long, grp long, hashes binary, least binary, sizes binary, several binary, body binary"
+def _distinct(docs: pa.Table, names: np.ndarray, varied: np.ndarray, n_buckets: int, bodies: bool) -> tuple | None:
+    """The group's distinct segments, by bucket and hash: (bucket, hash, size, least id, where the
+    body begins, all bodies); the same in every pass over the same rows."""
+    got: list[tuple] = []
+    ids = _ids(docs)
+    for first, c in chunks(docs["text"]) if docs.num_rows and len(names) else ():
+        low, high, doc, h, deal = _pieces(c, names, varied)
+        order, starts = _by_key(h)
+        if len(starts):
+            k = order[starts]
+            n = high[k] - low[k] + WIDTH
+            body = c.data[np.repeat(low[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] if bodies else c.data[:0]
+            got.append((h[k], deal[k], np.minimum.reduceat(ids[first + doc][order], starts), n, body))
+    if not got:
+        return None
+    h, deal, least, n, body = (np.concatenate(x) for x in zip(*got))
+    begin = np.cumsum(n) - n
+    order, starts = _by_key(h)
+    k = order[starts]
+    least = np.minimum.reduceat(least[order], starts)
+    bucket = (mix(deal[k]) % np.uint64(n_buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    return bucket[by], h[k][by], n[k][by], least[by], begin[k][by], body
+
+
+SEGMENTS = "bucket long, grp long, least binary, sizes binary, body binary"
+
+
+def _gathered(body: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return body[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
 
 def _segments(n_buckets: int):
@@ -233,37 +280,13 @@ def _segments(n_buckets: int):
 
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
         out: dict[str, list] = {k.split()[0]: [] for k in SEGMENTS.split(", ")}
-        names, many = _known(back)
-        if docs.num_rows and len(names):
-            ids, grp = _ids(docs), docs["grp"][0].as_py()
-            got: list[tuple] = []
-            for first, c in chunks(docs["text"]):
-                low, high, doc, h, deal = _pieces(c, names, many)
-                d = ids[first + doc]
-                order, starts = _by_key(h)
-                if len(starts):
-                    d = d[order]
-                    k = order[starts]
-                    n = high[k] - low[k] + WIDTH
-                    at = np.repeat(low[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                    least, most = np.minimum.reduceat(d, starts), np.maximum.reduceat(d, starts)
-                    got.append((h[k], deal[k], least, most, n, c.data[at]))
-            if got:
-                h, deal, least, most, n = (np.concatenate(x) for x in list(zip(*got))[:5])
-                body = np.concatenate([g[5] for g in got])
-                begin = np.cumsum(n) - n
-                order, starts = _by_key(h)
-                k = order[starts]
-                least, most = np.minimum.reduceat(least[order], starts), np.maximum.reduceat(most[order], starts)
-                h, bucket, n, begin = h[k], (mix(deal[k]) % np.uint64(n_buckets)).astype(np.int64), n[k], begin[k]
-                by, starts = _by_key(bucket)
-                bounds = np.append(starts, len(by)).tolist()
-                for a, b in zip(bounds[:-1], bounds[1:]):
-                    p = by[a:b]
-                    size = n[p]
-                    at = np.repeat(begin[p] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                    for key, v in (("bucket", int(bucket[p[0]])), ("grp", grp), ("hashes", h[p].tobytes()), ("least", least[p].tobytes()), ("sizes", size.astype(np.uint8).tobytes()), ("several", (least[p] != most[p]).tobytes()), ("body", body[at].tobytes())):
-                        out[key].append(v)
+        if got := _distinct(docs, *_known(back["block"].to_pylist()), n_buckets, True):
+            bucket, _, size, least, begin, body = got
+            starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            bounds = np.append(starts, len(bucket)).tolist()
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                for key, v in (("bucket", int(bucket[a])), ("grp", docs["grp"][0].as_py()), ("least", _z(least[a:b])), ("sizes", _z(size[a:b].astype(np.uint8))), ("body", _z(_gathered(body, begin[a:b], size[a:b])))):
+                    out[key].append(v)
         return pa.table({k: pa.array(v, pa.int64() if k in ("bucket", "grp") else pa.binary()) for k, v in out.items()})
 
     return run
@@ -365,71 +388,74 @@ def least_of_windows(body: np.ndarray, size: np.ndarray, least: np.ndarray) -> n
     return out
 
 
-BACK = "grp long, kind int, hashes binary, counts binary, least binary"
+BACK = "grp long, bucket long, counts binary, least binary"
+
+
+def _segment_hashes(body: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return word_hashes(body, begin, begin + size)
 
 
 def _suffixes(t: pa.Table) -> pa.Table:
-    """Pass 4, a bucket: to each group the windows' least ids of those of its segments where they
-    matter."""
-    rows = {k: t[k].to_pylist() for k in ("grp", "hashes", "least", "sizes", "several", "body")}
-    h = np.frombuffer(b"".join(rows["hashes"]), np.uint64)
-    least = np.frombuffer(b"".join(rows["least"]), np.int64)
-    size = np.frombuffer(b"".join(rows["sizes"]), np.uint8).astype(np.int64)
-    several = np.frombuffer(b"".join(rows["several"]), bool)
-    body = np.frombuffer(b"".join(rows["body"]), np.uint8)
-    owner = np.repeat(np.arange(len(rows["grp"])), [len(b) // 8 for b in rows["hashes"]])
-    order, starts = _by_key(h)
+    """Pass 4, a bucket: to each group, for its segments in order, the least ids of their windows;
+    one value stands for all windows of a segment where they agree."""
+    sizes = [_unz([b], np.uint8).astype(np.int64) for b in t["sizes"].to_pylist()]
+    size, body = np.concatenate(sizes), _unz(t["body"].to_pylist(), np.uint8)
+    least = _unz(t["least"].to_pylist(), np.int64)
+    begin = np.cumsum(size) - size
+    order, starts = _by_key(_segment_hashes(body, begin, size))
     k = order[starts]
-    number = np.empty(len(h), np.int64)
+    number = np.empty(len(size), np.int64)
     number[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
-    begin = np.cumsum(size) - size
-    n = size[k]
-    at = np.repeat(begin[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    found = least_of_windows(body[at], n, np.minimum.reduceat(least[order], starts))
-    n_win = n - WIDTH + 1
+    n_win = size[k] - WIDTH + 1
+    found = least_of_windows(_gathered(body, begin[k], size[k]), size[k], np.minimum.reduceat(least[order], starts))
     first = np.cumsum(n_win) - n_win
-    lowest = np.minimum.reduceat(found, first)
-    keep = np.flatnonzero(several | (lowest[number] < least))
-    out: dict[str, list] = {c: [] for c in ("grp", "kind", "hashes", "counts", "least")}
-    by, starts = _by_key(owner[keep])
-    bounds = np.append(starts, len(by)).tolist()
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        p = keep[by[a:b]]
-        u = number[p]
-        m = n_win[u]
-        at = np.repeat(first[u] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
-        for c, v in (("grp", rows["grp"][owner[p[0]]]), ("kind", 1), ("hashes", h[p].tobytes()), ("counts", m.astype(np.uint8).tobytes()), ("least", found[at].tobytes())):
-            out[c].append(v)
-    return pa.table({c: pa.array(v, pa.int64() if c == "grp" else pa.int32() if c == "kind" else pa.binary()) for c, v in out.items()})
+    same = np.minimum.reduceat(found, first) == np.maximum.reduceat(found, first)
+    counts = np.where(same, 1, n_win)
+    out: dict[str, list] = {"grp": t["grp"].to_pylist(), "bucket": t["bucket"].to_pylist(), "counts": [], "least": []}
+    at = 0
+    for own in sizes:
+        u = number[at : at + len(own)]
+        at += len(own)
+        m = counts[u]
+        out["counts"].append(_z(m.astype(np.uint8)))
+        out["least"].append(_z(_gathered(found, first[u], m)))
+    return pa.table({c: pa.array(v, pa.int64() if c in ("grp", "bucket") else pa.binary()) for c, v in out.items()})
 
 
 OUT = "doc_id long, text binary, kept binary, spans array<struct<start:long,end:long>>"
 
 
-def _marks(docs: pa.Table, back: pa.Table) -> pa.Table:
+def _marks(n_buckets: int):
     """Pass 5 of a group: what is left of each document, and the removed runs."""
-    ids = _ids(docs)
-    kinds = np.array(back["kind"].to_pylist(), int)
-    blocks = {c: back[c].to_pylist() for c in ("hashes", "counts", "least")}
-    take = lambda c, kind, dtype: np.frombuffer(b"".join(b for b, q in zip(blocks[c], kinds) if q == kind), dtype)
-    x = np.sort(_from_six(take("hashes", 0, np.uint8).tobytes()))
-    names, many = x >> np.uint64(1), (x & np.uint64(1)) > 0
-    h, counts, least = take("hashes", 1, np.uint64), take("counts", 1, np.uint8).astype(np.int64), take("least", 1, np.int64)
-    first_of = np.cumsum(counts) - counts
-    by = np.argsort(h, kind="stable")
-    h, counts, first_of = h[by], counts[by], first_of[by]
+
+    def run(docs: pa.Table, back: pa.Table) -> pa.Table:
+        ids, order = _ids(docs), np.argsort(np.array(back["bucket"].to_pylist(), np.int64), kind="stable")
+        rows = {c: [back[c][int(i)].as_py() for i in order] for c in ("bucket", "counts", "least")}
+        n_known = sum(b < 0 for b in rows["bucket"])  # rows of names stand first, with bucket -1
+        names, varied = _known(rows["least"][:n_known])
+        got = _distinct(docs, names, varied, n_buckets, False)
+        counts, least = _unz(rows["counts"][n_known:], np.uint8).astype(np.int64), _unz(rows["least"][n_known:], np.int64)
+        if got is not None and len(counts) != len(got[1]):
+            raise RuntimeError("a group's segments changed between passes")
+        h, at = (np.zeros(0, np.uint64), np.zeros(0, np.int64)) if got is None else (got[1], np.cumsum(counts) - counts)
+        by = np.argsort(h, kind="stable")
+        h, counts, at = h[by], counts[by] if len(h) else counts, at[by]
+        return _cut_out(docs, ids, names, varied, h, counts, at, least)
+
+    return run
+
+
+def _cut_out(docs: pa.Table, ids: np.ndarray, names: np.ndarray, varied: np.ndarray, h: np.ndarray, counts: np.ndarray, first_of: np.ndarray, least: np.ndarray) -> pa.Table:
     kept, spans = [], []
     for first, c in chunks(docs["text"]) if docs.num_rows else ():
         removed = np.zeros(len(c.data) + 1, np.int32)
         if len(h) and len(c.low):
-            low, _, doc, own, _ = _pieces(c, names, many)
-            k = np.minimum(np.searchsorted(h, own), len(h) - 1)
-            hit = np.flatnonzero(h[k] == own)
-            k, low, doc = k[hit], low[hit], doc[hit]
-            m = counts[k]
+            low, high, doc, own, _ = _pieces(c, names, varied)
+            k = np.searchsorted(h, own)
+            m = high - low + 1
             j = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-            before = least[np.repeat(first_of[k], m) + j] < np.repeat(ids[first + doc], m)
-            start = (np.repeat(low, m) + j)[before]
+            value = least[np.repeat(first_of[k], m) + np.where(np.repeat(counts[k], m) == 1, 0, j)]
+            start = (np.repeat(low, m) + j)[value < np.repeat(ids[first + doc], m)]
             removed += np.bincount(start, minlength=len(removed)).astype(np.int32)
             removed -= np.bincount(start + WIDTH, minlength=len(removed)).astype(np.int32)
         gone = np.cumsum(removed)[:-1] > 0
@@ -450,7 +476,7 @@ def _marks(docs: pa.Table, back: pa.Table) -> pa.Table:
     return pa.table({"doc_id": docs["doc_id"] if docs.num_rows else pa.array([], pa.int64()), "text": docs["text"] if docs.num_rows else pa.array([], pa.binary()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, varied: int = VARIED) -> DataFrame:
     """doc_id, text (UTF-8 bytes), kept (what is left of it) and spans (removed runs) of each row."""
     spark = docs.sparkSession
     tune(spark)
@@ -459,17 +485,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_groups = max(1, -(-int(total) // group_bytes))
     grp = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)).alias("grp")
     grouped = plain.select("doc_id", F.col("text").cast("binary").alias("text"), grp)
-    names = grouped.groupBy("grp").applyInArrow(_names(n_groups), "bucket long, grp long, block binary")
+    names = grouped.groupBy("grp").applyInArrow(_names(n_groups, varied), "bucket long, grp long, block binary")
     back = cut(spark, names.groupBy("bucket").applyInArrow(_repeated, "grp long, block binary"))
+    del names
     release(spark)
     n_names = back.agg(F.coalesce(F.sum(F.octet_length("block")), F.lit(0))).first()[0] // 6
-    n_buckets = max(1, -(-int(n_names) * (WIDTH + SPAN // 2) // ARRAY_SYMBOLS))
+    n_buckets = max(1, -(-int(n_names) * (WIDTH + SPAN // 2) // (4 * ARRAY_SYMBOLS)))
     segments = grouped.groupBy("grp").cogroup(back.groupBy("grp")).applyInArrow(_segments(n_buckets), SEGMENTS)
     found = cut(spark, segments.groupBy("bucket").applyInArrow(_suffixes, BACK))
+    del segments
     release(spark)
-    empty = F.lit(b"")
-    known = back.select("grp", F.lit(0).alias("kind"), F.col("block").alias("hashes"), empty.alias("counts"), empty.alias("least"))
-    return grouped.groupBy("grp").cogroup(found.unionByName(known).groupBy("grp")).applyInArrow(_marks, OUT)
+    known = back.select("grp", F.lit(-1).cast("long").alias("bucket"), F.lit(b"").alias("counts"), F.col("block").alias("least"))
+    return grouped.groupBy("grp").cogroup(found.unionByName(known).groupBy("grp")).applyInArrow(_marks(n_buckets), OUT)
 
 
 def op4_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
