@@ -23,9 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches of this session, so that long texts cannot fill a worker."""
+    """Bound the Arrow batches of this session, so that long texts cannot fill a worker, and let
+    finished actions clear their shuffle files."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    # Shuffle files go when the action that made them is done; a lost executor's part of a
+    # checkpoint is read from the shared folder, not from them.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
