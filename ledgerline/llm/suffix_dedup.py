@@ -311,30 +311,42 @@ def words8(s: np.ndarray, pad: int) -> np.ndarray:
     return x[: len(s) + pad]
 
 
-def suffix_array(s: np.ndarray, depth: int = WIDTH) -> np.ndarray:
-    """All suffixes of bytes s, ordered by their first ``depth`` bytes at least, in two stages:
+def suffix_array(s: np.ndarray, depth: int = WIDTH, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The suffixes of bytes s, ordered by their first ``depth`` bytes at least, in two stages:
     those smaller than their successors are sorted directly, the others follow from them by one
-    scan over the buckets of first bytes."""
+    scan over the buckets of first bytes.
+
+    With ``wanted`` (a mask of places) only those suffixes are ordered, and the ones that they
+    are induced from: each up to the next suffix that is smaller than its successor.
+    """
     n = len(s)
     if not n:
         return np.zeros(0, np.int64)
     up = smaller_than_next(s)
-    direct = np.flatnonzero(up)
+    need = np.ones(n, bool)
+    if wanted is not None:
+        upto = np.minimum.accumulate(np.where(up, np.arange(n), n - 1)[::-1])[::-1]
+        change = np.zeros(n + 1, np.int64)
+        places = np.flatnonzero(wanted)
+        change[places] += 1
+        change -= np.bincount(upto[places] + 1, minlength=n + 1)
+        need = np.cumsum(change)[:n] > 0
+    direct = np.flatnonzero(up & need)
     w = words8(s, depth)
     keys = [w[direct + k] for k in range(0, depth, 8)]
     keys[-1] >>= np.uint64(8 * (8 - (depth % 8 or 8)))
     direct = direct[np.lexsort(keys[::-1])]
-    total = np.bincount(s, minlength=256)
+    total = np.bincount(s[need], minlength=256)
     begin = np.cumsum(total) - total
     n_direct = np.bincount(s[direct], minlength=256)
-    out = np.empty(n, np.int64)
+    out = np.empty(int(total.sum()), np.int64)
     first_direct = begin + total - n_direct
     rank = np.cumsum(n_direct) - n_direct
     head = begin.copy()
 
     def induce(ranked: np.ndarray) -> None:
         before = ranked[ranked > 0] - 1
-        before = before[~up[before]]
+        before = before[need[before] & ~up[before]]
         if len(before):
             by = np.argsort(s[before], kind="stable")
             before = before[by]
@@ -343,8 +355,9 @@ def suffix_array(s: np.ndarray, depth: int = WIDTH) -> np.ndarray:
                 out[head[first] : head[first] + m] = before[a : a + m]
                 head[first] += m
 
-    out[head[s[-1]]] = n - 1  # it follows from the empty suffix
-    head[s[-1]] += 1
+    if need[-1]:
+        out[head[s[-1]]] = n - 1  # it follows from the empty suffix
+        head[s[-1]] += 1
     for c in range(256):
         done = begin[c]
         while done < head[c]:
@@ -378,7 +391,7 @@ def least_of_windows(body: np.ndarray, size: np.ndarray, least: np.ndarray) -> n
     starts = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     number = np.full(len(s), -1, np.int64)
     number[starts] = np.arange(len(starts))
-    order = suffix_array(s)
+    order = suffix_array(s, wanted=number >= 0)
     order = order[number[order] >= 0]  # a window stands inside its segment: no end in it
     ids = np.repeat(least, n)[number[order]]
     run = np.concatenate([[True], ~ties(s, order)]) if len(order) else np.zeros(0, bool)

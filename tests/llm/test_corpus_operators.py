@@ -33,6 +33,10 @@ def test_suffix_array_in_two_stages(data, alphabet):
     raw = s.tobytes()
     keys = [raw[i : i + suffix_dedup.WIDTH] for i in order]
     assert keys == sorted(keys) and sorted(order.tolist()) == list(range(len(s)))
+    wanted = np.array([b % 3 == 0 for b in data], bool)
+    some = suffix_dedup.suffix_array(s, wanted=wanted)
+    assert set(np.flatnonzero(wanted).tolist()) <= set(some.tolist()) and len(set(some.tolist())) == len(some)
+    assert [raw[i : i + suffix_dedup.WIDTH] for i in some] == sorted(raw[i : i + suffix_dedup.WIDTH] for i in some)
     up = suffix_dedup.smaller_than_next(s)
     assert all(up[i] == (raw[i:] < raw[i + 1 :]) for i in range(len(s)))
 
