@@ -83,3 +83,8 @@ def research_context(artifacts: dict[str, DataFrame | None], compact: int = 12)
         names.append(name)
         parts.append(f"## {name}\n" + df.sparkSession.createDataFrame(row, df.schema).select(F.to_json(F.struct(*df.columns))).first()[0])
     return "\n\n".join(parts), names
+
+
+def lookup(df: DataFrame, symbol: str) -> DataFrame:
+    """A symbol's rows of a summary, ledger, curve or report; the symbol in any case."""
+    return df.where(F.col("symbol") == symbol.upper())
