@@ -9,12 +9,12 @@ confirmed links make the components. A pair at the least similarity stays togeth
 path of one tree with probability 0.98 at any depth, of one of 4 trees with 1 - 2e-7.
 
 Scale and skew: documents with equal sets are one node from the start (a partial aggregation),
-so copies cost nothing more. A node with many open pairs is not compared in full: its rows go
-through in slabs, a few pivots link what they can, and after the components are known its rows
-branch on, until no two components are left in it. No pair is dropped for a node's size. All
-pairs of a group of copies are never made: at the first level, links that confident ones imply
-are left out and the node is looked at again with the true components, where only pairs across
-them are left. Rows of a node that lies in one component end there.
+so copies cost nothing more. Pairs are given in proportion to a node's rows: each row's nearest
+partners and what joins the rest. After they are confirmed, the node is looked at again with the
+components so far, where only pairs across components are left; the second time, all of these
+are given, so no link is lost and all pairs of a group are never made. A node with very many
+open pairs goes through in slabs, a few pivots link what they can, and its rows branch on. No
+pair is dropped for a node's size. Rows of a node that lies in one component end there.
 
 Defined cases: a document without words or text has an empty set and links with nothing; a null
 id has no component (null) and stays kept; rows that repeat a doc_id count as one document;
@@ -37,8 +37,8 @@ from ledgerline.llm.tokens import CHUNK
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 COORDINATES, TREES, BRANCHES, LEVELS = 96, 4, 3, 8
 #: A pair whose estimate is below goes unconfirmed: 4 standard errors under the threshold. One
-#: above the second, as far over it, may stand for others of its node until it is confirmed.
-LIKELY, CONFIDENT = 0.573, 0.95
+#: above the second, as far over it, needs no further pivot. NEAREST: see _pairs.
+LIKELY, CONFIDENT, NEAREST = 0.573, 0.95, 3
 #: Open pairs up to which a node is compared exhaustively; rows of a larger node held at once.
 OPEN_PAIRS, SLAB, PIVOTS = 2_000_000, 4096, 4
 #: Of the first tokens so many must agree before all are compared; at the threshold 1 in 10**7
@@ -47,6 +47,9 @@ GLANCE, AGREE = 32, 10
 #: Endpoints up to which their ids (8 bytes each) are broadcast to the scan of the texts.
 BROADCAST_IDS = 500_000
 
+#: Added to the tree of rows whose node is looked at again; the second time, every pair is given.
+AGAIN = 100
+
 _XOR = (_splitmix(COORDINATES, 5) >> np.uint64(32)).astype(np.uint32)
 _MUL = (_splitmix(COORDINATES, 6) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _PLACE = _splitmix(WORDS, 7) | np.uint64(1)
@@ -122,7 +125,8 @@ _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("node", pa.int64()),
 
 
 def _branch(rows: DataFrame, level: int) -> DataFrame:
-    """The children of each row: rows is (node, tree, a, comp, sig)."""
+    """The children of each row: rows is (node, tree, a, comp, sig). Rows of nodes that are to be
+    looked at again stay in their node."""
     schema = pa.schema([("node", pa.int64()), ("tree", pa.int32()), ("a", pa.int64()), ("comp", pa.int64()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,6 +136,11 @@ def _branch(rows: DataFrame, level: int) -> DataFrame:
             tree = batch.column("tree").to_numpy()
             sig = np.frombuffer(flat(batch.column("sig"))[0], np.uint16).reshape(batch.num_rows, COORDINATES)
             node = batch.column("node").to_numpy().view(np.uint64)
+            again = pa.array(tree >= AGAIN)
+            if level and again.true_count:
+                yield pa.RecordBatch.from_arrays([c.filter(again) for c in (batch.column(n) for n in schema.names)], schema=schema)
+                batch = batch.filter(pa.array(tree < AGAIN))
+                node, sig, tree = node[tree < AGAIN], sig[tree < AGAIN], tree[tree < AGAIN]
             for j in range(BRANCHES):
                 at = ((level * TREES + tree) * BRANCHES + j) % COORDINATES
                 token = sig[np.arange(len(tree)), at].astype(np.uint64)
@@ -141,19 +150,32 @@ def _branch(rows: DataFrame, level: int) -> DataFrame:
     return rows.mapInArrow(run, ROWS)
 
 
-def _pairs(sig: np.ndarray, ids: np.ndarray, comp: np.ndarray, all_pairs: bool) -> tuple[list[tuple[int, int]], bool]:
-    """Likely pairs of different components; and whether some were left out as implied."""
-    found, head = [], np.ascontiguousarray(sig[:, :GLANCE])
+def _pairs(sig: np.ndarray, ids: np.ndarray, comp: np.ndarray, every: bool) -> tuple[list[tuple[int, int]], bool]:
+    """Likely pairs of different components; and whether some were left out for now.
+
+    Unless ``every``, each row gives its NEAREST likely partners, and the likeliest pairs join
+    what these leave apart: a number in proportion to the rows, enough for the components of
+    what is confirmed to be nearly those of the node.
+    """
+    head, parts = np.ascontiguousarray(sig[:, :GLANCE]), []
     for i in range(len(ids) - 1):
         other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
         other = other[np.count_nonzero(head[other] == head[i], axis=1) >= AGREE]
         if len(other):
             same = (sig[other] == sig[i]).mean(axis=1)
             k = same >= LIKELY
-            found += zip((-same[k]).tolist(), [i] * int(k.sum()), other[k].tolist())
-    if all_pairs or len(found) <= 3:
-        return [(i, j) for _, i, j in found], False
-    top, out, left_out = {c: c for c in set(comp.tolist())}, [], False
+            if k.any():
+                parts.append((np.full(int(k.sum()), i), other[k], same[k]))
+    if not parts:
+        return [], False
+    a, b, same = (np.concatenate(x) for x in zip(*parts))
+    if every or len(a) <= (NEAREST + 1) * len(ids):
+        return list(zip(a.tolist(), b.tolist())), False
+    source, edge = np.concatenate([a, b]), np.concatenate([np.arange(len(a))] * 2)
+    order = np.lexsort((-same[edge], source))
+    begin = np.searchsorted(source[order], source[order])
+    chosen = np.unique(edge[order[np.arange(len(order)) - begin < NEAREST]])
+    top = {c: c for c in set(comp.tolist())}
 
     def root(c: int) -> int:
         while top[c] != c:
@@ -161,18 +183,21 @@ def _pairs(sig: np.ndarray, ids: np.ndarray, comp: np.ndarray, all_pairs: bool)
             c = top[c]
         return c
 
-    for same, i, j in sorted(found):
-        a, b = root(int(comp[i])), root(int(comp[j]))
-        if a == b:
-            left_out = True
-            continue
-        out.append((i, j))
-        if -same >= CONFIDENT:
-            top[max(a, b)] = min(a, b)
-    return out, left_out
+    def joined(i: int, j: int) -> bool:
+        x, y = root(int(comp[i])), root(int(comp[j]))
+        top[max(x, y)] = min(x, y)
+        return x != y
+
+    for e in chosen.tolist():
+        joined(a[e], b[e])
+    label = np.array([root(c) for c in comp.tolist()])
+    apart = np.flatnonzero(label[a] != label[b])
+    more = [e for e in apart[np.argsort(-same[apart], kind="stable")].tolist() if joined(a[e], b[e])]
+    kept = np.concatenate([chosen, np.array(more, np.int64)])
+    return list(zip(a[kept].tolist(), b[kept].tolist())), True
 
 
-def _compare(rows: DataFrame, first: bool, last: bool) -> DataFrame:
+def _compare(rows: DataFrame, last: bool) -> DataFrame:
     """Likely pairs (a < b, node null) and the rows of nodes that are still open (b null)."""
 
     def table_(pairs: list[tuple[int, int]], open_: list[tuple]) -> pa.RecordBatch:
@@ -189,10 +214,10 @@ def _compare(rows: DataFrame, first: bool, last: bool) -> DataFrame:
         sizes = np.unique(comp, return_counts=True)[1]
         cross = (n * n - int((sizes**2).sum())) // 2
         ordered = lambda i, j: (min(int(i), int(j)), max(int(i), int(j)))
-        as_open = lambda: list(zip(node.tolist(), tree.tolist(), ids.tolist(), comp.tolist(), [s.tobytes() for s in sig]))
+        as_open = lambda t: list(zip(node.tolist(), t.tolist(), ids.tolist(), comp.tolist(), [s.tobytes() for s in sig]))
         if not more and (last or cross <= OPEN_PAIRS):
-            pairs, left = _pairs(sig, ids, comp, not first)
-            return [ordered(ids[i], ids[j]) for i, j in pairs], as_open() if left else [], []
+            pairs, left = _pairs(sig, ids, comp, last or tree[0] >= 2 * AGAIN)
+            return [ordered(ids[i], ids[j]) for i, j in pairs], as_open(tree + AGAIN) if left else [], []
         pairs, pivots, free = [], list(pivots or []), np.ones(n, bool)
         for p_id, p_comp, p_sig in pivots:
             same = (sig == p_sig).mean(axis=1)
@@ -205,7 +230,7 @@ def _compare(rows: DataFrame, first: bool, last: bool) -> DataFrame:
             pairs += [ordered(ids[k], x) for x in ids[free & (same >= LIKELY) & (comp != comp[k])].tolist()]
             free &= same < CONFIDENT
             free[k] = False
-        return pairs, as_open(), pivots
+        return pairs, as_open(tree % AGAIN), pivots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # of the node that the last batch ended in
@@ -320,7 +345,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = usable.groupBy("doc_id").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("doc_id")
     links, labels = cut(spark, usable.join(several, "doc_id").join(nodes.select("set_id", "rep"), "set_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))), None
     for level in range(LEVELS):
-        found = cut(spark, _compare(_branch(rows, level), level == 0, level == LEVELS - 1))
+        found = cut(spark, _compare(_branch(rows, level), level == LEVELS - 1))
         pairs = found.where("b is not null").select("a", "b").distinct()
         new = cut(spark, confirmed(docs, pairs, nodes))
         if labels is None or not new.isEmpty():
