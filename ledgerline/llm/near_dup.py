@@ -11,8 +11,9 @@ path of one tree with probability 0.98 at any depth, of one of 4 trees with 1 -
 Scale and skew: documents with equal sets are one node from the start (a partial aggregation),
 so copies cost nothing more. Pairs are given in proportion to a node's rows: each row's nearest
 partners and what joins the rest. After they are confirmed, the node is looked at again with the
-components so far, where only pairs across components are left; the second time, all of these
-are given, so no link is lost and all pairs of a group are never made. A node with very many
+components so far: its rows take their full sets along, every likely pair across components is
+tested inside the task, and only pairs that join components leave it. So no link is lost and all
+pairs of a group are never made. A node with very many
 open pairs goes through in slabs, a few pivots link what they can, and its rows branch on. No
 pair is dropped for a node's size. Rows of a node that lies in one component end there.
 
@@ -47,7 +48,7 @@ GLANCE, AGREE = 32, 10
 #: Endpoints up to which their ids (8 bytes each) are broadcast to the scan of the texts.
 BROADCAST_IDS = 500_000
 
-#: Added to the tree of rows whose node is looked at again; the second time, every pair is given.
+#: Added to the tree of rows whose node is looked at again, with the full sets.
 AGAIN = 100
 
 _XOR = (_splitmix(COORDINATES, 5) >> np.uint64(32)).astype(np.uint32)
@@ -125,8 +126,7 @@ _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("node", pa.int64()),
 
 
 def _branch(rows: DataFrame, level: int) -> DataFrame:
-    """The children of each row: rows is (node, tree, a, comp, sig). Rows of nodes that are to be
-    looked at again stay in their node."""
+    """The children of each row: rows is (node, tree, a, comp, sig)."""
     schema = pa.schema([("node", pa.int64()), ("tree", pa.int32()), ("a", pa.int64()), ("comp", pa.int64()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,11 +136,6 @@ def _branch(rows: DataFrame, level: int) -> DataFrame:
             tree = batch.column("tree").to_numpy()
             sig = np.frombuffer(flat(batch.column("sig"))[0], np.uint16).reshape(batch.num_rows, COORDINATES)
             node = batch.column("node").to_numpy().view(np.uint64)
-            again = pa.array(tree >= AGAIN)
-            if level and again.true_count:
-                yield pa.RecordBatch.from_arrays([c.filter(again) for c in (batch.column(n) for n in schema.names)], schema=schema)
-                batch = batch.filter(pa.array(tree < AGAIN))
-                node, sig, tree = node[tree < AGAIN], sig[tree < AGAIN], tree[tree < AGAIN]
             for j in range(BRANCHES):
                 at = ((level * TREES + tree) * BRANCHES + j) % COORDINATES
                 token = sig[np.arange(len(tree)), at].astype(np.uint64)
@@ -216,7 +211,7 @@ def _compare(rows: DataFrame, last: bool) -> DataFrame:
         ordered = lambda i, j: (min(int(i), int(j)), max(int(i), int(j)))
         as_open = lambda t: list(zip(node.tolist(), t.tolist(), ids.tolist(), comp.tolist(), [s.tobytes() for s in sig]))
         if not more and (last or cross <= OPEN_PAIRS):
-            pairs, left = _pairs(sig, ids, comp, last or tree[0] >= 2 * AGAIN)
+            pairs, left = _pairs(sig, ids, comp, last)
             return [ordered(ids[i], ids[j]) for i, j in pairs], as_open(tree + AGAIN) if left else [], []
         pairs, pivots, free = [], list(pivots or []), np.ones(n, bool)
         for p_id, p_comp, p_sig in pivots:
@@ -230,7 +225,7 @@ def _compare(rows: DataFrame, last: bool) -> DataFrame:
             pairs += [ordered(ids[k], x) for x in ids[free & (same >= LIKELY) & (comp != comp[k])].tolist()]
             free &= same < CONFIDENT
             free[k] = False
-        return pairs, as_open(tree % AGAIN), pivots
+        return pairs, as_open(tree), pivots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # of the node that the last batch ended in
@@ -288,6 +283,69 @@ def _compare(rows: DataFrame, last: bool) -> DataFrame:
     return spread.mapInArrow(run, FOUND)
 
 
+def _joins(comp: np.ndarray, sig: np.ndarray, items: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of components of one node that a pair of its rows links, tested on the full sets;
+    enough of them to join all that are linked."""
+    size = np.array([len(x) for x in items])
+    _, number = np.unique(np.concatenate(items), return_inverse=True)
+    begin, label, out = np.cumsum(size) - size, comp.copy(), []
+    head, mark = np.ascontiguousarray(sig[:, :GLANCE]), np.zeros(int(number.max()) + 1 if len(number) else 0, bool)
+    for i in range(len(comp) - 1):
+        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        other = other[np.count_nonzero(head[other] == head[i], axis=1) >= AGREE]
+        if len(other):
+            other = other[(sig[other] == sig[i]).mean(axis=1) >= LIKELY]
+        if not len(other):
+            continue
+        own, n = number[begin[i] : begin[i] + size[i]], size[other]
+        mark[own] = True
+        first = np.cumsum(n) - n
+        shared = np.add.reduceat(mark[number[np.repeat(begin[other] - first, n) + np.arange(int(n.sum()))]].astype(np.int64), first)
+        mark[own] = False
+        for j in other[DENOMINATOR * shared >= NUMERATOR * (size[i] + n - shared)].tolist():
+            if label[j] != label[i]:
+                out.append((int(comp[i]), int(comp[j])))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _close(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (u, v) between the components of each node of rows, tested inside the node: each row
+    takes its full set along, and no pair leaves the task but those that join components."""
+    spark = docs.sparkSession
+    ends = cut(spark, rows.select(F.col("a").alias("set_id")).distinct().join(nodes.select("set_id", "rep"), "set_id"))
+    sets = _sets(docs, ends, ends.count())
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, held = None, []
+
+        def closed() -> pa.RecordBatch:
+            comp, sig, items = zip(*held)
+            found = _joins(np.array(comp, np.int64), np.stack(sig), list(items))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
+
+        for b in _ended(batches):
+            if b is None:
+                if held:
+                    yield closed()
+                return
+            if not b.num_rows:
+                continue
+            sig = np.frombuffer(flat(b.column("sig"))[0], np.uint16).reshape(b.num_rows, COORDINATES)
+            values = b.column("items")
+            at, flat_ = values.offsets.to_numpy(), values.values.to_numpy()
+            for i, (n, c) in enumerate(zip(b.column("node").to_pylist(), b.column("comp").to_pylist())):
+                if n != node and held:
+                    yield closed()
+                    held = []
+                node = n
+                held.append((c, sig[i], flat_[at[i] : at[i + 1]]))
+
+    whole = rows.select("node", F.col("a").alias("set_id"), "comp", "sig").join(sets, "set_id")
+    return whole.select("node", "set_id", "comp", "sig", "items").repartition("node").sortWithinPartitions("node", "set_id").mapInArrow(run, "u long, v long").distinct()
+
+
 def _ended(batches: Iterator) -> Iterator:
     yield from batches
     yield None
@@ -345,12 +403,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = usable.groupBy("doc_id").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("doc_id")
     links, labels = cut(spark, usable.join(several, "doc_id").join(nodes.select("set_id", "rep"), "set_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))), None
     for level in range(LEVELS):
+        new = None
+        if level:
+            again = rows.where(F.col("tree") >= AGAIN)
+            new = _close(docs, again, nodes) if not again.isEmpty() else None
+            rows = rows.where(F.col("tree") < AGAIN)
         found = cut(spark, _compare(_branch(rows, level), level == LEVELS - 1))
         pairs = found.where("b is not null").select("a", "b").distinct()
-        new = cut(spark, confirmed(docs, pairs, nodes))
+        tested = confirmed(docs, pairs, nodes) if not pairs.isEmpty() else links.where("false")
+        new = cut(spark, tested if new is None else tested.union(new))
         if labels is None or not new.isEmpty():
-            links = cut(spark, links.union(new))
-            labels = cut(spark, components(links))
+            # The components so far stand for their links.
+            known = links if labels is None else labels.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+            labels = cut(spark, components(known.union(new)))
         still = found.where("b is null").select("node", "tree", "a", "sig").join(nodes.select(F.col("set_id").alias("a"), "rep"), "a")
         still = still.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("node", "tree", "a", F.coalesce("component", "rep").alias("comp"), "sig")
         mixed = still.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("node")
