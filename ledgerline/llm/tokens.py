@@ -54,7 +54,7 @@ def _byte_letters() -> list[str]:
 
 class Tokens:
     #: Chunks kept; beyond them the table starts anew.
-    KEPT = 3_000_000
+    KEPT = 600_000
     FRESH = 150_000
 
     def __init__(self, path: str):
