@@ -12,7 +12,9 @@ prefix that toxic documents share and others lack, extended as long as it loses
 and the coefficients of the contexts.
 
 Scale: scoring is one map over the scan, without a shuffle. Learning takes at most ``TRAIN_ROWS``
-labelled rows; only counts of stems and context weights reach the driver, both bounded.
+labelled rows; all their stems are counted and tested in Spark, and only the stems that pass reach
+the driver: each stands in ``LEAST_SHARE`` of the toxic rows or more, so they are at most
+1 / ``LEAST_SHARE`` times the stems of an average toxic row. Context weights are a row each.
 
 Defined cases: a null text is empty and gets the score of a text without matches; labels with a
 null id or label teach nothing; without labels of both kinds the score is the share of label 1,
@@ -33,12 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import clean_text, crc_mod, table, tune
+from ledgerline.llm.common import clean_text, crc_mod, cut, table, tune
 from ledgerline.llm.quality import sample_of
 
-#: Bounds of learning: labelled rows, candidate stems, stems.
-TRAIN_ROWS, CANDIDATES, STEMS = 20_000, 20_000, 400
+#: Labelled rows of learning, and stems that a task counts before it hands them on.
+TRAIN_ROWS, COUNTED = 20_000, 200_000
 SHORTEST, LONGEST, LEAST_DOCS, LEAST_ODDS = 4, 12, 3, 3.0
+LEAST_SHARE = 0.005
 THRESHOLD = 0.7
 
 #: Fixed word lists of the grammar, English, German, French and Spanish.
@@ -144,42 +147,53 @@ def word_prefixes(text: str) -> set[str]:
     return {w[:n] for w in words for n in range(SHORTEST, min(len(w), LONGEST) + 1)} | {w + "$" for w in words if len(w) >= SHORTEST}
 
 
-def _counts(rows: DataFrame, wanted=None) -> DataFrame:
-    """(stem, n): in how many of the rows (text) each stem occurs; only those of ``wanted``."""
+def _counts(rows: DataFrame) -> DataFrame:
+    """(stem, pos, neg): in how many of the rows (text, y) with y = 1 and y = 0 each stem occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = wanted.value if wanted is not None else None
+        def counted() -> pa.RecordBatch:
+            stems = list(n[1].keys() | n[0].keys())
+            return pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), *(pa.array([n[y][s] for s in stems], pa.int64()) for y in (1, 0))], names=["stem", "pos", "neg"])
+
         for b in batches:
-            n: Counter = Counter()
-            for t in b.column(0).to_pylist():
-                found = word_prefixes(t or "")
-                n.update(found & keep if keep is not None else found)
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["stem", "n"])
+            n: tuple[Counter, Counter] = (Counter(), Counter())
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n[y].update(word_prefixes(t or ""))
+                if len(n[0]) + len(n[1]) >= COUNTED:
+                    yield counted()
+                    n = (Counter(), Counter())
+            yield counted()
+
+    return rows.select("text", "y").mapInArrow(run, "stem string, pos long, neg long").groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
 
-    return rows.select("text").mapInArrow(run, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
+def _odds(pos, neg, n_pos: int, n_neg: int, log):
+    return log((pos + 0.5) / (n_pos + 1)) - log((neg + 0.5) / (n_neg + 1))
 
 
-def choose_stems(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int, most: int = STEMS) -> dict[str, float]:
-    """Stems with large log-odds, each extended while it keeps nearly all of its documents."""
-    odds = lambda s: float(np.log((pos[s] + 0.5) / (n_pos + 1)) - np.log((neg.get(s, 0) + 0.5) / (n_neg + 1)))
+def good_stems(counts: DataFrame, n_pos: int, n_neg: int, candidates: int) -> DataFrame:
+    """The rows of counts (stem, pos, neg) whose stem teaches something; candidates: how many were tried."""
     # A stem that stands in so few documents, all of them toxic, that chance among so many
     # candidates would do as much, teaches nothing.
-    chance = np.log(0.1 / max(1, len(pos))) / np.log(n_pos / (n_pos + n_neg))
-    least = max(LEAST_DOCS, 0.005 * n_pos, chance)
-    good = {s for s in pos if pos[s] >= least and odds(s) >= LEAST_ODDS and neg.get(s, 0) <= 0.02 * pos[s] * n_neg / max(1, n_pos)}
+    chance = float(np.log(0.1 / max(1, candidates)) / np.log(n_pos / (n_pos + n_neg)))
+    pos, neg = F.col("pos"), F.col("neg")
+    return counts.where((pos >= max(LEAST_DOCS, LEAST_SHARE * n_pos, chance)) & (_odds(pos, neg, n_pos, n_neg, F.log) >= LEAST_ODDS) & (neg <= 0.02 * pos * n_neg / max(1, n_pos)))
+
+
+def choose_stems(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int) -> dict[str, float]:
+    """Log-odds of the good stems, each extended while it keeps nearly all of its documents."""
     chosen: dict[str, float] = {}
     longer: dict[str, list[str]] = {}
-    for s in good:
+    for s in pos:
         if len(s) > SHORTEST:
             longer.setdefault(s[:-1], []).append(s)
-    for s in sorted(good, key=lambda s: (len(s), s)):
-        if s[:-1] in good:
+    for s in sorted(pos, key=lambda s: (len(s), s)):
+        if s[:-1] in pos:
             continue  # reached from its shorter form
         while kin := [t for t in longer.get(s, ()) if pos[t] >= 0.95 * pos[s]]:
             s = max(kin, key=lambda t: (pos[t], t))
-        chosen[s] = odds(s)
-    best = sorted(chosen.items(), key=lambda x: (-x[1], x[0]))[:most]
-    return dict(best)
+        chosen[s] = float(_odds(pos[s], neg.get(s, 0), n_pos, n_neg, np.log))
+    return chosen
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
@@ -212,11 +226,9 @@ def train(docs: DataFrame, labels: DataFrame, learn, rows: int = TRAIN_ROWS) ->
     prior = np.append(np.zeros(len(CONTEXTS)), np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
     if not n_pos or not n_neg:
         return Model({}, prior)
-    top = _counts(sample.where("y = 1")).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "stem").limit(CANDIDATES).collect()
-    pos = {r.stem: r.n for r in top}
-    wanted = spark.sparkContext.broadcast(frozenset(pos))  # at most CANDIDATES short strings
-    neg = {r.stem: r.n for r in _counts(sample.where("y = 0"), wanted).collect()}
-    stems = choose_stems(pos, neg, n_pos, n_neg)
+    tried = cut(spark, _counts(sample).where(F.col("pos") >= LEAST_DOCS))
+    good = good_stems(tried, n_pos, n_neg, tried.count()).collect()
+    stems = choose_stems({r.stem: r.pos for r in good}, {r.stem: r.neg for r in good}, n_pos, n_neg)
     schema = pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64())), ("doc_id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -247,6 +247,19 @@ def test_toxicity_learns_stems_and_contexts(spark):
     assert toxicity.train(d.select("doc_id", "text"), lab.where("false"), ~toxicity.held_out()).score(np.zeros((1, 5)))[0] == pytest.approx(0.5)
 
 
+def test_rare_insults_are_learned_beside_many_common_stems(spark):
+    common = " ".join(f"{a}{b}{c}{d}abcdefgh" for a in "bcdfghjk" for b in "aeiou" for c in "lmnprst" for d in "aeiouxyz")  # 2,240 words, 10 stems each
+    rows = [(i, (f"{common} " if i < 50 else "") + ("zzgrob" if i < 10 else "")) for i in range(160)]
+    lab = spark.createDataFrame([(i, 1, int(i < 40)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.train(docs(spark, rows).select("doc_id", "text"), lab, F.lit(True))
+    assert list(model.stems) == ["zzgrob$"]
+
+
+def test_every_good_stem_is_chosen():
+    pos = {f"wo{i:03d}$": 60 for i in range(600)}
+    assert set(toxicity.choose_stems(pos, {}, 100, 1000)) == set(pos)
+
+
 def test_grammar():
     g = toxicity.Grammar({"idiot$": 2.0, "lowei": 1.0})
     at = lambda text: dict(zip(toxicity.CONTEXTS, g.document(text)[0]))
