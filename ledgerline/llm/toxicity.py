@@ -52,7 +52,8 @@ NEGATION = "not no never isn't aren't don't nicht kein keine nie ne pas jamais n
 REPORT = "said says called calls wrote quoted claims reported sagte nannte schrieb dit disait écrit appelé dijo llamó escribió".split()
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-CLAUSE = re.compile(r"[.!?;:\n]+")
+ENDS = ".!?;:\n"
+CLAUSE = re.compile(f"[{ENDS}]+")
 OTHER, INSULT, HARMS, INTENDS, TARGETS, NEGATES, REPORTS = range(7)
 CONTEXTS = ("plain", "targeted", "negated", "reported", "threat")
 
@@ -128,10 +129,10 @@ class Grammar:
             at = end - n + 1
             if at < upto or (at and low[at - 1].isalpha()):
                 continue
+            # Back to the end of the clause before, or of the one read last.
+            start = max(low.rfind(c, max(upto, 0), at) for c in ENDS) + 1
             m = CLAUSE.search(low, end + 1)
             upto = m.start() if m else len(low)
-            before = low[max(0, at - 2000) : at]
-            start = at - len(CLAUSE.split(before)[-1])
             found = self.clause(low[start:upto])
             if any(found):
                 matched.append(low[start:upto].strip())

@@ -267,6 +267,9 @@ def test_grammar():
     assert at("She said idiot")["reported"] == 2 and at("I will kill you")["threat"] == 1 and at("I will not kill you")["threat"] == 0
     assert at("They kill time")["threat"] == 0 and at("loweiqua")["plain"] == 1 and at("idiotic glowei")["plain"] == 0
     assert g.document("fine. You idiot; ok")[1] == ["you idiot"] and at("")["plain"] == 0
+    long = "fill " * 1000
+    assert at(f"Fine. You {long}idiot. An idiot")["targeted"] == 2 and at(f"I will {long}kill")["threat"] == 1 and at(f"She said {long}idiot")["reported"] == 2
+    assert g.document(f"you {long}idiot!? ok: an idiot")[1] == [f"you {long}idiot", "an idiot"]
     table, states = toxicity.compose(toxicity.NEGATED, toxicity.TARGETED)
     for s, (a, b) in enumerate(states):
         for x in range(7):
