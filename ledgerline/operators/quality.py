@@ -52,20 +52,25 @@ def change_mismatches(bars: DataFrame, tolerance: float = TOLERANCE) -> DataFram
     return out.withColumn("difference", F.abs(F.col("computed") - F.col("change_pct_src"))).where(F.col("difference") > tolerance)
 
 
-def report(bars: DataFrame) -> DataFrame:
-    """One row per symbol: counts, nested lists of violations and mismatches, and status. The lists
-    are of broken rows only; at most one hundred of each are kept for display, the counts are whole."""
-    ranked = lambda df: df.withColumn("nth", F.row_number().over(Window.partitionBy("symbol").orderBy("date"))).withColumn("total", F.count("*").over(Window.partitionBy("symbol")))
+def violation_rows(bars: DataFrame) -> DataFrame:
+    """Every OHLC violation, as the report's artifact has it."""
+    return ohlc_violations(bars).select("symbol", "date", "open", "high", "low", "close", "violated_rules")
+
 
-    def listed(df: DataFrame, name: str, fields: tuple[str, ...]) -> DataFrame:
-        kept = ranked(df).where("nth <= 100")
-        return kept.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name), F.max("total").alias(f"n_{name}"))
+def mismatch_rows(bars: DataFrame) -> DataFrame:
+    """Every change mismatch, as the report's artifact has it."""
+    return change_mismatches(bars).select("symbol", "date", "computed", "change_pct_src", "difference")
 
+
+def report(bars: DataFrame) -> DataFrame:
+    """One row per symbol: counts and status. The rows behind n_ohlc and n_change are those of
+    violation_rows() and mismatch_rows(), tables of their own, since they have no bound."""
+    counted = lambda df, name: df.groupBy("symbol").agg(F.count("*").alias(f"n_{name}"))
     out = missing_counts(bars).join(volume_counts(bars), "symbol")
     out = out.join(bars.groupBy("symbol").agg(F.count("*").alias("rows"), F.count_if(F.col("date").isNull()).alias("invalid_dates"), F.min("date").alias("date_min"), F.max("date").alias("date_max")), "symbol")
-    out = out.join(listed(ohlc_violations(bars), "ohlc", ("date", "open", "high", "low", "close", "violated_rules")), "symbol", "left")
+    out = out.join(counted(ohlc_violations(bars), "ohlc"), "symbol", "left")
     if "change_pct_src" in bars.columns:
-        out = out.join(listed(change_mismatches(bars), "change", ("date", "computed", "change_pct_src", "difference")), "symbol", "left")
+        out = out.join(counted(change_mismatches(bars), "change"), "symbol", "left")
     else:
         out = out.withColumn("n_change", F.lit(0))
     # Cleaned bars stand in date order, so only dates that repeat can be left.

@@ -50,10 +50,14 @@ def data(spark: SparkSession, root: str, symbols=DEFAULT, known=symbols_.SYMBOLS
     c.issues.write.mode("overwrite").partitionBy("symbol").parquet(f"{root}/reports/issues")
     report = quality.report(bars).join(c.counts, "symbol").persist()
     sinks.write_json(report, f"{root}/reports/quality")
+    # Not by symbol: a table without rows then still has a file with its columns.
+    broken = {"quality_ohlc": quality.violation_rows(bars), "quality_change": quality.mismatch_rows(bars)}
+    for name, rows in broken.items():
+        rows.write.mode("overwrite").parquet(f"{root}/reports/{name}")
     out.status = {r.symbol: r.status for r in report.select("symbol", "status").collect()}
     text = sinks.quality_markdown(report, quality.ohlc_violations(bars), quality.change_mismatches(bars.where("date is not null")))
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/reports/quality_markdown")
-    out.written += [f"{root}/reports/{n}" for n in ("issues", "quality", "quality_markdown")]
+    out.written += [f"{root}/reports/{n}" for n in ("issues", "quality", *broken, "quality_markdown")]
     out.ok = quality.FAIL not in out.status.values() and all(unchanged(spark, p, h) for p, h in seen.items())
     bars.unpersist()
     report.unpersist()

@@ -42,6 +42,24 @@ def test_plans(spark, tmp_path, capsys):
     assert done.count() == 2 and all(r.total_windows >= 2 for r in done.collect())
 
 
+def test_all_broken_rows_are_written(spark, tmp_path):
+    path, root = tmp_path / "raw/stocks/TCS.csv", str(tmp_path)
+    write_raw(path, 1, 300)
+    assert main(["data", "--root", root, "--symbol", "TCS"], spark) == 0
+    assert spark.read.parquet(f"{root}/reports/quality_ohlc").count() == spark.read.parquet(f"{root}/reports/quality_change").count() == 0
+    lines = [x.split(",") for x in path.read_text(encoding="utf-8-sig").splitlines()]
+    for x in lines[1:151]:  # the latest 150 days: high below low, and a false change
+        x[3], x[6] = "0.01", "77%"
+    path.write_text("\n".join(",".join(x) for x in lines) + "\n", encoding="utf-8-sig")
+    assert main(["data", "--root", root, "--symbol", "TCS"], spark) != 0
+    broken = {dt.datetime.strptime(x[0], "%m/%d/%Y").date() for x in lines[1:151]}
+    done = spark.read.json(f"{root}/reports/quality").first()
+    assert (done.n_ohlc, done.n_change, done.status) == (150, 150, "FAIL")
+    for name in ("quality_ohlc", "quality_change"):
+        rows = spark.read.parquet(f"{root}/reports/{name}").collect()
+        assert len(rows) == 150 and {r.date for r in rows} == broken and {r.symbol for r in rows} == {"TCS"}
+
+
 def test_bad_calls(spark, tmp_path):
     with pytest.raises(KeyError):
         main(["data", "--root", str(tmp_path), "--symbol", "NOPE"], spark)
