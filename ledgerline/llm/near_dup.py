@@ -5,8 +5,11 @@ each set. Trees branch documents level by level: at a node a document follows ``
 chosen coordinates, each to the child that its own minwise token names, so two sets of
 similarity s part on one branch with probability 1 - s only. Nodes with few open pairs are
 compared exhaustively on the minwise tokens; likely pairs are confirmed on the full sets, and
-confirmed links make the components. A pair at the least similarity stays together along some
-path of one tree with probability 0.98 at any depth, of one of 4 trees with 1 - 2e-7.
+confirmed links make the components. The trees' first coordinates differ; below, each node's
+are drawn by a hash of the node, so paths part nearly independently. A pair at the least
+similarity stays together along some path of one tree with probability 0.98 at any depth; all 4
+trees miss it with 6e-8 at one level, 2e-7 at two, 3e-7 at three and 3e-7 at eight (computed; the trees
+share the 96 tokens, which is counted in).
 
 Scale and skew: documents with equal sets are one node from the start (a partial aggregation),
 so copies cost nothing more. Pairs are given in proportion to a node's rows: each row's nearest
@@ -37,9 +40,9 @@ from ledgerline.llm.tokens import CHUNK
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 COORDINATES, TREES, BRANCHES, LEVELS = 96, 4, 3, 8
-#: A pair whose estimate is below goes unconfirmed: 4 standard errors under the threshold. One
-#: above the second, as far over it, needs no further pivot. NEAREST: see _pairs.
-LIKELY, CONFIDENT, NEAREST = 0.573, 0.95, 3
+#: A pair whose estimate is below goes unconfirmed: at the threshold 2 in 10**5 pairs have fewer
+#: than 54 of 96 equal tokens. One above the second needs no further pivot. NEAREST: see _pairs.
+LIKELY, CONFIDENT, NEAREST = 0.56, 0.95, 3
 #: Open pairs up to which a node is compared exhaustively; rows of a larger node held at once.
 OPEN_PAIRS, SLAB, PIVOTS = 2_000_000, 4096, 4
 #: Of the first tokens so many must agree before all are compared; at the threshold 1 in 10**7
@@ -136,8 +139,9 @@ def _branch(rows: DataFrame, level: int) -> DataFrame:
             tree = batch.column("tree").to_numpy()
             sig = np.frombuffer(flat(batch.column("sig"))[0], np.uint16).reshape(batch.num_rows, COORDINATES)
             node = batch.column("node").to_numpy().view(np.uint64)
+            drawn = (mix(node ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(COORDINATES)).astype(np.int64)
             for j in range(BRANCHES):
-                at = ((level * TREES + tree) * BRANCHES + j) % COORDINATES
+                at = (drawn + j * (COORDINATES // BRANCHES)) % COORDINATES if level else tree * BRANCHES + j
                 token = sig[np.arange(len(tree)), at].astype(np.uint64)
                 child = mix(node ^ mix((at.astype(np.uint64) << np.uint64(16)) + token + np.uint64(1)))
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(batch.column(c) for c in ("tree", "a", "comp", "sig"))], schema=schema)

@@ -146,6 +146,23 @@ def test_large_nodes_lose_no_link(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == plain_near(rows)
 
 
+def test_pairs_stay_together_at_any_depth(spark):
+    rng, rows = np.random.default_rng(4), []
+    for p in range(600):
+        x = rng.integers(0, 1 << 16, near_dup.COORDINATES).astype(np.uint16)
+        y = np.where(rng.random(near_dup.COORDINATES) < 0.75, x, x ^ np.uint16(1))
+        rows += [(p % near_dup.TREES, p % near_dup.TREES, 2 * p + k, p, bytearray(s.astype(np.uint16).tobytes())) for k, s in enumerate((x, y))]
+    at = spark.createDataFrame(rows, near_dup.ROWS)
+    for level in range(5):
+        at = near_dup._branch(at, level)
+    kept = at.groupBy("node", "comp").agg(F.countDistinct("a").alias("n")).where("n = 2").select("comp").distinct().count()
+    assert kept / 600 > 0.96  # 0.98 for independent paths, 0.92 if a level's nodes share coordinates
+
+
+def test_every_estimate_down_to_54_of_96_is_confirmed():
+    assert 54 / near_dup.COORDINATES >= near_dup.LIKELY
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dup.near_duplicates(docs(spark, [(1, "a")]).where("false")).count() == 0
 
