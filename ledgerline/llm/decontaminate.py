@@ -73,14 +73,17 @@ class Shard:
         self.positions = np.argsort(term, kind="stable")
         self.bounds = np.searchsorted(term[self.positions], np.arange(n + 1))
 
-    def _candidates(self, live: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, start) of each posting of the term at place[k] of window live[k]."""
+    def _candidates(self, live: np.ndarray, place: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """(window, start) of each posting of the term at place[k] of window live[k], or within slop of it."""
         t = self.windows.words[live, place]
         a, n = self.bounds[t], self.bounds[t + 1] - self.bounds[t]
         window, total = np.repeat(live, n), np.cumsum(n)
         at = np.arange(int(total[-1]) if len(total) else 0) - np.repeat(total - n - a, n)
         start = self.positions[at] - np.repeat(place, n)
         doc = np.searchsorted(self.first, self.positions[at], side="right") - 1
+        if slop:
+            window, doc = np.repeat(window, 2 * slop + 1), np.repeat(doc, 2 * slop + 1)
+            start = (start[:, None] + np.arange(-slop, slop + 1)).ravel()
         inside = (start >= self.first[doc]) & (start + self.windows.size[window] <= self.first[doc + 1])
         return window[inside], start[inside]
 
@@ -110,23 +113,31 @@ class Shard:
         return window, start
 
     def near(self, slop: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-        """(window, start) around postings of the window's rarest term present, where at least
-        ``share`` of its terms stand within ``slop`` positions of their place."""
+        """(window, start) of all starts where at least ``share`` of the window's terms, and one,
+        stand within ``slop`` positions of their place; only the whole window's place has to lie in
+        the document. Of the rarest places one more than may be missing are looked up, absent terms
+        among them: any match holds one of these, whatever else is in the batch."""
         w, n = self.windows, len(self.windows.terms)
-        length = np.append(np.diff(self.bounds), 0)[w.words]
-        length = np.where(length > 0, length, np.iinfo(np.int64).max)
-        rarest = length.argmin(axis=1) if len(w.size) else np.zeros(0, np.int64)
-        live = np.flatnonzero(length.min(axis=1, initial=np.iinfo(np.int64).max) < np.iinfo(np.int64).max)
-        window, start = self._candidates(live, rarest[live])
+        length = np.append(np.diff(self.bounds), np.iinfo(np.int64).max)[w.words]
+        order = np.argsort(length, axis=1, kind="stable")
+        needed = np.maximum(1, np.ceil(share * w.size)).astype(np.int64)
+        window, start = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for j in range(int((w.size - needed + 1).max(initial=0))):
+            live = np.flatnonzero(j < w.size - needed + 1)
+            more, at = self._candidates(live, order[live, j], slop)
+            both = np.unique(np.stack([np.append(window, more), np.append(start, at)]), axis=1)
+            window, start = both[0], both[1]
+        doc = np.searchsorted(self.first, start, side="right") - 1
         padded = np.concatenate([np.full(slop, n + 1), self.term, np.full(slop + w.words.shape[1], n + 1)])
         found = np.zeros(len(window), np.int64)
         for j in range(w.words.shape[1]):
             want = np.where(j < w.size[window], w.words[window, j], -1)
             there = np.zeros(len(window), bool)
             for d in range(2 * slop + 1):
-                there |= padded[start + j + d] == want
+                at = start + j + d - slop
+                there |= (padded[at + slop] == want) & (at >= self.first[doc]) & (at < self.first[doc + 1])
             found += there
-        keep = found >= np.ceil(share * w.size[window])
+        keep = found >= needed[window]
         return window[keep], start[keep]
 
 

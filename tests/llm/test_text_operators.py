@@ -276,6 +276,29 @@ def test_grammar():
             assert states[table[s, x]] == (toxicity.NEGATED.step[a][x], toxicity.TARGETED.step[b][x])
 
 
+def test_proximity_does_not_depend_on_the_batch():
+    rng = np.random.default_rng(9)
+    item = [f"w{k}" for k in range(13)]
+    texts = []
+    for _ in range(40):
+        x = [w if rng.random() < 0.88 else "other" for w in item]
+        for k in rng.integers(0, 13, int(rng.integers(0, 3))):
+            x.insert(int(k), "extra")
+        texts.append(" ".join(["lead"] * int(rng.integers(0, 3)) + x))
+    texts += ["w0 w0 w0", " ".join(["gone", *item[1:]]), "", "w0"]
+    windows, slop = decontaminate.Windows([1], [" ".join(item)]), 1
+
+    def plain(text):
+        w = text.split()
+        near = lambda s, j: item[j] in w[max(0, s + j - slop) : s + j + slop + 1]
+        return any(sum(near(s, j) for j in range(13)) >= 11 for s in range(len(w) - 12))
+
+    shard = decontaminate.Shard(pa.array(texts), windows)
+    found = {int(d) for d in np.searchsorted(shard.first, shard.near(slop, 0.8)[1], side="right") - 1}
+    assert found == {k for k, t in enumerate(texts) if plain(t)} and 41 in found
+    assert all((len(decontaminate.Shard(pa.array([t]), windows).near(slop, 0.8)[0]) > 0) == plain(t) for t in texts)
+
+
 # ---- WARC
 
 
