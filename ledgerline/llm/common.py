@@ -7,6 +7,7 @@ flat byte buffer per batch with document offsets, so that the inner loops are nu
 from __future__ import annotations
 
 import gc
+import tempfile
 import zlib
 
 import numpy as np
@@ -15,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches: rows and bytes that one batch between the JVM and Python holds at most.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
+#: Bytes that are hashed at once.
+SLICE = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,17 +36,17 @@ def tune(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there.
+    """Write df to the shared folder that spark.checkpoint.dir names, and go on from there.
 
-    The folder is the one that spark.checkpoint.dir names; only where it is unset, as in
-    tests, a folder of this process is taken.
+    Where the setting is empty, a session of one machine, as in tests, takes a folder of its own;
+    on a cluster that is an error, as such a folder is another one on each machine.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = spark.conf.get("spark.checkpoint.dir", None)
         if where is None:
-            import tempfile
-
+            if not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
             where = tempfile.mkdtemp(prefix="ledgerline-checkpoint-")
         sc.setCheckpointDir(where)
     return df.checkpoint(eager=True)
@@ -124,15 +127,27 @@ def words_of(data: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    n = ends - starts
-    first = np.cumsum(n) - n
-    place = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first, n)
-    source = place + np.repeat(starts, n)
+    """A 64-bit hash of each word's bytes, in slices of about SLICE bytes, so that the numbers made
+    for each byte stay few."""
+    out = np.zeros(len(starts), np.uint64)
+    size = ends - starts
+    total, first = np.cumsum(size), 0
     with np.errstate(over="ignore"):
-        return mix(np.add.reduceat(BYTE[data[source]] * POWER[place & (_PLACES - 1)], first) + n.astype(np.uint64))
+        while first < len(out):
+            before = int(total[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(total, before + SLICE, side="right")))
+            n = size[first:last]
+            if n[0] > SLICE:
+                for a in range(0, int(n[0]), _PLACES):
+                    part = data[starts[first] + a : min(starts[first] + a + _PLACES, ends[first])]
+                    out[first] += np.sum(BYTE[part] * POWER[: len(part)])
+            else:
+                begin = np.cumsum(n) - n
+                place = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(begin, n)
+                value = BYTE[data[place + np.repeat(starts[first:last], n)]] * POWER[place & (_PLACES - 1)]
+                out[first:last] = np.add.reduceat(value, begin)
+            first = last
+        return mix(out + size.astype(np.uint64))
 
 
 def crc(b: bytes) -> int:

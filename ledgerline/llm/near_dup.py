@@ -1,28 +1,38 @@
 """Near-duplicate documents by a chosen-path set similarity join (operator 6).
 
-A document is the set of its distinct 5-word shingles. ``COORDINATES`` minwise tokens stand for
-each set. Trees branch documents level by level: at a node a document follows ``BRANCHES``
-chosen coordinates, each to the child that its own minwise token names, so two sets of
-similarity s part on one branch with probability 1 - s only. Nodes with few open pairs are
-compared exhaustively on the minwise tokens; likely pairs are confirmed on the full sets, and
-confirmed links make the components. The trees' first coordinates differ; below, each node's
-are drawn by a hash of the node, so paths part nearly independently. A pair at the least
-similarity stays together along some path of one tree with probability 0.98 at any depth; all 4
-trees miss it with 6e-8 at one level, 2e-7 at two, 3e-7 at three and 3e-7 at eight (computed; the trees
-share the 96 tokens, which is counted in).
-
-Scale and skew: documents with equal sets are one node from the start (a partial aggregation),
-so copies cost nothing more. Pairs are given in proportion to a node's rows: each row's nearest
-partners and what joins the rest. After they are confirmed, the node is looked at again with the
-components so far: its rows take their full sets along, every likely pair across components is
-tested inside the task, and only pairs that join components leave it. So no link is lost and all
-pairs of a group are never made. A node with very many
-open pairs goes through in slabs, a few pivots link what they can, and its rows branch on. No
-pair is dropped for a node's size. Rows of a node that lies in one component end there.
+A document is the set of its distinct 5-word shingles. Trees branch documents: at a node a set
+follows ``BRANCHES`` chosen coordinates, each to the child that its own minwise token names, so
+two sets of similarity s part on one branch with probability 1 - s only. A node of at most
+``SLAB`` sets is compared exhaustively on ``COORDINATES`` further minwise tokens; likely pairs are
+confirmed on the full sets, and confirmed links make the components. Larger nodes branch on.
+
+The roots' branches are named by 64-bit minwise values (few unrelated sets meet, however many
+documents there are), those below by coordinates that a hash of the node draws. A pair at the
+least similarity, 0.75, is in no common node with probability 0.25**12 = 6e-8 where nodes end at
+the first level, and less than 5e-7 where they branch ``LEVELS`` times; it goes unconfirmed with
+2e-5, as its estimate is below ``LIKELY`` (both computed). More similar pairs are missed far less.
+
+Scale and skew:
+
+* Documents with equal sets are one row from the start (a partial aggregation), so exact copies
+  cost nothing more.
+* Ids alone (24 bytes) are counted by node. Only rows of nodes that hold two components or more
+  take their tokens along; most sets meet nobody and end here.
+* A first look follows one branch only, and joins most of each group of near copies. The second
+  look follows all branches and asks only for pairs between different components.
+* A node larger than ``SLAB`` is dealt over slabs, which are groups of their own; ``PIVOTS`` of its
+  rows stand in each slab. Then its rows branch on; after ``LEVELS`` levels they are closed.
+* From a group go at most as many pairs as it has rows: all likely ones if they are so few, else
+  a spanning forest of the likeliest. Groups with more likely pairs are closed: the rows of such
+  pairs take their full sets along, in blocks of bounded bytes and rows, each pair of blocks is
+  tested by itself, and only links that join components leave it. So no link is lost and the pairs
+  of a group are never written.
 
 Defined cases: a document without words or text has an empty set and links with nothing; a null
 id has no component (null) and stays kept; rows that repeat a doc_id count as one document;
-equal sets link at similarity 1; an empty table gives no rows; further columns are ignored.
+equal sets link at similarity 1; equal estimates are taken in the order of set ids, which changes
+no component; a very long text is read whole, and its set is as long as it needs to be; an
+empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,24 +49,23 @@ from ledgerline.llm.components import components
 from ledgerline.llm.tokens import CHUNK
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
-COORDINATES, TREES, BRANCHES, LEVELS = 96, 4, 3, 8
+COORDINATES, TREES, BRANCHES, LEVELS = 96, 4, 3, 4
 #: A pair whose estimate is below goes unconfirmed: at the threshold 2 in 10**5 pairs have fewer
-#: than 54 of 96 equal tokens. One above the second needs no further pivot. NEAREST: see _pairs.
-LIKELY, CONFIDENT, NEAREST = 0.56, 0.95, 3
-#: Open pairs up to which a node is compared exhaustively; rows of a larger node held at once.
-OPEN_PAIRS, SLAB, PIVOTS = 2_000_000, 4096, 4
-#: Of the first tokens so many must agree before all are compared; at the threshold 1 in 10**7
-#: pairs has fewer.
-GLANCE, AGREE = 32, 10
+#: than 54 of 96 equal tokens.
+LIKELY = 54
+#: Rows up to which a node is compared exhaustively; rows of a larger node that every slab sees.
+SLAB, PIVOTS = 2048, 4
+#: Full sets of one block of a node that is closed.
+BLOCK_BYTES = 8 << 20
 #: Endpoints up to which their ids (8 bytes each) are broadcast to the scan of the texts.
 BROADCAST_IDS = 500_000
 
-#: Added to the tree of rows whose node is looked at again, with the full sets.
-AGAIN = 100
-
 _XOR = (_splitmix(COORDINATES, 5) >> np.uint64(32)).astype(np.uint32)
 _MUL = (_splitmix(COORDINATES, 6) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _PLACE = _splitmix(WORDS, 7) | np.uint64(1)
+_ROOT_XOR, _ROOT_MUL = _splitmix(TREES * BRANCHES, 8), _splitmix(TREES * BRANCHES, 9) | np.uint64(1)
+#: The set ids that are least after these are xored in are a large node's pivots.
+_PIVOT = (0, -1, 0x35A7C94E1B0D6F82, 0x6C3B9A5D71E8042F)
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -104,17 +113,35 @@ def minwise(sets: np.ndarray, bound: np.ndarray) -> np.ndarray:
     return out
 
 
+def root_keys(sets: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """The 64-bit minwise values of each nonempty set that name its children of the roots."""
+    out = np.zeros((len(bound) - 1, TREES * BRANCHES), np.uint64)
+    full = np.flatnonzero(np.diff(bound) > 0)
+    if len(full):
+        with np.errstate(over="ignore"):
+            for j in range(TREES * BRANCHES):
+                out[full, j] = np.minimum.reduceat((sets ^ _ROOT_XOR[j]) * _ROOT_MUL[j], bound[full])
+    return out.view(np.int64)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    n, width = values.shape
+    return pa.ListArray.from_arrays(np.arange(0, n * width + 1, width, dtype=np.int32), values.ravel())
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_id (a 64-bit hash of the set) and sig, of each row of (doc_id, text)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("sig", pa.binary())])
+    """doc_id, n_shingles, set_id (a 64-bit hash of the set), keys (of the roots' children) and sig
+    (the minwise tokens) of each row of (doc_id, text)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets, bound = shingles(batch.column(1))
-            sig = minwise(sets, bound)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bound)), pa.array(_set_ids(sets, bound)), pa.array([s.tobytes() for s in sig], pa.binary())], schema=schema)
+            sig = pa.array([s.tobytes() for s in minwise(sets, bound)], pa.binary())
+            columns = [batch.column(0), pa.array(np.diff(bound)), pa.array(_set_ids(sets, bound)), _lists(root_keys(sets, bound)), sig]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long, sig binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long, keys array<long>, sig binary")
 
 
 def _set_ids(sets: np.ndarray, bound: np.ndarray) -> np.ndarray:
@@ -123,188 +150,178 @@ def _set_ids(sets: np.ndarray, bound: np.ndarray) -> np.ndarray:
         return mix(total[bound[1:]] - total[bound[:-1]]).view(np.int64)
 
 
-ROWS = "node long, tree int, a long, comp long, sig binary"
-FOUND = "a long, b long, node long, tree int, comp long, sig binary"
-_FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("node", pa.int64()), ("tree", pa.int32()), ("comp", pa.int64()), ("sig", pa.binary())])
+def _tokens(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(flat(column)[0], np.uint16).reshape(len(column), COORDINATES)
+
+
+# ---- nodes
+
+
+def _roots(nodes: DataFrame, branches: int) -> DataFrame:
+    """(node, a): the first so many children of the roots that each set goes to."""
+    each = nodes.select(F.posexplode(F.slice("keys", 1, branches)).alias("place", "key"), F.col("set_id").alias("a"))
+    return each.select(F.xxhash64("place", "key").alias("node"), "a")
 
 
-def _branch(rows: DataFrame, level: int) -> DataFrame:
-    """The children of each row: rows is (node, tree, a, comp, sig)."""
-    schema = pa.schema([("node", pa.int64()), ("tree", pa.int32()), ("a", pa.int64()), ("comp", pa.int64()), ("sig", pa.binary())])
+def _children(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, a): the children that the rows (node, a) go to."""
+    schema = pa.schema([("node", pa.int64()), ("a", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            tree = batch.column("tree").to_numpy()
-            sig = np.frombuffer(flat(batch.column("sig"))[0], np.uint16).reshape(batch.num_rows, COORDINATES)
-            node = batch.column("node").to_numpy().view(np.uint64)
+            node, sig = batch.column("node").to_numpy().view(np.uint64), _tokens(batch.column("sig"))
             drawn = (mix(node ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(COORDINATES)).astype(np.int64)
             for j in range(BRANCHES):
-                at = (drawn + j * (COORDINATES // BRANCHES)) % COORDINATES if level else tree * BRANCHES + j
-                token = sig[np.arange(len(tree)), at].astype(np.uint64)
+                at = (drawn + j * (COORDINATES // BRANCHES)) % COORDINATES
+                token = sig[np.arange(len(at)), at].astype(np.uint64)
                 child = mix(node ^ mix((at.astype(np.uint64) << np.uint64(16)) + token + np.uint64(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(batch.column(c) for c in ("tree", "a", "comp", "sig"))], schema=schema)
-
-    return rows.mapInArrow(run, ROWS)
-
-
-def _pairs(sig: np.ndarray, ids: np.ndarray, comp: np.ndarray, every: bool) -> tuple[list[tuple[int, int]], bool]:
-    """Likely pairs of different components; and whether some were left out for now.
-
-    Unless ``every``, each row gives its NEAREST likely partners, and the likeliest pairs join
-    what these leave apart: a number in proportion to the rows, enough for the components of
-    what is confirmed to be nearly those of the node.
-    """
-    head, parts = np.ascontiguousarray(sig[:, :GLANCE]), []
-    for i in range(len(ids) - 1):
-        other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
-        other = other[np.count_nonzero(head[other] == head[i], axis=1) >= AGREE]
-        if len(other):
-            same = (sig[other] == sig[i]).mean(axis=1)
-            k = same >= LIKELY
-            if k.any():
-                parts.append((np.full(int(k.sum()), i), other[k], same[k]))
-    if not parts:
-        return [], False
-    a, b, same = (np.concatenate(x) for x in zip(*parts))
-    if every or len(a) <= (NEAREST + 1) * len(ids):
-        return list(zip(a.tolist(), b.tolist())), False
-    source, edge = np.concatenate([a, b]), np.concatenate([np.arange(len(a))] * 2)
-    order = np.lexsort((-same[edge], source))
-    begin = np.searchsorted(source[order], source[order])
-    chosen = np.unique(edge[order[np.arange(len(order)) - begin < NEAREST]])
-    top = {c: c for c in set(comp.tolist())}
-
-    def root(c: int) -> int:
-        while top[c] != c:
-            top[c] = top[top[c]]
-            c = top[c]
-        return c
-
-    def joined(i: int, j: int) -> bool:
-        x, y = root(int(comp[i])), root(int(comp[j]))
-        top[max(x, y)] = min(x, y)
-        return x != y
-
-    for e in chosen.tolist():
-        joined(a[e], b[e])
-    label = np.array([root(c) for c in comp.tolist()])
-    apart = np.flatnonzero(label[a] != label[b])
-    more = [e for e in apart[np.argsort(-same[apart], kind="stable")].tolist() if joined(a[e], b[e])]
-    kept = np.concatenate([chosen, np.array(more, np.int64)])
-    return list(zip(a[kept].tolist(), b[kept].tolist())), True
-
-
-def _compare(rows: DataFrame, last: bool) -> DataFrame:
-    """Likely pairs (a < b, node null) and the rows of nodes that are still open (b null)."""
-
-    def table_(pairs: list[tuple[int, int]], open_: list[tuple]) -> pa.RecordBatch:
-        n, m = len(pairs), len(open_)
-        a = [p[0] for p in pairs] + [o[2] for o in open_]
-        b = [p[1] for p in pairs] + [None] * m
-        columns = [a, b, [None] * n + [o[0] for o in open_], [None] * n + [o[1] for o in open_], [None] * n + [o[3] for o in open_], [None] * n + [o[4] for o in open_]]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _FOUND)], schema=_FOUND)
-
-    def group(cols: tuple, pivots: list | None, more: bool) -> tuple[list, list, list]:
-        """A node's rows, or a slab of a larger node (more: others come before or after)."""
-        node, tree, ids, comp, sig = cols
-        n = len(ids)
-        sizes = np.unique(comp, return_counts=True)[1]
-        cross = (n * n - int((sizes**2).sum())) // 2
-        ordered = lambda i, j: (min(int(i), int(j)), max(int(i), int(j)))
-        as_open = lambda t: list(zip(node.tolist(), t.tolist(), ids.tolist(), comp.tolist(), [s.tobytes() for s in sig]))
-        if not more and (last or cross <= OPEN_PAIRS):
-            pairs, left = _pairs(sig, ids, comp, last)
-            return [ordered(ids[i], ids[j]) for i, j in pairs], as_open(tree + AGAIN) if left else [], []
-        pairs, pivots, free = [], list(pivots or []), np.ones(n, bool)
-        for p_id, p_comp, p_sig in pivots:
-            same = (sig == p_sig).mean(axis=1)
-            pairs += [ordered(p_id, x) for x in ids[free & (same >= LIKELY) & (comp != p_comp)].tolist()]
-            free &= same < CONFIDENT
-        while len(pivots) < PIVOTS and free.any():
-            k = int(np.flatnonzero(free)[0])
-            pivots.append((int(ids[k]), int(comp[k]), sig[k]))
-            same = (sig == sig[k]).mean(axis=1)
-            pairs += [ordered(ids[k], x) for x in ids[free & (same >= LIKELY) & (comp != comp[k])].tolist()]
-            free &= same < CONFIDENT
-            free[k] = False
-        return pairs, as_open(tree), pivots
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("a")], schema=schema)
+
+    tokens = nodes.select(F.col("set_id").alias("a"), "sig")
+    return rows.select("node", "a").join(tokens, "a").select("node", "a", "sig").mapInArrow(run, "node long, a long")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """(node, n and p0..): of each node of rows (node, a, comp) with more than one component, its
+    number of rows and its pivots."""
+    pivots = [F.min(F.col("a").bitwiseXOR(F.lit(x))).bitwiseXOR(F.lit(x)).alias(f"p{k}") for k, x in enumerate(_PIVOT[:PIVOTS])]
+    counted = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), *pivots)
+    return counted.where("low <> high").drop("low", "high")
+
+
+def _groups(rows: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(node, slab, a): the rows of mixed nodes, those of a large node dealt over slabs, with the
+    node's pivots in each."""
+    slabs = F.ceil(F.col("n") / SLAB).cast("int")
+    slab = F.pmod(F.xxhash64("a"), slabs).cast("int")
+    own = rows.select("node", "a").join(mixed.select("node", "n"), "node").select("node", slab.alias("slab"), "a")
+    large = mixed.where(F.col("n") > SLAB).select("node", "n", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("a"))
+    seen = large.select("node", F.explode(F.sequence(F.lit(0), slabs - 1)).alias("slab"), "a", slab.alias("home"))
+    return own.union(seen.where("slab <> home").select("node", "slab", "a"))
+
+
+# ---- comparing a group
+
+
+def estimates(sig: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """How many tokens two rows share, where they are likely and apart (a mask) allows; else 0."""
+    n = len(sig)
+    out, step = np.zeros((n, n), np.uint8), max(1, (1 << 22) // (n * COORDINATES))
+    for i in range(0, n, step):
+        out[i : i + step] = np.count_nonzero(sig[i : i + step, None] == sig[None], axis=2)
+    out[(out < LIKELY) | ~apart] = 0
+    return out
+
+
+def forest(weight: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the greatest weights over the rows' components."""
+    n, out = len(comp), []
+    best, source, waiting = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
+    for _ in range(n):
+        v = int(np.argmax(np.where(waiting, best, -1)))
+        if 0 < best[v] < 255:
+            out.append((int(source[v]), v))
+        waiting[v] = False
+        near = np.where(comp == comp[v], 255, weight[v])
+        closer = near > best
+        best[closer], source[closer] = near[closer], v
+    return out
+
+
+def _group_pairs(sig: np.ndarray, comp: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Likely pairs between different components, at most as many as there are rows; and if some
+    were left out, the rows of likely pairs."""
+    weight = estimates(sig, comp[:, None] != comp[None])
+    n_likely = np.count_nonzero(weight) // 2
+    if n_likely <= len(comp):
+        i, j = np.nonzero(np.triu(weight))
+        return list(zip(i.tolist(), j.tolist())), np.zeros(0, np.int64)
+    return forest(weight, comp), np.flatnonzero(weight.any(axis=1))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The batches cut so that no run of rows with equal first ``keys`` columns is cut."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in range(keys)]
+        edges = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        new = bool(held) and any(held[-1].column(k)[-1].as_py() != c[0] for k, c in enumerate(columns))
+        if held and (new or len(edges)):
+            first = 0 if new else int(edges[0])
+            yield pa.Table.from_batches([*held, batch.slice(0, first)])
+            held, batch = [], batch.slice(first)
+            edges = edges - first
+            edges = edges[edges > 0]
+        if len(edges):
+            yield pa.Table.from_batches([batch.slice(0, int(edges[-1]))])
+            batch = batch.slice(int(edges[-1]))
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _edges(columns: list[np.ndarray]) -> list[int]:
+    changed = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return np.flatnonzero(np.concatenate([[True], changed, [True]])).tolist()
+
+
+def _compare(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, node) of groups (node, slab, a): likely pairs a < b, with a null node; and with a null
+    b the rows of likely pairs of nodes that gave only some of them."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("node", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # of the node that the last batch ended in
-        pivots: list | None = None
-        for batch in _ended(batches):
-            if batch is None:
-                cols = _joined(held)
-                held = []
-                if cols is None:
-                    continue
-                starts, final = None, True
-            else:
-                if not batch.num_rows:
-                    continue
-                sig = np.frombuffer(flat(batch.column("sig"))[0], np.uint16).reshape(batch.num_rows, COORDINATES)
-                held.append((batch.column("node").to_numpy(), batch.column("tree").to_numpy(), batch.column("a").to_numpy(), batch.column("comp").to_numpy(), sig))
-                cols, final = _joined(held), False
-                held = []
-            node = cols[0]
-            cuts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])).tolist() + [len(node)]
-            pairs, open_ = [], []
-            twos = []
-            for g, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-                tail = b == len(node)
-                if tail and not final:
-                    part = tuple(c[a:b] for c in cols)
-                    if b - a >= SLAB and not last:
-                        p, o, pivots = group(part, pivots if g == 0 else None, True)
-                        pairs += p
-                        open_ += o
-                        # The node is still open; what follows of it meets its pivots.
-                    else:
-                        held = [part]
-                        if g:
-                            pivots = None
-                    continue
-                continued = g == 0 and pivots is not None
-                if b - a == 2 and not continued:
-                    twos.append(a)
-                elif b - a > 1 or continued:
-                    p, o, _ = group(tuple(c[a:b] for c in cols), pivots if continued else None, continued)
-                    pairs += p
-                    open_ += o
-                if g == 0:
-                    pivots = None
-            if twos:
-                i = np.array(twos)
-                k = i[((cols[4][i] == cols[4][i + 1]).mean(axis=1) >= LIKELY) & (cols[3][i] != cols[3][i + 1])]
-                x, y = cols[2][k], cols[2][k + 1]
-                pairs += zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist())
-            if pairs or open_:
-                yield table_(list(set(pairs)), open_)
-
-    spread = rows.repartition("node").sortWithinPartitions("node", "a")
-    return spread.mapInArrow(run, FOUND)
-
-
-def _joins(comp: np.ndarray, sig: np.ndarray, items: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Pairs of components of one node that a pair of its rows links, tested on the full sets;
-    enough of them to join all that are linked."""
+        for t in _runs(batches, 2):
+            node, slab, a, comp = (t.column(c).to_numpy() for c in ("node", "slab", "a", "comp"))
+            sig = _tokens(t.column("sig").combine_chunks())
+            bounds = _edges([node, slab])
+            sizes = np.diff(bounds)
+            two = np.array(bounds[:-1], np.int64)[sizes == 2]
+            two = two[(np.count_nonzero(sig[two] == sig[two + 1], axis=1) >= LIKELY) & (comp[two] != comp[two + 1])]
+            pairs, again = [(two, two + 1)], []
+            for g in np.flatnonzero(sizes > 2).tolist():
+                s, e = bounds[g], bounds[g + 1]
+                found, rows = _group_pairs(sig[s:e], comp[s:e])
+                if found:
+                    pairs.append(tuple(np.array(x, np.int64) + s for x in zip(*found)))
+                again.append(rows + s)
+            x, y = (a[np.concatenate(p)] for p in zip(*pairs))
+            more = np.concatenate([np.zeros(0, np.int64), *again])
+            none_x, none_y = np.zeros(len(x), bool), np.ones(len(more), bool)
+            columns = [
+                pa.array(np.concatenate([np.minimum(x, y), a[more]])),
+                pa.array(np.concatenate([np.maximum(x, y), a[more]]), mask=np.concatenate([none_x, none_y])),
+                pa.array(np.concatenate([x, node[more]]), mask=np.concatenate([~none_x, ~none_y])),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    whole = groups.join(sets.select(F.col("set_id").alias("a"), "comp", "sig"), "a").select("node", "slab", "a", "comp", "sig")
+    return whole.repartition("node", "slab").sortWithinPartitions("node", "slab", "a").mapInArrow(run, "a long, b long, node long")
+
+
+# ---- confirming on the full sets
+
+
+def _joins(comp: np.ndarray, part: np.ndarray, sig: np.ndarray, items: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of components that a pair of rows links, tested on the full sets; enough of them to
+    join all that are linked. Rows of two parts are compared across the parts only."""
+    apart = comp[:, None] != comp[None]
+    if part.min() != part.max():
+        apart &= part[:, None] != part[None]
+    likely = estimates(sig, apart) > 0
     size = np.array([len(x) for x in items])
-    _, number = np.unique(np.concatenate(items), return_inverse=True)
+    values, number = np.unique(np.concatenate(items), return_inverse=True)
     begin, label, out = np.cumsum(size) - size, comp.copy(), []
-    head, mark = np.ascontiguousarray(sig[:, :GLANCE]), np.zeros(int(number.max()) + 1 if len(number) else 0, bool)
+    mark = np.zeros(len(values), bool)
     for i in range(len(comp) - 1):
-        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-        other = other[np.count_nonzero(head[other] == head[i], axis=1) >= AGREE]
-        if len(other):
-            other = other[(sig[other] == sig[i]).mean(axis=1) >= LIKELY]
+        other = np.flatnonzero(likely[i, i + 1 :] & (label[i + 1 :] != label[i])) + i + 1
         if not len(other):
             continue
         own, n = number[begin[i] : begin[i] + size[i]], size[other]
         mark[own] = True
-        first = np.cumsum(n) - n
-        shared = np.add.reduceat(mark[number[np.repeat(begin[other] - first, n) + np.arange(int(n.sum()))]].astype(np.int64), first)
+        shared = np.array([np.count_nonzero(mark[number[begin[j] : begin[j] + size[j]]]) for j in other.tolist()])
         mark[own] = False
         for j in other[DENOMINATOR * shared >= NUMERATOR * (size[i] + n - shared)].tolist():
             if label[j] != label[i]:
@@ -313,59 +330,43 @@ def _joins(comp: np.ndarray, sig: np.ndarray, items: list[np.ndarray]) -> list[t
     return out
 
 
-def _close(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (u, v) between the components of each node of rows, tested inside the node: each row
-    takes its full set along, and no pair leaves the task but those that join components."""
+def _close(docs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) between the components of each node of rows (node, a). Each row takes its full
+    set along, to each pair of blocks of its node that its own block is in."""
     spark = docs.sparkSession
-    ends = cut(spark, rows.select(F.col("a").alias("set_id")).distinct().join(nodes.select("set_id", "rep"), "set_id"))
-    sets = _sets(docs, ends, ends.count())
+    named = rows.distinct().join(sets.select(F.col("set_id").alias("a"), "comp", "rep", "n_shingles"), "a")
+    counted = named.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("items"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    blocks = F.ceil(F.greatest(F.col("items") * 8 / BLOCK_BYTES, F.col("n") / SLAB)).cast("int")
+    mine = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
+    open_ = cut(spark, named.join(counted.select("node", blocks.alias("blocks")), "node").select("node", "a", "comp", "rep", "blocks", mine.alias("part")))
+    ends = cut(spark, open_.select(F.col("a").alias("set_id"), "rep").distinct())
+    full = _sets(docs, ends, ends.count()).join(sets.select("set_id", "sig"), "set_id").withColumnRenamed("set_id", "a")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = open_.select("node", "a", "comp", "part", other)
+    met = met.select("node", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "a", "comp", "part")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, held = None, []
-
-        def closed() -> pa.RecordBatch:
-            comp, sig, items = zip(*held)
-            found = _joins(np.array(comp, np.int64), np.stack(sig), list(items))
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
-
-        for b in _ended(batches):
-            if b is None:
-                if held:
-                    yield closed()
-                return
-            if not b.num_rows:
-                continue
-            sig = np.frombuffer(flat(b.column("sig"))[0], np.uint16).reshape(b.num_rows, COORDINATES)
-            values = b.column("items")
-            at, flat_ = values.offsets.to_numpy(), values.values.to_numpy()
-            for i, (n, c) in enumerate(zip(b.column("node").to_pylist(), b.column("comp").to_pylist())):
-                if n != node and held:
-                    yield closed()
-                    held = []
-                node = n
-                held.append((c, sig[i], flat_[at[i] : at[i + 1]]))
-
-    whole = rows.select("node", F.col("a").alias("set_id"), "comp", "sig").join(sets, "set_id")
-    return whole.select("node", "set_id", "comp", "sig", "items").repartition("node").sortWithinPartitions("node", "set_id").mapInArrow(run, "u long, v long").distinct()
-
-
-def _ended(batches: Iterator) -> Iterator:
-    yield from batches
-    yield None
-
+        for t in _runs(batches, 3):
+            comp, part = t.column("comp").to_numpy(), t.column("part").to_numpy()
+            sig, values = _tokens(t.column("sig").combine_chunks()), t.column("items").combine_chunks()
+            at, items = values.offsets.to_numpy(), values.values.to_numpy()
+            bounds, found = _edges([t.column(c).to_numpy() for c in ("node", "low", "high")]), []
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                if e - s > 1:
+                    found += _joins(comp[s:e], part[s:e], sig[s:e], [items[at[k] : at[k + 1]] for k in range(s, e)])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=schema)
 
-def _joined(held: list[tuple]) -> tuple | None:
-    if not held:
-        return None
-    return held[0] if len(held) == 1 else tuple(np.concatenate(c) for c in zip(*held))
+    whole = met.join(full, "a").select("node", "low", "high", "a", "comp", "part", "sig", "items")
+    spread = whole.repartition("node", "low", "high").sortWithinPartitions("node", "low", "high", "a")
+    return spread.mapInArrow(run, "u long, v long").distinct()
 
 
 def _sets(docs: DataFrame, ends: DataFrame, n_ends: int) -> DataFrame:
-    """(set_id, items): the full shingle sets of the endpoints, each read once."""
+    """(set_id, items): the full shingle sets of the endpoints (set_id, rep), each read once."""
+    schema = pa.schema([("set_id", pa.int64()), ("items", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("set_id", pa.int64()), ("items", pa.list_(pa.int64()))])
         for batch in batches:
             sets, bound = shingles(batch.column(0))
             wanted = batch.column(1).to_numpy()
@@ -378,19 +379,62 @@ def _sets(docs: DataFrame, ends: DataFrame, n_ends: int) -> DataFrame:
     return texts.mapInArrow(run, "set_id long, items array<long>").groupBy("set_id").agg(F.first("items").alias("items"))
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def confirmed(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) between documents of the pairs (a, b) of set ids that reach the threshold on
     their full sets."""
-    spark = docs.sparkSession
-    ends = cut(spark, pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct().join(nodes.select("set_id", "rep"), "set_id"))
-    sets = _sets(docs, ends, ends.count())
-    left = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("items").alias("x")), "a")
-    both = left.join(sets.select(F.col("set_id").alias("b"), F.col("items").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    counted = both.select("a", "b", shared.alias("i"), (F.size("x") + F.size("y")).alias("n"))
-    good = counted.where(DENOMINATOR * F.col("i") >= NUMERATOR * (F.col("n") - F.col("i"))).select("a", "b")
-    rep = nodes.select("set_id", "rep")
-    return good.join(rep.select(F.col("set_id").alias("a"), F.col("rep").alias("u")), "a").join(rep.select(F.col("set_id").alias("b"), F.col("rep").alias("v")), "b").select("u", "v")
+    spark, rep = docs.sparkSession, sets.select("set_id", "rep")
+    ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct()
+    ends = cut(spark, ends.join(rep, "set_id"))
+    full = _sets(docs, ends, ends.count()).join(rep, "set_id")
+    left = pairs.join(full.select(F.col("set_id").alias("a"), F.col("items").alias("x"), F.col("rep").alias("u")), "a")
+    both = left.join(full.select(F.col("set_id").alias("b"), F.col("items").alias("y"), F.col("rep").alias("v")), "b")
+    counted = both.select("u", "v", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
+    return counted.where(DENOMINATOR * F.col("i") >= NUMERATOR * (F.col("n") - F.col("i"))).select("u", "v")
+
+
+# ---- the join
+
+
+class _Join:
+    """The sets, and the components that are known of them so far."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, links: DataFrame):
+        self.docs, self.nodes, self.spark = docs, nodes, docs.sparkSession
+        self.labels = cut(self.spark, components(links))
+
+    def sets(self) -> DataFrame:
+        """nodes with comp, the least known document of each set's component."""
+        by_rep = self.labels.withColumnRenamed("node", "rep")
+        return self.nodes.join(by_rep, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+
+    def add(self, links: DataFrame) -> None:
+        links = cut(self.spark, links.where("u <> v"))
+        if not links.isEmpty():
+            # The components so far stand for their links.
+            known = self.labels.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+            self.labels = cut(self.spark, components(known.union(links)))
+
+    def look(self, rows: DataFrame, close: bool, last: bool) -> DataFrame | None:
+        """Compare the nodes of rows (node, a); the rows of large nodes, None if there are none."""
+        sets = self.sets()
+        rows = rows.join(sets.select(F.col("set_id").alias("a"), "comp"), "a")
+        mixed = cut(self.spark, _mixed(rows))
+        found = cut(self.spark, _compare(_groups(rows, mixed), sets))
+        pairs = found.where("b is not null").select("a", "b").distinct()
+        if not pairs.isEmpty():
+            self.add(confirmed(self.docs, pairs, sets))
+        if not close:
+            return None
+        small = mixed.where(F.col("n") <= SLAB).select("node")
+        large = mixed.where(F.col("n") > SLAB).select("node")
+        again = found.where("b is null").select("node", "a").join(small, "node", "left_semi")
+        rest = None if large.isEmpty() else rows.join(large, "node", "left_semi").select("node", "a")
+        if last and rest is not None:
+            again, rest = again.union(rest), None
+        again = cut(self.spark, again)
+        if not again.isEmpty():
+            self.add(_close(self.docs, again, self.sets()))
+        return rest if rest is None else cut(self.spark, rest)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -400,34 +444,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = clean_text(docs, id_col, text_col)
     signed = cut(spark, signatures(docs))
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    nodes = cut(spark, usable.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
-    trees = F.explode(F.array(*[F.lit(t) for t in range(TREES)]))
-    rows = nodes.select(trees.alias("tree"), F.col("set_id").alias("a"), F.col("rep").alias("comp"), "sig").withColumn("node", F.col("tree").cast("long")).select("node", "tree", "a", "comp", "sig")
+    nodes = usable.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    nodes = cut(spark, nodes)
     # Rows that repeat a doc_id with several sets are one document: their nodes are linked.
     several = usable.groupBy("doc_id").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("doc_id")
-    links, labels = cut(spark, usable.join(several, "doc_id").join(nodes.select("set_id", "rep"), "set_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))), None
+    links = usable.join(several, "doc_id").join(nodes.select("set_id", "rep"), "set_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    join = _Join(docs, nodes, links)
+    join.look(_roots(nodes, 1), close=False, last=False)
+    rows = _roots(nodes, TREES * BRANCHES)
     for level in range(LEVELS):
-        new = None
-        if level:
-            again = rows.where(F.col("tree") >= AGAIN)
-            new = _close(docs, again, nodes) if not again.isEmpty() else None
-            rows = rows.where(F.col("tree") < AGAIN)
-        found = cut(spark, _compare(_branch(rows, level), level == LEVELS - 1))
-        pairs = found.where("b is not null").select("a", "b").distinct()
-        tested = confirmed(docs, pairs, nodes) if not pairs.isEmpty() else links.where("false")
-        new = cut(spark, tested if new is None else tested.union(new))
-        if labels is None or not new.isEmpty():
-            # The components so far stand for their links.
-            known = links if labels is None else labels.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-            labels = cut(spark, components(known.union(new)))
-        still = found.where("b is null").select("node", "tree", "a", "sig").join(nodes.select(F.col("set_id").alias("a"), "rep"), "a")
-        still = still.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("node", "tree", "a", F.coalesce("component", "rep").alias("comp"), "sig")
-        mixed = still.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("node")
-        rows = cut(spark, still.join(mixed, "node", "left_semi").select("node", "tree", "a", "comp", "sig"))
-        if rows.isEmpty():
+        rows = join.look(rows, close=True, last=level == LEVELS - 1)
+        if rows is None:
             break
-    by_rep = labels.withColumnRenamed("node", "rep")
-    named = nodes.select("set_id", "rep").join(by_rep, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
+        rows = cut(spark, _children(rows, nodes))
+    named = join.sets().select("set_id", F.col("comp").alias("component"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id")).join(named, "set_id", "left")
     own = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return own.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

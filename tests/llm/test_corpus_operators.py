@@ -131,7 +131,7 @@ def test_near_duplicates_equal_brute_force(spark):
 
 
 def test_large_nodes_lose_no_link(spark, monkeypatch):
-    """With tiny bounds every node is a large one: pivots, branching and closing all run."""
+    """With tiny bounds nodes are large and blocks many: slabs, pivots, branching and closing all run."""
     r = random.Random(9)
     base = [f"w{i}" for i in range(60)]
     rows = []
@@ -140,27 +140,49 @@ def test_large_nodes_lose_no_link(spark, monkeypatch):
         for _ in range(i % 5):
             w[r.randrange(60)] = f"e{r.randint(0, 99)}"
         rows.append((i, " ".join(w)))
-    monkeypatch.setattr(near_dup, "OPEN_PAIRS", 10)
     monkeypatch.setattr(near_dup, "BROADCAST_IDS", 0)
-    got = near_dup.near_duplicates(docs(spark, rows)).collect()
-    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == plain_near(rows)
+    for slab, block, levels in ((4, 8 << 20, 4), (4, 900, 1), (2048, 900, 4)):
+        monkeypatch.setattr(near_dup, "SLAB", slab)
+        monkeypatch.setattr(near_dup, "BLOCK_BYTES", block)
+        monkeypatch.setattr(near_dup, "LEVELS", levels)
+        got = near_dup.near_duplicates(docs(spark, rows)).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == plain_near(rows)
 
 
 def test_pairs_stay_together_at_any_depth(spark):
-    rng, rows = np.random.default_rng(4), []
+    """Of pairs at the threshold, 0.98 share a node of one tree's branches however deep it goes."""
+    rng, pairs, nodes = np.random.default_rng(4), [], []
     for p in range(600):
         x = rng.integers(0, 1 << 16, near_dup.COORDINATES).astype(np.uint16)
         y = np.where(rng.random(near_dup.COORDINATES) < 0.75, x, x ^ np.uint16(1))
-        rows += [(p % near_dup.TREES, p % near_dup.TREES, 2 * p + k, p, bytearray(s.astype(np.uint16).tobytes())) for k, s in enumerate((x, y))]
-    at = spark.createDataFrame(rows, near_dup.ROWS)
-    for level in range(5):
-        at = near_dup._branch(at, level)
-    kept = at.groupBy("node", "comp").agg(F.countDistinct("a").alias("n")).where("n = 2").select("comp").distinct().count()
+        pairs += [(p, 2 * p), (p, 2 * p + 1)]
+        nodes += [(2 * p + k, bytearray(s.astype(np.uint16).tobytes())) for k, s in enumerate((x, y))]
+    at = spark.createDataFrame(pairs, "node long, a long")
+    for _ in range(5):
+        at = near_dup._children(at, spark.createDataFrame(nodes, "set_id long, sig binary"))
+    kept = at.withColumn("pair", F.floor(F.col("a") / 2)).groupBy("node", "pair").agg(F.countDistinct("a").alias("n")).where("n = 2").select("pair").distinct().count()
     assert kept / 600 > 0.96  # 0.98 for independent paths, 0.92 if a level's nodes share coordinates
 
 
-def test_every_estimate_down_to_54_of_96_is_confirmed():
-    assert 54 / near_dup.COORDINATES >= near_dup.LIKELY
+def test_a_group_gives_at_most_as_many_pairs_as_rows():
+    """What is given joins all that is likely, and what is left out is named."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 16, near_dup.COORDINATES).astype(np.uint16)
+    sig = np.stack([np.where(rng.random(near_dup.COORDINATES) < 0.85, base, rng.integers(0, 1 << 16, near_dup.COORDINATES)) for _ in range(200)]).astype(np.uint16)
+    comp = rng.integers(0, 120, 200)
+    found, left = near_dup._group_pairs(sig, comp)
+    weight = near_dup.estimates(sig, comp[:, None] != comp[None])
+    assert len(found) <= 200 and set(left.tolist()) == set(np.flatnonzero(weight.any(axis=1)).tolist())
+
+    def classes(pairs):
+        top = {c: c for c in comp.tolist()}
+        root = lambda c: c if top[c] == c else root(top[c])
+        for i, j in pairs:
+            top[root(comp[i])] = root(comp[j])
+        return {frozenset(c for c in top if root(c) == r) for r in map(root, top)}
+
+    assert classes(found) == classes(zip(*np.nonzero(weight)))
+    assert all(weight[i, j] for i, j in found)
 
 
 def test_near_duplicates_of_nothing(spark):
