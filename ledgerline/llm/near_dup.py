@@ -18,8 +18,6 @@ Scale and skew:
   cost nothing more.
 * Ids alone (24 bytes) are counted by node. Only rows of nodes that hold two components or more
   take their tokens along; most sets meet nobody and end here.
-* A first look follows one branch only, and joins most of each group of near copies. The second
-  look follows all branches and asks only for pairs between different components.
 * A node larger than ``SLAB`` is dealt over slabs, which are groups of their own; ``PIVOTS`` of its
   rows stand in each slab. Then its rows branch on; after ``LEVELS`` levels they are closed.
 * From a group go at most as many pairs as it has rows: all likely ones if they are so few, else
@@ -38,6 +36,7 @@ empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +48,12 @@ from ledgerline.llm.components import components
 from ledgerline.llm.tokens import CHUNK
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
-COORDINATES, TREES, BRANCHES, LEVELS = 96, 4, 3, 4
+COORDINATES, TREES, BRANCHES, LEVELS = 96, 4, 3, 3
 #: A pair whose estimate is below goes unconfirmed: at the threshold 2 in 10**5 pairs have fewer
 #: than 54 of 96 equal tokens.
 LIKELY = 54
 #: Rows up to which a node is compared exhaustively; rows of a larger node that every slab sees.
-SLAB, PIVOTS = 2048, 4
+SLAB, PIVOTS = 4096, 4
 #: Full sets of one block of a node that is closed.
 BLOCK_BYTES = 8 << 20
 #: Endpoints up to which their ids (8 bytes each) are broadcast to the scan of the texts.
@@ -157,9 +156,9 @@ def _tokens(column: pa.Array) -> np.ndarray:
 # ---- nodes
 
 
-def _roots(nodes: DataFrame, branches: int) -> DataFrame:
-    """(node, a): the first so many children of the roots that each set goes to."""
-    each = nodes.select(F.posexplode(F.slice("keys", 1, branches)).alias("place", "key"), F.col("set_id").alias("a"))
+def _roots(nodes: DataFrame) -> DataFrame:
+    """(node, a): the children of the roots that each set goes to."""
+    each = nodes.select(F.posexplode("keys").alias("place", "key"), F.col("set_id").alias("a"))
     return each.select(F.xxhash64("place", "key").alias("node"), "a")
 
 
@@ -267,7 +266,7 @@ def _edges(columns: list[np.ndarray]) -> list[int]:
     return np.flatnonzero(np.concatenate([[True], changed, [True]])).tolist()
 
 
-def _compare(groups: DataFrame, sets: DataFrame) -> DataFrame:
+def _compare(groups: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b, node) of groups (node, slab, a): likely pairs a < b, with a null node; and with a null
     b the rows of likely pairs of nodes that gave only some of them."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("node", pa.int64())])
@@ -297,7 +296,8 @@ def _compare(groups: DataFrame, sets: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    whole = groups.join(sets.select(F.col("set_id").alias("a"), "comp", "sig"), "a").select("node", "slab", "a", "comp", "sig")
+    known = sets.select("set_id", "comp").join(nodes.select("set_id", "sig"), "set_id").withColumnRenamed("set_id", "a")
+    whole = groups.join(known, "a").select("node", "slab", "a", "comp", "sig")
     return whole.repartition("node", "slab").sortWithinPartitions("node", "slab", "a").mapInArrow(run, "a long, b long, node long")
 
 
@@ -330,17 +330,20 @@ def _joins(comp: np.ndarray, part: np.ndarray, sig: np.ndarray, items: list[np.n
     return out
 
 
-def _close(docs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (u, v) between the components of each node of rows (node, a). Each row takes its full
-    set along, to each pair of blocks of its node that its own block is in."""
+def _close(docs: DataFrame, rows: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """Links (u, v) between the components of each node of rows (node, a), None if all nodes lie in one
+    component. Each row takes its full set along, to each pair of blocks of its node that its own
+    block is in."""
     spark = docs.sparkSession
     named = rows.distinct().join(sets.select(F.col("set_id").alias("a"), "comp", "rep", "n_shingles"), "a")
     counted = named.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("items"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     blocks = F.ceil(F.greatest(F.col("items") * 8 / BLOCK_BYTES, F.col("n") / SLAB)).cast("int")
     mine = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
     open_ = cut(spark, named.join(counted.select("node", blocks.alias("blocks")), "node").select("node", "a", "comp", "rep", "blocks", mine.alias("part")))
-    ends = cut(spark, open_.select(F.col("a").alias("set_id"), "rep").distinct())
-    full = _sets(docs, ends, ends.count()).join(sets.select("set_id", "sig"), "set_id").withColumnRenamed("set_id", "a")
+    ends = open_.select(F.col("a").alias("set_id"), "rep").distinct()
+    if not (n_ends := ends.count()):
+        return None
+    full = _sets(docs, ends, n_ends).join(nodes.select("set_id", "sig"), "set_id").withColumnRenamed("set_id", "a")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     met = open_.select("node", "a", "comp", "part", other)
     met = met.select("node", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "a", "comp", "part")
@@ -363,7 +366,7 @@ def _close(docs: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ends: DataFrame, n_ends: int) -> DataFrame:
-    """(set_id, items): the full shingle sets of the endpoints (set_id, rep), each read once."""
+    """(set_id, items): the full shingle sets of the endpoints (set_id, rep), at most n_ends."""
     schema = pa.schema([("set_id", pa.int64()), ("items", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,13 +382,12 @@ def _sets(docs: DataFrame, ends: DataFrame, n_ends: int) -> DataFrame:
     return texts.mapInArrow(run, "set_id long, items array<long>").groupBy("set_id").agg(F.first("items").alias("items"))
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(docs: DataFrame, pairs: DataFrame, n_pairs: int, sets: DataFrame) -> DataFrame:
     """Links (u, v) between documents of the pairs (a, b) of set ids that reach the threshold on
     their full sets."""
-    spark, rep = docs.sparkSession, sets.select("set_id", "rep")
+    rep = sets.select("set_id", "rep")
     ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct()
-    ends = cut(spark, ends.join(rep, "set_id"))
-    full = _sets(docs, ends, ends.count()).join(rep, "set_id")
+    full = _sets(docs, ends.join(rep, "set_id"), 2 * n_pairs).join(rep, "set_id")
     left = pairs.join(full.select(F.col("set_id").alias("a"), F.col("items").alias("x"), F.col("rep").alias("u")), "a")
     both = left.join(full.select(F.col("set_id").alias("b"), F.col("items").alias("y"), F.col("rep").alias("v")), "b")
     counted = both.select("u", "v", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n"))
@@ -396,45 +398,52 @@ def confirmed(docs: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 class _Join:
-    """The sets, and the components that are known of them so far."""
+    """The sets, and what is known of their components so far."""
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, links: DataFrame):
+    def __init__(self, docs: DataFrame, nodes: DataFrame):
         self.docs, self.nodes, self.spark = docs, nodes, docs.sparkSession
-        self.labels = cut(self.spark, components(links))
-
-    def sets(self) -> DataFrame:
-        """nodes with comp, the least known document of each set's component."""
-        by_rep = self.labels.withColumnRenamed("node", "rep")
-        return self.nodes.join(by_rep, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+        self.labels, self.links, self.known = None, [], None
 
     def add(self, links: DataFrame) -> None:
-        links = cut(self.spark, links.where("u <> v"))
-        if not links.isEmpty():
-            # The components so far stand for their links.
-            known = self.labels.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-            self.labels = cut(self.spark, components(known.union(links)))
+        self.links.append(cut(self.spark, links.where("u <> v")))
 
-    def look(self, rows: DataFrame, close: bool, last: bool) -> DataFrame | None:
+    def sets(self) -> DataFrame:
+        """(set_id, rep, n_shingles, comp): comp is the least known document of the set's component."""
+        if self.known is not None and not self.links:
+            return self.known
+        bare = self.nodes.select("set_id", "rep", "n_shingles")
+        if self.links:
+            # The components so far stand for their links.
+            before = [] if self.labels is None else [self.labels.where("node <> component").select("node", "component")]
+            self.labels = components(reduce(DataFrame.union, self.links + before))
+            self.links = []
+        if self.labels is not None:
+            bare = bare.join(self.labels.withColumnRenamed("node", "rep"), "rep", "left")
+        else:
+            bare = bare.withColumn("component", F.col("rep"))
+        self.known = cut(self.spark, bare.select("set_id", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp")))
+        return self.known
+
+    def look(self, rows: DataFrame, last: bool) -> DataFrame | None:
         """Compare the nodes of rows (node, a); the rows of large nodes, None if there are none."""
         sets = self.sets()
         rows = rows.join(sets.select(F.col("set_id").alias("a"), "comp"), "a")
         mixed = cut(self.spark, _mixed(rows))
-        found = cut(self.spark, _compare(_groups(rows, mixed), sets))
-        pairs = found.where("b is not null").select("a", "b").distinct()
-        if not pairs.isEmpty():
-            self.add(confirmed(self.docs, pairs, sets))
-        if not close:
-            return None
-        small = mixed.where(F.col("n") <= SLAB).select("node")
-        large = mixed.where(F.col("n") > SLAB).select("node")
-        again = found.where("b is null").select("node", "a").join(small, "node", "left_semi")
-        rest = None if large.isEmpty() else rows.join(large, "node", "left_semi").select("node", "a")
-        if last and rest is not None:
-            again, rest = again.union(rest), None
-        again = cut(self.spark, again)
-        if not again.isEmpty():
-            self.add(_close(self.docs, again, self.sets()))
-        return rest if rest is None else cut(self.spark, rest)
+        found = cut(self.spark, _compare(_groups(rows, mixed), sets, self.nodes))
+        n_pairs, n_rows, n_large = (*found.agg(F.count("b"), F.count_if(F.col("b").isNull())).first(), mixed.where(F.col("n") > SLAB).count())
+        if n_pairs:
+            self.add(confirmed(self.docs, found.where("b is not null").select("a", "b").distinct(), n_pairs, sets))
+        again = found.where("b is null").select("node", "a") if n_rows else None
+        rest = None
+        if n_large:
+            large = mixed.where(F.col("n") > SLAB).select("node")
+            again = again if again is None else again.join(large, "node", "left_anti")
+            rest = cut(self.spark, rows.join(large, "node", "left_semi").select("node", "a"))
+            if last:
+                again, rest = rest if again is None else again.union(rest), None
+        if again is not None and (links := _close(self.docs, again, self.sets(), self.nodes)) is not None:
+            self.add(links)
+        return rest
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -446,14 +455,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     nodes = usable.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
     nodes = cut(spark, nodes)
+    join = _Join(docs, nodes)
     # Rows that repeat a doc_id with several sets are one document: their nodes are linked.
-    several = usable.groupBy("doc_id").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("doc_id")
-    links = usable.join(several, "doc_id").join(nodes.select("set_id", "rep"), "set_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    join = _Join(docs, nodes, links)
-    join.look(_roots(nodes, 1), close=False, last=False)
-    rows = _roots(nodes, TREES * BRANCHES)
+    several = cut(spark, usable.groupBy("doc_id").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("doc_id"))
+    if not several.isEmpty():
+        join.add(usable.join(several, "doc_id").join(nodes.select("set_id", "rep"), "set_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
+    rows = _roots(nodes)
     for level in range(LEVELS):
-        rows = join.look(rows, close=True, last=level == LEVELS - 1)
+        rows = join.look(rows, last=level == LEVELS - 1)
         if rows is None:
             break
         rows = cut(spark, _children(rows, nodes))

@@ -141,7 +141,7 @@ def test_large_nodes_lose_no_link(spark, monkeypatch):
             w[r.randrange(60)] = f"e{r.randint(0, 99)}"
         rows.append((i, " ".join(w)))
     monkeypatch.setattr(near_dup, "BROADCAST_IDS", 0)
-    for slab, block, levels in ((4, 8 << 20, 4), (4, 900, 1), (2048, 900, 4)):
+    for slab, block, levels in ((4, 900, 3), (4096, 900, 1)):
         monkeypatch.setattr(near_dup, "SLAB", slab)
         monkeypatch.setattr(near_dup, "BLOCK_BYTES", block)
         monkeypatch.setattr(near_dup, "LEVELS", levels)
