@@ -6,23 +6,32 @@ least-hashed 20-byte gram, so equal windows have equal names, and consecutive wi
 name form a segment of 50 to 80 bytes.
 
 1. Names: each group of documents sends its distinct names (48-bit hashes) to buckets.
-2. Buckets return to each group the names that two documents have.
-3. Groups send the distinct segments of those names, with the least document id of each.
-4. Per bucket, the segments' suffix array is built in two stages (suffixes smaller than their
+2. Buckets return to each group the names that two documents have, and which of them are varied:
+   stand in many different segments of a group.
+3. Where there are varied names, groups send the hashes of their windows in the same way, and get
+   back those that two documents have.
+4. Groups send the distinct segments of the other names, and those windows, with the least document
+   id of each.
+5. Per bucket, the segments' suffix array is built in two stages (suffixes smaller than their
    successors are sorted directly, the others are induced by bucket scans), adjacent common
    prefixes are computed, and each window that 50 bytes tie to others gets the least id of all.
-5. Groups mark the windows that an earlier document has, and cut.
+6. Groups mark the windows that an earlier document has, and cut.
 
 Scale and skew: what is shuffled are packed byte blocks, not rows per suffix: the texts once per
 pass, the names at 6 bytes for about 16 bytes of text, and segments of repeated names only.
-Copies and passages count once per group of documents, however many documents hold them. A name
-that stands in many different segments goes on window by window, dealt by the window's own hash,
-so a short phrase with ever different surroundings doesn't gather in one bucket. Hashes only choose what is
-compared; ties are decided on the bytes. (Within one group, segments are told apart by 64 bits.)
-
-Defined cases: a null text is empty; texts under 50 bytes keep all; rows that repeat a doc_id are
-separate, and remove nothing from each other; rows with a null doc_id come after all others and
-remove nothing from each other; an empty table gives no rows; further columns are ignored.
+Copies and passages count once per group of documents, however many documents hold them. A varied
+name goes on window by window, dealt by the window's own hash, so a short phrase with ever
+different surroundings neither gathers in one bucket nor sends what stands only once. Groups are
+read in chunks and bytes are gathered in slices, so memory is bounded by the group and the bucket;
+buckets are sized by the bytes they are sent. Hashes only choose what is compared; ties are decided
+on the bytes. (Within one group, segments are told apart by 64 bits.) All rows that are equal in
+both id and text are in one group.
+
+Defined cases: a null text is empty; texts under 50 bytes keep all; very long texts are read whole,
+in overlapping chunks; rows that repeat a doc_id are separate, and remove nothing from each other;
+of equal strings the least id keeps its own, so ties between ids cannot arise; rows with a null
+doc_id come after all others and remove nothing from each other; an empty table gives no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +48,9 @@ from ledgerline.llm.common import BYTE, clean_text, cut, flat, mix, release, tab
 
 WIDTH, GRAM = 50, 20
 SPAN = WIDTH - GRAM + 1
-#: Text bytes of a group of documents, bytes looked at together, symbols of one suffix array,
-#: and the number of different segments in one group from which a name goes on window by window.
-GROUP_BYTES, CHUNK_BYTES, ARRAY_SYMBOLS, VARIED = 8 << 20, 1 << 20, 1_500_000, 16
+#: Text bytes of a group of documents, bytes looked at together, bytes gathered together, bytes sent
+#: to one suffix array, and the number of different segments in one group from which a name is varied.
+GROUP_BYTES, CHUNK_BYTES, SLICE, BUCKET_BYTES, VARIED = 8 << 20, 1 << 20, 1 << 18, 2 << 20, 16
 LAST = np.iinfo(np.int64).max
 
 _BASE = 0x9E3779B97F4A7C15
@@ -82,11 +92,12 @@ def _grams(data: np.ndarray, length: int) -> np.ndarray:
 
 
 class Chunk:
-    """The segments of some documents: runs of window starts low..high (inclusive) that share
-    a name, none across documents."""
+    """The segments of some documents, or of a part of a long one: runs of window starts low..high
+    (inclusive) that share a name, none across documents. first is the index of the first document,
+    base the place of the chunk in the group's bytes."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray):
-        self.data, self.at = data, at
+    def __init__(self, data: np.ndarray, at: np.ndarray, first: int = 0, base: int = 0):
+        self.data, self.first, self.base = data, first, base
         n = len(data)
         none = np.zeros(0, np.int64)
         self.low, self.high, self.doc, self.name = none, none, none, np.zeros(0, np.uint64)
@@ -107,7 +118,7 @@ class Chunk:
         keep = good[low]
         self.low, self.high = low[keep], high[keep]
         self.name = gram[(least[self.low] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)] >> np.uint64(16)
-        self.doc = np.searchsorted(at, self.low, side="right") - 1
+        self.doc = first + np.searchsorted(at, self.low, side="right") - 1
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         up, down = _tables(len(self.data) + 1)
@@ -117,14 +128,25 @@ class Chunk:
             return mix((self.prefix[end] - self.prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def chunks(texts: pa.ChunkedArray) -> Iterator[tuple[int, Chunk]]:
-    """(index of the first document, chunk) over all documents; long documents stand alone."""
-    data, at = flat(texts)
+def chunks(data: np.ndarray, at: np.ndarray) -> Iterator[Chunk]:
+    """Chunks over all documents of a group; a long document is cut into overlapping parts, so that
+    each window is in one of them."""
     first = 0
     while first < len(at) - 1:
-        last = max(first + 1, int(np.searchsorted(at, at[first] + CHUNK_BYTES, side="right")) - 1)
-        yield first, Chunk(data[at[first] : at[last]], at[first : last + 1] - at[first])
-        first = last
+        if at[first + 1] - at[first] > CHUNK_BYTES:
+            end = int(at[first + 1])
+            for a in range(int(at[first]), end - WIDTH + 1, CHUNK_BYTES):
+                b = min(a + CHUNK_BYTES + WIDTH - 1, end)
+                yield Chunk(data[a:b], np.array([0, b - a]), first, a)
+            first += 1
+        else:
+            last = int(np.searchsorted(at, at[first] + CHUNK_BYTES, side="right")) - 1
+            yield Chunk(data[at[first] : at[last]], at[first : last + 1] - at[first], first, int(at[first]))
+            first = last
+
+
+def _texts(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return flat(t["text"]) if t.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
 
 
 def _ids(t: pa.Table) -> np.ndarray:
@@ -158,19 +180,19 @@ def _unz(parts: list[bytes], dtype) -> np.ndarray:
 
 
 def _names(n_buckets: int, many: int = VARIED):
-    """Pass 1 of a group: (bucket, grp, block): its distinct names. Bit 0 is set where two documents
+    """Step 1 of a group: (bucket, grp, block): its distinct names. Bit 0 is set where two documents
     of the group have the name, bit 1 where it stands in ``many`` different segments."""
 
     def run(t: pa.Table) -> pa.Table:
         ids, grp = _ids(t), t["grp"][0].as_py()
         name, doc, segment = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for first, c in chunks(t["text"]):
+        for c in chunks(*_texts(t)):
             name.append(c.name >> np.uint64(2))
-            doc.append(ids[first + c.doc])
+            doc.append(ids[c.doc])
             segment.append(c.hashes(c.low, c.high + WIDTH))
         name, doc, segment = np.concatenate(name), np.concatenate(doc), np.concatenate(segment)
         if not len(name):
-            return pa.table({"bucket": pa.array([], pa.int64()), "grp": pa.array([], pa.int64()), "block": pa.array([], pa.binary())})
+            return _dealt(np.zeros(0, np.int64), name, grp)
         order = np.lexsort((segment, name))
         k, d, s = name[order], doc[order], segment[order]
         starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
@@ -194,98 +216,142 @@ def _dealt(bucket: np.ndarray, x: np.ndarray, grp: int) -> pa.Table:
 
 
 def _repeated(t: pa.Table) -> pa.Table:
-    """Pass 2, a bucket: (grp, block): each group's names that two documents have; bit 0 is set for
-    names that are varied in some group."""
+    """Steps 2 and 3, a bucket: (grp, block): each group's names that two documents have; bit 0 is
+    set for names that are varied in some group."""
     groups, parts = t["grp"].to_pylist(), [_from_six(b) for b in t["block"].to_pylist()]
     n = [len(p) for p in parts]
-    x, owner = np.concatenate(parts), np.repeat(np.arange(len(n)), n)
-    key = x >> np.uint64(2)
-    order, starts = _by_key(key)
+    x, owner = np.concatenate(parts), np.repeat(np.arange(len(n), dtype=np.int32), n)
+    order, starts = _by_key(x >> np.uint64(2))
     counts = np.diff(np.append(starts, len(order)))
     flags = np.bitwise_or.reduceat(x[order] & np.uint64(3), starts)
     good = np.repeat((counts > 1) | ((flags & np.uint64(1)) > 0), counts)
     varied = np.repeat(flags >> np.uint64(1), counts)
     back = order[good]
-    value, who = (key[back] << np.uint64(1)) | varied[good], owner[back]
+    value, who = (x[back] >> np.uint64(2) << np.uint64(1)) | varied[good], owner[back]
     by, starts = _by_key(who)
     bounds = np.append(starts, len(by)).tolist()
     return pa.table({"grp": pa.array([groups[who[by[s]]] for s in starts.tolist()], pa.int64()), "block": pa.array([_six(value[by[a:b]]) for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())})
 
 
-def _known(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The repeated names of a group, sorted, and which of them are varied."""
-    x = np.sort(np.concatenate([np.zeros(0, np.uint64), *map(_from_six, blocks)]))
-    return x >> np.uint64(1), (x & np.uint64(1)) > 0
+class Known:
+    """What a group got back: its repeated names, which of them are varied, and the repeated windows
+    of varied names. ``back`` has rows (kind, block), kind 0 for names and 1 for windows."""
+
+    def __init__(self, back: pa.Table):
+        kinds, blocks = back["kind"].to_pylist(), back["block"].to_pylist()
+        parts = [np.sort(np.concatenate([np.zeros(0, np.uint64), *(_from_six(b) for k, b in zip(kinds, blocks) if k == kind)])) for kind in (0, 1)]
+        self.names, self.varied, self.windows = parts[0] >> np.uint64(1), (parts[0] & np.uint64(1)) > 0, parts[1] >> np.uint64(1)
 
+    def marked(self, c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """Which runs of c have a repeated name that is not varied, and which one that is."""
+        hit, where = _found(self.names, c.name >> np.uint64(2))
+        lots = np.zeros(len(hit), bool)
+        lots[hit] = self.varied[where[hit]]
+        return hit & ~lots, lots
 
-def _marked(c: Chunk, names: np.ndarray, varied: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which runs have a repeated name, and which of those a varied one."""
-    if not len(names) or not len(c.name):
-        none = np.zeros(len(c.name), bool)
-        return none, none
-    key = c.name >> np.uint64(2)
-    k = np.minimum(np.searchsorted(names, key), len(names) - 1)
-    hit = names[k] == key
-    return hit, hit & varied[k]
 
+def _found(among: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are among the sorted ones, and where."""
+    if not len(among):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    where = np.minimum(np.searchsorted(among, keys), len(among) - 1)
+    return among[where] == keys, where
 
-def _pieces(c: Chunk, names: np.ndarray, varied: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(low, high, doc, hash, deal) of the runs with a repeated name; runs of names that many
-    groups have are split into single windows. deal is what buckets are dealt by."""
-    hit, lots = _marked(c, names, varied)
-    whole = np.flatnonzero(hit & ~lots)
-    split = np.flatnonzero(lots)
-    n = c.high[split] - c.low[split] + 1
-    start = np.repeat(c.low[split] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+def _spread(c: Chunk, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The window starts of runs, their documents and their hashes."""
+    n = c.high[runs] - c.low[runs] + 1
+    start = np.repeat(c.low[runs] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return start, np.repeat(c.doc[runs], n), c.hashes(start, start + WIDTH)
+
+
+def _windows(n_buckets: int):
+    """Step 3 of a group: (bucket, grp, block): the distinct windows of its varied names. Bit 0 is
+    set where two documents of the group have the window."""
+
+    def run(docs: pa.Table, back: pa.Table) -> pa.Table:
+        known, ids = Known(back), _ids(docs)
+        got = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for c in chunks(*_texts(docs)) if known.varied.any() else ():
+            _, doc, h = _spread(c, np.flatnonzero(known.marked(c)[1]))
+            got.append(_extremes(h >> np.uint64(18), ids[doc], ids[doc]))
+        key, low, high = _extremes(*(np.concatenate(x) for x in zip(*got)))
+        return _dealt(_bucket(key, n_buckets), key << np.uint64(2) | (low != high).astype(np.uint64), docs["grp"][0].as_py() if docs.num_rows else -1)
+
+    return run
+
+
+def _extremes(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys with their least low and greatest high."""
+    order, starts = _by_key(key)
+    if not len(order):
+        return key, low, high
+    return key[order[starts]], np.minimum.reduceat(low[order], starts), np.maximum.reduceat(high[order], starts)
+
+
+def _pieces(c: Chunk, known: Known) -> tuple[np.ndarray, ...]:
+    """(low, high, doc, hash, deal) of what is compared of c: runs with a repeated name, and single
+    repeated windows of varied ones. deal is what buckets are dealt by."""
+    whole, lots = map(np.flatnonzero, known.marked(c))
+    start, doc, h = _spread(c, lots)
+    keep = _found(known.windows, h >> np.uint64(18))[0]
+    start, doc, h = start[keep], doc[keep], h[keep]
     low, high = np.concatenate([c.low[whole], start]), np.concatenate([c.high[whole], start])
-    doc = np.concatenate([c.doc[whole], np.repeat(c.doc[split], n)])
-    h = c.hashes(low, high + WIDTH)
-    return low, high, doc, h, np.concatenate([c.name[whole], h[len(whole) :]])
+    own = c.hashes(c.low[whole], c.high[whole] + WIDTH)
+    return low, high, np.concatenate([c.doc[whole], doc]), np.concatenate([own, h]), np.concatenate([c.name[whole], h])
 
 
-def _distinct(docs: pa.Table, names: np.ndarray, varied: np.ndarray, n_buckets: int, bodies: bool) -> tuple | None:
+def _distinct(docs: pa.Table, known: Known, n_buckets: int) -> tuple | None:
     """The group's distinct segments, by bucket and hash: (bucket, hash, size, least id, where the
-    body begins, all bodies); the same in every pass over the same rows."""
+    bytes begin in the group's); the same in every step over the same rows."""
     got: list[tuple] = []
     ids = _ids(docs)
-    for first, c in chunks(docs["text"]) if docs.num_rows and len(names) else ():
-        low, high, doc, h, deal = _pieces(c, names, varied)
+    for c in chunks(*_texts(docs)) if len(known.names) else ():
+        low, high, doc, h, deal = _pieces(c, known)
         order, starts = _by_key(h)
         if len(starts):
             k = order[starts]
-            n = high[k] - low[k] + WIDTH
-            body = c.data[np.repeat(low[k] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] if bodies else c.data[:0]
-            got.append((h[k], deal[k], np.minimum.reduceat(ids[first + doc][order], starts), n, body))
+            got.append((h[k], deal[k], np.minimum.reduceat(ids[doc][order], starts), high[k] - low[k] + WIDTH, low[k] + c.base))
     if not got:
         return None
-    h, deal, least, n, body = (np.concatenate(x) for x in zip(*got))
-    begin = np.cumsum(n) - n
+    h, deal, least, n, begin = (np.concatenate(x) for x in zip(*got))
     order, starts = _by_key(h)
     k = order[starts]
     least = np.minimum.reduceat(least[order], starts)
     bucket = (mix(deal[k]) % np.uint64(n_buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
-    return bucket[by], h[k][by], n[k][by], least[by], begin[k][by], body
+    return bucket[by], h[k][by], n[k][by], least[by], begin[k][by]
 
 
 SEGMENTS = "bucket long, grp long, least binary, sizes binary, body binary"
 
 
 def _gathered(body: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    return body[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    """body[b : b + n] of all pairs, joined; in slices, so that the indices made for them stay few."""
+    total = np.cumsum(size)
+    out, first = np.empty(int(total[-1]) if len(total) else 0, body.dtype), 0
+    while first < len(size):
+        before = int(total[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(total, before + SLICE, side="right")))
+        n, upto = size[first:last], int(total[last - 1])
+        out[before:upto] = body[np.repeat(begin[first:last] - (total[first:last] - n - before), n) + np.arange(upto - before)]
+        first = last
+    return out
 
 
 def _segments(n_buckets: int):
-    """Pass 3 of a group: its distinct segments by bucket, with the least document id of each."""
+    """Step 4 of a group: its distinct segments by bucket, with the least document id of each."""
 
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
         out: dict[str, list] = {k.split()[0]: [] for k in SEGMENTS.split(", ")}
-        if got := _distinct(docs, *_known(back["block"].to_pylist()), n_buckets, True):
-            bucket, _, size, least, begin, body = got
+        if got := _distinct(docs, Known(back), n_buckets):
+            bucket, _, size, least, begin = got
+            data, _ = _texts(docs)
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             bounds = np.append(starts, len(bucket)).tolist()
             for a, b in zip(bounds[:-1], bounds[1:]):
-                for key, v in (("bucket", int(bucket[a])), ("grp", docs["grp"][0].as_py()), ("least", _z(least[a:b])), ("sizes", _z(size[a:b].astype(np.uint8))), ("body", _z(_gathered(body, begin[a:b], size[a:b])))):
+                row = (int(bucket[a]), docs["grp"][0].as_py(), _z(least[a:b]), _z(size[a:b].astype(np.uint8)), _z(_gathered(data, begin[a:b], size[a:b])))
+                for key, v in zip(out, row):
                     out[key].append(v)
         return pa.table({k: pa.array(v, pa.int64() if k in ("bucket", "grp") else pa.binary()) for k, v in out.items()})
 
@@ -370,15 +436,18 @@ def suffix_array(s: np.ndarray, depth: int = WIDTH, wanted: np.ndarray | None =
     return out
 
 
-def ties(s: np.ndarray, order: np.ndarray, depth: int = WIDTH) -> np.ndarray:
-    """Of each neighbour pair of order: whether their common prefix reaches ``depth`` bytes."""
+def common_prefixes(s: np.ndarray, order: np.ndarray, depth: int = WIDTH) -> np.ndarray:
+    """Of each neighbour pair of order: the length of their common prefix, ``depth`` at most."""
     w = words8(s, depth)
     a, b = order[:-1], order[1:]
-    same = np.ones(len(a), bool)
+    out, same = np.full(len(a), depth, np.int64), np.arange(len(a))
     for k in range(0, depth, 8):
-        x = w[a + k] ^ w[b + k]
-        same &= (x >> np.uint64(8 * max(0, k + 8 - depth))) == 0
-    return same
+        x = w[a[same] + k] ^ w[b[same] + k]
+        differ = np.flatnonzero(x)
+        lead = sum((x[differ] < np.uint64(1 << 8 * j)).astype(np.int64) for j in range(1, 8))
+        out[same[differ]] = np.minimum(k + lead, depth)
+        same = same[x == 0]
+    return out
 
 
 def least_of_windows(body: np.ndarray, size: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -386,15 +455,17 @@ def least_of_windows(body: np.ndarray, size: np.ndarray, least: np.ndarray) -> n
     over all segments that hold its 50 bytes."""
     begin = np.cumsum(size + 1) - (size + 1)
     s = np.zeros(int((size + 1).sum()), np.uint8)  # a zero ends each segment
-    s[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(body))] = body
+    inside = np.ones(len(s), bool)
+    inside[begin + size] = False
+    s[inside] = body
     n = size - WIDTH + 1
     starts = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    number = np.full(len(s), -1, np.int64)
-    number[starts] = np.arange(len(starts))
+    number = np.full(len(s), -1, np.int32)
+    number[starts] = np.arange(len(starts), dtype=np.int32)
     order = suffix_array(s, wanted=number >= 0)
     order = order[number[order] >= 0]  # a window stands inside its segment: no end in it
     ids = np.repeat(least, n)[number[order]]
-    run = np.concatenate([[True], ~ties(s, order)]) if len(order) else np.zeros(0, bool)
+    run = np.concatenate([[True], common_prefixes(s, order) < WIDTH]) if len(order) else np.zeros(0, bool)
     group = np.minimum.reduceat(ids, np.flatnonzero(run))
     out = np.empty(len(starts), np.int64)
     out[number[order]] = group[np.cumsum(run) - 1]
@@ -409,7 +480,7 @@ def _segment_hashes(body: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np
 
 
 def _suffixes(t: pa.Table) -> pa.Table:
-    """Pass 4, a bucket: to each group, for its segments in order, the least ids of their windows;
+    """Step 5, a bucket: to each group, for its segments in order, the least ids of their windows;
     one value stands for all windows of a segment where they agree."""
     sizes = [_unz([b], np.uint8).astype(np.int64) for b in t["sizes"].to_pylist()]
     size, body = np.concatenate(sizes), _unz(t["body"].to_pylist(), np.uint8)
@@ -439,54 +510,48 @@ OUT = "doc_id long, text binary, kept binary, spans array<struct<start:long,end:
 
 
 def _marks(n_buckets: int):
-    """Pass 5 of a group: what is left of each document, and the removed runs."""
+    """Step 6 of a group: what is left of each document, and the removed runs."""
 
     def run(docs: pa.Table, back: pa.Table) -> pa.Table:
-        ids, order = _ids(docs), np.argsort(np.array(back["bucket"].to_pylist(), np.int64), kind="stable")
-        rows = {c: [back[c][int(i)].as_py() for i in order] for c in ("bucket", "counts", "least")}
-        n_known = sum(b < 0 for b in rows["bucket"])  # rows of names stand first, with bucket -1
-        names, varied = _known(rows["least"][:n_known])
-        got = _distinct(docs, names, varied, n_buckets, False)
-        counts, least = _unz(rows["counts"][n_known:], np.uint8).astype(np.int64), _unz(rows["least"][n_known:], np.int64)
-        if got is not None and len(counts) != len(got[1]):
-            raise RuntimeError("a group's segments changed between passes")
-        h, at = (np.zeros(0, np.uint64), np.zeros(0, np.int64)) if got is None else (got[1], np.cumsum(counts) - counts)
-        by = np.argsort(h, kind="stable")
-        h, counts, at = h[by], counts[by] if len(h) else counts, at[by]
-        return _cut_out(docs, ids, names, varied, h, counts, at, least)
+        of_names = pa.compute.greater_equal(back["kind"], 0)
+        known, rows = Known(back.filter(of_names)), back.filter(pa.compute.invert(of_names)).sort_by("bucket")
+        got = _distinct(docs, known, n_buckets)
+        counts, least = _unz(rows["counts"].to_pylist(), np.uint8).astype(np.int64), _unz(rows["block"].to_pylist(), np.int64)
+        h = np.zeros(0, np.uint64) if got is None else got[1]
+        if len(counts) != len(h):
+            raise RuntimeError("a group's segments changed between steps")
+        at, by = np.cumsum(counts) - counts, np.argsort(h, kind="stable")
+        return _cut_out(docs, known, h[by], counts[by], at[by], least)
 
     return run
 
 
-def _cut_out(docs: pa.Table, ids: np.ndarray, names: np.ndarray, varied: np.ndarray, h: np.ndarray, counts: np.ndarray, first_of: np.ndarray, least: np.ndarray) -> pa.Table:
-    kept, spans = [], []
-    for first, c in chunks(docs["text"]) if docs.num_rows else ():
-        removed = np.zeros(len(c.data) + 1, np.int32)
-        if len(h) and len(c.low):
-            low, high, doc, own, _ = _pieces(c, names, varied)
-            k = np.searchsorted(h, own)
-            m = high - low + 1
-            j = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-            value = least[np.repeat(first_of[k], m) + np.where(np.repeat(counts[k], m) == 1, 0, j)]
-            start = (np.repeat(low, m) + j)[value < np.repeat(ids[first + doc], m)]
-            removed += np.bincount(start, minlength=len(removed)).astype(np.int32)
-            removed -= np.bincount(start + WIDTH, minlength=len(removed)).astype(np.int32)
-        gone = np.cumsum(removed)[:-1] > 0
-        edge = np.zeros(len(gone) + 1, bool)
-        edge[1:-1] = gone[1:] != gone[:-1]
-        edge[0] = edge[-1] = True
-        edge[c.at] = True
-        cuts = np.flatnonzero(edge)
-        runs = cuts[:-1][gone[cuts[:-1]]] if len(gone) else np.zeros(0, np.int64)
-        ends = cuts[1:][gone[cuts[:-1]]] if len(gone) else np.zeros(0, np.int64)
-        at = np.searchsorted(runs, c.at)
-        left = c.data[~gone]
-        left_at = np.concatenate([[0], np.cumsum(~gone)])[c.at]
-        for d in range(len(c.at) - 1):
-            kept.append(left[left_at[d] : left_at[d + 1]].tobytes())
-            base = int(c.at[d])
-            spans.append([{"start": int(a) - base, "end": int(b) - base} for a, b in zip(runs[at[d] : at[d + 1]], ends[at[d] : at[d + 1]])])
-    return pa.table({"doc_id": docs["doc_id"] if docs.num_rows else pa.array([], pa.int64()), "text": docs["text"] if docs.num_rows else pa.array([], pa.binary()), "kept": pa.array(kept, pa.binary()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))})
+def _cut_out(docs: pa.Table, known: Known, h: np.ndarray, counts: np.ndarray, first_of: np.ndarray, least: np.ndarray) -> pa.Table:
+    (data, at), ids = _texts(docs), _ids(docs)
+    step = np.zeros(len(data) + 1, np.int32)  # windows that begin here, less those that end here
+    for c in chunks(data, at) if len(h) else ():
+        low, high, doc, own, _ = _pieces(c, known)
+        k = np.searchsorted(h, own)
+        m = high - low + 1
+        j = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+        value = least[np.repeat(first_of[k], m) + np.where(np.repeat(counts[k], m) == 1, 0, j)]
+        start = (np.repeat(low, m) + j)[value < np.repeat(ids[doc], m)]
+        part = step[c.base : c.base + len(c.data) + 1]
+        part += np.bincount(start, minlength=len(part)).astype(np.int32)
+        part -= np.bincount(start + WIDTH, minlength=len(part)).astype(np.int32)
+    gone = np.cumsum(step, dtype=np.int32)[:-1] > 0
+    edge = np.zeros(len(gone) + 1, bool)
+    edge[1:-1] = gone[1:] != gone[:-1]
+    edge[at] = True
+    cuts = np.flatnonzero(edge)
+    inside = gone[cuts[:-1]] if len(gone) else np.zeros(0, bool)
+    runs, ends = cuts[:-1][inside], cuts[1:][inside]
+    of = np.searchsorted(runs, at)
+    base = np.repeat(at[:-1], np.diff(of))
+    spans = pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.StructArray.from_arrays([pa.array(runs - base), pa.array(ends - base)], ["start", "end"]))
+    kept = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    columns = [docs["doc_id"], docs["text"]] if docs.num_rows else [pa.array([], pa.int64()), pa.array([], pa.binary())]
+    return pa.table([*columns, pa.array(kept, pa.binary()), spans], ["doc_id", "text", "kept", "spans"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_bytes: int = GROUP_BYTES, varied: int = VARIED) -> DataFrame:
@@ -498,18 +563,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_groups = max(1, -(-int(total) // group_bytes))
     grp = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups)).alias("grp")
     grouped = plain.select("doc_id", F.col("text").cast("binary").alias("text"), grp)
-    names = grouped.groupBy("grp").applyInArrow(_names(n_groups, varied), "bucket long, grp long, block binary")
-    back = cut(spark, names.groupBy("bucket").applyInArrow(_repeated, "grp long, block binary"))
+    blocks = "bucket long, grp long, block binary"
+    names = grouped.groupBy("grp").applyInArrow(_names(n_groups, varied), blocks)
+    back = cut(spark, names.groupBy("bucket").applyInArrow(_repeated, "grp long, block binary").withColumn("kind", F.lit(0)))
     del names
     release(spark)
-    n_names = back.agg(F.coalesce(F.sum(F.octet_length("block")), F.lit(0))).first()[0] // 6
-    n_buckets = max(1, -(-int(n_names) * (WIDTH + SPAN // 2) // (4 * ARRAY_SYMBOLS)))
+    windows = grouped.groupBy("grp").cogroup(back.groupBy("grp")).applyInArrow(_windows(n_groups), blocks)
+    again = cut(spark, windows.groupBy("bucket").applyInArrow(_repeated, "grp long, block binary").withColumn("kind", F.lit(1)))
+    del windows
+    release(spark)
+    back = back.union(again)
+    sent = {r.kind: r.n // 6 for r in back.groupBy("kind").agg(F.sum(F.octet_length("block")).alias("n")).collect()}
+    n_buckets = max(1, -(-(sent.get(0, 0) * (WIDTH + SPAN // 2) + sent.get(1, 0) * WIDTH) // BUCKET_BYTES))
     segments = grouped.groupBy("grp").cogroup(back.groupBy("grp")).applyInArrow(_segments(n_buckets), SEGMENTS)
     found = cut(spark, segments.groupBy("bucket").applyInArrow(_suffixes, BACK))
     del segments
     release(spark)
-    known = back.select("grp", F.lit(-1).cast("long").alias("bucket"), F.lit(b"").alias("counts"), F.col("block").alias("least"))
-    return grouped.groupBy("grp").cogroup(found.unionByName(known).groupBy("grp")).applyInArrow(_marks(n_buckets), OUT)
+    known = back.select("grp", "kind", F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("counts"), "block")
+    all_back = found.select("grp", F.lit(-1).alias("kind"), "bucket", "counts", F.col("least").alias("block")).union(known)
+    return grouped.groupBy("grp").cogroup(all_back.groupBy("grp")).applyInArrow(_marks(n_buckets), OUT)
 
 
 def op4_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

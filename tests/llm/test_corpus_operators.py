@@ -80,6 +80,35 @@ def test_removal_equals_brute_force(spark, group_bytes, varied):
     assert have == sorted((-1 if i is None else i, *rest) for i, *rest in plain_repeats(rows))
 
 
+def test_chunks_hold_each_window_once(monkeypatch):
+    """Also where a document is longer than a chunk."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 130)
+    rng = np.random.default_rng(7)
+    sizes = [0, 49, 50, 51, 130, 131, 180, 181, 700, 3, 60, 60]
+    data, at = rng.integers(97, 100, sum(sizes)).astype(np.uint8), np.concatenate([[0], np.cumsum(sizes)])
+    found = [(d, c.base + w) for c in suffix_dedup.chunks(data, at) for low, high, d in zip(c.low, c.high, c.doc) for w in range(low, high + 1)]
+    assert sorted(found) == [(d, w) for d, n in enumerate(sizes) for w in range(at[d], at[d] + n - 49)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=150), st.integers(1, 3))
+def test_common_prefixes(data, alphabet):
+    s = np.frombuffer(bytes(b % alphabet + 1 for b in data), np.uint8)
+    order = suffix_dedup.suffix_array(s)
+    raw, want = s.tobytes(), []
+    for a, b in zip(order[:-1].tolist(), order[1:].tolist()):
+        x, y = raw[a : a + 50].ljust(50, b"\0"), raw[b : b + 50].ljust(50, b"\0")
+        want.append(next((k for k in range(50) if x[k] != y[k]), 50))
+    assert suffix_dedup.common_prefixes(s, order).tolist() == want
+
+
+def test_gathered_in_slices(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SLICE", 10)
+    body, begin, size = np.arange(100, dtype=np.uint8), np.array([3, 0, 50, 20, 99, 7]), np.array([5, 30, 0, 9, 1, 4])
+    want = np.concatenate([body[b : b + n] for b, n in zip(begin, size)])
+    assert (suffix_dedup._gathered(body, begin, size) == want).all()
+
+
 def test_removal_of_nothing(spark):
     assert suffix_dedup.remove_repeats(docs(spark, [(1, "x")]).where("false")).count() == 0
     assert [r.spans for r in suffix_dedup.remove_repeats(docs(spark, [(1, "short"), (2, None)])).collect()] == [[], []]
@@ -236,8 +265,8 @@ def test_top_k_equals_brute_force(spark):
     rows += [(1000, [0.0] * 16), (1001, None), (1100, [1.0, None] + [0.0] * 14), (1200, [float("nan")] + [0.0] * 15), (1300, [float("inf")] * 16), (1400, []), (1500, [0.5] * 4), (None, [1.0] * 16), (1600, [-0.25] * 16), (1601, [-0.25] * 16), (1602, [-0.25] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")).repartition(5)
     whole = topk.whole_vectors(df)
-    for query_rows in (20_000, 4):
-        got = topk.top_k(whole, whole.where("vec_id % 100 = 0"), query_rows=query_rows)
+    for query_bytes in (16 << 20, 600):
+        got = topk.top_k(whole, whole.where("vec_id % 100 = 0"), query_bytes=query_bytes)
         assert sorted(map(tuple, got.collect())) == plain_top(rows, 10, 100)
     assert topk.top_k(whole.where("false"), whole.where("false")).count() == 0
     few = whole.where("vec_id < 3")
