@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import gc
 import tempfile
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +26,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tune(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the Arrow batches of this session, so that long texts cannot fill a worker, and let
-    finished actions clear their shuffle files."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    # Shuffle files go when the action that made them is done; a lost executor's part of a
-    # checkpoint is read from the shared folder, not from them.
-    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    finished actions clear their shuffle files. A result is planned when it is read, so this holds
+    until untune()."""
+    wanted = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows),
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
+        # Shuffle files go when the action that made them is done; a lost executor's part of a
+        # checkpoint is read from the shared folder, not from them.
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    }
+    if not hasattr(spark, "_before_tune"):
+        spark._before_tune = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+
+
+def untune(spark: SparkSession) -> None:
+    """Give the settings that tune() changed the values that they had before."""
+    for k, v in getattr(spark, "_before_tune", {}).items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    if hasattr(spark, "_before_tune"):
+        del spark._before_tune
 
 
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
@@ -63,6 +77,16 @@ def clean_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def others(names: list[str], *taken: str) -> list[str]:
+    """The names that are none of those taken, which Spark compares without regard to case."""
+    return [n for n in names if n.lower() not in taken]
+
+
+def fields_of(df: DataFrame, names: list[str]) -> str:
+    """The DDL of columns of df."""
+    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
@@ -150,5 +174,3 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix(out + size.astype(np.uint64))
 
 
-def crc(b: bytes) -> int:
-    return zlib.crc32(b) & 0xFFFFFFFF

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerline.llm.common import untune  # noqa: F401 - what a session's other queries run first
 from ledgerline.llm import decontaminate, near_dup, packing, quality, secrets, suffix_dedup, token_output, topk, toxicity, warc
 
 

@@ -53,8 +53,8 @@ def _byte_letters() -> list[str]:
 
 
 class Tokens:
-    #: Chunks kept; beyond them the table starts anew.
-    KEPT = 600_000
+    #: Chunks and ids kept; beyond them the table starts anew.
+    KEPT, KEPT_IDS = 400_000, 4_000_000
     FRESH = 150_000
 
     def __init__(self, path: str):
@@ -122,7 +122,7 @@ class Tokens:
             for i in range(n):
                 b = data[at[i] : at[i + 1]].tobytes()
                 whole[i] |= any(s.lower() in b for s in self.special)
-        if len(self.tables[0][0]) > self.KEPT:
+        if len(self.tables[0][0]) > self.KEPT or self.used > self.KEPT_IDS:
             self.clear()
         starts, ends, first = words_of(data, at, CHUNK)
         doc = np.repeat(np.arange(n), np.diff(first))
