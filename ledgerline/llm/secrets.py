@@ -2,24 +2,28 @@
 
 An Aho-Corasick machine of keywords passes once over each text; regular expressions are tried
 only where a keyword stands, anchored there; and kinds that carry a checksum are kept only if it
-holds. Long hexadecimal runs have no keyword: every eighth byte is sampled, and only where
-three samples in a row are hexadecimal the expression is tried.
+holds. Long hexadecimal runs have no keyword: every eighth byte is sampled, and the expression is
+tried between the bytes that bound three hexadecimal samples in a row or more.
 
 Kinds: ``assign``, ``access`` and ``hex`` are the base. The method adds ``github`` and ``npm``
 (tokens that end in six base-62 digits of the CRC-32 of what stands before), ``jwt`` (whose
-first part must decode to JSON), ``iban`` (ISO 13616, remainder 97) and ``pem`` (private key
-blocks). Spans are code points, end exclusive; added spans may overlap base ones.
+first part must decode to JSON; it starts where no character of its alphabet stands before),
+``iban`` (ISO 13616, remainder 97) and ``pem`` (private key blocks, each to the next end). Spans are
+code points, end exclusive; added spans may overlap base ones.
 
-Scale: one map over the scan, no shuffle, whole texts.
+Scale: one map over the scan, no shuffle, whole texts. No expression reads a place more often than a
+bounded number of times, so the longest text takes time in proportion to its length.
 
-Defined cases: a null text is empty and has no spans; repeated rows are scanned each; an empty
-table gives no rows; further columns are kept by ``scan`` and ignored by the query.
+Defined cases: a null text is empty and has no spans; spans that start together are in the order of
+kinds as listed; repeated rows are scanned each; an empty table gives no rows; further columns are
+kept by ``scan``, but for one named as its own, and ignored by the query.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 import zlib
@@ -30,18 +34,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import clean_text, flat, table, tune
+from ledgerline.llm.common import clean_text, fields_of, flat, others, table, tune
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]{24,}")
+HEX = re.compile(rb"[0-9a-f]{24,}")
 GITHUB = re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")
 PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
 PEM_END = re.compile(r"-----END (?:[A-Z]+ )*PRIVATE KEY-----")
-ASSIGN_LEAST, ACCESS_LEAST = 6, 20
+ASSIGN_LEAST, ACCESS_LEAST, STEP = 6, 20, 8
 ORDER = ("assign", "access", "hex", "github", "npm", "jwt", "iban", "pem")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 #: The lengths of account numbers by country, as registered.
@@ -95,12 +99,15 @@ def _machine():
     return m
 
 
-def _added(kind: str, text: str, at: int) -> tuple[int, int] | None:
+def _added(kind: str, text: str, at: int, pem_ends: list[tuple[int, int]]) -> tuple[int, int] | None:
     if kind == "pem":
-        if (m := PEM.match(text, at)) and (e := PEM_END.search(text, m.end())):
-            return at, e.end()
-        return None
-    if at and text[at - 1].isalnum():
+        if not (m := PEM.match(text, at)):
+            return None
+        if not pem_ends:
+            pem_ends += [*(e.span() for e in PEM_END.finditer(text)), (len(text) + 1, 0)]
+        start, end = pem_ends[bisect.bisect_left(pem_ends, (m.end(), 0))]
+        return (at, end) if start <= len(text) else None
+    if at and (text[at - 1].isalnum() or kind == "jwt" and text[at - 1] in "_-"):
         return None
     m = {"github": GITHUB, "npm": NPM, "jwt": JWT, "iban": IBAN}[kind].match(text, at)
     if m and {"github": token_checksum, "npm": token_checksum, "jwt": jwt_header, "iban": iban_checksum}[kind](m[0]):
@@ -108,12 +115,12 @@ def _added(kind: str, text: str, at: int) -> tuple[int, int] | None:
     return None
 
 
-def find(text: str, machine, has_hex: bool = True) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of all spans, by start and then by kind as listed."""
-    spans: list[tuple[str, int, int]] = []
+def find(text: str, machine, hexes: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of all spans, by start and then by kind as listed; hexes: those of hex."""
+    spans: list[tuple[str, int, int]] = [("hex", *h) for h in hexes]
     # bytes.lower() touches A-Z only, so places in the text stay what they are.
     low = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-    after = dict.fromkeys(ORDER, 0)
+    after, pem_ends = dict.fromkeys(ORDER, 0), []
     hits = sorted((end - n + 1, kind) for end, (kind, n) in machine.iter(low))
     for at, kind in hits:
         if at < after[kind]:
@@ -128,22 +135,35 @@ def find(text: str, machine, has_hex: bool = True) -> list[tuple[str, int, int]]
                 after[kind] = m.end()
                 if m.end() - at >= ACCESS_LEAST:
                     spans.append((kind, at, m.end()))
-        elif found := _added(kind, text, at):
+        elif found := _added(kind, text, at, pem_ends):
             after[kind] = found[1]
             spans.append((kind, *found))
-    if has_hex:
-        spans += [("hex", *m.span()) for m in HEX.finditer(text)]
     return sorted(spans, key=lambda s: (s[1], ORDER.index(s[0]), s[2]))
 
 
-def _hex_likely(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of each text: whether three samples in a row, eight bytes apart, are hexadecimal."""
-    s = _IS_HEX[data[::8]]
-    three = np.zeros(len(s) + 1, bool)
-    three[: max(0, len(s) - 2)] = s[:-2] & s[1:-1] & s[2:] if len(s) > 2 else False
+def hex_runs(data: np.ndarray, at: np.ndarray) -> list[list[tuple[int, int]]]:
+    """The long hexadecimal runs of each text, in code points. Between two samples that are not
+    hexadecimal no run of 24 bytes has less than three that are."""
+    sample = _IS_HEX[data[::STEP]]
+    three = np.zeros(len(sample), bool)
+    three[: max(0, len(sample) - 2)] = sample[:-2] & sample[1:-1] & sample[2:]
     before = np.concatenate([[0], np.cumsum(three)])
-    low, high = np.minimum((at[:-1] + 7) // 8, len(s)), np.minimum((at[1:] + 7) // 8, len(s))
-    return before[high] > before[low]
+    low, high = np.minimum(-(-at[:-1] // STEP), len(sample)), np.minimum(-(-at[1:] // STEP), len(sample))
+    out: list[list[tuple[int, int]]] = [[] for _ in low]
+    for d in np.flatnonzero(before[high] > before[low]).tolist():
+        own = np.concatenate([[False], sample[low[d] : high[d]], [False]])
+        edges = np.flatnonzero(own[1:] != own[:-1])  # starts and ends of runs of samples, in turn
+        a, b = int(at[d]), int(at[d + 1])
+        raw, found = data[a:b].tobytes(), []
+        for first, last in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            if last - first >= 3:
+                begin = max((int(low[d]) + first - 1) * STEP + 1, a) - a
+                found += [m.span() for m in HEX.finditer(raw, begin, min((int(low[d]) + last) * STEP, b) - a)]
+        if found and not raw.isascii():
+            points = np.concatenate([[0], np.cumsum((data[a:b] & 0xC0) != 0x80)])
+            found = [(int(points[x]), int(points[y])) for x, y in found]
+        out[d] = found
+    return out
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:
@@ -161,13 +181,12 @@ def scan(docs: DataFrame) -> DataFrame:
         machine = _machine()
         for b in batches:
             texts = b.column(b.schema.get_field_index("text"))
-            likely = _hex_likely(*flat(texts)).tolist()
-            found = [[{"kind": k, "start": s, "end": e} for k, s, e in find(t or "", machine, h)] for t, h in zip(texts.to_pylist(), likely)]
-            keep = [i for i, n in enumerate(b.schema.names) if n != "spans"]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(found, kind)], names=[*(b.schema.names[i] for i in keep), "spans"])
+            hexes = hex_runs(*flat(texts))
+            found = [[{"kind": k, "start": s, "end": e} for k, s, e in find(t or "", machine, h)] for t, h in zip(texts.to_pylist(), hexes)]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(found, kind)], names=[*names, "spans"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "spans")
-    return docs.mapInArrow(run, f"{fields}, {SPANS}")
+    names = others(docs.columns, "spans")
+    return docs.mapInArrow(run, f"{fields_of(docs, names)}, {SPANS}")
 
 
 def redact(scanned: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -187,7 +206,7 @@ def redact(scanned: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                 out.append("".join([*parts, text[last:]]) if parts else text)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else b.column(n) for n in names], names=names)
 
-    return scanned.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scanned.schema if f.name != "spans"))
+    return scanned.mapInArrow(run, fields_of(scanned, names))
 
 
 def op3_secret_scans(spark, sf_dir: str) -> DataFrame:
