@@ -9,7 +9,9 @@ Scale: scoring is one map over the scan, without a shuffle. Training takes at mo
 ``TRAIN_ROWS`` labelled rows (those with the least hash of their id), whose features, not texts,
 go to the driver; the tables are a few kilobytes.
 
-Defined cases: a null text is the empty one and gets a score; rows of labels with a null id or
+Defined cases: a null text is the empty one and gets a score; very long texts are read whole; of equal
+gains the first cut and feature are taken, and labelled rows are taken in the order of a hash of their
+ids, then by id, label and text, so ties never depend on the run; rows of labels with a null id or
 label teach nothing; without labels of both kinds every score is the share of label 1, or 0.5
 without labels; repeated rows are scored each; an empty table gives no rows; further columns
 are ignored.
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import clean_text, crc_mod, flat, table, tune, word_hashes, words_of
+from ledgerline.llm.common import clean_text, crc_mod, fields_of, flat, others, table, tune, word_hashes, words_of
 from ledgerline.llm.tokens import CHUNK
 
 #: Labelled rows that training takes at most; bins, rounds and pairs of the model.
@@ -190,35 +192,44 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, label: str, learn, rows: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``rows`` labelled documents with learn(doc_id) true."""
+    """(doc_id, text, y, pick) of at most ``rows`` labelled documents with learn(doc_id) true; pick is a
+    hash of the text, by which rows that repeat a doc_id are told apart."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & learn)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
-    return docs.join(F.broadcast(chosen), "doc_id")  # at most ``rows`` rows of 12 bytes
+    # At most ``rows`` rows of 12 bytes are broadcast.
+    return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y", F.xxhash64("text").alias("pick"))
+
+
+def taught(found: DataFrame, rows: int) -> list:
+    """At most ``rows`` rows (doc_id, y, pick, x) of what was learned from a sample, the same in every run."""
+    order = ("doc_id", "y", "pick")
+    return sorted(found.orderBy(F.xxhash64("doc_id"), *order).limit(rows).collect(), key=lambda r: tuple(r[c] for c in order))
 
 
 def train(docs: DataFrame, labels: DataFrame, learn, rows: int = TRAIN_ROWS) -> Additive:
-    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("x", pa.list_(pa.float64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("pick", pa.int64()), ("x", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(list(features(b.column("text"))), pa.list_(pa.float64()))], schema=schema)
+            x = pa.array(list(features(b.column("text"))), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "y", "pick")), x], schema=schema)
 
-    found = sample_of(docs, labels, "quality", learn, rows).mapInArrow(run, "doc_id long, y int, x array<double>")
-    got = sorted(found.limit(2 * rows).collect(), key=lambda r: (r.doc_id, r.y, r.x))
+    found = sample_of(docs, labels, "quality", learn, rows).mapInArrow(run, "doc_id long, y int, pick long, x array<double>")
+    got = taught(found, rows)
     return fit(np.array([r.x for r in got]).reshape(len(got), len(NAMES)), np.array([r.y for r in got], float))
 
 
 def score(docs: DataFrame, model: Additive) -> DataFrame:
-    """All columns of docs (with text), and score."""
+    """All columns of docs (with text), and score, which takes the place of a column of that name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [i for i, n in enumerate(b.schema.names) if n != "score"]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(model.score(features(b.column("text"))))], names=[*(b.schema.names[i] for i in keep), "score"])
+            scores = pa.array(model.score(features(b.column("text"))))
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), scores], names=[*names, "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "score")
-    return docs.mapInArrow(run, f"{fields}, score double")
+    names = others(docs.columns, "score")
+    return docs.mapInArrow(run, f"{fields_of(docs, names)}, score double")
 
 
 def held_out():

@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar (operator 7).
 
-Words go through a lexicon transducer to symbols with weights: insult stems (learned), harm
-words, intent, target, negation and reported speech (listed below). Small machines follow one
-context each: negation for a few words, a target or a report until the clause ends, intent until
-harm completes a threat. Their product is one deterministic machine, and running it over a clause
-gives the weight of what it matched in each context (plain, targeted, negated, reported, threat).
+Words go through a lexicon transducer to symbols with weights: insult stems (learned weights), harm
+words (weight 1), intent, target, negation and reported speech (listed below). Small machines follow
+one context each: negation for a few words, a target or a report until the clause ends, intent until
+harm completes a threat. Their product is one deterministic weighted transducer: each of its
+transitions names the context that the symbol's weight goes to (plain, negated, reported, threat) or
+none, and its final states say whether what was plain is aimed at a target, before it or behind. The
+lexicon composed with it reads a clause word by word, and gives the clause's weight in each context.
 A document's score is a logistic function of its clauses' weights, not of isolated words.
 
 Learned from labelled rows: the insult stems with their log-odds weights (a stem is a word
@@ -16,7 +18,9 @@ labelled rows; all their stems are counted and tested in Spark, and only the ste
 the driver: each stands in ``LEAST_SHARE`` of the toxic rows or more, so they are at most
 1 / ``LEAST_SHARE`` times the stems of an average toxic row. Context weights are a row each.
 
-Defined cases: a null text is empty and gets the score of a text without matches; labels with a
+Defined cases: a word that matches several stems takes the weight of the shortest; stems that keep
+equally many documents are taken by the alphabet, the last first; very long texts and clauses are
+read whole; a null text is empty and gets the score of a text without matches; labels with a
 null id or label teach nothing; without labels of both kinds the score is the share of label 1,
 or 0.5 without labels; repeated rows are scored each; an empty table gives no rows; further
 columns are ignored.
@@ -35,8 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import clean_text, crc_mod, cut, table, tune
-from ledgerline.llm.quality import sample_of
+from ledgerline.llm.common import clean_text, crc_mod, cut, fields_of, others, table, tune
+from ledgerline.llm.quality import sample_of, taught
 
 #: Labelled rows of learning, and stems that a task counts before it hands them on.
 TRAIN_ROWS, COUNTED = 20_000, 200_000
@@ -76,12 +80,34 @@ REPORTED = _machine(2, lambda s, x: 1 if x == REPORTS else s)
 THREAT = _machine(3, lambda s, x: 2 if x == HARMS and s else 1 if x == INTENDS and not s else 0 if s == 2 else s)
 
 
-def compose(*machines: Machine) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+@dataclass(frozen=True)
+class Transducer:
+    """A weighted transducer: step[state][symbol] -> state; emit[state][symbol] -> the context that
+    the symbol's weight goes to, or -1; aimed[state]: whether plain weight leaves as targeted there."""
+
+    step: list[list[int]]
+    emit: list[list[int]]
+    aimed: list[bool]
+
+
+def compose(*machines: Machine) -> tuple[list[list[int]], list[tuple[int, ...]]]:
     """The product machine as a table, and the parts' states of each of its states."""
     states = list(itertools.product(*(range(len(m.step)) for m in machines)))
     number = {s: k for k, s in enumerate(states)}
-    table_ = np.array([[number[tuple(m.step[q][x] for m, q in zip(machines, s))] for x in range(7)] for s in states])
-    return table_, states
+    return [[number[tuple(m.step[q][x] for m, q in zip(machines, s))] for x in range(7)] for s in states], states
+
+
+def _context(symbol: int, negated: int, reported: int, threat: int) -> int:
+    """Where the weight of a symbol goes whose transition leads to these states."""
+    if symbol == INSULT:
+        return CONTEXTS.index("reported" if reported else "negated" if negated else "plain")
+    return CONTEXTS.index("threat") if threat == 2 and not negated and not reported else -1
+
+
+def grammar_of(negation: Machine, target: Machine, report: Machine, threat: Machine) -> Transducer:
+    step, states = compose(negation, target, report, threat)
+    emit = [[_context(x, states[row[x]][0], states[row[x]][2], states[row[x]][3]) for x in range(7)] for row in step]
+    return Transducer(step, emit, [bool(s[1]) for s in states])
 
 
 class Grammar:
@@ -92,8 +118,7 @@ class Grammar:
         self.stems = stems
         self.lengths = sorted({len(s) for s in stems if not s.endswith("$")})
         self.fixed = {w: x for x, words in ((HARMS, HARM), (INTENDS, INTENT), (TARGETS, TARGET), (NEGATES, NEGATION), (REPORTS, REPORT)) for w in words}
-        self.step, self.states = compose(NEGATED, TARGETED, REPORTED, THREAT)
-        self.step = self.step.tolist()
+        self.machine = grammar_of(NEGATED, TARGETED, REPORTED, THREAT)
         self.anchors = ahocorasick.Automaton()
         for w in [*(s.rstrip("$") for s in stems), *HARM]:
             self.anchors.add_word(w, len(w))
@@ -105,20 +130,19 @@ class Grammar:
         for n in self.lengths:
             if (w := self.stems.get(word[:n])) is not None and len(word) >= n:
                 return INSULT, w
-        return self.fixed.get(word, OTHER), 0.0
+        symbol = self.fixed.get(word, OTHER)
+        return symbol, float(symbol == HARMS)
 
     def clause(self, text: str) -> list[float]:
         """What one clause (lower case) matches in each context."""
         out, state = [0.0] * len(CONTEXTS), 0
-        read = [self.symbol(w) for w in WORD.findall(text)]
-        aimed = any(x == TARGETS for x, _ in read)
-        for x, weight in read:
-            state = self.step[state][x]
-            negated, _, reported, threat = self.states[state]
-            if x == INSULT:
-                out[3 if reported else 2 if negated else 1 if aimed else 0] += weight
-            if threat == 2 and not negated and not reported:
-                out[4] += 1.0
+        m = self.machine
+        for x, weight in map(self.symbol, WORD.findall(text)):
+            context, state = m.emit[state][x], m.step[state][x]
+            if context >= 0:
+                out[context] += weight
+        if m.aimed[state]:
+            out[:2] = 0.0, out[0]
         return out
 
     def document(self, text: str) -> tuple[list[float], list[str]]:
@@ -220,7 +244,7 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, learn, rows: int = TRAIN_ROWS) -> Model:
     spark = docs.sparkSession
-    sample = sample_of(docs, labels, "toxic", learn, rows).select("doc_id", "text", "y")
+    sample = sample_of(docs, labels, "toxic", learn, rows)
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     share = n_pos / (n_pos + n_neg) if n_pos + n_neg else 0.5
@@ -230,14 +254,15 @@ def train(docs: DataFrame, labels: DataFrame, learn, rows: int = TRAIN_ROWS) ->
     tried = cut(spark, _counts(sample).where(F.col("pos") >= LEAST_DOCS))
     good = good_stems(tried, n_pos, n_neg, tried.count()).collect()
     stems = choose_stems({r.stem: r.pos for r in good}, {r.stem: r.neg for r in good}, n_pos, n_neg)
-    schema = pa.schema([("y", pa.int32()), ("x", pa.list_(pa.float64())), ("doc_id", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("pick", pa.int64()), ("x", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(stems)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(list(grammar.sums(b.column("text"))), pa.list_(pa.float64())), b.column("doc_id")], schema=schema)
+            x = pa.array(list(grammar.sums(b.column("text"))), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "y", "pick")), x], schema=schema)
 
-    got = sorted(sample.mapInArrow(run, "y int, x array<double>, doc_id long").limit(2 * rows).collect(), key=lambda r: (r.doc_id, r.y, r.x))
+    got = taught(sample.mapInArrow(run, "doc_id long, y int, pick long, x array<double>"), rows)
     return Model(stems, _logistic(np.log1p(np.array([r.x for r in got]).reshape(-1, len(CONTEXTS))), np.array([r.y for r in got], float)))
 
 
@@ -247,13 +272,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(model.stems)
         for b in batches:
-            keep = [i for i, n in enumerate(b.schema.names) if n not in ("score", "clauses")]
             found = [grammar.document(t or "") for t in b.column("text").to_pylist()]
             sums = np.array([f[0] for f in found], float).reshape(-1, len(CONTEXTS))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(model.score(sums)), pa.array([f[1] for f in found], pa.list_(pa.string()))], names=[*(b.schema.names[i] for i in keep), "score", "clauses"])
+            made = [pa.array(model.score(sums)), pa.array([f[1] for f in found], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *made], names=[*names, "score", "clauses"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("score", "clauses"))
-    return docs.mapInArrow(run, f"{fields}, score double, clauses array<string>")
+    names = others(docs.columns, "score", "clauses")
+    return docs.mapInArrow(run, f"{fields_of(docs, names)}, score double, clauses array<string>")
 
 
 def held_out():
