@@ -6,11 +6,16 @@ Both name the response in WARC-Refers-To, keep its WARC-Target-URI and WARC-Date
 digests of their own block. Record ids are name-based (of the source record and the type), so
 a task that runs again writes the same records.
 
-Scale: one map over the scan, without a shuffle; a page's records stand side by side.
+Scale: one map over the scan, without a shuffle; a page's records stand side by side. Reading a page
+takes time in proportion to its length, whatever it holds. ``file_derivatives`` does the same for the
+response records of WARC files, plain or in gzip members; a file is one task's work.
 
 Defined cases: a null html is an empty body; a null url leaves WARC-Target-URI out and links
-unresolved; equal rows give equal records; an empty table gives no rows; further columns are
-ignored; bytes that are no WARC record raise ValueError in ``parse``.
+unresolved; equal rows give equal records; very long pages are read whole; a tag whose quotes never
+close ends at its first ">", as do all after it, and one without any ">" is text; an element of
+scripts or styles that never closes takes the rest; there is nothing to tie; an empty table gives no
+rows; further columns are ignored; bytes that are no WARC record raise ValueError in ``parse``; a body
+whose encoding or charset is unknown or broken is read as it stands.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ import html
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from urllib.parse import urljoin
@@ -36,10 +42,11 @@ DATE = "1970-01-01T00:00:00Z"
 _SPACE = uuid.UUID("7b1d0c0e-6f0b-5a53-9c1d-2f2b7d9a4c11")
 
 #: Elements whose content is no text, and elements that end a line.
-RAW = r"script|style|noscript|template|svg|iframe"
+RAW = frozenset("script style noscript template svg iframe".split())
 LINE = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
-ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+TAIL = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+ATTRIBUTE = re.compile(r"(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 
 @dataclass
@@ -54,8 +61,24 @@ class Record:
         return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in self.headers), "\r\n"]).encode() + self.block + b"\r\n\r\n"
 
 
+def members(data: bytes) -> Iterator[bytes]:
+    """The gzip members of data, each unpacked; data itself where it is not packed."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    while data[:2] == b"\x1f\x8b":
+        unpack = zlib.decompressobj(31)
+        yield unpack.decompress(data) + unpack.flush()
+        data = unpack.unused_data
+
+
 def parse(data: bytes) -> Iterator[Record]:
-    """The records of an uncompressed WARC file's bytes."""
+    """The records of a WARC file's bytes, plain or in gzip members."""
+    for part in members(data):
+        yield from _records(part)
+
+
+def _records(data: bytes) -> Iterator[Record]:
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
@@ -105,31 +128,49 @@ class Page:
     links: list[dict[str, str]] = field(default_factory=list)
 
 
-def read_html(source: str, base: str | None) -> Page:
-    """Title, language, meta fields, links and visible text."""
-    page, out, last, in_title, seen_title = Page(), [], 0, False, False
-
-    def text(piece: str) -> None:
-        nonlocal seen_title
-        if in_title:
-            page.title += html.unescape(piece)
+def tags(source: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of all markup; comments, declarations and the contents
+    of RAW elements have no name. Each place is looked at a bounded number of times."""
+    at, quotes = 0, True
+    while (start := source.find("<", at)) >= 0:
+        at = start + 1
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            at = len(source) if end < 0 else end + 3
+            yield start, at, False, "", ""
+            continue
+        m = NAME.match(source, at)
+        if not m and source[at : at + 1] not in ("!", "?"):
+            continue
+        tail = TAIL.match(source, m.end()) if m and quotes else None
+        end = tail.end() if tail else source.find(">", m.end() if m else at) + 1
+        if not end:
+            return  # no tag ends after this place
+        quotes &= not m or tail is not None
+        at = end
+        name = m[2].lower() if m else ""
+        if name in RAW and not m[1]:
+            close = re.compile(rf"</{name}\s*+>", re.I).search(source, end)
+            at = close.end() if close else len(source)
+            yield start, at, False, "", ""
         else:
-            out.append(html.unescape(piece))
+            yield start, end, bool(m and m[1]), name, source[m.end() : end - 1] if m else ""
 
-    for m in TOKEN.finditer(source):
-        text(source[last : m.start()])
-        last = m.end()
-        name = (m[3] or "").lower()
-        if not name:
-            continue
+
+def read_html(source: str, base: str | None) -> Page:
+    """Title, language, meta fields, links and visible text."""
+    page, out, title, last, in_title, seen_title = Page(), [], [], 0, False, False
+    for start, end, closing, name, attributes in tags(source):
+        (title if in_title else out).append(html.unescape(source[last:start]))
+        last = end
         if name == "title":
-            in_title = not m[2] and not seen_title
-            seen_title |= bool(m[2])
+            in_title = not closing and not seen_title
+            seen_title |= closing
         if name in LINE:
             out.append("\n")
-        if m[2] or not m[4]:
+        if closing or not attributes:
             continue
-        found = {a.lower(): html.unescape(b or c or d or "") for a, b, c, d in ATTRIBUTE.findall(m[4])}
+        found = {a.lower(): html.unescape(b or c or d or "") for a, b, c, d in ATTRIBUTE.findall(attributes)}
         if name == "html":
             page.lang = found.get("lang")
         elif name == "base" and "href" in found:
@@ -140,8 +181,8 @@ def read_html(source: str, base: str | None) -> Page:
             page.links.append({"path": f"{name.upper()}@/href", "url": _join(base, found["href"])})
         elif name in ("img", "source", "video", "audio") and "src" in found:
             page.links.append({"path": f"{name.upper()}@/src", "url": _join(base, found["src"])})
-    text(source[last:])
-    page.title = " ".join(page.title.split())
+    (title if in_title else out).append(html.unescape(source[last:]))
+    page.title = " ".join("".join(title).split())
     lines = [" ".join(line.split()) for line in "".join(out).split("\n")]
     page.text = "\n".join(line for line in lines if line)
     return page
@@ -160,12 +201,48 @@ def _http(block: bytes) -> tuple[str, list[list[str]], bytes]:
     return status, [[x.strip() for x in line.split(":", 1)] for line in lines if ":" in line], payload
 
 
+def _unchunked(body: bytes) -> bytes:
+    """The body of a chunked transfer; what is no chunk is left as it stands."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at, at + 64)) >= 0:
+        try:
+            size = int(body[at:end].split(b";")[0], 16)
+        except ValueError:
+            break
+        if not size:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out) + body[at:] if out else body
+
+
+def body_text(headers: list[list[str]], body: bytes) -> str:
+    """The text of an HTTP body: without chunks and compression, in its charset."""
+    named = {k.lower(): v for k, v in reversed([h for h in headers if len(h) == 2])}
+    if "chunked" in named.get("transfer-encoding", "").lower():
+        body = _unchunked(body)
+    coding = named.get("content-encoding", "").strip().lower()
+    if coding in ("gzip", "x-gzip", "deflate"):
+        for wbits in (47, -15):  # gzip or zlib by their headers, else bare deflate
+            try:
+                unpack = zlib.decompressobj(wbits)
+                body = unpack.decompress(body) + unpack.flush()
+                break
+            except zlib.error:
+                continue
+    charset = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", named.get("content-type", ""), re.I)
+    try:
+        return body.decode(charset[1] if charset else "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
 def derive(source: Record) -> tuple[Record, Record]:
     """The metadata and the conversion record of a response record."""
     status, http, payload = _http(source.block)
     own = source.get("WARC-Record-ID") or record_id("source", digest(source.block))
-    page = read_html(payload.decode("utf-8", "replace"), source.get("WARC-Target-URI"))
-    kept = {k: v for k, v in source.headers}
+    page = read_html(body_text(http, payload), source.get("WARC-Target-URI"))
+    kept = [list(h) for h in source.headers]
     meta = {"source": kept, "http": {"status": status, "headers": http}, "title": page.title, "lang": page.lang, "meta": page.meta, "links": page.links, "text_chars": len(page.text)}
     made = []
     for kind, content_type, block in (("metadata", "application/json", json.dumps(meta, ensure_ascii=False, sort_keys=True).encode()), ("conversion", "text/plain; charset=utf-8", page.text.encode())):
@@ -197,16 +274,37 @@ def derivatives(pages: DataFrame, date: str = DATE) -> DataFrame:
     return picked.mapInArrow(run, "page_id long, record_type string, record_id string, refers_to string, target_uri string, source_payload_digest string, block_digest string, content_length long, record binary")
 
 
+def _files(spark, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
 def read_files(spark, path: str) -> DataFrame:
-    """(path, record) of the records in uncompressed WARC files, read through Spark."""
+    """(path, record) of the records in WARC files, read through Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for r in parse(data):
+                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([r.to_bytes()], pa.binary())], names=["path", "record"])
+
+    return _files(spark, path).mapInArrow(run, "path string, record binary")
+
+
+def file_derivatives(spark, path: str) -> DataFrame:
+    """(path, record_type, record_id, refers_to, record): the metadata and conversion records of all
+    HTTP response records in WARC files."""
+    names = ["path", "record_type", "record_id", "refers_to", "record"]
+    kinds = [*[pa.string()] * 4, pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = [r.to_bytes() for r in parse(data)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(got), pa.string()), pa.array(got, pa.binary())], names=["path", "record"])
+                for source in parse(data):
+                    if source.get("WARC-Type") == "response" and "http" in (source.get("Content-Type") or ""):
+                        rows = [(name, r.get("WARC-Type"), r.get("WARC-Record-ID"), r.get("WARC-Refers-To"), r.to_bytes()) for r in derive(source)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, record binary")
+    return _files(spark, path).mapInArrow(run, "path string, record_type string, record_id string, refers_to string, record binary")
 
 
 def op8_warc_derivatives(spark, sf_dir: str) -> DataFrame:
