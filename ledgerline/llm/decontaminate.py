@@ -56,7 +56,7 @@ class Windows:
 
 
 class Shard:
-    """Posting lists of the documents of one batch, for the terms of ``windows``."""
+    """Posting lists of the documents of one batch, for the terms of ``windows``, positions ascending."""
 
     def __init__(self, texts: pa.Array, windows: Windows):
         data, at = flat(texts)
@@ -72,6 +72,8 @@ class Shard:
         self.term = term
         self.positions = np.argsort(term, kind="stable")
         self.bounds = np.searchsorted(term[self.positions], np.arange(n + 1))
+        #: All lists in one: (term, position), ascending.
+        self.postings = term[self.positions] * (len(term) + 1) + self.positions
 
     def _candidates(self, live: np.ndarray, place: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(window, start) of each posting of the term at place[k] of window live[k], or within slop of it."""
@@ -94,6 +96,12 @@ class Shard:
         live = np.flatnonzero(length.min(axis=1, initial=1) > 0)
         return live, np.argsort(length[live], axis=1, kind="stable")
 
+    def _holds(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
+        """Whether each term's list holds the position."""
+        wanted = term * (len(self.term) + 1) + position
+        at = np.minimum(np.searchsorted(self.postings, wanted), len(self.postings) - 1)
+        return self.postings[at] == wanted
+
     def phrases(self) -> tuple[np.ndarray, np.ndarray]:
         """(window, start) of all exact occurrences."""
         live, order = self._order()
@@ -107,8 +115,7 @@ class Shard:
                 break
             place = order[row[window], j]
             used = place < self.windows.size[window]
-            at = np.minimum(start + place, len(self.term) - 1)
-            keep = ~used | (self.term[at] == self.windows.words[window, place])
+            keep = ~used | self._holds(self.windows.words[window, place], start + place)
             window, start = window[keep], start[keep]
         return window, start
 

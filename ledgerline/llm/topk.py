@@ -4,14 +4,16 @@ Each block of vectors keeps, per dimension, its rows sorted by component. A quer
 lists of its nonzero components from the end that pays most, all to the same depth, round after
 round. Rows read so far have a lower bound (the sum of what was read, unread parts at their
 least possible) and an upper bound (unread parts at the lists' current values). Reading stops
-once no row outside the k best lower bounds can reach them; what may still qualify gets its
-final score. The k best rows of earlier blocks of a task already bound the next block.
+once no row outside the k best lower bounds can reach them, or once a round rules out less than half
+of the rows that were left, as the next would cost more than their scores; what may still qualify
+gets its final score. The k best rows of earlier blocks of a task already bound the next block.
 
-Scale: rows are read once per block of queries; a block of at most ``QUERY_ROWS`` queries is
-broadcast (bounded bytes), and each task returns k rows per query, merged by one aggregation.
-The work is queries x rows by the query's meaning; nothing is joined or emitted per pair.
+Scale: rows are read once per block of queries; a block of at most ``QUERY_BYTES`` is broadcast, and
+each task returns k rows per query, merged by one aggregation. The work is queries x rows by the
+query's meaning; nothing is joined or emitted per pair.
 
-Defined cases: vectors that are null or hold null or non-finite components take no part; vectors
+Defined cases: scores are exact while the products' sums stay below 2**53; equal scores go to the
+smaller vec_id; very long vectors are compared whole; vectors that are null or hold null or non-finite components take no part; vectors
 of different lengths are compared over the components that both have; rows that share the
 query's vec_id are its own and no candidates; rows with a null vec_id are no queries, and no
 candidates as ties need an id; repeated candidate rows count each; an empty table gives no rows.
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import table, tune
 
 TOP, EVERY, SCALE = 10, 100, 1024
-#: Queries broadcast at once; rows of a block of sorted lists; queries handled at once on it.
-QUERY_ROWS, BLOCK_ROWS, QUERY_GROUP = 20_000, 4096, 128
+#: Bytes of queries broadcast at once; rows of a block of sorted lists; queries handled at once on it.
+QUERY_BYTES, BLOCK_ROWS, QUERY_GROUP = 16 << 20, 4096, 128
 #: Depths of the reading rounds as shares of a list.
 ROUNDS = (0.125, 0.25, 0.5, 0.75)
 
@@ -40,7 +42,9 @@ def whole_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     # A comparison with null is null, so forall is true for finite components only.
     usable = F.col(vector_col).isNotNull() & F.coalesce(F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False))
-    return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.when(usable, F.transform(x, lambda c: F.floor(c * scale).cast("double"))).alias("v")).where("v is not null and vec_id is not null")
+    # From 2**52 on a double is a whole number, and may be none of the longs that floor() returns.
+    whole = F.transform(x, lambda c: F.when(F.abs(c * scale) < float(1 << 52), F.floor(c * scale).cast("double")).otherwise(c * scale))
+    return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.when(usable, whole).alias("v")).where("v is not null and vec_id is not null")
 
 
 class Lists:
@@ -79,8 +83,8 @@ def _best(lists: Lists, ids: np.ndarray, q: np.ndarray, own: np.ndarray, floor:
         lower, upper = lists.bounds(q, depth)
         lower = np.where(mine, -np.inf, lower)
         kth = np.maximum(np.partition(lower, n - k, axis=1)[:, n - k], floor) if n > k else floor
-        live = (upper >= kth[:, None]) & ~mine
-        if live.sum() <= 4 * k * len(q):
+        before, live = live.sum(), (upper >= kth[:, None]) & ~mine
+        if live.sum() <= 4 * k * len(q) or live.sum() > before // 2:
             break
     return [(i, np.flatnonzero(live[i])) for i in range(len(q))]
 
@@ -91,20 +95,21 @@ def _merge(best: list, i: int, scores: np.ndarray, ids: np.ndarray, k: int) -> N
     best[i] = (s[keep], v[keep])
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = TOP, query_rows: int = QUERY_ROWS) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int = TOP, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score) of (vec_id, v) rows for (vec_id, v) queries."""
     spark = rows.sparkSession
     tune(spark, 4096)
-    n_blocks = max(1, -(-queries.count() // query_rows))
+    n, widest = queries.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    n_blocks = max(1, -(-n * 8 * (widest + 1) // query_bytes))
     parts = []
     for b in range(n_blocks):
         block = queries if n_blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)) == b)
-        got = sorted(((r.vec_id, r.v) for r in block.collect()))
-        width = max([1, *(len(v) for _, v in got)])
-        q = np.zeros((len(got), width))
-        for i, (_, v) in enumerate(got):
-            q[i, : len(v)] = v
-        sent = spark.sparkContext.broadcast((np.array([i for i, _ in got], np.int64), q))
+        got = block.select("vec_id", "v").toArrow().sort_by("vec_id").combine_chunks()
+        ids, values = got["vec_id"].to_numpy(), got["v"].combine_chunks()
+        size = np.diff(values.offsets.to_numpy()) if len(ids) else np.zeros(0, np.int64)
+        q = np.zeros((len(ids), max(1, int(size.max(initial=0)))))
+        q[np.repeat(np.arange(len(ids)), size), np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)] = values.flatten().to_numpy(zero_copy_only=False) if len(ids) else 0.0
+        sent = spark.sparkContext.broadcast((ids, q))
         schema = pa.schema([("query_no", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, schema=schema) -> Iterator[pa.RecordBatch]:
