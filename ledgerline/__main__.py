@@ -13,6 +13,7 @@ def parser() -> argparse.ArgumentParser:
     which = p.add_mutually_exclusive_group()
     which.add_argument("--symbol", default=None)
     which.add_argument("--symbols", nargs="+", default=None)
+    p.add_argument("--format", choices=("parquet", "csv"), default="parquet", help="of bars and features")
     p.add_argument("--capital", type=float, default=100_000.0)
     p.add_argument("--risk-per-trade", type=float, default=0.01)
     p.add_argument("--slippage", type=float, default=0.0005)
@@ -34,13 +35,13 @@ def main(args: list[str] | None = None, spark=None) -> int:
         spark = SparkSession.builder.appName("ledgerline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     symbols = a.symbols or [a.symbol or pipelines.DEFAULT[0]]
     if a.plan == "data":
-        out = pipelines.data(spark, a.root, symbols)
+        out = pipelines.data(spark, a.root, symbols, fmt=a.format)
     elif a.plan == "signals":
-        out = pipelines.signals(spark, a.root, symbols)
+        out = pipelines.signals(spark, a.root, symbols, fmt=a.format)
     elif a.plan == "backtest":
-        out = pipelines.backtests(spark, a.root, symbols, a.capital, a.risk_per_trade, a.slippage, a.commission, a.atr_multiplier)
+        out = pipelines.backtests(spark, a.root, symbols, a.capital, a.risk_per_trade, a.slippage, a.commission, a.atr_multiplier, a.format)
     else:
-        out = pipelines.validate(spark, a.root, symbols, a.initial_dev_years, a.step_months, a.test_months)
+        out = pipelines.validate(spark, a.root, symbols, a.initial_dev_years, a.step_months, a.test_months, fmt=a.format)
     for name, status in sorted(out.status.items()):
         print(f"{name}: {status}")
     return 0 if out.ok else 1

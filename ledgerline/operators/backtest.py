@@ -1,24 +1,29 @@
-"""Backtests: one grouped map over (symbol, run) for any number of runs.
+"""Backtests: one grouped map over symbols, for any number of runs.
 
-A run is a configuration and, for walk-forward windows, a range of dates. Runs form a table of a
-size that the caller's grid bounds, and it is broadcast only up to ``BROADCAST_RUNS`` rows; past
-that Spark shuffles by symbol. Trades, equity rows and skipped signals leave the kernel as one
-tagged row type, so each run is simulated once however many of them are read.
+A run is a configuration and, for walk-forward windows, a range of dates. Bars are shuffled once, by
+symbol, and all runs of a symbol read the same columns: configurations go along with the task, a
+symbol's windows are cogrouped with its bars. Trades, equity rows, skipped signals and the ends of
+the run's bars leave as one tagged row type, so each run is simulated once however many are read.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators.features import LONG, require
-from ledgerline.operators.kernels import Bar, Config, simulate
-from ledgerline.schemas import CONFIG_FIELDS, EQUITY_FIELDS, SKIP_FIELDS, TRADE_FIELDS, ddl
+from ledgerline.operators.kernels import Bars, Config, simulate
+from ledgerline.schemas import CONFIG_FIELDS, EQUITY_FIELDS, SKIP_FIELDS, SPAN_FIELDS, TRADE_FIELDS, ddl
 
-BROADCAST_RUNS = 100_000
 REQUIRED = ("date", "symbol", "open", "high", "low", "close", "ema20", "atr14", "signal")
-TAGGED = f"kind string, symbol string, run_id string, seq long, initial_capital double, trade struct<{', '.join(f'{n}:{t}' for n, t in TRADE_FIELDS)}>, equity struct<{', '.join(f'{n}:{t}' for n, t in EQUITY_FIELDS)}>, skip struct<{', '.join(f'{n}:{t}' for n, t in SKIP_FIELDS)}>"
+KINDS = {"trade": TRADE_FIELDS, "equity": EQUITY_FIELDS, "skip": SKIP_FIELDS, "span": SPAN_FIELDS}
+TAGGED = "kind string, symbol string, run_id string, seq long, initial_capital double, " + ", ".join(f"{kind} struct<{', '.join(f'{n}:{t}' for n, t in fields)}>" for kind, fields in KINDS.items())
+_ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+_STRUCTS = {kind: pa.struct([(n, _ARROW[t]) for n, t in fields]) for kind, fields in KINDS.items()}
 
 
 def config_table(spark: SparkSession, configs: dict[str, Config]) -> DataFrame:
@@ -26,29 +31,61 @@ def config_table(spark: SparkSession, configs: dict[str, Config]) -> DataFrame:
     return spark.createDataFrame(rows, ddl(CONFIG_FIELDS))
 
 
-def _kernel(group: pd.DataFrame) -> pd.DataFrame:
-    g = group.sort_values("date", kind="stable")
-    first = g.iloc[0]
-    c = Config(*(float(first[n]) for n, _ in CONFIG_FIELDS[1:]))
-    bars = [Bar(*r) for r in zip(g["date"], g["open"], g["low"], g["close"], g["ema20"], g["atr14"], g["signal"] == LONG)]
-    names = {"trade": [n for n, _ in TRADE_FIELDS], "equity": [n for n, _ in EQUITY_FIELDS], "skip": [n for n, _ in SKIP_FIELDS]}
-    rows = [(kind, first["symbol"], first["run_id"], k, c.initial_capital, *(dict(zip(names[kind], v)) if t == kind else None for t in names)) for k, (kind, v) in enumerate(simulate(bars, c, g["day"].tolist()))]
-    return pd.DataFrame(rows, columns=["kind", "symbol", "run_id", "seq", "initial_capital", "trade", "equity", "skip"])
-
-
-def run_backtests(table: DataFrame, runs: DataFrame) -> DataFrame:
-    """Tagged rows of every run. ``runs`` has CONFIG_FIELDS, and may have symbol (the run is for it
-    alone), first_date and last_date (inclusive)."""
+def _tagged(kind: str, columns: list, seq: list | np.ndarray, symbol: str, run_id: str, capital: float) -> pa.Table:
+    """Rows of one kind: its columns as a struct, the other structs null."""
+    n = len(seq)
+    struct = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _STRUCTS[kind])], fields=list(_STRUCTS[kind]))
+    known = [pa.array([kind] * n, pa.string()), pa.array([symbol] * n, pa.string()), pa.array([run_id] * n, pa.string()), pa.array(seq, pa.int64()), pa.array([capital] * n, pa.float64())]
+    structs = [struct if k == kind else pa.nulls(n, t) for k, t in _STRUCTS.items()]
+    return pa.Table.from_arrays([*known, *structs], names=["kind", "symbol", "run_id", "seq", "initial_capital", *_STRUCTS])
+
+
+def _run(bars: Bars, symbol: str, run_id: str, c: Config) -> Iterator[pa.Table]:
+    done = simulate(bars, c)
+    about = (symbol, run_id, c.initial_capital)
+    if done.trades:
+        yield _tagged("trade", list(zip(*done.trades)), [4 * i for i in done.trade_at], *about)
+    if done.skips:
+        yield _tagged("skip", list(zip(*done.skips)), [4 * i + 1 for i in done.skip_at], *about)
+    worth = np.where(done.quantity > 0, done.quantity * np.array(bars.close), 0.0)
+    curve = [bars.date, np.round(done.cash, 6), done.quantity, np.round(worth, 6), np.round(done.cash + worth, 6)]
+    yield _tagged("equity", curve, 4 * np.arange(len(worth)) + 2, *about)
+    if bars.date:
+        yield _tagged("span", [[bars.date[0]], [bars.date[-1]], [bars.open[0]], [bars.close[-1]], [len(bars.date)]], [-1], *about)
+
+
+def run_backtests(table: DataFrame, configs: dict[str, Config], windows: DataFrame | None = None, window_config: Config = Config()) -> DataFrame:  # noqa: B008 - immutable
+    """Tagged rows of every run: each of ``configs`` over all bars, and ``window_config`` over each of
+    ``windows`` (symbol, run_id, first_date, last_date; inclusive)."""
     require(table, REQUIRED, "backtest")
-    bars = table.select("symbol", "date", "open", "low", "close", "ema20", "atr14", "signal", F.datediff(F.to_date("date"), F.lit("1970-01-01").cast("date")).alias("day"))
-    side = F.broadcast(runs) if runs.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS else runs
-    if "first_date" in runs.columns:
-        side = side.withColumnRenamed("symbol", "run_symbol")
-        joined = bars.join(side, (F.col("symbol") == F.col("run_symbol")) & F.col("date").between(F.col("first_date"), F.col("last_date"))).drop("run_symbol", "first_date", "last_date")
-    else:
-        joined = bars.join(side, "symbol") if "symbol" in runs.columns else bars.crossJoin(side)
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     # ISO text keeps the order of dates and of timestamps.
-    return joined.withColumn("date", F.col("date").cast("string")).groupBy("symbol", "run_id").applyInPandas(_kernel, TAGGED)
+    bars = table.select(
+        "symbol", F.col("date").cast("string").alias("date"), micros("date").alias("at"), F.unix_date(F.to_date("date")).cast("long").alias("day"),
+        *map(number, ("open", "low", "close", "ema20", "atr14")), F.coalesce(F.col("signal") == LONG, F.lit(False)).alias("long"),
+    )
+
+    def kernel(group: pa.Table, ranges: pa.Table | None = None) -> pa.Table:
+        parts: list[pa.Table] = []
+        if group.num_rows:
+            t = group.sort_by("at")
+            own, symbol, at = Bars(*(t[c].to_pylist() for c in Bars.__dataclass_fields__)), t["symbol"][0].as_py(), t["at"].to_numpy()
+            for run_id, c in configs.items():
+                parts += _run(own, symbol, run_id, c)
+            for r in ranges.to_pylist() if ranges is not None else ():
+                first, last = np.searchsorted(at, r["low"], side="left"), np.searchsorted(at, r["high"], side="right")
+                parts += _run(own.part(int(first), int(last)), symbol, r["run_id"], window_config)
+        return pa.concat_tables(parts) if parts else _NOTHING
+
+    if windows is None:
+        return bars.groupBy("symbol").applyInArrow(lambda group: kernel(group), TAGGED)
+    # A name of its own: windows come from the same table as a rule.
+    ranges = windows.select(F.col("symbol").alias("owner"), "run_id", micros("first_date").alias("low"), micros("last_date").alias("high"))
+    return bars.groupBy("symbol").cogroup(ranges.groupBy("owner")).applyInArrow(lambda group, ranges: kernel(group, ranges), TAGGED)
+
+
+_NOTHING = _tagged("span", [[]] * len(SPAN_FIELDS), [], "", "", 0.0)
 
 
 def trades(tagged: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +13,8 @@ from ledgerline.schemas import RAW_COLUMNS
 ROW = "_src_row"
 #: Source column -> (canonical name, parser).
 FIELDS = {"Date": ("date", parse_date), "Price": ("close", parse_price), "Open": ("open", parse_price), "High": ("high", parse_price), "Low": ("low", parse_price), "Vol.": ("volume", parse_volume), "Change %": ("change_pct_src", parse_change_pct)}
-OPTIONAL = ("Vol.", "Change %")
+#: Columns whose absence is a warning; that of a price is an error, and no date is no table.
+OPTIONAL = {"Vol.": "no column Vol.: volume is null", "Change %": "no column Change %: changes are not checked"}
 
 
 def source(column: str) -> str:
@@ -24,11 +25,21 @@ def source(column: str) -> str:
 @dataclass
 class Cleaned:
     """bars: the canonical rows with change_pct_src and the source row; issues: what was found;
-    counts: one row per symbol."""
+    counts: one row per symbol; warnings and errors: about columns that the source lacks."""
 
     bars: DataFrame
     issues: DataFrame
     counts: DataFrame
+    warnings: list[str] = field(default_factory=list)
+    errors: list[str] = field(default_factory=list)
+
+
+def absent(columns: list[str]) -> tuple[list[str], list[str]]:
+    """(warnings, errors) about the source columns that are not there; ValueError without a date."""
+    gone = [c for c in RAW_COLUMNS if c not in columns]
+    if "Date" in gone:
+        raise ValueError("clean: missing column Date")
+    return [OPTIONAL[c] for c in gone if c in OPTIONAL], [f"no column {c}" for c in gone if c not in OPTIONAL]
 
 
 def numbered(raw: DataFrame) -> DataFrame:
@@ -38,8 +49,7 @@ def numbered(raw: DataFrame) -> DataFrame:
 
 def prepared(raw: DataFrame, symbol: str | None) -> DataFrame:
     """Trimmed strings, blanks as null, all seven columns, a symbol column."""
-    if missing := [c for c in RAW_COLUMNS if c not in raw.columns and c not in OPTIONAL]:
-        raise ValueError(f"clean: missing columns {missing}")
+    absent(raw.columns)
     df = raw if "symbol" in raw.columns else raw.withColumn("symbol", F.lit(symbol))
     df = trim_strings(df.select("symbol", ROW, *(f"`{c}`" if c in df.columns else F.lit(None).cast("string").alias(c) for c in RAW_COLUMNS)))
     return df.select("symbol", ROW, *(blank_to_null(F.col(f"`{c}`")).alias(source(c)) for c in RAW_COLUMNS))
@@ -56,29 +66,48 @@ def parsed(df: DataFrame) -> DataFrame:
 
 
 def mark_duplicate_dates(df: DataFrame) -> DataFrame:
-    """nth: the row's number among rows of its date, in source order; rows without a date stay
-    each the first."""
-    w = Window.partitionBy("symbol", "date").orderBy(ROW)
-    total = F.count("*").over(Window.partitionBy("symbol", "date"))
-    known = F.col("date").isNotNull()
-    return df.withColumn("nth", F.when(known, F.row_number().over(w)).otherwise(1)).withColumn("of_date", F.when(known, total).otherwise(F.lit(1)))
+    """nth: the row's number among rows of its date, in source order, and of_date: how many those are.
+    Rows without a date, and copies of others, stand each alone, so that they are no hot key."""
+    alone = F.when(F.col("date").isNull() | (F.col("copy") > 1), F.col(ROW))
+    w = Window.partitionBy("symbol", "date", alone)
+    return df.withColumn("nth", F.row_number().over(w.orderBy(ROW))).withColumn("of_date", F.count("*").over(w))
+
+
+def _issue(row, field_: str, value, reason, action: str):
+    parts = {"row_index": row, "field": F.lit(field_), "raw_value": value, "reason": reason, "action": F.lit(action)}
+    return F.struct(*(c.alias(n) for n, c in parts.items()))
+
+
+def _issues(marked: DataFrame) -> DataFrame:
+    """Every issue of the marked rows, in one pass, and a summary of the exact duplicates."""
+    row, none, first = F.col(ROW), F.lit(None).cast("long"), F.col("copy") == 1
+    day, kept = F.col("date").cast("string"), F.col("nth") == 1
+    found = [
+        F.when(~first, _issue(row, "row", F.col(f"`{source('Date')}`"), F.lit("exact duplicate"), "removed")),
+        F.when(first & ~kept, _issue(row, "row", day, F.lit("duplicate date"), "removed")),
+        F.when(first & kept & (F.col("of_date") > 1), _issue(none, "Date", day, F.format_string("date of %d rows", "of_date"), "removed")),
+    ]
+    for column, (name, _) in FIELDS.items():
+        raw = F.col(f"`{source(column)}`")
+        found.append(F.when(first & raw.isNotNull() & F.col(name).isNull(), _issue(row, column, raw, F.lit("unparseable"), "reported")))
+    each = marked.select("symbol", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("issue")).select("symbol", "issue.*")
+    copies = marked.where(~first).groupBy("symbol").agg(F.count("*").alias("n"))
+    summary = _issue(none, "row", F.lit(None).cast("string"), F.format_string("%d exact duplicates", "n"), "removed")
+    return each.unionByName(copies.select("symbol", summary.alias("issue")).select("symbol", "issue.*"))
 
 
 def clean(raw: DataFrame, symbol: str | None = None) -> Cleaned:
-    marked = mark_exact_duplicates(prepared(numbered(raw), symbol))
-    once = mark_duplicate_dates(parsed(marked.where("copy = 1")))
-    order = ("date", "symbol", "open", "high", "low", "close", "volume", "change_pct_src", ROW)
-    bars = once.where("nth = 1").select(*order)
-    unread = [
-        once.where(F.col(f"`{source(c)}`").isNotNull() & F.col(name).isNull()).select("symbol", F.col(ROW).alias("row_index"), F.lit(c).alias("field"), F.col(f"`{source(c)}`").alias("raw_value"), F.lit("unparseable").alias("reason"), F.lit("reported").alias("action"))
-        for c, (name, _) in FIELDS.items()
-    ]
-    removed = lambda df, reason, value: df.select("symbol", F.col(ROW).alias("row_index"), F.lit("row").alias("field"), value.alias("raw_value"), F.lit(reason).alias("reason"), F.lit("removed").alias("action"))
-    issues = removed(marked.where("copy > 1"), "exact duplicate", F.col(f"`{source('Date')}`")).unionByName(removed(once.where("nth > 1"), "duplicate date", F.col("date").cast("string")))
-    for u in unread:
-        issues = issues.unionByName(u)
-    # The counts come from the marked rows in one aggregation each.
-    exact = marked.groupBy("symbol").agg(F.count("*").alias("original_rows"), F.count_if(F.col("copy") > 1).alias("exact_duplicates"))
-    dated = once.groupBy("symbol").agg(F.count_if((F.col("nth") == 1) & (F.col("of_date") > 1)).alias("duplicate_dates"), F.count_if(F.col("nth") > 1).alias("duplicate_date_rows"), F.count_if(F.col("nth") == 1).alias("final_rows"))
-    counts = exact.join(dated, "symbol").withColumn("removed_rows", F.col("original_rows") - F.col("final_rows"))
-    return Cleaned(bars, issues, counts)
+    """Bars, issues and counts each read the marked rows in one pass of their own."""
+    warnings, errors = absent(raw.columns)
+    marked = mark_duplicate_dates(parsed(mark_exact_duplicates(prepared(numbered(raw), symbol))))
+    first, kept = F.col("copy") == 1, F.col("nth") == 1
+    bars = marked.where(first & kept).select("date", "symbol", "open", "high", "low", "close", "volume", "change_pct_src", ROW)
+    counts = marked.groupBy("symbol").agg(
+        F.count("*").alias("original_rows"),
+        F.count_if(~first).alias("exact_duplicates"),
+        F.count_if(first & kept & (F.col("of_date") > 1)).alias("duplicate_dates"),
+        F.count_if(first & ~kept).alias("duplicate_date_rows"),
+        F.count_if(first & kept).alias("final_rows"),
+    )
+    counts = counts.withColumn("removed_rows", F.col("original_rows") - F.col("final_rows"))
+    return Cleaned(bars, _issues(marked), counts, warnings, errors)

@@ -1,14 +1,13 @@
 """The two sequential parts, as plain functions over one group in time order.
 
 ``recursive`` holds the averages whose state is unbounded; ``simulate`` is the position state
-machine. Both are free of Spark, so streams and batches share them.
+machine, which looks at bars with a signal or an open position only. Both are free of Spark.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pandas as pd
@@ -87,20 +86,39 @@ def commission(price: float, quantity: int, rate: float) -> float:
 
 
 @dataclass
-class Bar:
-    date: object
-    open: float
-    low: float
-    close: float
-    ema20: float | None
-    atr14: float | None
-    long: bool
+class Bars:
+    """One symbol's bars in time order, a list per column; a missing number is NaN."""
+
+    date: list[str]
+    day: list[int]
+    open: list[float]
+    low: list[float]
+    close: list[float]
+    ema20: list[float]
+    atr14: list[float]
+    long: list[bool]
+
+    def part(self, first: int, last: int) -> Bars:
+        return Bars(*(getattr(self, f.name)[first:last] for f in fields(self)))
+
+
+@dataclass
+class Ledger:
+    """What a run did: trades and skipped signals with the places of their bars, and cash and shares
+    after each bar."""
+
+    cash: np.ndarray
+    quantity: np.ndarray
+    trades: list[tuple] = field(default_factory=list)
+    trade_at: list[int] = field(default_factory=list)
+    skips: list[tuple] = field(default_factory=list)
+    skip_at: list[int] = field(default_factory=list)
 
 
 @dataclass
 class Position:
-    signal_date: object
-    entry_date: object
+    signal: int
+    entry: int
     reference: float
     price: float
     stop: float
@@ -110,72 +128,76 @@ class Position:
     leaving: bool = False
 
 
-def _missing(x) -> bool:
-    return x is None or x != x
-
-
-def _exit(p: Position, bar: Bar, last: bool) -> tuple[str, float] | None:
-    if bar.open < p.stop:
-        return STOP_GAP, bar.open
-    if bar.low <= p.stop:
+def _exit(p: Position, bars: Bars, i: int) -> tuple[str, float] | None:
+    if bars.open[i] < p.stop:
+        return STOP_GAP, bars.open[i]
+    if bars.low[i] <= p.stop:
         return STOP_LOSS, p.stop
     if p.leaving:
-        return TREND_EXIT, bar.open
-    return (END_OF_DATA, bar.close) if last else None
+        return TREND_EXIT, bars.open[i]
+    return (END_OF_DATA, bars.close[i]) if i == len(bars.close) - 1 else None
 
 
-def _enter(bar: Bar, following: Bar | None, cash: float, equity: float, c: Config) -> Position | str:
-    if following is None:
+def _enter(bars: Bars, i: int, cash: float, c: Config) -> Position | str:
+    """The position that the signal of bar i buys at the next open; the equity at risk is the cash."""
+    if i + 1 == len(bars.close):
         return NO_NEXT_DAY
-    if _missing(bar.atr14) or bar.atr14 <= 0:
+    if not bars.atr14[i] > 0:
         return ZERO_ATR
-    if _missing(following.open) or following.open <= 0:
+    if not bars.open[i + 1] > 0:
         return NO_PRICE
-    price = entry_price(following.open, c.slippage_rate)
-    stop = price - c.atr_multiplier * bar.atr14
-    budget = equity * c.risk_per_trade
+    reference = bars.open[i + 1]
+    price = entry_price(reference, c.slippage_rate)
+    stop = price - c.atr_multiplier * bars.atr14[i]
+    budget = cash * c.risk_per_trade
     # Cash need not cover the commission.
     quantity = min(math.floor(budget / (price - stop)), math.floor(cash / price))
-    return Position(bar.date, following.date, following.open, price, stop, bar.atr14, quantity, budget) if quantity > 0 else ZERO_QTY
-
-
-def simulate(bars: list[Bar], c: Config, days: Iterable[int] | None = None) -> Iterator[tuple[str, tuple]]:
-    """("trade" | "equity" | "skip", fields) in bar order. ``days``: each bar's calendar day.
-
-    A signal's purchase is booked on its own bar at the next bar's open, so the equity of the
-    signal bar already shows the position; the stop is live from the entry bar on.
-    """
-    cash, held, number = c.initial_capital, None, 0
-    day = list(days) if days is not None else list(range(len(bars)))
-    day_of = {b.date: d for b, d in zip(bars, day)}
-    for i, bar in enumerate(bars):
-        equity = cash + (held.quantity * bar.close if held else 0.0)
-        if held:
-            out = _exit(held, bar, i == len(bars) - 1)
-            if out:
-                reason, reference = out
-                price, n = exit_price(reference, c.slippage_rate), held.quantity
-                paid = commission(price, n, c.commission_rate)
-                costs = commission(held.price, n, c.commission_rate) + paid
-                gross = (price - held.price) * n
-                net, number = gross - costs, number + 1
-                cash = cash + price * n - paid
-                returned = net / (held.price * n) if held.price * n else 0.0
-                multiple = net / held.budget if held.budget else 0.0
-                length = max(0, day[i] - day_of[held.entry_date])
-                yield "trade", (number, held.signal_date, held.entry_date, held.reference, held.price, held.stop, held.atr, n, held.budget, bar.date, reference, price, reason, gross, costs, net, returned, multiple, length)
-                held, equity = None, cash
-            elif not held.leaving and not _missing(bar.ema20) and bar.close < bar.ema20:
-                held.leaving = True
-        if bar.long:
-            if held:
-                yield "skip", (bar.date, IN_POSITION, DETAILS[IN_POSITION])
+    return Position(i, i + 1, reference, price, stop, bars.atr14[i], quantity, budget) if quantity > 0 else ZERO_QTY
+
+
+def _close(p: Position, bars: Bars, i: int, reason: str, reference: float, number: int, c: Config) -> tuple[tuple, float]:
+    """The trade's row, and what the sale brings in."""
+    price, n = exit_price(reference, c.slippage_rate), p.quantity
+    paid = commission(price, n, c.commission_rate)
+    costs = commission(p.price, n, c.commission_rate) + paid
+    gross = (price - p.price) * n
+    net = gross - costs
+    returned = net / (p.price * n) if p.price * n else 0.0
+    multiple = net / p.budget if p.budget else 0.0
+    length = max(0, bars.day[i] - bars.day[p.entry])
+    row = (number, bars.date[p.signal], bars.date[p.entry], p.reference, p.price, p.stop, p.atr, n, p.budget, bars.date[i], reference, price, reason, gross, costs, net, returned, multiple, length)
+    return row, price * n - paid
+
+
+def simulate(bars: Bars, c: Config) -> Ledger:
+    """A run over all bars. A signal's purchase is booked on its own bar at the next bar's open, so the
+    equity of the signal bar already shows the position; the stop is live from the entry bar on."""
+    n = len(bars.close)
+    out = Ledger(np.full(n, c.initial_capital), np.zeros(n, np.int64))
+    signals = np.flatnonzero(bars.long)
+    cash, held, i = c.initial_capital, None, 0
+    while i < n:
+        if held is None:
+            k = int(np.searchsorted(signals, i))
+            upto = int(signals[k]) if k < len(signals) else n
+            out.cash[i:upto], i = cash, upto
+            if i == n:
+                break
+        elif found := _exit(held, bars, i):
+            row, income = _close(held, bars, i, *found, len(out.trades) + 1, c)
+            out.trades.append(row)
+            out.trade_at.append(i)
+            cash, held = cash + income, None
+        elif bars.close[i] < bars.ema20[i]:
+            held.leaving = True
+        if bars.long[i]:
+            got = IN_POSITION if held else _enter(bars, i, cash, c)
+            if isinstance(got, str):
+                out.skips.append((bars.date[i], got, DETAILS[got]))
+                out.skip_at.append(i)
             else:
-                got = _enter(bar, bars[i + 1] if i + 1 < len(bars) else None, cash, equity, c)
-                if isinstance(got, str):
-                    yield "skip", (bar.date, got, DETAILS[got])
-                else:
-                    held = got
-                    cash = cash - held.price * held.quantity - commission(held.price, held.quantity, c.commission_rate)
-        worth = held.quantity * bar.close if held else 0.0
-        yield "equity", (bar.date, round(cash, 6), held.quantity if held else 0, round(worth, 6), round(cash + worth, 6))
+                held = got
+                cash = cash - held.price * held.quantity - commission(held.price, held.quantity, c.commission_rate)
+        out.cash[i], out.quantity[i] = cash, held.quantity if held else 0
+        i += 1
+    return out

@@ -36,8 +36,14 @@ def _d4(c: Column) -> Column:
 
 
 def metrics(tagged: DataFrame) -> DataFrame:
+    """One row per symbol and run: the metrics of metrics_and_span() alone."""
+    return metrics_and_span(tagged).drop("span")
+
+
+def metrics_and_span(tagged: DataFrame) -> DataFrame:
     """One row per symbol and run, in one pass over the tagged rows: the running peak and all
-    aggregates share one exchange. Runs without trades have zero counts and null averages."""
+    aggregates share one exchange. Runs without trades have zero counts and null averages. span
+    holds the ends of the run's bars."""
     w = Window.partitionBy(*KEYS).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     rows = tagged.withColumn("peak", F.max("equity.equity").over(w))
     is_ = lambda kind: F.col("kind") == kind
@@ -50,6 +56,7 @@ def metrics(tagged: DataFrame) -> DataFrame:
         F.avg(net).alias("avg_net_pnl"), F.avg(won).alias("avg_win_pnl"), F.avg(lost).alias("avg_loss_pnl"), F.try_divide(F.coalesce(F.sum(won), F.lit(0.0)), F.abs(F.sum(lost))).alias("profit_factor"),
         F.avg("trade.holding_days").alias("avg_holding_days"), F.max(net).alias("best_trade_net_pnl"), F.min(net).alias("worst_trade_net_pnl"),
         (100.0 * F.count_if(F.col("equity.position_quantity") > 0) / F.count_if(is_("equity"))).alias("exposure_pct"), (100.0 * F.coalesce(F.min(down), F.lit(0.0))).alias("max_drawdown_pct"),
+        F.first("span", ignorenulls=True).alias("span"),
     )
     gain = F.col("final_equity") - F.col("initial_capital")
     return base.select(
@@ -57,6 +64,7 @@ def metrics(tagged: DataFrame) -> DataFrame:
         (F.col("num_trades") + F.col("num_signals_skipped")).alias("num_signals_total"), F.col("num_trades").alias("num_signals_executed"), "num_signals_skipped", "num_trades", "num_wins", "num_losses",
         _d4(F.try_divide(F.col("num_wins").cast("double"), F.col("num_trades"))).alias("win_rate"),
         *(_d4(F.col(c)).alias(c) for c in ("avg_net_pnl", "avg_win_pnl", "avg_loss_pnl", "profit_factor", "max_drawdown_pct", "avg_holding_days", "exposure_pct", "best_trade_net_pnl", "worst_trade_net_pnl")),
+        "span",
     )
 
 
@@ -65,7 +73,6 @@ def with_counts_and_config(summary: DataFrame, tagged: DataFrame, runs: DataFram
     empty = F.create_map().cast("map<string,bigint>")
     out = summary.join(reason_map(backtest.trades(tagged), "exit_reason", "exit_reason_counts"), list(KEYS), "left")
     out = out.join(reason_map(backtest.skips(tagged), "reason", "skip_reason_counts"), list(KEYS), "left")
-    config = F.struct("run_id", *(c for c in runs.columns if c not in ("run_id", "symbol", "first_date", "last_date"))).alias("backtest_config")
-    keys = ["symbol", "run_id"] if "symbol" in runs.columns else ["run_id"]
-    out = out.join(runs.select(*keys, config), keys)
+    config = F.struct(*runs.columns).alias("backtest_config")
+    out = out.join(F.broadcast(runs.select("run_id", config)), "run_id")  # a configuration a row: a caller's list
     return out.withColumns({c: F.coalesce(c, empty) for c in ("exit_reason_counts", "skip_reason_counts")})

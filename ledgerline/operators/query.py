@@ -71,18 +71,50 @@ def markers(sampled: DataFrame, most: int = 100) -> DataFrame:
     return sampled.where(F.col("signal") == LONG).orderBy("date", "symbol").limit(most)
 
 
-def research_context(artifacts: dict[str, DataFrame | None], compact: int = 12) -> tuple[str, list[str]]:
-    """One text of the JSON artifacts at hand, and their names; windows are cut to the latest few."""
-    parts, names = [], []
-    for name, df in artifacts.items():
-        if df is None or (row := df.limit(1).collect()) == []:
+#: The fields of a quality report that its reader sees, and their columns.
+QUALITY_VIEW = {
+    "original_row_count": "original_rows", "final_row_count": "final_rows", "removed_row_count": "removed_rows", "date_min": "date_min", "date_max": "date_max", "missing_counts": "missing_counts",
+    "duplicate_exact_count": "exact_duplicates", "duplicate_date_count": "duplicate_dates", "invalid_ohlc_count": "n_ohlc", "invalid_volume_count": "missing", "zero_volume_count": "zero", "negative_volume_count": "negative",
+    "invalid_date_count": "invalid_dates", "non_monotonic_date_count": "n_backward", "change_pct_mismatch_count": "n_change", "cleaning_issue_count": "n_issues", "status": "status",
+}
+
+
+def quality_view(report: DataFrame) -> DataFrame:
+    """The reader's fields of a whole quality report, dates as text."""
+    text = lambda n, c: F.coalesce(F.col(c).cast("string"), F.lit("")) if n.startswith("date") else F.col(c)
+    about = [c for c in ("source_filename", "generated_at") if c in report.columns]
+    return report.select("symbol", *about, *(text(n, c).alias(n) for n, c in QUALITY_VIEW.items()))
+
+
+def narrow_windows(walked: DataFrame) -> DataFrame:
+    """A row per symbol: counts, and every window with the few columns that a reader compares."""
+    window = F.struct(
+        F.col("window_index").alias("window"), F.concat_ws(" to ", F.col("test_start").cast("string"), F.col("test_end").cast("string")).alias("test_range"), "status",
+        F.col("total_return_pct").alias("strategy_return_pct"), F.col("bh_total_return_pct").alias("bh_return_pct"),
+    )
+    return walked.groupBy("symbol").agg(F.count("*").alias("total_windows"), F.count_if(F.col("status") == "OK").alias("ok_windows"), F.array_sort(F.collect_list(window)).alias("windows_summary"))
+
+
+def research_context(artifacts: dict[str, DataFrame | None]) -> DataFrame:
+    """(symbol, place, source, text): every artifact's rows of a symbol as JSON, in the order given;
+    artifacts that are missing give none. A symbol's summaries, windows and grid points are few."""
+    out = None
+    for place, (name, df) in enumerate(artifacts.items()):
+        if df is None:
             continue
-        if "windows" in df.columns:
-            df = df.withColumn("windows", F.slice(F.reverse("windows"), 1, compact))
-            row = df.limit(1).collect()
-        names.append(name)
-        parts.append(f"## {name}\n" + df.sparkSession.createDataFrame(row, df.schema).select(F.to_json(F.struct(*df.columns))).first()[0])
-    return "\n\n".join(parts), names
+        row = F.struct(*(f"`{c}`" for c in df.columns if c != "symbol"))
+        many = df.groupBy("symbol").agg(F.to_json(F.array_sort(F.collect_list(F.to_json(row)))).alias("text"))
+        part = many.select("symbol", F.lit(place).alias("place"), F.lit(name).alias("source"), "text")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no artifact is there")
+    return out
+
+
+def context_text(context: DataFrame, symbol: str) -> tuple[str, list[str]]:
+    """One symbol's context as text, and the names of its sources."""
+    rows = sorted(context.where(F.col("symbol") == symbol).collect(), key=lambda r: r.place)
+    return "\n\n".join(f"## {r.source}\n{r.text}" for r in rows), [r.source for r in rows]
 
 
 def lookup(df: DataFrame, symbol: str) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.parse import rounded
-from ledgerline.operators.backtest import config_table, run_backtests
+from ledgerline.operators.backtest import run_backtests
 from ledgerline.operators.kernels import Config
-from ledgerline.operators.metrics import metrics
+from ledgerline.operators.metrics import metrics, metrics_and_span
 
 OK, ZERO_TRADES, INSUFFICIENT = "OK", "ZERO_TRADES", "INSUFFICIENT_DATA"
 #: One parameter at a time, the others at their defaults.
@@ -68,6 +68,11 @@ def buy_hold(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), config: Confi
     """First open to last close with whole shares and costs on both legs; zeros with fewer than
     two bars or without a share."""
     ends = bars.groupBy(*keys).agg(F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.min_by("open", "date").alias("first_open"), F.max_by("close", "date").alias("last_close"), F.count("*").alias("n"))
+    return held_between(ends, keys, config)
+
+
+def held_between(ends: DataFrame, keys: tuple[str, ...], config: Config) -> DataFrame:
+    """buy_hold() of ends (keys, start_date, end_date, first_open, last_close, n)."""
     capital = F.lit(config.initial_capital)
     bought, sold = F.col("first_open") * (1 + config.slippage_rate), F.col("last_close") * (1 - config.slippage_rate)
     out = ends.withColumn("bought", bought).withColumn("sold", sold)
@@ -84,23 +89,31 @@ def buy_hold(bars: DataFrame, keys: tuple[str, ...] = ("symbol",), config: Confi
     )
 
 
-def window_runs(windows: DataFrame, config: Config = Config()) -> DataFrame:  # noqa: B008
-    """A run per testable window, with fresh capital."""
-    c = config
-    named = {"initial_capital": c.initial_capital, "risk_per_trade": c.risk_per_trade, "atr_multiplier": c.atr_multiplier, "slippage_rate": c.slippage_rate, "commission_rate": c.commission_rate}
-    return windows.where(F.col("status") == OK).select("symbol", F.format_string("window %d", "window_index").alias("run_id"), *(F.lit(v).alias(k) for k, v in named.items()), F.col("low").alias("first_date"), F.col("high").alias("last_date"))
+#: The run over all bars, and the names of window runs.
+FULL = "full"
+
+
+def _window_name():
+    return F.format_string("window %d", "window_index")
+
+
+def window_runs(windows: DataFrame) -> DataFrame:
+    """(symbol, run_id, first_date, last_date): a run per testable window, with fresh capital."""
+    return windows.where(F.col("status") == OK).select("symbol", _window_name().alias("run_id"), F.col("low").alias("first_date"), F.col("high").alias("last_date"))
 
 
 def walk_forward(table: DataFrame, windows: DataFrame, config: Config = Config()) -> DataFrame:  # noqa: B008
     """Strategy, buy-and-hold and excess return of every window; zeros and the initial capital for
-    windows with too few bars. ``table`` has features over the full history, sliced here."""
-    runs = window_runs(windows, config)
-    strategy = metrics(run_backtests(table, runs))
-    day = F.to_date("date")
-    parts = table.join(windows.where(F.col("status") == OK).select(F.col("symbol").alias("s"), "window_index", F.col("low").alias("first_date"), F.col("high").alias("last_date")), (F.col("symbol") == F.col("s")) & day.between(F.col("first_date"), F.col("last_date")))
-    held = buy_hold(parts.select("symbol", "window_index", "date", "open", "close"), ("symbol", "window_index"), config)
-    named = windows.withColumn("run_id", F.format_string("window %d", "window_index"))
-    joined = named.join(strategy.drop("initial_capital"), ["symbol", "run_id"], "left").join(held.select("symbol", "window_index", F.col("total_return_pct").alias("bh_total_return_pct"), F.col("final_equity").alias("bh_final_equity")), ["symbol", "window_index"], "left")
+    windows with too few bars. ``table`` has features over the full history, sliced in the kernel."""
+    return walk_of(metrics_and_span(run_backtests(table, {}, window_runs(windows), config)), windows, config)
+
+
+def walk_of(done: DataFrame, windows: DataFrame, config: Config = Config()) -> DataFrame:  # noqa: B008
+    """walk_forward() of what metrics_and_span() gives of the window runs."""
+    run = F.struct("num_trades", "total_return_pct", "win_rate", "profit_factor", "max_drawdown_pct", "final_equity").alias("run")
+    both = held_between(done.select("symbol", "run_id", run, "span.*"), ("symbol", "run_id", "run"), config)
+    both = both.select("symbol", "run_id", "run.*", F.col("total_return_pct").alias("bh_total_return_pct"), F.col("final_equity").alias("bh_final_equity"))
+    joined = windows.withColumn("run_id", _window_name()).join(both, ["symbol", "run_id"], "left")
     tested = F.col("status") == OK
     num = lambda c, other=0.0: F.when(tested, F.coalesce(F.col(c), F.lit(other))).otherwise(F.lit(other))
     strat, bench = num("total_return_pct"), num("bh_total_return_pct")
@@ -132,34 +145,54 @@ def grid(base: Config = Config()) -> dict[str, Config]:  # noqa: B008
     return {f"{name}={value:g}": variant(base, name, value) for name, values in GRID.items() for value in values}
 
 
+def grid_table(spark: SparkSession, base: Config = Config()) -> DataFrame:  # noqa: B008
+    """(run_id, param_name, param_value, is_baseline) of the grid."""
+    rows = [(f"{n}={v:g}", n, float(v), v == getattr(base, n)) for n, values in GRID.items() for v in values]
+    return spark.createDataFrame(rows, "run_id string, param_name string, param_value double, is_baseline boolean")
+
+
 def sensitivity(table: DataFrame, base: Config = Config()) -> DataFrame:  # noqa: B008
     """Metrics of each grid point over the full data."""
-    spark: SparkSession = table.sparkSession
-    runs = config_table(spark, grid(base))
-    points = spark.createDataFrame([(f"{n}={v:g}", n, float(v), v == getattr(base, n)) for n, values in GRID.items() for v in values], "run_id string, param_name string, param_value double, is_baseline boolean")
+    return points_of(metrics(run_backtests(table, grid(base))), base)
+
+
+def points_of(done: DataFrame, base: Config = Config()) -> DataFrame:  # noqa: B008
+    """sensitivity() of what metrics() gives of the grid's runs."""
     keep = ("num_trades", "total_return_pct", "win_rate", "profit_factor", "max_drawdown_pct", "final_equity")
-    return metrics(run_backtests(table, runs)).join(F.broadcast(points), "run_id").select("symbol", "param_name", "param_value", "is_baseline", *keep)
+    points = F.broadcast(grid_table(done.sparkSession, base))  # as many rows as the grid has
+    return done.join(points, "run_id").select("symbol", "param_name", "param_value", "is_baseline", *keep)
+
+
+def all_runs(table: DataFrame, windows: DataFrame, base: Config = Config()) -> DataFrame:  # noqa: B008
+    """Metrics and span of the full run, the grid's and the windows', from one pass over the bars."""
+    return metrics_and_span(run_backtests(table, {FULL: base, **grid(base)}, window_runs(windows), base))
+
+
+def full_of(done: DataFrame) -> DataFrame:
+    return done.where(F.col("run_id") == FULL).drop("span")
 
 
 def gate_violations(windows: DataFrame, points: DataFrame, full: DataFrame) -> DataFrame:
-    """(symbol, gate, violations) for the five gates, in their order. ``full`` has the full run's
-    num_trades."""
-    w = Window.partitionBy("symbol").orderBy("window_index")
-    real = windows.where(F.col("status") != INSUFFICIENT)
-    ordered = real.withColumn("before", F.lag("test_start").over(w))
-    one = lambda df, name, bad: df.groupBy("symbol").agg(F.count_if(bad).alias("violations")).select("symbol", F.lit(name).alias("gate"), "violations")
-    metrics_bad = (F.col("final_equity") < 0) | F.coalesce(~F.col("win_rate").between(0.0, 1.0), F.lit(False)) | (F.col("max_drawdown_pct") > 0)
-    base = points.where("is_baseline").join(full.select("symbol", F.col("num_trades").alias("expected")), "symbol", "right")
-    risk = F.col("param_name") == "risk_per_trade"
-    found = (
-        one(windows, GATES[0], F.col("dev_end") >= F.col("test_start"))
-        .unionByName(one(ordered, GATES[1], F.col("test_start") <= F.col("before")))
-        .unionByName(one(windows, GATES[2], F.col("symbol").isNull()))
-        .unionByName(one(real, GATES[3], metrics_bad))
-        .unionByName(one(base, GATES[4], F.col("param_name").isNull() | (risk & (F.col("num_trades") != F.col("expected")))))
-    )
-    every = windows.select("symbol").distinct().select("symbol", F.explode(F.array(*map(F.lit, GATES))).alias("gate"))
-    return every.join(found, ["symbol", "gate"], "left").select("symbol", "gate", F.coalesce("violations", F.lit(0)).cast("long").alias("violations"))
+    """(symbol, gate, violations) for the five gates. ``full`` has the full run's num_trades; its symbols
+    are those that windows may have. Windows with too few bars are held to their symbol only."""
+    real = F.col("status") != INSUFFICIENT
+    # Of the windows with enough bars, the start of the one before.
+    before = F.lag("test_start").over(Window.partitionBy("symbol", real).orderBy("window_index"))
+    known = full.select("symbol", F.lit(True).alias("known"), F.col("num_trades").alias("expected"))
+    bad = (F.col("final_equity") < 0) | F.coalesce(~F.col("win_rate").between(0.0, 1.0), F.lit(False)) | (F.col("max_drawdown_pct") > 0)
+    # A null symbol equals none, so it is no symbol of the full run.
+    seen = windows.withColumn("before", before).join(known.drop("expected"), "symbol", "left").groupBy("symbol").agg(
+        F.count_if(real & (F.col("dev_end") >= F.col("test_start"))).alias(GATES[0]),
+        F.count_if(real & (F.col("test_start") <= F.col("before"))).alias(GATES[1]),
+        F.count_if(F.col("known").isNull()).alias(GATES[2]),
+        F.count_if(real & bad).alias(GATES[3]),
+    )
+    differs = (F.col("param_name") == "risk_per_trade") & (F.col("num_trades") != F.col("expected"))
+    base = points.where("is_baseline").join(known.drop("known"), "symbol").groupBy("symbol").agg(F.count_if(differs).alias("differ"))
+    based = known.select("symbol").join(base, "symbol", "left").select("symbol", F.coalesce("differ", F.lit(1)).alias(GATES[4]))
+    both = seen.join(based, "symbol", "full_outer")
+    gates = F.explode(F.array(*(F.struct(F.lit(g).alias("gate"), F.coalesce(F.col(g), F.lit(0)).cast("long").alias("violations")) for g in GATES)))
+    return both.select("symbol", gates.alias("g")).select("symbol", "g.gate", "g.violations")
 
 
 def check_gates(violations: DataFrame) -> None:

@@ -36,7 +36,12 @@ feat as (select ratio.*, ema20, ema50, atr14 from ratio join rec using (symbol,
 cond as (select *, coalesce(ema20 > ema50, false) as trend_condition, coalesce(close > ema20, false) as price_condition, coalesce(close > previous_high_20, false) as breakout_condition, coalesce(volume_ratio > 1.5, false) as volume_condition from feat),
 sig as (select *, case when trend_condition and price_condition and breakout_condition and volume_condition then 'LONG' else 'NO_SIGNAL' end as signal from cond)"""
 
-FULL = "runs as (select 'full' as run_id, 100000.0::double as cap, 0.01::double as risk, 2.0::double as mult, 0.0005::double as slip, 0.0005::double as comm), ranged as (select sig.*, runs.* from sig, runs)"
+def _one(run_id: str, cap: float, risk: float, mult: float, slip: float, comm: float) -> str:
+    return f"runs as (select '{run_id}' as run_id, {cap}::double as cap, {risk}::double as risk, {mult}::double as mult, {slip}::double as slip, {comm}::double as comm), ranged as (select sig.*, runs.* from sig, runs)"
+
+
+FULL = _one("full", 100000.0, 0.01, 2.0, 0.0005, 0.0005)
+OTHER = _one("other", 50000.0, 0.02, 3.0, 0.001, 0.002)
 #: The grid of sensitivity runs.
 GRID = """runs as (select 'risk_per_trade' as param_name, v::double as param_value, v = 0.01 as is_baseline, v::double as risk, 2.0::double as mult, 0.0005::double as comm from (values (0.005), (0.01), (0.015), (0.02)) t(v)
 union all select 'atr_multiplier', v::double, v = 2.0, 0.01::double, v::double, 0.0005::double from (values (1.5), (2.0), (2.5), (3.0)) t(v)
@@ -79,6 +84,10 @@ cuts as (select symbol, 0 as window_index, cast(first + interval 36 months as da
 wins as (select symbol, window_index, low, least(cast(low + interval 6 months as date), last) as high from cuts where low < last),
 spl as (select w.symbol, w.window_index, w.low, w.high, min(b.date) filter (b.date < w.low) as dev_start, max(b.date) filter (b.date < w.low) as dev_end, count(*) filter (b.date < w.low) as dev_rows, min(b.date) filter (b.date >= w.low) as test_start, max(b.date) filter (b.date >= w.low) as test_end, count(*) filter (b.date >= w.low) as test_rows,
  case when count(*) filter (b.date >= w.low) >= 50 then 'OK' else 'INSUFFICIENT_DATA' end as status from wins w join bars b on b.symbol = w.symbol and b.date <= w.high group by all)"""
+#: The full run, the grid's and the windows'.
+ALL_RUNS = GRID.replace("ranged as (", """ranged as (select sig.*, 'full' as run_id, null::varchar as param_name, null::double as param_value, null::boolean as is_baseline, 100000.0::double as cap, 0.01::double as risk, 2.0::double as mult, 0.0005::double as slip, 0.0005::double as comm from sig
+union all select sig.*, 'window ' || window_index, null, null, null, 100000.0::double, 0.01::double, 2.0::double, 0.0005::double, 0.0005::double from sig join spl on spl.symbol = sig.symbol and sig.date between spl.low and spl.high where status = 'OK'
+union all """)
 WINDOW_RUNS = "ranged as (select sig.*, 'window ' || window_index as run_id, 100000.0::double as cap, 0.01::double as risk, 2.0::double as mult, 0.0005::double as slip, 0.0005::double as comm from sig join spl on spl.symbol = sig.symbol and sig.date between spl.low and spl.high where status = 'OK')"
 
 
@@ -99,6 +108,26 @@ coalesce(met.num_trades, 0) as num_trades, {r('coalesce(met.total_return_pct, 0)
 {r('coalesce(met.final_equity, 100000)', 4)} as final_equity, {r('coalesce(hold.total_return_pct, 0)', 4)} as bh_total_return_pct, {r('coalesce(hold.final_equity, 100000)', 4)} as bh_final_equity
 from spl left join met on met.symbol = spl.symbol and met.run_id = 'window ' || spl.window_index left join hold on hold.symbol = spl.symbol and hold.window_index = spl.window_index)"""
 
+
+
+def _gates(windows: str = "*", points: str = "*") -> str:
+    """The gates over walk, the grid's points and the full run, with columns replaced before."""
+    return f"""gf as (select symbol, num_trades as expected from met where run_id = 'full'),
+gp as (select {points} from (select symbol, param_name, is_baseline, num_trades from met join (select distinct run_id, param_name, is_baseline from ranged where param_name is not null) using (run_id))),
+gw as (select {windows} from walk),
+gl as (select *, status <> 'INSUFFICIENT_DATA' as real, lag(test_start) over (partition by symbol, status <> 'INSUFFICIENT_DATA' order by window_index) as before from gw),
+g1 as (select symbol, count(*) filter (real and dev_end >= test_start) as a, count(*) filter (real and test_start <= before) as b, count(*) filter (symbol is null or symbol not in (select symbol from gf)) as c,
+ count(*) filter (real and (final_equity < 0 or coalesce(win_rate not between 0 and 1, false) or max_drawdown_pct > 0)) as d from gl group by symbol),
+g2 as (select gf.symbol, case when count(*) filter (is_baseline) = 0 then 1 else count(*) filter (is_baseline and param_name = 'risk_per_trade' and num_trades <> expected) end as e from gf left join gp using (symbol) group by gf.symbol),
+g3 as (select coalesce(g1.symbol, g2.symbol) as symbol, a, b, c, d, e from g1 full join g2 on g1.symbol = g2.symbol)
+select symbol, gate, cast(coalesce(case gate when 'NO_OVERLAP' then a when 'CHRONOLOGICAL' then b when 'SYMBOL_ISOLATION' then c when 'VALID_METRICS' then d else e end, 0) as bigint) as violations
+from g3, (values ('NO_OVERLAP'), ('CHRONOLOGICAL'), ('SYMBOL_ISOLATION'), ('VALID_METRICS'), ('SENSITIVITY_BASELINE')) g(gate)"""
+
+
+BROKEN = """* replace (case when window_index % 6 = 1 then test_start else dev_end end as dev_end, case when window_index % 6 = 2 then date '1999-01-01' else test_start end as test_start,
+case when window_index % 6 = 3 then null when window_index % 6 = 4 then 'OTHER' else symbol end as symbol, case when window_index % 6 = 5 then -1 else final_equity end as final_equity, case when window_index % 6 = 0 then 5 else max_drawdown_pct end as max_drawdown_pct)"""
+BROKEN_POINTS = "* replace (is_baseline and symbol <> '1-URGENT' as is_baseline, num_trades + case when symbol = '2-HIGH' then 1 else 0 end as num_trades)"
+
 _CENTS = "cast(cast(floor({0}) as bigint) // 100 as varchar) || '.' || lpad(cast(cast(floor({0}) as bigint) % 100 as varchar), 2, '0')"
 
 
@@ -131,7 +160,12 @@ pa as (select symbol, _src_row, d, p, vol, c, {P_DATE} as date, {_price('o')} as
 du as (select *, case when date is null then 1 else row_number() over (partition by symbol, date order by _src_row) end as nth, case when date is null then 1 else count(*) over (partition by symbol, date) end as of_date from pa),
 cl as (select * from du where nth = 1),
 oh as (select *, list_filter([case when high < low then 'high<low' end, case when high < open then 'high<open' end, case when high < close then 'high<close' end, case when low > open then 'low>open' end, case when low > close then 'low>close' end], lambda x: x is not null) as rules from cl where open is not null and high is not null and low is not null and close is not null),
-ch as (select *, abs(computed - change_pct_src) as difference from (select *, close / nullif(lag(close) over (partition by symbol order by date), 0) - 1 as computed from cl where date is not null) where abs(computed - change_pct_src) > 0.005)"""
+ch as (select *, abs(computed - change_pct_src) as difference from (select *, close / nullif(lag(close) over (partition by symbol order by date nulls last, _src_row), 0) - 1 as computed from cl) where abs(computed - change_pct_src) > 0.005)"""
+
+
+REPORT = """select symbol, rows, invalid_dates, date_min, date_max, missing, missing_close, zero, negative, coalesce(n_ohlc, 0) as n_ohlc, coalesce(n_change, 0) as n_change, case when coalesce(n_ohlc, 0) > 0 or zero > 0 or negative > 0 then 'FAIL' when missing > 0 or coalesce(n_change, 0) > 0 then 'WARNING' else 'PASS' end as status
+from (select symbol, count(*) as rows, count(*) filter (date is null) as invalid_dates, cast(min(date) as varchar) as date_min, cast(max(date) as varchar) as date_max, count(*) filter (volume is null) as missing, count(*) filter (close is null) as missing_close, count(*) filter (volume = 0) as zero, count(*) filter (volume < 0) as negative from cl group by symbol)
+left join (select symbol, count(*) as n_ohlc from oh where len(rules) > 0 group by symbol) using (symbol) left join (select symbol, count(*) as n_change from ch group by symbol) using (symbol)"""
 
 
 def _with(*parts: str) -> str:
@@ -150,9 +184,14 @@ date as exit_date, {r('x_ref', 4)} as exit_reference_price, {r('x_px', 4)} as ex
     met = f"symbol, run_id, initial_capital, {rs(MET4, 4)}, num_signals_total, num_signals_executed, num_signals_skipped, num_trades, num_wins, num_losses"
     price_issue = lambda c, name, field: f"select symbol, _src_row as row_index, '{field}' as field, {c} as raw_value, 'unparseable' as reason, 'reported' as action from pa2 where {c} is not null and {name} is null"
     unread = " union all ".join(price_issue(*x) for x in (("d", "date", "Date"), ("p", "close", "Price"), ("o", "open", "Open"), ("h", "high", "High"), ("l", "low", "Low"), ("vol", "volume", "Vol."), ("c", "change_pct_src", "Change %")))
+    issues = "select symbol, _src_row as row_index, 'row' as field, d as raw_value, 'exact duplicate' as reason, 'removed' as action from ex where copy > 1 union all select symbol, _src_row, 'row', cast(date as varchar), 'duplicate date', 'removed' from du where nth > 1"
+    issues += " union all select symbol, null, 'Date', cast(date as varchar), 'date of ' || of_date || ' rows', 'removed' from du where nth = 1 and of_date > 1 union all select symbol, null, 'row', null, count(*) || ' exact duplicates', 'removed' from ex where copy > 1 group by symbol union all " + unread
     sampled = "select *, row_number() over (partition by symbol order by date) - 1 as k, count(*) over (partition by symbol) as n from bars"
     feature_names = "ema20 ema50 sma20 sma50 atr14 avg_volume_20 volume_ratio momentum_5 momentum_20"
     grid = _with(*e, GRID, MACHINE)
+    every = _with(ORDER_BARS, WINDOWED, RECURSIVE, SPLITS, ALL_RUNS, MACHINE, WALK) + ", "
+    # The metrics of MACHINE take a capital of 100,000 for granted.
+    other = _with(*e, OTHER, MACHINE.replace("100000.0::double as initial_capital", "50000.0::double as initial_capital").replace("final_equity - 100000) / 100000", "final_equity - 50000) / 50000").replace("final_equity - 100000 as", "final_equity - 50000 as"))
     return {
         "breakouts": wide + f"select symbol, {d}, {rs('close sma20 previous_high_20 volume_ratio')} from ratio where close > previous_high_20 and volume_ratio > 1.5",
         "bars_events": _with(EVENT_BARS) + f"select {d}, symbol, {rs('open high low close volume')} from bars",
@@ -164,15 +203,19 @@ date as exit_date, {r('x_ref', 4)} as exit_reference_price, {r('x_px', 4)} as ex
         "dedup_exact": cl + "select symbol, _src_row from ex where copy = 1",
         "dedup_date": cl + f"select {d}, symbol, {rs('open high low close volume change_pct_src')}, _src_row from cl",
         "clean_counts": cl + "select symbol, original_rows, exact_duplicates, duplicate_dates, duplicate_date_rows, final_rows, original_rows - final_rows as removed_rows from (select symbol, count(*) as original_rows, count(*) filter (copy > 1) as exact_duplicates from ex group by symbol) join (select symbol, count(*) filter (nth = 1 and of_date > 1) as duplicate_dates, count(*) filter (nth > 1) as duplicate_date_rows, count(*) filter (nth = 1) as final_rows from du group by symbol) using (symbol)",
-        "clean_issues": cl.rstrip() + ", pa2 as (select pa.*, ex.o, ex.h, ex.l from pa join ex using (_src_row))\n" + "select symbol, _src_row as row_index, 'row' as field, d as raw_value, 'exact duplicate' as reason, 'removed' as action from ex where copy > 1 union all select symbol, _src_row, 'row', cast(date as varchar), 'duplicate date', 'removed' from du where nth > 1 union all " + unread,
+        "clean_issues": cl.rstrip() + ", pa2 as (select pa.*, ex.o, ex.h, ex.l from pa join ex using (_src_row))\n" + issues,
         "q_missing": cl + "select symbol, count(*) filter (date is null) as date, count(*) filter (open is null) as open, count(*) filter (high is null) as high, count(*) filter (low is null) as low, count(*) filter (close is null) as close, count(*) filter (volume is null) as volume from cl group by symbol",
         "q_ohlc": cl + "select symbol, _src_row, array_to_string(rules, ',') as rules from oh where len(rules) > 0",
         "q_volume": cl + "select symbol, count(*) filter (volume is null) as missing, count(*) filter (volume = 0) as zero, count(*) filter (volume < 0) as negative from cl group by symbol",
         "q_monotonic": raw + f"select symbol, count(*) filter (back) as n from (select symbol, date <= lag(date) over (partition by symbol order by _src_row) as back from (select symbol, _src_row, {P_DATE} as date from raw)) group by symbol",
-        "q_change_pct": cl + f"select symbol, {d}, {rs('computed difference')} from ch",
-        "q_status": cl + """select symbol, rows, invalid_dates, cast(date_min as varchar) as date_min, cast(date_max as varchar) as date_max, missing, zero, negative, n_ohlc, n_change, case when coalesce(n_ohlc, 0) > 0 or zero > 0 or negative > 0 then 'FAIL' when missing > 0 or coalesce(n_change, 0) > 0 then 'WARNING' else 'PASS' end as status
-from (select symbol, count(*) as rows, count(*) filter (date is null) as invalid_dates, min(date) as date_min, max(date) as date_max, count(*) filter (volume is null) as missing, count(*) filter (volume = 0) as zero, count(*) filter (volume < 0) as negative from cl where date is not null group by symbol)
-left join (select symbol, count(*) as n_ohlc from oh where len(rules) > 0 and date is not null group by symbol) using (symbol) left join (select symbol, count(*) as n_change from ch group by symbol) using (symbol)""",
+        "q_change_pct": cl + f"select symbol, _src_row, {d}, {rs('computed difference')} from ch",
+        "q_status": cl + f"select symbol, rows, invalid_dates, date_min, date_max, missing, zero, negative, n_ohlc, 0::bigint as n_backward, n_change, status from ({REPORT})",
+        "q_drift": _with(RAW, CLEAN.replace("nullif(trim(vol), '') as vol", "null::varchar as vol")) + f"select symbol, rows, rows as missing, '' as missing_columns, 'note' as unexpected_columns, 'no column Vol.: volume is null' as cleaning_warnings, '' as cleaning_errors, case when n_ohlc > 0 then 'FAIL' else 'WARNING' end as status from ({REPORT})",
+        "q_lacking": cl + f"select symbol, rows, 'open; volume' as missing_columns, -1::bigint as missing_open, missing_close, -1::bigint as missing_volume, 0::bigint as n_ohlc, 'FAIL' as status from ({REPORT})",
+        "q_report": cl.rstrip() + ", pa2 as (select pa.*, ex.o, ex.h, ex.l from pa join ex using (_src_row)), iss as (" + issues + """)
+""" + f"""select symbol, (select count(*) from ex where ex.symbol = x.symbol) as original_row_count, rows as final_row_count, (select count(*) from ex where ex.symbol = x.symbol) - rows as removed_row_count, coalesce(date_min, '') as date_min, coalesce(date_max, '') as date_max,
+missing_close, (select count(*) from ex where ex.symbol = x.symbol and copy > 1) as duplicate_exact_count, (select count(*) from du where du.symbol = x.symbol and nth = 1 and of_date > 1) as duplicate_date_count, n_ohlc as invalid_ohlc_count, missing as invalid_volume_count, zero as zero_volume_count, negative as negative_volume_count,
+invalid_dates as invalid_date_count, 0::bigint as non_monotonic_date_count, n_change as change_pct_mismatch_count, (select count(*) from iss where iss.symbol = x.symbol) as cleaning_issue_count, status from ({REPORT}) x""",
         "sma": window("sma20", "sma50"),
         "true_range": window("true_range"),
         "avg_volume": window("avg_volume_20"),
@@ -197,7 +240,25 @@ left join (select symbol, count(*) as n_ohlc from oh where len(rules) > 0 and da
         "walk_forward": wf + f"select symbol, cast(window_index as bigint) as window_index, cast(dev_start as varchar) as dev_start, cast(dev_end as varchar) as dev_end, dev_rows, cast(test_start as varchar) as test_start, cast(test_end as varchar) as test_end, test_rows, status, num_trades, total_return_pct, win_rate, profit_factor, max_drawdown_pct, final_equity, bh_total_return_pct, bh_final_equity, {r('total_return_pct - bh_total_return_pct', 4)} as excess_return_pct from walk",
         "wf_rollup": wf + f"select symbol, count(*) as total_windows, count(*) filter (status = 'OK') as ok_windows, count(*) filter (status = 'ZERO_TRADES') as zero_trade_windows, count(*) filter (status = 'INSUFFICIENT_DATA') as insufficient_data_windows, {r('''avg(total_return_pct) filter (status = 'OK')''', 4)} as avg_return_pct, {r('''avg(bh_total_return_pct) filter (status = 'OK')''', 4)} as avg_bh_return_pct, {r('''100.0 * count(*) filter (status = 'OK' and total_return_pct > 0) / nullif(count(*) filter (status = 'OK'), 0)''', 2)} as pct_profitable from walk group by symbol",
         "sensitivity": grid + f"select symbol, param_name, param_value, is_baseline, num_trades, {rs('total_return_pct win_rate profit_factor max_drawdown_pct final_equity', 4)} from met join (select distinct run_id, param_name, param_value, is_baseline from ranged) using (run_id)",
-        "gates": _with(ORDER_BARS) + "select symbol, gate, cast(0 as bigint) as violations from (select distinct symbol from bars), (values ('NO_OVERLAP'), ('CHRONOLOGICAL'), ('SYMBOL_ISOLATION'), ('VALID_METRICS'), ('SENSITIVITY_BASELINE')) g(gate)",
+        "gates": every + _gates(),
+        "gates_broken": every + _gates(BROKEN, BROKEN_POINTS),
+        "metrics_other": other + f"select {met} from met",
+        "config_echo": other + "select symbol, num_trades as n_exits, num_signals_skipped as n_skips, 'other' as run_id, 50000.0::double as initial_capital, 0.02::double as risk_per_trade, 3.0::double as atr_multiplier, 0.001::double as slippage_rate, 0.002::double as commission_rate from met",
+        "grid": "select p || '=' || v as run_id, p as param_name, v::double as param_value, b as is_baseline from (values ('risk_per_trade', '0.005', false), ('risk_per_trade', '0.01', true), ('risk_per_trade', '0.015', false), ('risk_per_trade', '0.02', false), ('atr_multiplier', '1.5', false), ('atr_multiplier', '2', true), ('atr_multiplier', '2.5', false), ('atr_multiplier', '3', false), ('commission_rate', '0.0005', true), ('commission_rate', '0.001', false), ('commission_rate', '0.002', false)) t(p, v, b)",
+        "transaction_cost": bt + f"select symbol, tid as trade_id, {r('transaction_cost', 4)} as cost from trade",
+        "holding": bt + "select symbol, tid as trade_id, cast(holding_days as bigint) as days from trade",
+        "slice_dev": _with(ORDER_BARS) + f"select {d}, symbol, {rs('open high low close volume')} from bars where bars.date < date '1996-01-01'",
+        "slice_test": _with(ORDER_BARS) + f"select {d}, symbol, {rs('open high low close volume')} from bars where bars.date between date '1996-01-01' and date '1996-06-30'",
+        "catalog": "select * from (values ('ITC', 'ITC Stock Price History.csv'), ('RELIANCE', 'RELIANCE.csv'), ('TCS', 'TCS.csv'), ('INFY', 'INFY.csv'), ('HDFCBANK', 'HDFCBANK.csv')) t(symbol, raw_file)",
+        "context_windows": wf + f"select symbol, total_windows, ok_windows, cast(window_index as bigint) as \"window\", concat_ws(' to ', cast(test_start as varchar), cast(test_end as varchar)) as test_range, status, total_return_pct as strategy_return_pct, bh_total_return_pct as bh_return_pct from walk join (select symbol, count(*) as total_windows, count(*) filter (status = 'OK') as ok_windows from walk group by symbol) using (symbol)",
+        "context_sources": wf + "select symbol, 0::bigint as place, 'walk-forward summary' as source, 1::bigint as n from (select distinct symbol from walk) union all select symbol, 1, 'walk-forward windows', count(*) from walk group by symbol",
+        "json_windows": wf + f"select symbol, total_windows, ok_windows, cast(window_index as bigint) as window_index, status, num_trades, total_return_pct, {r('total_return_pct - bh_total_return_pct', 4)} as excess_return_pct from walk join (select symbol, count(*) as total_windows, count(*) filter (status = 'OK') as ok_windows from walk group by symbol) using (symbol)",
+        "json_splits": _with(ORDER_BARS, SPLITS) + "select symbol, count(*) over (partition by symbol) as total_windows, cast(window_index as bigint) as window_index, dev_rows, test_rows, status from spl",
+        "json_sensitivity": grid + f"select symbol, param_name, param_value, is_baseline, num_trades, {rs('final_equity', 4)} from met join (select distinct run_id, param_name, param_value, is_baseline from ranged) using (run_id)",
+        "report_lines": _with(ORDER_BARS, SPLITS) + "select symbol, count(*) + 12 as n from spl group by symbol",
+        "sink_trades": bt + f"select symbol, tid as trade_id, {r('i_px', 4)} as entry_price, {r('i_stop', 4)} as initial_stop, {r('net_pnl', 4)} as net_pnl, {r('100 * net_pnl / (i_px * i_qty)', 4)} as return_pct from trade",
+        "sink_equity": bt + f"select symbol, date, {r('cash', 4)} as cash, cast(qty as bigint) as position_quantity, {r('worth', 4)} as position_market_value, {r('equity', 4)} as equity from curve",
+        "lookup": bt + f"select upper(symbol) as symbol, num_trades, {rs('final_equity', 4)} from met where symbol = 'click'",
         "ohlcv_range": _with(EVENT_BARS) + f"select {d}, {rs('open high low close volume')} from bars where symbol = 'click' and date >= timestamp '2024-01-05' and date <= timestamp '2024-01-20'",
         "features_range": s + f"select {d}, {rs('open high low close volume ' + feature_names)}, trend_condition, price_condition, breakout_condition, volume_condition, signal from sig where symbol = 'click' and date >= timestamp '2024-01-05' and date <= timestamp '2024-01-20'",
         "overview": bt + f"select symbol, date_min, date_max, rows, n_long, cast(21 as bigint) as n_columns, {rs('final_equity total_return_pct', 4)}, num_trades, {r('win_rate', 4)} as win_rate from (select symbol, cast(min(date) as varchar) as date_min, cast(max(date) as varchar) as date_max, count(*) as rows, count(*) filter (signal = 'LONG') as n_long from sig group by symbol) join met using (symbol)",

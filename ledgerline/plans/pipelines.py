@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline import sinks
-from ledgerline.operators import backtest, clean, features, metrics, quality, validation
+from ledgerline.operators import backtest, clean, features, metrics, quality, query, validation
 from ledgerline.operators.kernels import Config
 from ledgerline.sources import catalog as symbols_
-from ledgerline.sources.files import VendorCsv, unchanged
+from ledgerline.sources.files import VendorCsv, bars_table, features_table, signals_only, unchanged
 
 DEFAULT = ("ITC",)
 
@@ -34,29 +35,33 @@ def _keys(symbols) -> list[str]:
     return [s.upper() for s in names]
 
 
-def data(spark: SparkSession, root: str, symbols=DEFAULT, known=symbols_.SYMBOLS) -> Outcome:
+def data(spark: SparkSession, root: str, symbols=DEFAULT, known=symbols_.SYMBOLS, fmt: str = "parquet") -> Outcome:
     """Raw vendor files to canonical bars, issues and quality reports; a FAIL makes it not ok."""
-    out, raw, seen = Outcome(), None, {}
+    out, raw, seen, about = Outcome(), None, {}, {}
     for s in _keys(symbols):
         path = symbols_.paths(root, s, known)["raw"]
-        df, report = VendorCsv().load(spark, path, s)
-        seen[path] = report.sha256
+        df, source = VendorCsv().load(spark, path, s)
+        seen[path] = source.sha256
+        about[s] = (path.rsplit("/", 1)[-1], source.sha256, *clean.absent(df.columns))
         df = clean.numbered(df)
         raw = df if raw is None else raw.unionByName(df, allowMissingColumns=True)
     c = clean.clean(raw)
     bars = c.bars.persist()
     out.written.append(f"{root}/processed/stocks")
-    sinks.write_bars(bars, out.written[-1])
+    sinks.write_bars(bars, out.written[-1], fmt)
     c.issues.write.mode("overwrite").partitionBy("symbol").parquet(f"{root}/reports/issues")
-    report = quality.report(bars).join(c.counts, "symbol").persist()
+    issues = spark.read.schema(c.issues.schema).parquet(f"{root}/reports/issues").groupBy("symbol").agg(F.count("*").alias("n_issues"))
+    notes = quality.notes(spark, {s: (warnings, errors) for s, (_, _, warnings, errors) in about.items()})
+    files = spark.createDataFrame([(s, name, digest) for s, (name, digest, *_) in about.items()], "symbol string, source_filename string, sha256 string")
+    report = quality.report(bars, notes).join(c.counts, "symbol").join(F.broadcast(files), "symbol")  # a row per symbol asked for
+    report = report.join(issues, "symbol", "left").withColumn("n_issues", F.coalesce("n_issues", F.lit(0))).persist()
     sinks.write_json(report, f"{root}/reports/quality")
     # Not by symbol: a table without rows then still has a file with its columns.
     broken = {"quality_ohlc": quality.violation_rows(bars), "quality_change": quality.mismatch_rows(bars)}
     for name, rows in broken.items():
         rows.write.mode("overwrite").parquet(f"{root}/reports/{name}")
     out.status = {r.symbol: r.status for r in report.select("symbol", "status").collect()}
-    text = sinks.quality_markdown(report, quality.ohlc_violations(bars), quality.change_mismatches(bars.where("date is not null")))
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/reports/quality_markdown")
+    sinks.write_document(sinks.quality_markdown(report, *broken.values()), f"{root}/reports/quality_markdown")
     out.written += [f"{root}/reports/{n}" for n in ("issues", "quality", *broken, "quality_markdown")]
     out.ok = quality.FAIL not in out.status.values() and all(unchanged(spark, p, h) for p, h in seen.items())
     bars.unpersist()
@@ -64,54 +69,73 @@ def data(spark: SparkSession, root: str, symbols=DEFAULT, known=symbols_.SYMBOLS
     return out
 
 
-def _read(spark: SparkSession, path: str, symbols) -> DataFrame:
+def _of(df: DataFrame, symbols) -> DataFrame:
     """Partition pruning keeps other symbols' files unread."""
-    return spark.read.parquet(path).where(F.col("symbol").isin(_keys(symbols)))
+    return df.where(F.col("symbol").isin(_keys(symbols)))
 
 
-def signals(spark: SparkSession, root: str, symbols=DEFAULT) -> Outcome:
-    table = features.signal_table(_read(spark, f"{root}/processed/stocks", symbols))
+def signals(spark: SparkSession, root: str, symbols=DEFAULT, fmt: str = "parquet") -> Outcome:
+    table = features.signal_table(_of(bars_table(spark, f"{root}/processed/stocks", fmt), symbols))
     path = f"{root}/features/stocks"
-    sinks.write_features(table, path)
-    kept = spark.read.parquet(path)
+    sinks.write_features(table, path, fmt)
+    kept = signals_only(spark, path, fmt)
     return Outcome([path], {r.symbol: f"{r.n_long} LONG" for r in features.signal_summary(kept).collect()})
 
 
-def backtests(spark: SparkSession, root: str, symbols=DEFAULT, capital: float = 100_000.0, risk_per_trade: float = 0.01, slippage: float = 0.0005, commission: float = 0.0005, atr_multiplier: float = 2.0) -> Outcome:
-    config = Config(capital, risk_per_trade, atr_multiplier, slippage, commission)
-    runs = backtest.config_table(spark, {"full": config})
-    tagged = backtest.run_backtests(_read(spark, f"{root}/features/stocks", symbols), runs).persist()
+def backtests(spark: SparkSession, root: str, symbols=DEFAULT, capital: float = 100_000.0, risk_per_trade: float = 0.01, slippage: float = 0.0005, commission: float = 0.0005, atr_multiplier: float = 2.0, fmt: str = "parquet") -> Outcome:
+    configs = {validation.FULL: Config(capital, risk_per_trade, atr_multiplier, slippage, commission)}
+    tagged = backtest.run_backtests(_of(features_table(spark, f"{root}/features/stocks", fmt), symbols), configs).persist()
     where = f"{root}/backtests"
     sinks.write_csv(sinks.trade_rows(backtest.trades(tagged)), f"{where}/trades")
-    sinks.write_csv(backtest.equity(tagged).select("symbol", *(c for c in sinks.equity_rows(backtest.equity(tagged)).columns)), f"{where}/equity")
+    curve = backtest.equity(tagged)
+    sinks.write_csv(curve.select("symbol", *sinks.equity_columns()), f"{where}/equity")
     backtest.skips(tagged).write.mode("overwrite").parquet(f"{where}/skips")
-    summary = metrics.with_counts_and_config(metrics.metrics(tagged), tagged, runs)
+    summary = metrics.with_counts_and_config(metrics.metrics(tagged), tagged, backtest.config_table(spark, configs)).persist()
     sinks.write_json(summary, f"{where}/summary")
-    spark.createDataFrame([(sinks.backtest_markdown(metrics.metrics(tagged)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{where}/markdown")
+    sinks.write_document(sinks.backtest_markdown(summary), f"{where}/markdown")
     out = Outcome([f"{where}/{n}" for n in ("trades", "equity", "skips", "summary", "markdown")], {r.symbol: f"{r.num_trades} trades" for r in summary.select("symbol", "num_trades").collect()})
     tagged.unpersist()
+    summary.unpersist()
     return out
 
 
-def validate(spark: SparkSession, root: str, symbols=DEFAULT, initial_dev_years: int = 3, step_months: int = 6, test_months: int = 6, config: Config = Config()) -> Outcome:  # noqa: B008
-    table = _read(spark, f"{root}/features/stocks", symbols)
-    full = metrics.metrics(backtest.run_backtests(table, backtest.config_table(spark, {"full": config}))).persist()
+def validate(spark: SparkSession, root: str, symbols=DEFAULT, initial_dev_years: int = 3, step_months: int = 6, test_months: int = 6, config: Config = Config(), fmt: str = "parquet") -> Outcome:  # noqa: B008
+    """The full run, the windows and the grid in one pass over the bars, and what follows from them."""
+    table = _of(features_table(spark, f"{root}/features/stocks", fmt), symbols)
     windows = validation.splits(table, initial_dev_years, step_months, test_months).persist()
-    walked = validation.walk_forward(table, windows, config).persist()
-    points = validation.sensitivity(table, config).persist()
+    done = validation.all_runs(table, windows, config).persist()  # a row per symbol and run
+    walked, points, full = validation.walk_of(done, windows, config), validation.points_of(done, config), validation.full_of(done)
     rolled, held = validation.rollup(walked), validation.buy_hold(table, config=config)
     where, out = f"{root}/validation", Outcome()
-    for name, df in {"splits": sinks.splits_json(windows), "walkforward": sinks.walk_forward_json(walked), "sensitivity": sinks.sensitivity_json(points)}.items():
+    for name, df in {"splits": sinks.splits_json(windows), "walkforward": sinks.walk_forward_json(walked), "sensitivity": sinks.sensitivity_json(points), "windows": walked, "points": points}.items():
         df.write.mode("overwrite").parquet(f"{where}/{name}")
         out.written.append(f"{where}/{name}")
-    gates = validation.gate_violations(walked, points, full).persist()
+    gates = validation.gate_violations(walked, points, full)
     summary = rolled.join(held.select("symbol", F.struct(*(c for c in held.columns if c != "symbol")).alias("buy_and_hold")), "symbol").join(gates.groupBy("symbol").agg(F.sum("violations").alias("gate_violations")), "symbol", "left")
     sinks.write_json(summary, f"{where}/summary")
-    spark.createDataFrame([(sinks.validation_markdown(rolled, walked, points),)], "value string").coalesce(1).write.mode("overwrite").text(f"{where}/markdown")
+    sinks.write_document(sinks.validation_markdown(rolled, walked, points), f"{where}/markdown")
     out.written += [f"{where}/summary", f"{where}/markdown"]
     try:
         validation.check_gates(gates)
         out.status = {"gates": "PASSED"}
     except validation.IntegrityError as e:
         out.status, out.ok = {"gates": str(e)}, False
+    windows.unpersist()
+    done.unpersist()
     return out
+
+
+def context(spark: SparkSession, root: str) -> DataFrame:
+    """The research context of all symbols, from what the plans wrote."""
+    where = {"backtest summary": "backtests/summary", "data quality report": "reports/quality", "walk-forward summary": "validation/summary", "walk-forward windows": "validation/windows", "sensitivity": "validation/points"}
+    read = {name: _or_none(spark, f"{root}/{path}", "parquet" if path.endswith(("windows", "points")) else "json") for name, path in where.items()}
+    if (walked := read["walk-forward windows"]) is not None:
+        read["walk-forward windows"] = query.narrow_windows(walked)
+    return query.research_context(read)
+
+
+def _or_none(spark: SparkSession, path: str, fmt: str) -> DataFrame | None:
+    try:
+        return spark.read.format(fmt).load(path)
+    except AnalysisException:
+        return None

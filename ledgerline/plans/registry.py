@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline import sinks
 from ledgerline.functions import parse
 from ledgerline.functions.indicators import by_symbol, with_windowed
 from ledgerline.functions.parse import rounded
@@ -39,12 +40,13 @@ def _signals(spark: SparkSession, d: str, orders: bool = False) -> DataFrame:
     return features.signals(features.features(bars_orders(spark, d) if orders else bars_events(spark, d)))
 
 
-def _runs(spark: SparkSession) -> DataFrame:
-    return backtest.config_table(spark, {"full": Config()})
+#: A run over all bars with the default configuration, and one with another.
+FULL = {validation.FULL: Config()}
+OTHER = Config(50_000.0, 0.02, 3.0, 0.001, 0.002)
 
 
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
-    return backtest.run_backtests(_signals(spark, d), _runs(spark))
+    return backtest.run_backtests(_signals(spark, d), FULL)
 
 
 def _trades(spark: SparkSession, d: str) -> DataFrame:
@@ -113,12 +115,40 @@ def q_missing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_change_pct(spark: SparkSession, d: str) -> DataFrame:
-    dated = _cleaned(spark, d).bars.where("date is not null")
-    return plain(quality.change_mismatches(dated).select("symbol", "date", "computed", "difference"))
+    return plain(quality.change_mismatches(_cleaned(spark, d).bars).select("symbol", "_src_row", "date", "computed", "difference"))
+
+
+STATUS = ("symbol", "rows", "invalid_dates", "date_min", "date_max", "missing", "zero", "negative", "n_ohlc", "n_backward", "n_change", "status")
 
 
 def q_status(spark: SparkSession, d: str) -> DataFrame:
-    return plain(quality.report(_cleaned(spark, d).bars.where("date is not null")).select("symbol", "rows", "invalid_dates", "date_min", "date_max", "missing", "zero", "negative", "n_ohlc", "n_change", "status"))
+    return plain(quality.report(_cleaned(spark, d).bars).select(*STATUS))
+
+
+def q_drift(spark: SparkSession, d: str) -> DataFrame:
+    """The report of a source without volumes and with a column too many: warnings, and their status."""
+    done = clean.clean(raw_events(spark, d).drop("Vol."))
+    told = lambda x, name: F.array(*map(F.lit, x)).cast("array<string>").alias(name)
+    about = done.counts.select("symbol", told(done.warnings, "cleaning_warnings"), told(done.errors, "cleaning_errors"))
+    text = [F.array_join(c, "; ").alias(c) for c in ("missing_columns", "unexpected_columns", "cleaning_warnings", "cleaning_errors")]
+    return plain(quality.report(done.bars.withColumn("note", F.lit("x")), about).select("symbol", "rows", "missing", *text, "status"))
+
+
+def q_lacking(spark: SparkSession, d: str) -> DataFrame:
+    """The report of bars without two canonical columns."""
+    done = quality.report(_cleaned(spark, d).bars.drop("volume", "open"))
+    text = F.array_join("missing_columns", "; ").alias("missing_columns")
+    counts = [F.col("missing_counts")[c].alias(f"missing_{c}") for c in ("open", "close", "volume")]
+    return plain(done.select("symbol", "rows", text, *counts, "n_ohlc", "status"))
+
+
+def q_report(spark: SparkSession, d: str) -> DataFrame:
+    """The reader's view of the whole report."""
+    done = _cleaned(spark, d)
+    issues = done.issues.groupBy("symbol").agg(F.count("*").alias("n_issues"))
+    whole = quality.report(done.bars).join(done.counts, "symbol").join(issues, "symbol", "left")
+    view = query.quality_view(whole.withColumn("n_issues", F.coalesce("n_issues", F.lit(0))))
+    return plain(view.withColumn("missing_close", F.col("missing_counts")["close"]).drop("missing_counts"))
 
 
 def q_monotonic(spark: SparkSession, d: str) -> DataFrame:
@@ -165,15 +195,139 @@ def sensitivity(spark: SparkSession, d: str) -> DataFrame:
     return plain(validation.sensitivity(_signals(spark, d)), 4)
 
 
+def _all_runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(walked, points, full) of one pass over the bars."""
+    windows = _windows(spark, d)
+    done = validation.all_runs(_signals(spark, d, orders=True), windows)
+    return validation.walk_of(done, windows), validation.points_of(done), validation.full_of(done)
+
+
 def gates(spark: SparkSession, d: str) -> DataFrame:
-    table = _signals(spark, d, orders=True)
-    full = metrics.metrics(backtest.run_backtests(table, _runs(spark)))
-    return validation.gate_violations(_walked(spark, d), validation.sensitivity(table), full)
+    return validation.gate_violations(*_all_runs(spark, d))
+
+
+def gates_broken(spark: SparkSession, d: str) -> DataFrame:
+    """The gates over windows and grid points that were made to break each of them."""
+    walked, points, full = _all_runs(spark, d)
+    k, own = F.col("window_index") % 6, F.col("symbol")
+    walked = walked.withColumns({
+        "dev_end": F.when(k == 1, F.col("test_start")).otherwise(F.col("dev_end")),
+        "test_start": F.when(k == 2, F.lit("1999-01-01").cast("date")).otherwise(F.col("test_start")),
+        "symbol": F.when(k == 3, F.lit(None).cast("string")).when(k == 4, F.lit("OTHER")).otherwise(own),
+        "final_equity": F.when(k == 5, F.lit(-1.0)).otherwise(F.col("final_equity")),
+        "max_drawdown_pct": F.when(k == 0, F.lit(5.0)).otherwise(F.col("max_drawdown_pct")),
+    })
+    points = points.withColumns({
+        "is_baseline": F.col("is_baseline") & (own != "1-URGENT"),
+        "num_trades": F.col("num_trades") + F.when(own == "2-HIGH", 1).otherwise(0),
+    })
+    return validation.gate_violations(walked, points, full)
+
+
+def metrics_other(spark: SparkSession, d: str) -> DataFrame:
+    """The metrics of a run with every parameter overridden."""
+    return plain(metrics.metrics(backtest.run_backtests(_signals(spark, d), {"other": OTHER})), 4)
+
+
+def config_echo(spark: SparkSession, d: str) -> DataFrame:
+    """What a summary says of its exits, its skipped signals and its configuration."""
+    configs = {"other": OTHER}
+    tagged = backtest.run_backtests(_signals(spark, d), configs)
+    whole = metrics.with_counts_and_config(metrics.metrics(tagged), tagged, backtest.config_table(spark, configs))
+    total = lambda c: F.aggregate(F.map_values(c), F.lit(0).cast("long"), lambda a, x: a + x)
+    return plain(whole.select("symbol", total("exit_reason_counts").alias("n_exits"), total("skip_reason_counts").alias("n_skips"), "backtest_config.*"), 4)
+
+
+def grid(spark: SparkSession, d: str) -> DataFrame:
+    return validation.grid_table(spark)
+
+
+def transaction_cost(spark: SparkSession, d: str) -> DataFrame:
+    c = backtest.total_transaction_cost(F.col("entry_price"), F.col("exit_price"), F.col("quantity"), F.lit(FULL[validation.FULL].commission_rate))
+    return plain(_trades(spark, d).select("symbol", "trade_id", c.alias("cost")), 4)
+
+
+def holding(spark: SparkSession, d: str) -> DataFrame:
+    days = parse.days_between(F.to_date("entry_date"), F.to_date("exit_date"))
+    return plain(_trades(spark, d).select("symbol", "trade_id", days.alias("days")))
+
+
+CUT = "1996-01-01"
+
+
+def slice_dev(spark: SparkSession, d: str) -> DataFrame:
+    return plain(validation.slice_dev(bars_orders(spark, d), F.lit(CUT).cast("date")))
+
+
+def slice_test(spark: SparkSession, d: str) -> DataFrame:
+    return plain(validation.slice_test(bars_orders(spark, d), F.lit(CUT).cast("date"), F.lit("1996-06-30").cast("date")))
+
+
+def catalog_table(spark: SparkSession, d: str) -> DataFrame:
+    from ledgerline.sources.catalog import catalog_table as table
+
+    return table(spark).select("symbol", "raw_file")
+
+
+def context_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The windows of the research context, one row each again."""
+    narrow = query.narrow_windows(_walked(spark, d))
+    return plain(narrow.select("symbol", "total_windows", "ok_windows", F.explode("windows_summary").alias("w")).select("symbol", "total_windows", "ok_windows", "w.*"), 4)
+
+
+def context_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Which artifacts the research context has of each symbol, and how many rows of each."""
+    walked = _walked(spark, d)
+    made = {"walk-forward summary": validation.rollup(walked), "walk-forward windows": walked, "nothing": None}
+    return query.research_context(made).select("symbol", F.col("place").cast("long").alias("place"), "source", F.json_array_length("text").cast("long").alias("n"))
+
+
+def json_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The walk-forward document of each symbol, read again."""
+    doc = sinks.walk_forward_json(_walked(spark, d))
+    part = F.from_json("json", "total_windows long, ok_windows long, windows array<struct<window_index:long,status:string,strategy:struct<num_trades:long,total_return_pct:double>,excess_return_pct:double>>")
+    read = doc.select("symbol", part.alias("j")).select("symbol", "j.total_windows", "j.ok_windows", F.explode("j.windows").alias("w"))
+    return plain(read.select("symbol", "total_windows", "ok_windows", "w.window_index", "w.status", "w.strategy.num_trades", "w.strategy.total_return_pct", "w.excess_return_pct"), 4)
+
+
+def json_splits(spark: SparkSession, d: str) -> DataFrame:
+    doc = sinks.splits_json(_windows(spark, d))
+    part = F.from_json("json", "total_windows long, windows array<struct<window_index:long,dev_rows:long,test_rows:long,status:string>>")
+    return doc.select("symbol", part.alias("j")).select("symbol", "j.total_windows", F.explode("j.windows").alias("w")).select("symbol", "total_windows", "w.*")
+
+
+def json_sensitivity(spark: SparkSession, d: str) -> DataFrame:
+    doc = sinks.sensitivity_json(validation.sensitivity(_signals(spark, d)))
+    part = F.explode(F.from_json("json", "array<struct<param_name:string,param_value:double,is_baseline:boolean,num_trades:long,final_equity:double>>"))
+    return plain(doc.select("symbol", part.alias("p")).select("symbol", "p.*"), 4)
+
+
+def report_lines(spark: SparkSession, d: str) -> DataFrame:
+    """How many lines of the validation report stand under each of its headings."""
+    walked = _walked(spark, d)
+    doc = sinks.validation_markdown(validation.rollup(walked), walked, validation.sensitivity(_signals(spark, d, orders=True)))
+    line = F.explode(F.split("value", "\n"))
+    rows = doc.select("symbol", line.alias("line")).where(F.col("line").startswith("| ") & ~F.col("line").rlike("^\\| (window_index|param_name|total_windows) "))
+    return rows.groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+def sink_trades(spark: SparkSession, d: str) -> DataFrame:
+    return plain(sinks.trade_rows(_trades(spark, d)).select("symbol", "trade_id", "entry_price", "initial_stop", "net_pnl", "return_pct"), 4)
+
+
+def sink_equity(spark: SparkSession, d: str) -> DataFrame:
+    return plain(backtest.equity(_tagged(spark, d)).select("symbol", *sinks.equity_columns()), 4)
+
+
+def lookup(spark: SparkSession, d: str) -> DataFrame:
+    """A symbol's summary, asked for in small letters."""
+    done = metrics.metrics(_tagged(spark, d)).withColumn("symbol", parse.symbol_key(F.col("symbol")))
+    return plain(query.lookup(done, SYMBOL).select("symbol", "num_trades", "final_equity"), 4)
 
 
 def overview(spark: SparkSession, d: str) -> DataFrame:
     table = _signals(spark, d)
-    done = metrics.metrics(backtest.run_backtests(table, _runs(spark))).select("symbol", "final_equity", "total_return_pct", "num_trades", "win_rate")
+    done = metrics.metrics(backtest.run_backtests(table, FULL)).select("symbol", "final_equity", "total_return_pct", "num_trades", "win_rate")
     return plain(query.overview(table, done), 4)
 
 
@@ -204,6 +358,9 @@ def queries() -> dict:
         "q_monotonic": q_monotonic,
         "q_change_pct": q_change_pct,
         "q_status": q_status,
+        "q_drift": q_drift,
+        "q_lacking": q_lacking,
+        "q_report": q_report,
         "sma": _windowed("sma20", "sma50"),
         "true_range": _windowed("true_range"),
         "avg_volume": _windowed("avg_volume_20"),
@@ -229,6 +386,24 @@ def queries() -> dict:
         "wf_rollup": wf_rollup,
         "sensitivity": sensitivity,
         "gates": gates,
+        "gates_broken": gates_broken,
+        "metrics_other": metrics_other,
+        "config_echo": config_echo,
+        "grid": grid,
+        "transaction_cost": transaction_cost,
+        "holding": holding,
+        "slice_dev": slice_dev,
+        "slice_test": slice_test,
+        "catalog": catalog_table,
+        "context_windows": context_windows,
+        "context_sources": context_sources,
+        "json_windows": json_windows,
+        "json_splits": json_splits,
+        "json_sensitivity": json_sensitivity,
+        "report_lines": report_lines,
+        "sink_trades": sink_trades,
+        "sink_equity": sink_equity,
+        "lookup": lookup,
         "ohlcv_range": lambda s, d: plain(query.ohlcv(bars_events(s, d), SYMBOL, LOW, HIGH)),
         "features_range": lambda s, d: plain(query.feature_range(_signals(s, d), SYMBOL, LOW, HIGH)),
         "overview": overview,

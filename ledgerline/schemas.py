@@ -21,6 +21,7 @@ TRADE_FIELDS = (
 )
 EQUITY_FIELDS = (("date", "string"), ("cash", "double"), ("position_quantity", "long"), ("position_market_value", "double"), ("equity", "double"))
 SKIP_FIELDS = (("signal_date", "string"), ("reason", "string"), ("detail", "string"))
+SPAN_FIELDS = (("start_date", "string"), ("end_date", "string"), ("first_open", "double"), ("last_close", "double"), ("n", "long"))
 CONFIG_FIELDS = (("run_id", "string"), ("initial_capital", "double"), ("risk_per_trade", "double"), ("atr_multiplier", "double"), ("slippage_rate", "double"), ("commission_rate", "double"))
 
 

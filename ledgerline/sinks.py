@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.schemas import BAR_COLUMNS, EQUITY_FIELDS, SIGNAL_COLUMNS, TRADE_FIELDS
 
+#: Broken rows that a Markdown report shows.
 FIRST = 20
 
 
@@ -34,8 +37,12 @@ def trade_rows(ledger: DataFrame) -> DataFrame:
     return ledger.select(out[0], "symbol", *out[1:])
 
 
+def equity_columns() -> list:
+    return [(F.round(n, 4) if k == "double" else F.col(n)).alias(n) for n, k in EQUITY_FIELDS]
+
+
 def equity_rows(curve: DataFrame) -> DataFrame:
-    return curve.select(*((F.round(n, 4) if k == "double" else F.col(n)).alias(n) for n, k in EQUITY_FIELDS))
+    return curve.select(*equity_columns())
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -74,30 +81,50 @@ def sensitivity_json(points: DataFrame) -> DataFrame:
     return points.groupBy("symbol").agg(F.to_json(F.array_sort(F.collect_list(p)), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def first_rows(df: DataFrame, order: str, n: int = FIRST) -> list:
-    """A report's sample: the n first rows; a top-k, not a collect."""
-    return df.orderBy(order).limit(n).collect()
+def section(df: DataFrame, title: str, columns: tuple[str, ...], order: tuple[str, ...], first: int | None = None) -> DataFrame:
+    """(symbol, text): a Markdown table of a symbol's rows; of its first few where a report shows a
+    sample. A symbol's rows are as many as its windows, grid points or runs."""
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |"))
+    if first is not None:
+        df = df.withColumn("_nth", F.row_number().over(Window.partitionBy("symbol").orderBy(*order))).where(F.col("_nth") <= first)
+    lines = F.array_sort(F.collect_list(F.struct(*(F.col(c).alias(f"_{k}") for k, c in enumerate(order)), line.alias("line"))))
+    head = f"## {title}\n\n| {' | '.join(columns)} |\n|{'---|' * len(columns)}\n"
+    return df.groupBy("symbol").agg(F.concat(F.lit(head), F.array_join(F.transform(lines, lambda x: x["line"]), "\n")).alias("text"))
+
+
+def document(title: str, *sections: DataFrame) -> DataFrame:
+    """(symbol, value): the sections of a symbol's report, in order."""
+    rows = reduce(DataFrame.unionByName, (s.withColumn("place", F.lit(k)) for k, s in enumerate(sections)))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])
+    return rows.groupBy("symbol").agg(F.concat(F.format_string(f"# {title}: %s\n\n", "symbol"), F.array_join(texts, "\n\n"), F.lit("\n")).alias("value"))
 
 
-def markdown_table(rows: list, columns: tuple[str, ...]) -> str:
-    lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    return "\n".join(lines + ["| " + " | ".join("" if r[c] is None else str(r[c]) for c in columns) + " |" for r in rows])
+def write_document(doc: DataFrame, path: str) -> None:
+    doc.write.mode("overwrite").partitionBy("symbol").text(path)
 
 
-def quality_markdown(summary: DataFrame, violations: DataFrame, mismatches: DataFrame) -> str:
-    parts = ["# Data quality", markdown_table(first_rows(summary, "symbol", 1000), ("symbol", "rows", "date_min", "date_max", "status"))]
-    parts += ["## OHLC violations", markdown_table(first_rows(violations, "date"), ("date", "symbol", "violated_rules"))]
-    parts += ["## Change mismatches", markdown_table(first_rows(mismatches, "date"), ("date", "symbol", "computed", "change_pct_src"))]
-    return "\n\n".join(parts) + "\n"
+def quality_markdown(summary: DataFrame, violations: DataFrame, mismatches: DataFrame) -> DataFrame:
+    """Counts of cleaning and checks; of the broken rows the first FIRST, as they have no bound."""
+    counts = section(summary, "Status", ("rows", "date_min", "date_max", "status"), ("symbol",))
+    cleaning = section(summary, "Cleaning", ("original_rows", "final_rows", "removed_rows", "exact_duplicates", "duplicate_dates", "n_issues"), ("symbol",))
+    checks = section(summary, "Checks", ("invalid_dates", "missing", "zero", "negative", "n_ohlc", "n_backward", "n_change"), ("symbol",))
+    rules = violations.withColumn("rules", F.array_join("violated_rules", ", "))
+    broken = section(rules, "OHLC violations", ("date", "open", "high", "low", "close", "rules"), ("date", "rules"), FIRST)
+    changes = section(mismatches, "Change mismatches", ("date", "computed", "change_pct_src", "difference"), ("date", "difference"), FIRST)
+    return document("Data quality", counts, cleaning, checks, broken, changes)
 
 
-def backtest_markdown(summary: DataFrame) -> str:
-    columns = ("symbol", "run_id", "initial_capital", "final_equity", "total_return_pct", "num_trades", "win_rate", "profit_factor", "max_drawdown_pct", "exposure_pct")
-    return "# Backtests\n\n" + markdown_table(first_rows(summary, "symbol", 1000), columns) + "\n"
+def backtest_markdown(summary: DataFrame) -> DataFrame:
+    columns = ("run_id", "initial_capital", "final_equity", "total_return_pct", "num_trades", "win_rate", "profit_factor", "max_drawdown_pct", "exposure_pct")
+    return document("Backtest", section(summary, "Runs", columns, ("run_id",)))
 
 
-def validation_markdown(rolled: DataFrame, windows: DataFrame, points: DataFrame) -> str:
-    parts = ["# Validation", markdown_table(first_rows(rolled, "symbol", 1000), tuple(rolled.columns))]
-    parts += ["## Windows", markdown_table(first_rows(windows, "window_index", 1000), ("symbol", "window_index", "test_start", "test_end", "status", "total_return_pct", "bh_total_return_pct", "excess_return_pct"))]
-    parts += ["## Sensitivity", markdown_table(first_rows(points, "param_name", 1000), ("symbol", "param_name", "param_value", "num_trades", "total_return_pct"))]
-    return "\n\n".join(parts) + "\n"
+def validation_markdown(rolled: DataFrame, windows: DataFrame, points: DataFrame) -> DataFrame:
+    """Every window and every grid point."""
+    return document(
+        "Validation",
+        section(rolled, "Summary", tuple(c for c in rolled.columns if c != "symbol"), ("symbol",)),
+        section(windows, "Windows", ("window_index", "test_start", "test_end", "status", "total_return_pct", "bh_total_return_pct", "excess_return_pct"), ("window_index",)),
+        section(points, "Sensitivity", ("param_name", "param_value", "num_trades", "total_return_pct"), ("param_name", "param_value")),
+    )

@@ -30,8 +30,15 @@ class SourceReport:
 
 
 def sha256_of(spark: SparkSession, path: str) -> str:
-    """The digest of one file, computed where the file is read."""
-    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+    """The digest of one file of any size: a digest has no parallel form, so one stream is read in
+    small pieces, through the file system that Spark reads it by."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(context._jsc.hadoopConfiguration()).open(where)
+    try:
+        return context._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
 
 
 def unchanged(spark: SparkSession, path: str, sha256: str) -> bool:
@@ -88,17 +95,25 @@ class VendorCsv(Source):
         return df.withColumn("symbol", F.lit(symbol.upper())), report
 
 
-def bars_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(BARS).option("header", True).csv(path)
+def bars_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Canonical bars, partitioned by symbol; text files are read with the table's types."""
+    return _typed(spark, path, BARS, fmt)
+
+
+def features_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """The 21 columns of the feature table, partitioned by symbol."""
+    return _typed(spark, path, FEATURES, fmt)
 
 
-def features_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(FEATURES).option("header", True).csv(path)
+def _typed(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
+    reader = spark.read.schema(schema)
+    df = reader.option("header", True).option("enforceSchema", False).csv(path) if fmt == "csv" else reader.parquet(path)
+    return df.select(*schema.names)
 
 
-def signals_only(spark: SparkSession, path: str) -> DataFrame:
-    """Only date and signal reach the scan."""
-    return spark.read.option("header", True).csv(path).select("date", "signal") if path.endswith(".csv") else spark.read.parquet(path).select("date", "signal")
+def signals_only(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Of the feature table, what an overview reads: no other column reaches the scan."""
+    return features_table(spark, path, fmt).select("symbol", "date", "signal")
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None, strict: bool = False) -> DataFrame | None:

@@ -42,9 +42,13 @@ def test_clean_keeps_the_first_and_reports(spark):
     assert (counts.original_rows, counts.exact_duplicates, counts.duplicate_dates, counts.duplicate_date_rows, counts.final_rows, counts.removed_rows) == (6, 1, 1, 1, 4, 2)
     kept = {r._src_row: r for r in c.bars.collect()}
     assert sorted(kept) == [0, 3, 4, 5] and kept[0].close == 100.0 and kept[0].symbol == "ABC"
-    assert {(r.row_index, r.field, r.reason) for r in c.issues.collect()} == {(1, "row", "exact duplicate"), (2, "row", "duplicate date"), (3, "Date", "unparseable"), (3, "Vol.", "unparseable"), (5, "Price", "unparseable")}
+    assert {(r.row_index, r.field, r.reason) for r in c.issues.collect()} == {(None, "row", "1 exact duplicates"), (None, "Date", "date of 2 rows"), (1, "row", "exact duplicate"), (2, "row", "duplicate date"), (3, "Date", "unparseable"), (3, "Vol.", "unparseable"), (5, "Price", "unparseable")}
     with pytest.raises(ValueError):
-        clean.clean(raw(spark, rows).drop("Price"), "ABC")
+        clean.clean(raw(spark, rows).drop("Date"), "ABC")
+    lacking = clean.clean(raw(spark, rows).drop("Price", "Vol."), "ABC")
+    assert lacking.errors == ["no column Price"] and lacking.warnings == ["no column Vol.: volume is null"]
+    about = quality.notes(spark, {"ABC": (lacking.warnings, lacking.errors)})
+    assert quality.report(lacking.bars, about).first().status == "FAIL"
     assert clean.clean(raw(spark, rows).drop("Vol."), "ABC").bars.where("volume is not null").count() == 0
 
 
@@ -104,17 +108,17 @@ def test_conditions(spark):
 
 def test_metrics_and_reports(spark):
     t = features.signal_table(frame(spark, 120, price=lambda i: 100 + i * 0.5 + (3 if i % 10 == 0 else 0))).withColumn("signal", F.when(F.dayofmonth("date") == 5, "LONG").otherwise("NO_SIGNAL"))
-    runs = backtest.config_table(spark, {"full": Config()})
-    tagged = backtest.run_backtests(t, runs).cache()
+    configs = {"full": Config()}
+    tagged = backtest.run_backtests(t, configs).cache()
     m = metrics.metrics(tagged).first()
     ledger = backtest.trades(tagged).collect()
     assert m.num_trades == len(ledger) > 0 and m.final_equity == pytest.approx(100_000 + sum(x.net_pnl for x in ledger), abs=1e-3)
-    whole = metrics.with_counts_and_config(metrics.metrics(tagged), tagged, runs).first()
+    whole = metrics.with_counts_and_config(metrics.metrics(tagged), tagged, backtest.config_table(spark, configs)).first()
     assert sum(whole.exit_reason_counts.values()) == m.num_trades and whole.backtest_config.risk_per_trade == 0.01
     rows = sinks.trade_rows(backtest.trades(tagged)).collect()
     assert rows[0].return_pct == pytest.approx(ledger[0].return_pct * 100, abs=1e-4)
-    assert "| A | full |" in sinks.backtest_markdown(metrics.metrics(tagged))
-    none = backtest.run_backtests(t.withColumn("signal", F.lit("NO_SIGNAL")), runs)
+    assert "| full |" in sinks.backtest_markdown(metrics.metrics(tagged)).where("symbol = 'A'").first().value
+    none = backtest.run_backtests(t.withColumn("signal", F.lit("NO_SIGNAL")), configs)
     z = metrics.metrics(none).first()
     assert (z.num_trades, z.win_rate, z.profit_factor, z.final_equity, z.max_drawdown_pct) == (0, None, None, 100000.0, 0.0)
     down = spark.createDataFrame([("A", "r", f"{i}", e) for i, e in enumerate((100e3, 110e3, 88e3, 95e3))], "symbol string, run_id string, date string, equity double")
@@ -136,20 +140,37 @@ def test_splits_and_walk_forward(spark):
     assert all(r.excess_return_pct == pytest.approx(r.total_return_pct - r.bh_total_return_pct, abs=1e-4) for r in rows)
     points = validation.sensitivity(table)
     assert points.count() == 11 and {r.param_name for r in points.where("is_baseline").collect()} == set(validation.GRID)
-    full = metrics.metrics(backtest.run_backtests(table, backtest.config_table(spark, {"full": Config()})))
+    full = metrics.metrics(backtest.run_backtests(table, {"full": Config()}))
     gates = validation.gate_violations(done, points, full)
     assert gates.count() == 5
     validation.check_gates(gates)
     for change, gate in (({"dev_end": F.col("test_start")}, "NO_OVERLAP"), ({"test_start": F.lit(dt.date(2000, 1, 1)), "dev_end": F.lit(dt.date(1999, 1, 1))}, "CHRONOLOGICAL"), ({"final_equity": F.lit(-1.0)}, "VALID_METRICS")):
         with pytest.raises(validation.IntegrityError, match=gate):
             validation.check_gates(validation.gate_violations(done.withColumns(change), points, full))
+    for symbol in (None, "OTHER"):
+        foreign = done.withColumn("symbol", F.when(F.col("window_index") == 0, F.lit(symbol).cast("string")).otherwise(F.col("symbol")))
+        with pytest.raises(validation.IntegrityError, match="SYMBOL_ISOLATION: 1 "):
+            validation.check_gates(validation.gate_violations(foreign, points, full))
+    # A window with too few bars is held to its symbol only.
+    short = done.withColumns({"status": F.lit("INSUFFICIENT_DATA"), "dev_end": F.col("test_start"), "final_equity": F.lit(-1.0)})
+    validation.check_gates(validation.gate_violations(short, points, full))
+    # One pass over the bars gives the same rows.
+    whole = validation.all_runs(table, windows).cache()
+    assert sorted(validation.walk_of(whole, windows).collect()) == sorted(rows) and sorted(validation.points_of(whole).collect()) == sorted(points.collect())
+    assert sorted(validation.full_of(whole).collect()) == sorted(full.collect())
     with pytest.raises(validation.IntegrityError, match="SENSITIVITY"):
         validation.check_gates(validation.gate_violations(done, points.where("not is_baseline"), full))
     assert validation.rollup(done).first().total_windows == len(rows)
     with pytest.raises(ValueError):
         validation.variant(Config(), "nothing", 1.0)
     assert '"buy_and_hold"' in sinks.walk_forward_json(done).first().json and '"window_index"' in sinks.splits_json(windows).first().json and '"is_baseline"' in sinks.sensitivity_json(points).first().json
-    assert "## Sensitivity" in sinks.validation_markdown(validation.rollup(done), done, points)
+    text = sinks.validation_markdown(validation.rollup(done), done, points).first().value
+    assert text.index("## Summary") < text.index("## Windows") < text.index("## Sensitivity")
+    assert text.count("| ") >= len(rows) + 11 and all(str(r.test_end) in text for r in rows)
+    # A report has every window, however many; only broken rows are a sample.
+    lots = spark.range(1500).select(F.lit("A").alias("symbol"), F.col("id").alias("window_index"))
+    assert len(sinks.section(lots, "Windows", ("window_index",), ("window_index",)).first().text.splitlines()) == 1504
+    assert len(sinks.section(lots, "Windows", ("window_index",), ("window_index",), 20).first().text.splitlines()) == 24
 
 
 def test_buy_hold(spark):
@@ -175,8 +196,12 @@ def test_read_surface(spark):
     with pytest.raises(catalog.DataNotAvailable):
         catalog.guard(t, "tcs")
     assert [r.symbol for r in catalog.available(t, spark.createDataFrame([("A",), ("Z",)], "symbol string")).collect()] == ["A"]
-    text, names = query.research_context({"summary": t.limit(1), "gone": None})
-    assert names == ["summary"] and text.startswith("## summary")
+    windows = spark.createDataFrame([("A", i, "2020-01-01", "2020-06-30", "OK", 1.0 * i, 2.0) for i in range(35)], "symbol string, window_index long, test_start string, test_end string, status string, total_return_pct double, bh_total_return_pct double")
+    context = query.research_context({"summary": t.where("symbol = 'A'").limit(1), "gone": None, "windows": query.narrow_windows(windows)})
+    text, names = query.context_text(context, "A")
+    assert names == ["summary", "windows"] and text.startswith("## summary") and text.count("test_range") == 35
+    with pytest.raises(ValueError):
+        query.research_context({"gone": None})
 
 
 def test_files(spark, tmp_path):
@@ -199,6 +224,14 @@ def test_files(spark, tmp_path):
     t = features.signal_table(frame(spark, 5))
     sinks.write_features(t, str(tmp_path / "f"))
     assert spark.read.parquet(str(tmp_path / "f")).where("symbol = 'A'").count() == 5
+    assert sorted(files.features_table(spark, str(tmp_path / "f")).collect()) == sorted(t.collect())
+    sinks.write_features(t, str(tmp_path / "fc"), "csv")
+    typed = files.features_table(spark, str(tmp_path / "fc"), "csv")
+    assert typed.schema == files.FEATURES and sorted(typed.collect()) == sorted(t.collect())
+    assert sorted(files.signals_only(spark, str(tmp_path / "fc"), "csv").collect()) == sorted(t.select("symbol", "date", "signal").collect())
+    b = frame(spark, 4)
+    sinks.write_bars(b, str(tmp_path / "bc"), "csv")
+    assert sorted(files.bars_table(spark, str(tmp_path / "bc"), "csv").collect()) == sorted(b.collect())
     sinks.write_csv(t.where("false"), str(tmp_path / "e"))
     assert "signal" in "".join(p.read_text() for p in (tmp_path / "e").glob("*.csv"))
     assert files.read_json(spark, str(tmp_path / "no.json")) is None
@@ -218,8 +251,8 @@ def test_streaming_bars_equal_batch(spark, sf, tmp_path):
     q = streaming_bars(stream).writeStream.outputMode("complete").format("memory").queryName("bars_out").start()
     q.processAllAvailable()
     q.stop()
-    assert spark.table("bars_out").count() == streaming_bars(events).count() > 0
     bars = streaming_bars(events)
+    assert sorted(spark.table("bars_out").collect()) == sorted(bars.collect()) and not bars.isEmpty()
     bars.repartition(1).write.parquet(str(tmp_path / "bars" / "a"))
     s = spark.readStream.schema(bars.schema).parquet(str(tmp_path / "bars" / "*"))
     q = streaming_averages(s).writeStream.outputMode("append").format("memory").queryName("avg_out").start()

@@ -1,12 +1,14 @@
 """Files in, artifacts out: the four plans over two symbols."""
 
 import datetime as dt
+import hashlib
 import random
 
 import pytest
 
 from ledgerline.__main__ import main
 from ledgerline.operators import query
+from ledgerline.plans import pipelines
 
 
 def write_raw(path, seed, n=1500):
@@ -40,6 +42,30 @@ def test_plans(spark, tmp_path, capsys):
     assert "gates: PASSED" in capsys.readouterr().out
     done = spark.read.json(f"{root}/validation/summary")
     assert done.count() == 2 and all(r.total_windows >= 2 for r in done.collect())
+    report = spark.read.json(f"{root}/reports/quality").where("symbol = 'TCS'").first()
+    assert report.source_filename == "TCS.csv" and report.sha256 == hashlib.sha256((tmp_path / "raw/stocks/TCS.csv").read_bytes()).hexdigest()
+    assert (report.original_rows, report.n_issues, report.cleaning_warnings) == (1500, 0, [])
+    assert len(query.quality_view(spark.read.json(f"{root}/reports/quality")).columns) == 20
+    pages = spark.read.text(f"{root}/validation/markdown").where("symbol = 'INFY'")
+    assert pages.where("value like '## Windows%'").count() == 1
+    text, names = query.context_text(pipelines.context(spark, root), "TCS")
+    assert names == ["backtest summary", "data quality report", "walk-forward summary", "walk-forward windows", "sensitivity"]
+    windows = next(r.total_windows for r in done.collect() if r.symbol == "TCS")
+    assert text.count("test_range") == windows
+
+
+def test_plans_over_text_files(spark, tmp_path):
+    """CSV between the plans gives what Parquet gives."""
+    write_raw(tmp_path / "raw/stocks/TCS.csv", 1, 700)
+    got = {}
+    for fmt in ("parquet", "csv"):
+        root = tmp_path / fmt
+        root.mkdir()
+        (root / "raw").symlink_to(tmp_path / "raw")
+        for plan in ("data", "signals", "backtest"):
+            assert main([plan, "--root", str(root), "--symbol", "TCS", "--format", fmt], spark) == 0
+        got[fmt] = spark.read.json(f"{root}/backtests/summary").drop("generated_at").collect()
+    assert got["csv"] == got["parquet"] and list(tmp_path.glob("csv/features/stocks/symbol=TCS/*.csv"))
 
 
 def test_all_broken_rows_are_written(spark, tmp_path):
