@@ -4,17 +4,21 @@ The training side is indexed: for each shard of documents, every term that occur
 benchmark gets a posting list of positions. A benchmark window is looked up by intersecting
 the lists of its terms, each shifted by the term's place in the window, from the rarest list
 on; what is left are exact phrase matches. Proximity matches ask the shifted lists for terms
-within ``slop`` positions instead.
+within ``slop`` positions instead: a window is near where a share of its terms is.
 
-Scale: the index is sharded by documents, so postings never move: one map over the scan, no
-shuffle. The benchmark is broadcast in blocks of at most ``block_bytes`` of text, checked
-before; with more than one block the documents' hits so far are written out between blocks, so
-neither the driver nor an executor holds more than one block.
+Scale: the index is sharded by documents and a shard's lists live as long as it is looked up, so
+postings never move: one map over the scan, no shuffle. The benchmark's windows are made on the
+driver and broadcast, in blocks of at most ``block_bytes`` of text, checked before: a window is 52
+bytes and there are fewer of them than bytes of text / 2. With more than one block the documents'
+hits so far are written out between blocks, so neither the driver nor an executor holds more than
+one block. Windows with a term that the shard lacks (for proximity: with too many) end there.
 
 Defined cases: null text has no words; an item or document without words matches nothing; an
 item of fewer than 13 words is one window; repeated items count by item id; repeated documents
-are rows of their own; null item ids are matched but not listed; empty tables give no hits or
-no rows; further columns are ignored.
+are rows of their own; null item ids are matched but not listed; of terms that are equally rare the
+first in the window is looked up first, which changes no match; very long texts are read whole; a
+word is told by 64 bits of hash; empty tables give no hits or no rows; further columns are kept,
+but for those named as the operator's own, in any case.
 """
 
 from __future__ import annotations
@@ -26,33 +30,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import LOWER, clean_text, cut, flat, table, tune, word_hashes, words_of
+from ledgerline.llm.common import LOWER, clean_text, cut, fields_of, flat, lean, others, table, tune, word_hashes, words_of
 
-WINDOW = 13
+WINDOW, SLOP, SHARE = 13, 1, 0.8
+#: Benchmark text of one block.
+BLOCK_BYTES = 4 << 20
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
 class Windows:
-    """Distinct windows of benchmark items as rows of term numbers."""
+    """Distinct windows of benchmark items as rows of term numbers; number n_terms fills a row up.
+    names: the item ids as text, sorted; those of window w are item[first[w] : first[w + 1]]."""
 
     def __init__(self, items: list, texts: list[str | None], width: int = WINDOW):
         data, at = flat(pa.array(texts, pa.string()))
         data = LOWER[data]
-        starts, ends, first = words_of(data, at, WORD)
-        hashes = word_hashes(data, starts, ends)
-        self.terms, numbers = np.unique(hashes, return_inverse=True)
-        rows: dict[tuple, set] = {}
-        for i, item in enumerate(items):
-            a, b = int(first[i]), int(first[i + 1])
-            size = min(width, b - a)
-            for s in range(a, b - size + 1) if size else ():
-                rows.setdefault(tuple(numbers[s : s + size].tolist()), set()).add(item)
-        self.size = np.array([len(r) for r in rows], np.int64)
-        self.words = np.full((len(rows), width), len(self.terms), np.int64)
-        for k, r in enumerate(rows):
-            self.words[k, : len(r)] = r
-        self.items = [sorted({str(x) for x in r if x is not None}) for r in rows.values()]
+        starts, ends, begin = words_of(data, at, WORD)
+        self.terms, number = np.unique(word_hashes(data, starts, ends), return_inverse=True)
+        n = np.diff(begin)
+        size = np.minimum(n, width)
+        count = np.where(n > 0, n - size + 1, 0)
+        owner = np.repeat(np.arange(len(n)), count)
+        start = np.repeat(begin[:-1] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        words = np.full((len(start), width), len(self.terms), np.int32)
+        for j in range(width):
+            inside = np.flatnonzero(j < size[owner])
+            words[inside, j] = number[start[inside] + j]
+        order = np.lexsort(words.T[::-1])
+        new = np.ones(len(order), bool)
+        new[1:] = (words[order[1:]] != words[order[:-1]]).any(axis=1)
+        self.words, self.size = words[order[new]], size[owner[order[new]]]
+        self.names = sorted({str(x) for x in items if x is not None})
+        known = {x: k for k, x in enumerate(self.names)}
+        name = np.array([-1 if x is None else known[str(x)] for x in items], np.int64)[owner[order]]
+        pair = np.unique(np.stack([np.cumsum(new) - 1, name])[:, name >= 0], axis=1) if len(order) else np.zeros((2, 0), np.int64)
+        self.item, self.first = pair[1], np.searchsorted(pair[0], np.arange(len(self.size) + 1))
+
+    def listed(self, doc: np.ndarray, window: np.ndarray, n_docs: int) -> list[list[str]]:
+        """The sorted item ids of each document's windows."""
+        n = np.diff(self.first)[window]
+        item = self.item[np.repeat(self.first[window] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        pairs = np.unique(np.stack([np.repeat(doc, n), item]), axis=1)
+        bounds = np.searchsorted(pairs[0], np.arange(n_docs + 1)).tolist()
+        return [[self.names[k] for k in pairs[1, a:b].tolist()] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 class Shard:
@@ -89,22 +110,22 @@ class Shard:
         inside = (start >= self.first[doc]) & (start + self.windows.size[window] <= self.first[doc + 1])
         return window[inside], start[inside]
 
-    def _order(self) -> tuple[np.ndarray, np.ndarray]:
-        """Windows whose every term occurs in the shard; their places, rarest list first."""
-        w = self.windows
-        length = np.append(np.diff(self.bounds), np.iinfo(np.int64).max)[w.words]
-        live = np.flatnonzero(length.min(axis=1, initial=1) > 0)
-        return live, np.argsort(length[live], axis=1, kind="stable")
+    def _live(self, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows of which the shard has at least so many terms; their places, rarest list first."""
+        w, n = self.windows, np.diff(self.bounds)
+        live = np.flatnonzero(np.append(n > 0, False)[w.words].sum(axis=1) >= least)
+        length = np.append(n, np.iinfo(np.int64).max)[w.words[live]]
+        return live, np.argsort(length, axis=1, kind="stable")
 
     def _holds(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
         """Whether each term's list holds the position."""
-        wanted = term * (len(self.term) + 1) + position
+        wanted = term.astype(np.int64) * (len(self.term) + 1) + position
         at = np.minimum(np.searchsorted(self.postings, wanted), len(self.postings) - 1)
         return self.postings[at] == wanted
 
     def phrases(self) -> tuple[np.ndarray, np.ndarray]:
         """(window, start) of all exact occurrences."""
-        live, order = self._order()
+        live, order = self._live(self.windows.size)
         if not len(live):
             return live, live
         window, start = self._candidates(live, order[:, 0])
@@ -122,31 +143,42 @@ class Shard:
     def near(self, slop: int, share: float) -> tuple[np.ndarray, np.ndarray]:
         """(window, start) of all starts where at least ``share`` of the window's terms, and one,
         stand within ``slop`` positions of their place; only the whole window's place has to lie in
-        the document. Of the rarest places one more than may be missing are looked up, absent terms
-        among them: any match holds one of these, whatever else is in the batch."""
+        the document. Any match holds, of the rarest places, two beyond those that may be missing
+        (one, where one term is enough), whatever else is in the shard."""
         w, n = self.windows, len(self.windows.terms)
-        length = np.append(np.diff(self.bounds), np.iinfo(np.int64).max)[w.words]
-        order = np.argsort(length, axis=1, kind="stable")
         needed = np.maximum(1, np.ceil(share * w.size)).astype(np.int64)
-        window, start = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for j in range(int((w.size - needed + 1).max(initial=0))):
-            live = np.flatnonzero(j < w.size - needed + 1)
-            more, at = self._candidates(live, order[live, j], slop)
-            both = np.unique(np.stack([np.append(window, more), np.append(start, at)]), axis=1)
-            window, start = both[0], both[1]
+        live, order = self._live(needed)
+        held = np.minimum(needed[live], 2)  # of so many places a candidate has to hold this many
+        looked = w.size[live] - needed[live] + held
+        found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for j in range(int(looked.max(initial=0))):
+            rows = np.flatnonzero(j < looked)
+            found.append(self._near_candidates(rows, live[rows], order[rows, j], slop))
+        row, start = (np.concatenate(x) for x in zip(*found))
+        key, times = np.unique(row * (len(self.term) + 1) + start, return_counts=True)
+        row, start = np.divmod(key, len(self.term) + 1)
+        keep = times >= held[row]
+        window, start = live[row[keep]], start[keep]
         doc = np.searchsorted(self.first, start, side="right") - 1
         padded = np.concatenate([np.full(slop, n + 1), self.term, np.full(slop + w.words.shape[1], n + 1)])
-        found = np.zeros(len(window), np.int64)
+        count = np.zeros(len(window), np.int64)
         for j in range(w.words.shape[1]):
             want = np.where(j < w.size[window], w.words[window, j], -1)
             there = np.zeros(len(window), bool)
             for d in range(2 * slop + 1):
                 at = start + j + d - slop
                 there |= (padded[at + slop] == want) & (at >= self.first[doc]) & (at < self.first[doc + 1])
-            found += there
-        keep = found >= needed[window]
+            count += there
+        keep = count >= needed[window]
         return window[keep], start[keep]
 
+    def _near_candidates(self, row: np.ndarray, window: np.ndarray, place: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (row, start) that a posting of the term at place[k] of window[k] is within slop of."""
+        found, start = self._candidates(window, place, slop)
+        back = np.zeros(len(self.windows.size), np.int64)
+        back[window] = row
+        return np.divmod(np.unique(back[found] * (len(self.term) + 1) + start), len(self.term) + 1)
+
 
 def _covered(first: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     change = np.zeros(int(first[-1]) + 1, np.int64)
@@ -158,7 +190,7 @@ def _covered(first: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
 OUT = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>, near_items array<string>"
 
 
-def match(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", width: int = WINDOW, slop: int = 0, share: float = 0.8, block_bytes: int = 32 << 20) -> DataFrame:
+def match(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", width: int = WINDOW, slop: int = 0, share: float = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of docs, with n_words, spans (runs of hit words, end exclusive), items (ids of
     items with an exact occurrence, sorted as strings) and near_items (with slop > 0: those
     with a proximity match)."""
@@ -167,7 +199,7 @@ def match(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text
     items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     n_blocks = max(1, -(-int(size) // block_bytes))
-    kept = [c for c in docs.columns if c not in ("n_words", "spans", "items", "near_items")]
+    kept = others(docs.columns, "n_words", "spans", "items", "near_items")
     text = "text"
     out = docs.select(*kept)
     state = "n_words long, spans array<struct<start:long,end:long>>, items array<string>, near_items array<string>"
@@ -181,8 +213,7 @@ def match(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text
             for batch in batches:
                 yield _hits(batch, batch.schema.get_field_index(text), windows.value, slop, share)
 
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-        out = out.mapInArrow(run, f"{fields}, {state}")
+        out = out.mapInArrow(lean(run), f"{fields_of(docs, kept)}, {state}")
         if b + 1 < n_blocks:
             out = cut(spark, out)
             windows.unpersist()
@@ -194,10 +225,8 @@ def _hits(batch: pa.RecordBatch, text_at: int, windows: Windows, slop: int, shar
     first, n = shard.first, batch.num_rows
     window, start = shard.phrases()
     size = windows.size[window]
-    names, near = [set() for _ in range(n)], [set() for _ in range(n)]
-    doc = np.searchsorted(first, start, side="right") - 1
-    for d, w in set(zip(doc.tolist(), window.tolist())):
-        names[d].update(windows.items[w])
+    of = lambda start: np.searchsorted(first, start, side="right") - 1
+    names, near = windows.listed(of(start), window, n), [[]] * n
     old_spans = batch.column("spans").to_pylist()
     for d, spans in enumerate(old_spans):
         if spans:
@@ -216,10 +245,9 @@ def _hits(batch: pa.RecordBatch, text_at: int, windows: Windows, slop: int, shar
         spans[d].append({"start": a - int(first[d]), "end": b - int(first[d])})
     if slop:
         w, s = shard.near(slop, share)
-        for d, k in set(zip((np.searchsorted(first, s, side="right") - 1).tolist(), w.tolist())):
-            near[d].update(windows.items[k])
-    items = [sorted(x | set(y or ())) for x, y in zip(names, batch.column("items").to_pylist())]
-    nears = [sorted(x | set(y or ())) for x, y in zip(near, batch.column("near_items").to_pylist())]
+        near = windows.listed(of(s), w, n)
+    both = lambda new, column: [sorted({*x, *y}) if y else x for x, y in zip(new, batch.column(column).to_pylist())]
+    items, nears = both(names, "items"), both(near, "near_items")
     keep = {"n_words": pa.array(shard.n_words, pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "items": pa.array(items, pa.list_(pa.string())), "near_items": pa.array(nears, pa.list_(pa.string()))}
     return pa.RecordBatch.from_arrays([keep.get(f.name, batch.column(i)) for i, f in enumerate(batch.schema)], names=batch.schema.names)
 
@@ -237,8 +265,9 @@ def judge(matched: DataFrame) -> DataFrame:
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = clean_text(table(spark, sf_dir, "documents"))
-    found = judge(match(docs, table(spark, sf_dir, "benchmark")))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    found = judge(match(docs, table(spark, sf_dir, "benchmark"), slop=SLOP))
+    near = F.size("near_items").cast("long").alias("n_near_items")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", near)
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -252,8 +281,14 @@ sizes as (select distinct n from win),
 dw as (select k, n, unnest(range(1, len(w) - n + 2)) as s, w from d, sizes where len(w) >= n),
 hits as (select dw.k, dw.s, dw.n, win.item_id from dw join win on win.n = dw.n and win.t = array_to_string(dw.w[dw.s : dw.s + dw.n - 1], ' ')),
 words as (select k, count(distinct p) as n_hit from (select distinct k, unnest(range(s, s + n)) as p from hits) group by k),
-its as (select k, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct k, cast(item_id as varchar) as item from hits) group by k)
+its as (select k, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct k, cast(item_id as varchar) as item from hits) group by k),
+wid as (select row_number() over () as wid, t, n from (select distinct t, n from win)),
+ww as (select wid, n, unnest(string_split(t, ' ')) as x, unnest(range(0, n)) as j from wid),
+dp as (select k, unnest(w) as x, unnest(range(1, len(w) + 1)) as p, len(w) as m from d),
+cand as (select k, wid, p - j + o as s from dp join ww using (x), (values (-{SLOP}), (0), ({SLOP})) o(o) where p - j + o between 1 and m - n + 1 group by k, wid, n, s having count(distinct j) >= greatest(1, ceil({SHARE} * n))),
+near as (select k, count(distinct item_id) as n_near from (select distinct k, wid from cand) join wid using (wid) join win using (t, n) group by k)
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
-       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
-from d left join words using (k) left join its using (k)
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated,
+       cast(coalesce(n_near, 0) as bigint) as n_near_items
+from d left join words using (k) left join its using (k) left join near using (k)
 """
