@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import clean_text, crc_mod, cut, fields_of, others, table, tune
+from ledgerline.llm.common import clean_text, crc_mod, cut, fields_of, lean, others, table, tune
 from ledgerline.llm.quality import sample_of, taught
 
 #: Labelled rows of learning, and stems that a task counts before it hands them on.
@@ -77,7 +77,7 @@ def _machine(n: int, rule) -> Machine:
 NEGATED = _machine(4, lambda s, x: 3 if x == NEGATES else max(0, s - 1))
 TARGETED = _machine(2, lambda s, x: 1 if x == TARGETS else s)
 REPORTED = _machine(2, lambda s, x: 1 if x == REPORTS else s)
-THREAT = _machine(3, lambda s, x: 2 if x == HARMS and s else 1 if x == INTENDS and not s else 0 if s == 2 else s)
+THREAT = _machine(3, lambda s, x: 2 if x == HARMS and s == 1 else 1 if x == INTENDS or s == 1 else 0)
 
 
 @dataclass(frozen=True)
@@ -189,7 +189,7 @@ def _counts(rows: DataFrame) -> DataFrame:
                     n = (Counter(), Counter())
             yield counted()
 
-    return rows.select("text", "y").mapInArrow(run, "stem string, pos long, neg long").groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return rows.select("text", "y").mapInArrow(lean(run), "stem string, pos long, neg long").groupBy("stem").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def _odds(pos, neg, n_pos: int, n_neg: int, log):
@@ -262,7 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, learn, rows: int = TRAIN_ROWS) ->
             x = pa.array(list(grammar.sums(b.column("text"))), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "y", "pick")), x], schema=schema)
 
-    got = taught(sample.mapInArrow(run, "doc_id long, y int, pick long, x array<double>"), rows)
+    got = taught(sample.mapInArrow(lean(run), "doc_id long, y int, pick long, x array<double>"), rows)
     return Model(stems, _logistic(np.log1p(np.array([r.x for r in got]).reshape(-1, len(CONTEXTS))), np.array([r.y for r in got], float)))
 
 
@@ -278,7 +278,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *made], names=[*names, "score", "clauses"])
 
     names = others(docs.columns, "score", "clauses")
-    return docs.mapInArrow(run, f"{fields_of(docs, names)}, score double, clauses array<string>")
+    return docs.mapInArrow(lean(run), f"{fields_of(docs, names)}, score double, clauses array<string>")
 
 
 def held_out():
