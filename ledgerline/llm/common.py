@@ -6,8 +6,10 @@ flat byte buffer per batch with document offsets, so that the inner loops are nu
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +74,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, which gives the memory that it freed back to the system when it ends: workers live on
+    between tasks and stages, side by side with others."""
+
+    def trimmed(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
+                trim(0)
+
+    return trimmed
+
+
 def clean_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text): only the two columns an operator reads; a null text is the empty one."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

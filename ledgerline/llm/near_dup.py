@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import LOWER, _splitmix, clean_text, cut, flat, mix, table, tune, word_hashes, words_of
+from ledgerline.llm.common import LOWER, _splitmix, clean_text, cut, flat, lean, mix, table, tune, word_hashes, words_of
 from ledgerline.llm.components import components
 from ledgerline.llm.tokens import CHUNK
 
@@ -140,7 +140,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             columns = [batch.column(0), pa.array(np.diff(bound)), pa.array(_set_ids(sets, bound)), _lists(root_keys(sets, bound)), sig]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id long, keys array<long>, sig binary")
+    return docs.mapInArrow(lean(run), "doc_id long, n_shingles long, set_id long, keys array<long>, sig binary")
 
 
 def _set_ids(sets: np.ndarray, bound: np.ndarray) -> np.ndarray:
@@ -177,7 +177,7 @@ def _children(rows: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("a")], schema=schema)
 
     tokens = nodes.select(F.col("set_id").alias("a"), "sig")
-    return rows.select("node", "a").join(tokens, "a").select("node", "a", "sig").mapInArrow(run, "node long, a long")
+    return rows.select("node", "a").join(tokens, "a").select("node", "a", "sig").mapInArrow(lean(run), "node long, a long")
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -298,7 +298,7 @@ def _compare(groups: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
 
     known = sets.select("set_id", "comp").join(nodes.select("set_id", "sig"), "set_id").withColumnRenamed("set_id", "a")
     whole = groups.join(known, "a").select("node", "slab", "a", "comp", "sig")
-    return whole.repartition("node", "slab").sortWithinPartitions("node", "slab", "a").mapInArrow(run, "a long, b long, node long")
+    return whole.repartition("node", "slab").sortWithinPartitions("node", "slab", "a").mapInArrow(lean(run), "a long, b long, node long")
 
 
 # ---- confirming on the full sets
@@ -362,7 +362,7 @@ def _close(docs: DataFrame, rows: DataFrame, sets: DataFrame, nodes: DataFrame)
 
     whole = met.join(full, "a").select("node", "low", "high", "a", "comp", "part", "sig", "items")
     spread = whole.repartition("node", "low", "high").sortWithinPartitions("node", "low", "high", "a")
-    return spread.mapInArrow(run, "u long, v long").distinct()
+    return spread.mapInArrow(lean(run), "u long, v long").distinct()
 
 
 def _sets(docs: DataFrame, ends: DataFrame, n_ends: int) -> DataFrame:
@@ -379,7 +379,7 @@ def _sets(docs: DataFrame, ends: DataFrame, n_ends: int) -> DataFrame:
 
     ids = ends.select(F.col("rep").alias("doc_id"), F.col("set_id").alias("wanted"))
     texts = docs.join(F.broadcast(ids) if n_ends <= BROADCAST_IDS else ids, "doc_id").select("text", "wanted")
-    return texts.mapInArrow(run, "set_id long, items array<long>").groupBy("set_id").agg(F.first("items").alias("items"))
+    return texts.mapInArrow(lean(run), "set_id long, items array<long>").groupBy("set_id").agg(F.first("items").alias("items"))
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, n_pairs: int, sets: DataFrame) -> DataFrame:

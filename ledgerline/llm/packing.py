@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgerline.llm.common import clean_text, tune
+from ledgerline.llm.common import clean_text, lean, tune
 from ledgerline.llm.tokens import tokens
 
 WINDOW, END_ID = 4096, 2
@@ -109,7 +109,7 @@ def pieces(docs: DataFrame, window: int, n_blocks: int, path: str | None, end_id
                     seen += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(schema), schema=schema)
 
-    return clean_text(docs).mapInArrow(run, PIECE)
+    return clean_text(docs).mapInArrow(lean(run), PIECE)
 
 
 def pack(docs: DataFrame, window: int = WINDOW, block_pieces: int = 8000, path: str | None = None, end_id: int = END_ID) -> DataFrame:

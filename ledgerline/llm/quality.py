@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import clean_text, crc_mod, fields_of, flat, others, table, tune, word_hashes, words_of
+from ledgerline.llm.common import clean_text, crc_mod, fields_of, flat, lean, others, table, tune, word_hashes, words_of
 from ledgerline.llm.tokens import CHUNK
 
 #: Labelled rows that training takes at most; bins, rounds and pairs of the model.
@@ -215,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, learn, rows: int = TRAIN_ROWS) ->
             x = pa.array(list(features(b.column("text"))), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "y", "pick")), x], schema=schema)
 
-    found = sample_of(docs, labels, "quality", learn, rows).mapInArrow(run, "doc_id long, y int, pick long, x array<double>")
+    found = sample_of(docs, labels, "quality", learn, rows).mapInArrow(lean(run), "doc_id long, y int, pick long, x array<double>")
     got = taught(found, rows)
     return fit(np.array([r.x for r in got]).reshape(len(got), len(NAMES)), np.array([r.y for r in got], float))
 
@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: Additive) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), scores], names=[*names, "score"])
 
     names = others(docs.columns, "score")
-    return docs.mapInArrow(run, f"{fields_of(docs, names)}, score double")
+    return docs.mapInArrow(lean(run), f"{fields_of(docs, names)}, score double")
 
 
 def held_out():

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import clean_text, fields_of, flat, others, table, tune
+from ledgerline.llm.common import clean_text, fields_of, flat, lean, others, table, tune
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -186,7 +186,32 @@ def scan(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(found, kind)], names=[*names, "spans"])
 
     names = others(docs.columns, "spans")
-    return docs.mapInArrow(run, f"{fields_of(docs, names)}, {SPANS}")
+    return docs.mapInArrow(lean(run), f"{fields_of(docs, names)}, {SPANS}")
+
+
+def _masked(text: str | None, spans: list[tuple[int, int]], mark: str) -> str | None:
+    parts, last = [], 0
+    for start, end in spans:
+        if start > last or not parts and start == last == 0:
+            parts += [text[last:start], mark]
+        last = max(last, end)
+    return "".join([*parts, text[last:]]) if parts else text
+
+
+def cleaned(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """redact(scan(docs)) in one map, with found: whether the text had a span."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = _machine()
+        for b in batches:
+            texts = b.column("text")
+            found = [[s[1:] for s in find(t or "", machine, h)] for t, h in zip(texts.to_pylist(), hex_runs(*flat(texts)))]
+            text = pa.array([_masked(t, s, mark) for t, s in zip(texts.to_pylist(), found)], pa.string())
+            columns = [text if n == "text" else b.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([bool(s) for s in found])], names=[*names, "found"])
+
+    names = others(docs.columns, "found")
+    return docs.mapInArrow(lean(run), f"{fields_of(docs, names)}, found boolean")
 
 
 def redact(scanned: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -196,17 +221,11 @@ def redact(scanned: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
-                parts, last = [], 0
-                for s in spans or ():
-                    if s["start"] > last or not parts and s["start"] == last == 0:
-                        parts += [text[last : s["start"]], mark]
-                    last = max(last, s["end"])
-                out.append("".join([*parts, text[last:]]) if parts else text)
+            spans = b.column("spans").to_pylist()
+            out = [_masked(t, [(s["start"], s["end"]) for s in x or ()], mark) for t, x in zip(b.column("text").to_pylist(), spans)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else b.column(n) for n in names], names=names)
 
-    return scanned.mapInArrow(run, fields_of(scanned, names))
+    return scanned.mapInArrow(lean(run), fields_of(scanned, names))
 
 
 def op3_secret_scans(spark, sf_dir: str) -> DataFrame:

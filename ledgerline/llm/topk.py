@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import table, tune
+from ledgerline.llm.common import lean, table, tune
 
 TOP, EVERY, SCALE = 10, 100, 1024
 #: Bytes of queries broadcast at once; rows of a block of sorted lists; queries handled at once on it.
@@ -129,7 +129,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = TOP, query_bytes: int =
             if sum(n):
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(own)), n), pa.int32()), pa.array(np.repeat(own, n)), pa.array(np.concatenate([v for _, v in best])), pa.array(np.concatenate([s for s, _ in best]).astype(np.int64))], schema=schema)
 
-        parts.append(rows.mapInArrow(run, "query_no int, query_id long, vec_id long, score long").withColumn("block", F.lit(b)))
+        parts.append(rows.mapInArrow(lean(run), "query_no int, query_id long, vec_id long, score long").withColumn("block", F.lit(b)))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import table, tune
+from ledgerline.llm.common import lean, table, tune
 
 #: The date of records made from pages that have none.
 DATE = "1970-01-01T00:00:00Z"
@@ -271,7 +271,7 @@ def derivatives(pages: DataFrame, date: str = DATE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     picked = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return picked.mapInArrow(run, "page_id long, record_type string, record_id string, refers_to string, target_uri string, source_payload_digest string, block_digest string, content_length long, record binary")
+    return picked.mapInArrow(lean(run), "page_id long, record_type string, record_id string, refers_to string, target_uri string, source_payload_digest string, block_digest string, content_length long, record binary")
 
 
 def _files(spark, path: str) -> DataFrame:
@@ -287,7 +287,7 @@ def read_files(spark, path: str) -> DataFrame:
                 for r in parse(data):
                     yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([r.to_bytes()], pa.binary())], names=["path", "record"])
 
-    return _files(spark, path).mapInArrow(run, "path string, record binary")
+    return _files(spark, path).mapInArrow(lean(run), "path string, record binary")
 
 
 def file_derivatives(spark, path: str) -> DataFrame:
@@ -304,7 +304,7 @@ def file_derivatives(spark, path: str) -> DataFrame:
                         rows = [(name, r.get("WARC-Type"), r.get("WARC-Record-ID"), r.get("WARC-Refers-To"), r.to_bytes()) for r in derive(source)]
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return _files(spark, path).mapInArrow(run, "path string, record_type string, record_id string, refers_to string, record binary")
+    return _files(spark, path).mapInArrow(lean(run), "path string, record_type string, record_id string, refers_to string, record binary")
 
 
 def op8_warc_derivatives(spark, sf_dir: str) -> DataFrame:
