@@ -81,8 +81,8 @@ def test_repeated_ids_teach_the_same_in_every_run(spark):
 
 
 def test_op3_equals_plain(spark):
-    texts = dict(zip(*(table("documents")[c] for c in ("doc_id", "text"))))
-    got = queries()["op3_secret_scans"](spark, SF).collect()
+    texts = dict(zip(*(table("documents", LARGER)[c] for c in ("doc_id", "text"))))
+    got = queries()["op3_secret_scans"](spark, LARGER).collect()
     assert len(got) == len(texts) and sum(r.n_assign + r.n_access + r.n_hex for r in got) > 0
     for r in got:
         base = plain_base(texts[r.doc_id] or "")

@@ -152,6 +152,7 @@ def test_checksums_and_redaction(spark):
     assert [(k, text[a:b]) for k, a, b in spans] == [("github", good), ("npm", npm), ("jwt", jwt), ("iban", "DE89370400440532013000"), ("pem", pem)]
     df = docs(spark, [(1, text), (2, "token=abcdefgh01" + "0" * 30), (3, None), (4, "clean")]).drop("spans")
     out = {r.doc_id: r.text for r in secrets.redact(secrets.scan(df)).collect()}
+    assert {r.doc_id: (r.text, r.found) for r in secrets.cleaned(df.withColumn("FOUND", F.lit(1))).collect()} == {i: (t, i in (1, 2)) for i, t in out.items()}
     assert good not in out[1] and bad in out[1] and out[1].endswith("end") and out[2] == "[SECRET]" and out[3] is None and out[4] == "clean"
 
 
