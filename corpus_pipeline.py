@@ -60,10 +60,13 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     tune(spark)
 
     def work(d: DataFrame) -> DataFrame:
-        cleaned = secrets.redact(secrets.scan(d).withColumn("found", F.size("spans") > 0))
-        return cleaned.withColumn("n_chars", F.when(F.col("found"), F.length("text").cast(d.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))) if "n_chars" in d.columns else cleaned
+        done = secrets.cleaned(d)
+        if "n_chars" not in d.columns:
+            return done
+        size = F.when(F.col("found"), F.length("text").cast(d.schema["n_chars"].dataType))
+        return done.withColumn("n_chars", size.otherwise(F.col("n_chars")))
 
-    return _beside(docs, ("spans", "found"), work)
+    return _beside(docs, ("found",), work)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
