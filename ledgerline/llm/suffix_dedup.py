@@ -50,7 +50,7 @@ WIDTH, GRAM = 50, 20
 SPAN = WIDTH - GRAM + 1
 #: Text bytes of a group of documents, bytes looked at together, bytes gathered together, bytes sent
 #: to one suffix array, and the number of different segments in one group from which a name is varied.
-GROUP_BYTES, CHUNK_BYTES, SLICE, BUCKET_BYTES, VARIED = 8 << 20, 1 << 20, 1 << 18, 2 << 20, 16
+GROUP_BYTES, CHUNK_BYTES, SLICE, BUCKET_BYTES, VARIED = 8 << 20, 1 << 18, 1 << 18, 2 << 20, 16
 LAST = np.iinfo(np.int64).max
 
 _BASE = 0x9E3779B97F4A7C15
