@@ -9,7 +9,12 @@ pieces is shuffled, dealt round robin into blocks of about ``block_pieces`` docu
 block is bounded however the documents' lengths, sources or copies are spread; each block is
 packed alone and wastes less than one window. The ids themselves never move.
 
-Defined cases: a null text is the empty one, whose ids are the end id alone; repeated rows and
+Dealing goes by the place of a row: an input whose rows could come in another order when a lost part
+of it is read again (what stands behind a shuffle) has to be written or checkpointed before, as the
+pipeline does; files always give the same order.
+
+Defined cases: very long texts are cut into as many full windows as they need; of equal lengths the
+least doc_id, start, checksum and place go first; a null text is the empty one, whose ids are the end id alone; repeated rows and
 equal or null ids are packed each as a document of its own; an empty table gives no rows;
 further columns of the input are ignored.
 """

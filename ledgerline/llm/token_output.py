@@ -10,7 +10,11 @@ Scale: documents are dealt by a hash of their row's place into blocks of about `
 documents; token ids are made inside the block, so texts, not ids, are shuffled, once. A block
 holds a bounded number of documents whatever their source or text.
 
-Defined cases: a null text is empty (its ids are the end id alone); repeated rows are packed
+Dealing goes by the place of a row, so what stands behind a shuffle has to be written or checkpointed
+before, as in operator 2.
+
+Defined cases: very long texts are cut into as many full windows as they need; equal lengths keep the
+order of doc_id and place; a null text is empty (its ids are the end id alone); repeated rows are packed
 each; padding holds ``pad_id`` with position 0; an empty table gives no rows; further columns
 are ignored.
 """

@@ -193,6 +193,19 @@ def test_pairs_stay_together_at_any_depth(spark):
     assert kept / 600 > 0.96  # 0.98 for independent paths, 0.92 if a level's nodes share coordinates
 
 
+def test_recall_at_the_threshold(spark):
+    """400 pairs whose similarity is 0.75 to 0.79, and 100 just below: all of the first are linked,
+    none of the others."""
+    r, rows = random.Random(11), []
+    for p in range(500):
+        words = [f"w{p}x{i}" for i in range(200)]
+        n = 25 if p >= 400 else 20 + p % 5  # of 196 shingles n + 4 change
+        at = r.randrange(4, 196 - n)
+        rows += [(2 * p, " ".join(words)), (2 * p + 1, " ".join([*words[:at], *(f"z{p}x{i}" for i in range(n)), *words[at + n :]]))]
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(docs(spark, rows)).collect()}
+    assert sum(got[2 * p + 1] == 2 * p for p in range(400)) == 400 and sum(got[2 * p + 1] == 2 * p for p in range(400, 500)) == 0
+
+
 def test_a_group_gives_at_most_as_many_pairs_as_rows():
     """What is given joins all that is likely, and what is left out is named."""
     rng = np.random.default_rng(2)
