@@ -43,9 +43,10 @@ _SPACE = uuid.UUID("7b1d0c0e-6f0b-5a53-9c1d-2f2b7d9a4c11")
 
 #: Elements whose content is no text, and elements that end a line.
 RAW = frozenset("script style noscript template svg iframe".split())
+RAW_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW}
 LINE = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
 NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
-TAIL = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 ATTRIBUTE = re.compile(r"(?<![-\w:.])([a-zA-Z_:][-\w:.]*+)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
 
@@ -128,12 +129,25 @@ class Page:
     links: list[dict[str, str]] = field(default_factory=list)
 
 
+def _raw_end(source: str, name: str, at: int) -> int:
+    close = RAW_END[name].search(source, at)
+    return close.end() if close else len(source)
+
+
 def tags(source: str) -> Iterator[tuple[int, int, bool, str, str]]:
     """(start, end, closing, name, attributes) of all markup; comments, declarations and the contents
     of RAW elements have no name. Each place is looked at a bounded number of times."""
     at, quotes = 0, True
     while (start := source.find("<", at)) >= 0:
         at = start + 1
+        if quotes and (m := TAG.match(source, start)):
+            at, name = m.end(), m[2].lower()
+            if name in RAW and not m[1]:
+                at = _raw_end(source, name, at)
+                yield start, at, False, "", ""
+            else:
+                yield start, at, bool(m[1]), name, m[3]
+            continue
         if source.startswith("<!--", start):
             end = source.find("-->", start + 4)
             at = len(source) if end < 0 else end + 3
@@ -142,16 +156,14 @@ def tags(source: str) -> Iterator[tuple[int, int, bool, str, str]]:
         m = NAME.match(source, at)
         if not m and source[at : at + 1] not in ("!", "?"):
             continue
-        tail = TAIL.match(source, m.end()) if m and quotes else None
-        end = tail.end() if tail else source.find(">", m.end() if m else at) + 1
+        end = source.find(">", m.end() if m else at) + 1
         if not end:
             return  # no tag ends after this place
-        quotes &= not m or tail is not None
+        quotes &= not m
         at = end
         name = m[2].lower() if m else ""
         if name in RAW and not m[1]:
-            close = re.compile(rf"</{name}\s*+>", re.I).search(source, end)
-            at = close.end() if close else len(source)
+            at = _raw_end(source, name, end)
             yield start, at, False, "", ""
         else:
             yield start, end, bool(m and m[1]), name, source[m.end() : end - 1] if m else ""
