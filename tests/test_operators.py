@@ -1,6 +1,7 @@
 """Parsing, cleaning, quality, features, validation and the read surface on literal rows."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,13 +135,14 @@ def test_splits_and_walk_forward(spark):
     drift = validation.cutoffs(frame(spark, 900, start=dt.date(2020, 8, 31)), 0, 6, 6).orderBy("window_index").collect()
     assert [r.low.day for r in drift][:4] == [31, 28, 28, 28]
     table = features.signal_table(frame(spark, 900, price=lambda i: 100 + 0.05 * i)).withColumn("signal", F.when(F.dayofmonth("date") == 21, "LONG").otherwise("NO_SIGNAL"))
-    windows = validation.splits(table, 1, 6, 6)
-    done = validation.walk_forward(table, windows)
+    table = table.cache()
+    windows = validation.splits(table, 1, 6, 6).cache()
+    done = validation.walk_forward(table, windows).cache()
     rows = done.collect()
     assert all(r.excess_return_pct == pytest.approx(r.total_return_pct - r.bh_total_return_pct, abs=1e-4) for r in rows)
-    points = validation.sensitivity(table)
+    points = validation.sensitivity(table).cache()
     assert points.count() == 11 and {r.param_name for r in points.where("is_baseline").collect()} == set(validation.GRID)
-    full = metrics.metrics(backtest.run_backtests(table, {"full": Config()}))
+    full = metrics.metrics(backtest.run_backtests(table, {"full": Config()})).cache()
     gates = validation.gate_violations(done, points, full)
     assert gates.count() == 5
     validation.check_gates(gates)
@@ -261,3 +263,48 @@ def test_streaming_bars_equal_batch(spark, sf, tmp_path):
     want = {(r.symbol, r.date): r.ema20 for r in features.features(bars).collect()}
     got = spark.table("avg_out").collect()
     assert len(got) == len(want) and all(abs(r.ema20 - want[(r.symbol, r.date)]) < 1e-9 for r in got)
+
+
+def _files_one_by_one(spark, frames, path):
+    """A stream that gets each frame in a batch of its own."""
+    for k, df in enumerate(frames):
+        df.coalesce(1).write.parquet(str(path / f"{k}"))
+        for f in (path / f"{k}").glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + 60 * k,) * 2)
+    return spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(str(path / "*"))
+
+
+def test_late_events_are_left_out_and_bars_close(spark, tmp_path):
+    from ledgerline.streaming.bars import streaming_bars
+
+    def events(*rows):
+        at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+        return spark.createDataFrame([(i, at(m), "click", float(v)) for i, m, v in rows], "event_id long, ts timestamp, event_type string, value double")
+
+    first = events((1, 1, 10), (2, 14, 12), (3, 20, 7), (4, 61, 5))
+    then = events((8, 62, 6))  # a batch later the watermark of 51 holds for late rows, too
+    late = events((5, 3, 99), (6, 55, 8), (7, 130, 1))  # minute 3 is behind it, 55 is not
+    q = streaming_bars(_files_one_by_one(spark, [first, then, late], tmp_path / "in")).writeStream.outputMode("append").format("memory").queryName("closed").start()
+    q.processAllAvailable()
+    q.stop()
+    got = {r.date: tuple(r[2:]) for r in spark.table("closed").collect()}
+    want = {r.date: tuple(r[2:]) for r in streaming_bars(first.unionByName(then).unionByName(late.where("event_id <> 5"))).collect()}
+    last = max(want)
+    assert got == {d: v for d, v in want.items() if d != last} and got[min(got)] == (10.0, 12.0, 10.0, 12.0, 22.0)
+
+
+def test_averages_keep_their_state_across_batches(spark, tmp_path):
+    from ledgerline.streaming.bars import streaming_averages
+
+    own = frame(spark, 60, price=lambda i: 100.0 + i % 7).unionByName(frame(spark, 60, "B", price=lambda i: 50.0 + i)).withColumn("date", F.col("date").cast("timestamp"))
+    cut = F.lit(dt.datetime(2020, 1, 1)) + F.expr("interval 20 days")
+    parts = [own.where(F.col("date") < cut), own.where(F.col("date") >= cut)]
+    q = streaming_averages(_files_one_by_one(spark, parts, tmp_path / "bars")).writeStream.outputMode("append").format("memory").queryName("kept").start()
+    q.processAllAvailable()
+    assert len(q.recentProgress) >= 2
+    q.stop()
+    want = {(r.symbol, r.date): (r.ema20, r.ema50, r.atr14) for r in features.features(own).collect()}
+    got = {(r.symbol, r.date): (r.ema20, r.ema50, r.atr14) for r in spark.table("kept").collect()}
+    assert set(got) == set(want)
+    for k, row in want.items():
+        assert got[k][:2] == pytest.approx(row[:2]) and (row[2] is None) == (got[k][2] is None or got[k][2] != got[k][2]) and (row[2] is None or got[k][2] == pytest.approx(row[2]))
