@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ledgerline.llm.common import untune  # noqa: F401 - what a session's other queries run first
-from ledgerline.llm import decontaminate, near_dup, packing, quality, runs, secrets, suffix_dedup, token_output, topk, toxicity, warc
+from ledgerline.llm import decontaminate, near_dup, packing, private_data, quality, runs, secrets, suffix_dedup, token_output, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_warc_derivatives": warc.op8_warc_derivatives,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_exact_top_k": topk.op10_exact_top_k,
+        "op11_personal_data": private_data.op11_personal_data,
         "op12_periodic_runs": runs.op12_periodic_runs,
     }
 
