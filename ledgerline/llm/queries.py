@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ledgerline.llm.common import untune  # noqa: F401 - what a session's other queries run first
-from ledgerline.llm import decontaminate, near_dup, packing, private_data, quality, runs, secrets, suffix_dedup, token_output, topk, toxicity, warc
+from ledgerline.llm import decontaminate, near_dup, packing, prefix_trie, private_data, quality, runs, secrets, suffix_dedup, token_output, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -20,8 +20,9 @@ def queries() -> dict:
         "op10_exact_top_k": topk.op10_exact_top_k,
         "op11_personal_data": private_data.op11_personal_data,
         "op12_periodic_runs": runs.op12_periodic_runs,
+        "op13_conversation_prefix_trie": prefix_trie.op13_conversation_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_near_dedup": near_dup.SQL, "op9_decontamination": decontaminate.SQL, "op10_exact_top_k": topk.SQL}
+    return {"op6_minhash_near_dedup": near_dup.SQL, "op9_decontamination": decontaminate.SQL, "op10_exact_top_k": topk.SQL, "op13_conversation_prefix_trie": prefix_trie.SQL}
