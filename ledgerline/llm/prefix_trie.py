@@ -35,12 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import cut, flat, lean, mix, table, tune
-from ledgerline.llm.scan import ordered, running
+from ledgerline.llm.scan import PART, ordered, part_of, running
 
 WORD = r"[^\x20\x09-\x0D]+"
 EVERY, MOST = 20, 3
@@ -95,12 +94,12 @@ _ROWS = [p.split()[0] for p in ROWS.split(", ")]
 
 def prefixes(spark, sequences: DataFrame) -> DataFrame:
     """ROWS of (conv_id, part, idx, code, words): each turn with its node's sums and its parent's."""
-    sorted_ = ordered(spark, sequences, "conv_id", "part", "idx").select("conv_id", "code", "words")
+    sorted_ = ordered(spark, sequences, "conv_id", "part", "idx").select("conv_id", "code", "words", PART)
 
     def deep(b: pa.RecordBatch, _, sums: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*b.columns, pa.array(sums[:, 0].view(np.int64))], names=[*b.schema.names, "depth"])
 
-    numbered = running(sorted_, "conv_id", _each, 1, deep, "conv_id long, code binary, words long, depth long")
+    numbered = running(sorted_, "conv_id", _each, 1, deep, f"conv_id long, code binary, words long, {PART} int, depth long")
 
     def sums(b: pa.RecordBatch) -> np.ndarray:
         return _terms(b.column("code"), b.column("depth").to_numpy())
@@ -141,12 +140,14 @@ def ranked(spark, rows: DataFrame, root: tuple[int, int]) -> DataFrame:
     goes on over partitions takes its key along, as long as it has branching nodes."""
     sorted_ = ordered(spark, rows.select("conv_id", *NODE, "code", "words", "smallest", "n_convs", "n_children"), "conv_id", "depth")
 
-    def walk(batches: Iterator[pa.RecordBatch], start: tuple | None) -> Iterator[tuple]:
-        """(row, key, branching before it, smallest of its parent) from a state (conversation, key,
+    def walk(batches: Iterator[pa.RecordBatch], start: dict[int, tuple | None]) -> Iterator[tuple]:
+        """(row, key, smallest of its parent), from what stood before a partition (conversation, key,
         whether its last node branches, that node's smallest member)."""
-        conv, key, branches, smallest = start or (None, b"", False, None)
-        for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("conv_id", "depth", "h1", "h2", "code", "words", "smallest", "n_convs", "n_children"))):
+        conv, key, branches, smallest = None, b"", False, None
+        for k, b in enumerate(b for b in batches if b.num_rows):
+            if not k and (state := start.get(part_of(b))):
+                conv, key, branches, smallest = state
+            for r in zip(*(b.column(c).to_pylist() for c in ("conv_id", "depth", "h1", "h2", "code", "words", "smallest", "n_convs", "n_children", PART))):
                 if r[0] != conv:
                     # Inside a conversation that began before, what stood there is not known yet.
                     conv, key, branches, smallest = r[0], b"", r[1] == 1 and root[1] > 1, root[0]
@@ -157,11 +158,11 @@ def ranked(spark, rows: DataFrame, root: tuple[int, int]) -> DataFrame:
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = last = None
-        for r, key, _ in walk(batches, None):
-            first = first or (r[0], r[1], r[4])
+        for r, key, _ in walk(batches, {}):
+            first = first or (r[9], r[0], r[1], r[4])
             last = (r[0], key, r[8] > 1, r[6])
         if last:
-            columns = [[TaskContext.get().partitionId()], *([x] for x in first), *([x] for x in last)]
+            columns = [*([x] for x in first), *([x] for x in last)]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.bool_(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["part", "conv", "depth", "code", "last", "key", "branches", "smallest"])
 
@@ -176,7 +177,7 @@ def ranked(spark, rows: DataFrame, root: tuple[int, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for (conv, depth, h1, h2, _, words, own, n, children), key, smallest in walk(batches, before.get(TaskContext.get().partitionId())):
+        for (conv, depth, h1, h2, _, words, own, n, children, _), key, smallest in walk(batches, before):
             if conv == own:
                 out.append((conv, depth, h1, h2, smallest, n, children, words, key))
             if len(out) == 4096:

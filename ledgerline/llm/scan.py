@@ -11,17 +11,25 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import cut, lean
 
 
+#: The column that ``ordered`` adds: the number of a row's partition. A task's own number is another
+#: one where the rows are read as a part of a union.
+PART = "part_id"
+
+
 def ordered(spark: SparkSession, df: DataFrame, *order: str | Column) -> DataFrame:
-    """df range-partitioned and sorted by ``order``, written to the shared folder: its partitions and
-    their rows then stay as they are."""
-    return cut(spark, df.repartitionByRange(*order).sortWithinPartitions(*order))
+    """df range-partitioned and sorted by ``order``, with PART, written to the shared folder: its
+    partitions and their rows then stay as they are."""
+    return cut(spark, df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(PART, F.spark_partition_id()))
+
+
+def part_of(b: pa.RecordBatch) -> int:
+    return b.column(PART)[0].as_py()
 
 
 def carried(df: DataFrame, key: str | None, sums: Callable[[pa.RecordBatch], np.ndarray], width: int) -> dict[int, tuple[object, list[int]]]:
@@ -30,12 +38,11 @@ def carried(df: DataFrame, key: str | None, sums: Callable[[pa.RecordBatch], np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = last = None
-        total, rows = np.zeros(width, np.uint64), 0
+        total, part = np.zeros(width, np.uint64), None
         for b in batches:
             if not b.num_rows:
                 continue
-            values = sums(b)
-            rows += b.num_rows
+            values, part = sums(b), part_of(b)
             if key is None:
                 total += values.sum(axis=0, dtype=np.uint64)
                 continue
@@ -44,16 +51,13 @@ def carried(df: DataFrame, key: str | None, sums: Callable[[pa.RecordBatch], np.
             same = keys == keys[-1]
             if last != keys[-1]:
                 total = np.zeros(width, np.uint64)
-            elif not same.all():
-                total = np.zeros(width, np.uint64)
             last = int(keys[-1])
             total = total + values[same].sum(axis=0, dtype=np.uint64)
-        if rows:
-            columns = [[TaskContext.get().partitionId()], [first], [last], [total.view(np.int64).tolist()]]
+        if part is not None:
+            columns = [[part], [first], [last], [total.view(np.int64).tolist()]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["part", "first", "last", "total"])
 
-    source = df if key is None else df.select(*df.columns)
-    parts = sorted(source.mapInArrow(run, "part long, first long, last long, total array<long>").collect())
+    parts = sorted(df.mapInArrow(run, "part long, first long, last long, total array<long>").collect())
     out: dict[int, tuple[object, list[int]]] = {}
     at, before = None, np.zeros(width, np.uint64)
     for r in parts:
@@ -71,11 +75,13 @@ def running(df: DataFrame, key: str | None, sums: Callable[[pa.RecordBatch], np.
     before = carried(df, key, sums, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total = before.get(TaskContext.get().partitionId(), (None, [0] * width))
-        total = np.array(total, np.int64).view(np.uint64)
+        at = total = None
         for b in batches:
             if not b.num_rows:
                 continue
+            if total is None:
+                at, total = before[part_of(b)]
+                total = np.array(total, np.int64).view(np.uint64)
             values = sums(b)
             all_sums = np.cumsum(values, axis=0, dtype=np.uint64)
             if key is None:
