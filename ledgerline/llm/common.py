@@ -140,10 +140,11 @@ def mix(z: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-#: A random value for each byte, and powers of an odd base for a byte's place in its word.
+#: A random value for each byte.
 BYTE = _splitmix(256, 11) | np.uint64(1)
-_PLACES = 1 << 16
-POWER = np.concatenate([[np.uint64(1)], np.cumprod(np.full(_PLACES - 1, 0xD6E8FEB86659FD93, np.uint64), dtype=np.uint64)])
+#: What keeps the first bytes of a group of eight, by their number.
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -167,27 +168,53 @@ def words_of(data: np.ndarray, at: np.ndarray, inside: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(starts, at)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, in slices of about SLICE bytes, so that the numbers made
-    for each byte stay few."""
-    out = np.zeros(len(starts), np.uint64)
-    size = ends - starts
-    total, first = np.cumsum(size), 0
+def _eights(data: np.ndarray) -> np.ndarray:
+    """At each place of data, the eight bytes from there on as one number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))
+
+
+def _later_groups(size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The groups of eight bytes after each word's first, in slices of about SLICE bytes: (words, where
+    each one's groups begin in the slice, the word of each group, the group's place in its word). A
+    word longer than a slice is met again in the next ones."""
+    long = np.flatnonzero(size > 8)
+    groups = (size[long] + 7) // 8 - 1
+    done, limit, first = np.cumsum(groups), SLICE >> 3, 0
+    while first < len(long):
+        before = int(done[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(done, before + limit, side="right")))
+        n = groups[first:last]
+        if n[0] > limit:
+            for a in range(0, int(n[0]), limit):
+                part = np.arange(a, min(a + limit, int(n[0])))
+                yield long[first:last], np.zeros(1, np.int64), np.repeat(long[first], len(part)), part + 1
+        else:
+            begin = np.cumsum(n) - n
+            yield long[first:last], begin, np.repeat(long[first:last], n), np.arange(int(n.sum())) - np.repeat(begin, n) + 1
+        first = last
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: the sum of its groups of eight bytes, each spread together
+    with its place, however far, spread with the length. Different words may share it by chance: where
+    that would change a result, compare them with ``same_bytes``."""
+    size, at = ends - starts, _eights(data)
     with np.errstate(over="ignore"):
-        while first < len(out):
-            before = int(total[first - 1]) if first else 0
-            last = max(first + 1, int(np.searchsorted(total, before + SLICE, side="right")))
-            n = size[first:last]
-            if n[0] > SLICE:
-                for a in range(0, int(n[0]), _PLACES):
-                    part = data[starts[first] + a : min(starts[first] + a + _PLACES, ends[first])]
-                    out[first] += np.sum(BYTE[part] * POWER[: len(part)])
-            else:
-                begin = np.cumsum(n) - n
-                place = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(begin, n)
-                value = BYTE[data[place + np.repeat(starts[first:last], n)]] * POWER[place & (_PLACES - 1)]
-                out[first:last] = np.add.reduceat(value, begin)
-            first = last
-        return mix(out + size.astype(np.uint64))
-
-
+        place = lambda k: mix((k.astype(np.uint64) + np.uint64(1)) * _GOLDEN + np.uint64(seed))
+        out = mix((at[starts] & _FIRST_BYTES[np.minimum(size, 8)]) ^ place(np.zeros(1)))
+        for words, begin, word, k in _later_groups(size):
+            value = mix((at[starts[word] + 8 * k] & _FIRST_BYTES[np.minimum(size[word] - 8 * k, 8)]) ^ place(k))
+            out[words] += np.add.reduceat(value, begin)
+        return mix(out + size.astype(np.uint64) * _GOLDEN)
+
+
+def same_bytes(data: np.ndarray, starts: np.ndarray, size: np.ndarray, others: np.ndarray, other_starts: np.ndarray, other_size: np.ndarray) -> np.ndarray:
+    """Whether each word of data and its partner in others have the same bytes."""
+    own, theirs = _eights(data), _eights(others)
+    keep = _FIRST_BYTES[np.minimum(size, 8)]
+    same = (size == other_size) & ((own[starts] & keep) == (theirs[other_starts] & keep))
+    for words, begin, word, k in _later_groups(np.where(same, size, 0)):
+        keep = _FIRST_BYTES[np.minimum(size[word] - 8 * k, 8)]
+        same[words] &= np.logical_and.reduceat((own[starts[word] + 8 * k] & keep) == (theirs[other_starts[word] + 8 * k] & keep), begin)
+    return same

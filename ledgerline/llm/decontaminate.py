@@ -16,9 +16,9 @@ one block. Windows with a term that the shard lacks (for proximity: with too man
 Defined cases: null text has no words; an item or document without words matches nothing; an
 item of fewer than 13 words is one window; repeated items count by item id; repeated documents
 are rows of their own; null item ids are matched but not listed; of terms that are equally rare the
-first in the window is looked up first, which changes no match; very long texts are read whole; a
-word is told by 64 bits of hash; empty tables give no hits or no rows; further columns are kept,
-but for those named as the operator's own, in any case.
+first in the window is looked up first, which changes no match; very long texts are read whole; words
+are compared byte by byte where their hashes agree; empty tables give no hits or no rows; further
+columns are kept, but for those named as the operator's own, in any case.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import LOWER, clean_text, cut, fields_of, flat, lean, others, table, tune, word_hashes, words_of
+from ledgerline.llm.common import LOWER, clean_text, cut, fields_of, flat, lean, others, same_bytes, table, tune, word_hashes, words_of
 
 WINDOW, SLOP, SHARE = 13, 1, 0.8
 #: Benchmark text of one block.
@@ -43,11 +43,22 @@ class Windows:
     """Distinct windows of benchmark items as rows of term numbers; number n_terms fills a row up.
     names: the item ids as text, sorted; those of window w are item[first[w] : first[w + 1]]."""
 
+    hashes = staticmethod(word_hashes)
+
     def __init__(self, items: list, texts: list[str | None], width: int = WINDOW):
         data, at = flat(pa.array(texts, pa.string()))
         data = LOWER[data]
         starts, ends, begin = words_of(data, at, WORD)
-        self.terms, number = np.unique(word_hashes(data, starts, ends), return_inverse=True)
+        #: The hash under which no two different terms meet, and the terms' bytes.
+        for self.seed in range(64):
+            self.terms, index, number = np.unique(self.hashes(data, starts, ends, self.seed), return_index=True, return_inverse=True)
+            if same_bytes(data, starts, ends - starts, data, starts[index][number], (ends - starts)[index][number]).all():
+                break
+        else:
+            raise ValueError("no hash tells the terms of this block apart")
+        self.term_size = ends[index] - starts[index]
+        self.term_at = np.cumsum(self.term_size) - self.term_size
+        self.term_bytes = data[np.repeat(starts[index] - self.term_at, self.term_size) + np.arange(int(self.term_size.sum()))]
         n = np.diff(begin)
         size = np.minimum(n, width)
         count = np.where(n > 0, n - size + 1, 0)
@@ -87,9 +98,11 @@ class Shard:
         self.windows, self.n_words = windows, np.diff(self.first)
         term = np.full(len(starts), n, np.int64)
         if n and len(starts):
-            hashes = word_hashes(data, starts, ends)
+            hashes = windows.hashes(data, starts, ends, windows.seed)
             k = np.minimum(np.searchsorted(terms, hashes), n - 1)
-            term = np.where(terms[k] == hashes, k, n)
+            hit = np.flatnonzero(terms[k] == hashes)
+            hit = hit[same_bytes(data, starts[hit], ends[hit] - starts[hit], windows.term_bytes, windows.term_at[k[hit]], windows.term_size[k[hit]])]
+            term[hit] = k[hit]
         self.term = term
         self.positions = np.argsort(term, kind="stable")
         self.bounds = np.searchsorted(term[self.positions], np.arange(n + 1))

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerline.llm.common import clean_text, lean, tune
 from ledgerline.llm.tokens import tokens
@@ -94,6 +95,12 @@ def cut_lengths(n: int, window: int) -> list[tuple[int, int]]:
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, block long, place long"
 
 
+def measured(docs: DataFrame) -> tuple[int, int]:
+    """How many documents there are, and how many bytes of text."""
+    r = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    return int(r.n), int(r.bytes)
+
+
 def pieces(docs: DataFrame, window: int, n_blocks: int, path: str | None, end_id: int) -> DataFrame:
     """One row per piece, dealt round robin to blocks."""
     schema = pa.schema([(c.split()[0], pa.int64()) for c in PIECE.split(", ")])
@@ -125,7 +132,9 @@ def pack(docs: DataFrame, window: int = WINDOW, block_pieces: int = 8000, path:
     """
     spark = docs.sparkSession
     tune(spark)
-    n_blocks = max(1, -(-docs.count() // block_pieces))
+    n_docs, n_bytes = measured(docs)
+    # An id has a byte or more, so there are no more pieces than these.
+    n_blocks = max(1, -(-(n_docs + n_bytes // window) // block_pieces))
     cut = pieces(docs, window, n_blocks, path, end_id)
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long"
     schema = pa.schema([(c.split()[0], pa.int64()) for c in out.split(", ")])

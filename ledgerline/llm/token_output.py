@@ -7,8 +7,9 @@ overlong documents are first cut into full windows, so nothing is lost and every
 exactly one row.
 
 Scale: documents are dealt by a hash of their row's place into blocks of about ``block_docs``
-documents; token ids are made inside the block, so texts, not ids, are shuffled, once. A block
-holds a bounded number of documents whatever their source or text.
+documents or ``block_bytes`` of text, whichever is less; token ids are made inside the block, so texts,
+not ids, are shuffled, once. A block is bounded whatever the documents' source or length, but for one
+document that is longer.
 
 Dealing goes by the place of a row, so what stands behind a shuffle has to be written or checkpointed
 before, as in operator 2.
@@ -27,16 +28,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import clean_text, table, tune
-from ledgerline.llm.packing import END_ID, WINDOW, best_fit_decreasing, cut_lengths
+from ledgerline.llm.packing import END_ID, WINDOW, best_fit_decreasing, cut_lengths, measured
 from ledgerline.llm.tokens import tokens
 
 OUT = "sequence_id long, n_ids long, input_ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, starts array<long>"
 
 
-def sequences(docs: DataFrame, window: int = WINDOW, block_docs: int = 2000, path: str | None = None, end_id: int = END_ID, pad_id: int = 0) -> DataFrame:
+#: Text of one block, about.
+BLOCK_BYTES = 16 << 20
+
+
+def sequences(docs: DataFrame, window: int = WINDOW, block_docs: int = 2000, block_bytes: int = BLOCK_BYTES, path: str | None = None, end_id: int = END_ID, pad_id: int = 0) -> DataFrame:
     spark = docs.sparkSession
     tune(spark)
-    n_blocks = max(1, -(-docs.count() // block_docs))
+    n_docs, n_bytes = measured(docs)
+    n_blocks = max(1, -(-n_docs // block_docs), -(-n_bytes // block_bytes))
     schema = pa.schema([("sequence_id", pa.int64()), ("n_ids", pa.int64()), ("input_ids", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("position_ids", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))])
 
     def block(t: pa.Table) -> pa.Table:

@@ -1,10 +1,11 @@
 """Token ids of whole batches of texts, equal to the tokenizer's own.
 
 A text's pre-tokens never span white space, so its ids are the ids of its chunks between white
-space, joined. Chunks are hashed over the flat byte buffer of a batch; a table of hash -> ids,
+space, joined. Chunks are hashed over the flat byte buffer of a batch; a table of hash -> chunk and ids,
 of bounded size and kept by the worker process between tasks, holds those met before, and only
-new ones go through the tokenizer, many in one call. Texts with characters outside the set
-below, or with a special token's string, go through the tokenizer whole.
+new ones go through the tokenizer, many in one call. A chunk's bytes are compared before it is given
+another's ids. Texts with characters outside the set below, with a special token's string or with
+a chunk that only shares another's hash go through the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from ledgerline.llm.common import LOWER, flat, word_hashes, words_of
+from ledgerline.llm.common import LOWER, flat, same_bytes, word_hashes, words_of
 
 VOCABULARY = "word_bpe_49k.json"
 #: The vocabulary's own pre-tokenization, for the characters that ``plain`` lets through.
@@ -52,8 +53,12 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in visible else 256 + rest.index(b)) for b in range(256)]
 
 
+_NO_CHUNKS = (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4)
+
+
 class Tokens:
-    #: Chunks and ids kept; beyond them the table starts anew.
+    hashes = staticmethod(word_hashes)
+    #: Chunks, and ids or bytes of chunks, kept; beyond them the table starts anew.
     KEPT, KEPT_IDS = 400_000, 4_000_000
     FRESH = 150_000
 
@@ -74,8 +79,8 @@ class Tokens:
 
     def clear(self) -> None:
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        none = np.zeros(0, np.int64)
-        self.tables = [(np.zeros(0, np.uint64), none, none), (np.zeros(0, np.uint64), none, none)]
+        self.chunks, self.chunk_bytes = np.zeros(1 << 16, np.uint8), 0
+        self.tables = [_NO_CHUNKS, _NO_CHUNKS]
 
     def _store(self, ids: np.ndarray) -> int:
         if self.used + len(ids) > len(self.pool):
@@ -97,15 +102,28 @@ class Tokens:
         bound = word_ends[np.concatenate([[0], np.cumsum(counts)])]
         return self._store(ids) + bound[:-1], np.diff(bound)
 
-    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at, size, missing = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.ones(len(keys), bool)
-        for known, where, n in self.tables:
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The table's row of each key (ids' place and number, chunk's place and size), and whether
+        it is missing."""
+        row, missing = np.zeros((4, len(keys)), np.int64), np.ones(len(keys), bool)
+        for known, *columns in self.tables:
             if len(known):
                 k = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                 hit = known[k] == keys
-                at[hit], size[hit] = where[k[hit]], n[k[hit]]
+                row[:, hit] = np.stack(columns)[:, k[hit]]
                 missing &= ~hit
-        return at, size, missing
+        return row, missing
+
+    def _keep(self, raw: bytes, starts: list[int], ends: list[int]) -> np.ndarray:
+        """Where the bytes of new chunks stand from now on."""
+        body = np.frombuffer(b"".join([raw[s:e] for s, e in zip(starts, ends)]), np.uint8)
+        if self.chunk_bytes + len(body) > len(self.chunks):
+            self.chunks = np.concatenate([self.chunks, np.zeros(max(len(self.chunks), len(body)), np.uint8)])
+        self.chunks[self.chunk_bytes : self.chunk_bytes + len(body)] = body
+        size = np.array(ends) - np.array(starts)
+        at = self.chunk_bytes + np.cumsum(size) - size
+        self.chunk_bytes += len(body)
+        return at
 
     def _merge(self, a: tuple, b: tuple) -> tuple:
         keys = np.concatenate([a[0], b[0]])
@@ -122,23 +140,34 @@ class Tokens:
             for i in range(n):
                 b = data[at[i] : at[i + 1]].tobytes()
                 whole[i] |= any(s.lower() in b for s in self.special)
-        if len(self.tables[0][0]) > self.KEPT or self.used > self.KEPT_IDS:
+        if len(self.tables[0][0]) > self.KEPT or self.used > self.KEPT_IDS or self.chunk_bytes > self.KEPT_IDS:
             self.clear()
         starts, ends, first = words_of(data, at, CHUNK)
         doc = np.repeat(np.arange(n), np.diff(first))
         if whole.any():
             keep = ~whole[doc]
             starts, ends, doc = starts[keep], ends[keep], doc[keep]
-        keys, index, inverse = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        where, size, missing = self._find(keys)
+        hashes = self.hashes(data, starts, ends)
+        keys, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        row, missing = self._find(keys)
+        chunk = ends[index] - starts[index]
+        unlike = ~missing
+        unlike[unlike] = ~same_bytes(data, starts[index[unlike]], chunk[unlike], self.chunks, *row[2:, unlike])
+        odd = unlike[inverse] | ~same_bytes(data, starts, ends - starts, data, starts[index][inverse], chunk[inverse])
         if missing.any():
             m = np.flatnonzero(missing)
             raw = data.tobytes()
-            where[m], size[m] = self.new_chunks([raw[s:e].decode() for s, e in zip(starts[index[m]].tolist(), ends[index[m]].tolist())])
-            self.tables[1] = self._merge(self.tables[1], (keys[m], where[m], size[m]))
+            begin, end = starts[index[m]].tolist(), ends[index[m]].tolist()
+            row[:2, m] = self.new_chunks([raw[s:e].decode() for s, e in zip(begin, end)])
+            row[2, m], row[3, m] = self._keep(raw, begin, end), chunk[m]
+            self.tables[1] = self._merge(self.tables[1], (keys[m], *row[:, m]))
             if len(self.tables[1][0]) > self.FRESH:
-                none = np.zeros(0, np.int64)
-                self.tables = [self._merge(*self.tables), (np.zeros(0, np.uint64), none, none)]
+                self.tables = [self._merge(*self.tables), _NO_CHUNKS]
+        if odd.any():
+            whole[doc[odd]] = True
+            keep = ~whole[doc]
+            inverse, doc = inverse[keep], doc[keep]
+        where, size = row[:2]
         per_word, sizes = where[inverse], size[inverse]
         pool = self.pool[: self.used]
         extra, extra_at, extra_n, extra_doc = [], [], [], []
