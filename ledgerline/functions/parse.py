@@ -61,7 +61,18 @@ def symbol_key(c: Column) -> Column:
     return F.upper(c)
 
 
+#: Splits a double into two halves of at most 27 bits.
+_HALF = float(2**27 + 1)
+
+
 def rounded(c: Column, digits: int = 6) -> Column:
-    """Half up on the binary value, the same in every engine: floor(x * 10**d + 0.5) / 10**d."""
+    """The nearest decimal with so many digits, by the exact binary value, ties to even: the rounding of
+    ledgers and summaries, and of every query. The scaled value alone is rounded to the next double and
+    may fall on a tie; what it lost then decides."""
     scale = float(10**digits)
-    return F.floor(c * scale + 0.5) / scale
+    scaled = c * scale
+    whole = F.rint(scaled)
+    high = c * _HALF - (c * _HALF - c)
+    lost = (high * scale - scaled) + (c - high) * scale  # exact: both products fit a double
+    tie = scaled - whole
+    return (whole + F.when((tie == 0.5) & (lost > 0), 1.0).when((tie == -0.5) & (lost < 0), -1.0).otherwise(0.0)) / scale

@@ -176,8 +176,9 @@ def gate_violations(windows: DataFrame, points: DataFrame, full: DataFrame) -> D
     """(symbol, gate, violations) for the five gates. ``full`` has the full run's num_trades; its symbols
     are those that windows may have. Windows with too few bars are held to their symbol only."""
     real = F.col("status") != INSUFFICIENT
-    # Of the windows with enough bars, the start of the one before.
-    before = F.lag("test_start").over(Window.partitionBy("symbol", real).orderBy("window_index"))
+    # Of the windows with enough bars, the start of the one before. A summary lists its windows by index;
+    # where some share one, by start, so that equal starts stand together in any order.
+    before = F.lag("test_start").over(Window.partitionBy("symbol", real).orderBy("window_index", "test_start"))
     known = full.select("symbol", F.lit(True).alias("known"), F.col("num_trades").alias("expected"))
     bad = (F.col("final_equity") < 0) | F.coalesce(~F.col("win_rate").between(0.0, 1.0), F.lit(False)) | (F.col("max_drawdown_pct") > 0)
     # A null symbol equals none, so it is no symbol of the full run.

@@ -5,7 +5,12 @@ from __future__ import annotations
 
 
 def r(x: str, digits: int = 6) -> str:
-    return f"floor(({x}) * 1e{digits} + 0.5) / 1e{digits}"
+    """To the nearest decimal by the binary value: where the product falls on a tie, the halves of x tell
+    which side of it x is on."""
+    k = f"{10**digits}::double"
+    half = "(v * 134217729::double - (v * 134217729::double - v))"
+    lost = f"({half} * {k} - v * {k}) + (v - {half}) * {k}"
+    return f"list_transform([cast({x} as double)], lambda v: (round_even(v * {k}, 0) + case when v * {k} - round_even(v * {k}, 0) = 0.5 and {lost} > 0 then 1.0::double when v * {k} - round_even(v * {k}, 0) = -0.5 and {lost} < 0 then -1.0::double else 0.0::double end) / {k})[1]"
 
 
 def rs(names: str, digits: int = 6) -> str:
@@ -13,7 +18,7 @@ def rs(names: str, digits: int = 6) -> str:
 
 
 EVENT_BARS = """bars as (select time_bucket(interval '15 minutes', ts) as date, event_type as symbol, arg_min(value, struct_pack(a := ts, b := event_id)) as open, max(value) as high,
-min(value) as low, arg_max(value, struct_pack(a := ts, b := event_id)) as close, floor(sum(value) * 1e6 + 0.5) / 1e6 as volume from events group by all)"""
+min(value) as low, arg_max(value, struct_pack(a := ts, b := event_id)) as close, {V} as volume from events group by all)""".replace("{V}", r("sum(value)"))
 ORDER_BARS = """bars as (select cast(o_orderdate as date) as date, o_orderpriority as symbol, arg_min(o_totalprice / 1000.0, struct_pack(a := o_orderdate, b := o_orderkey)) as open, max(o_totalprice / 1000.0) as high,
 min(o_totalprice / 1000.0) as low, arg_max(o_totalprice / 1000.0, struct_pack(a := o_orderdate, b := o_orderkey)) as close, cast(count(*) as double) as volume from orders group by all)"""
 
@@ -115,7 +120,7 @@ def _gates(windows: str = "*", points: str = "*") -> str:
     return f"""gf as (select symbol, num_trades as expected from met where run_id = 'full'),
 gp as (select {points} from (select symbol, param_name, is_baseline, num_trades from met join (select distinct run_id, param_name, is_baseline from ranged where param_name is not null) using (run_id))),
 gw as (select {windows} from walk),
-gl as (select *, status <> 'INSUFFICIENT_DATA' as real, lag(test_start) over (partition by symbol, status <> 'INSUFFICIENT_DATA' order by window_index) as before from gw),
+gl as (select *, status <> 'INSUFFICIENT_DATA' as real, lag(test_start) over (partition by symbol, status <> 'INSUFFICIENT_DATA' order by window_index, test_start) as before from gw),
 g1 as (select symbol, count(*) filter (real and dev_end >= test_start) as a, count(*) filter (real and test_start <= before) as b, count(*) filter (symbol is null or symbol not in (select symbol from gf)) as c,
  count(*) filter (real and (final_equity < 0 or coalesce(win_rate not between 0 and 1, false) or max_drawdown_pct > 0)) as d from gl group by symbol),
 g2 as (select gf.symbol, case when count(*) filter (is_baseline) = 0 then 1 else count(*) filter (is_baseline and param_name = 'risk_per_trade' and num_trades <> expected) end as e from gf left join gp using (symbol) group by gf.symbol),
@@ -256,7 +261,7 @@ invalid_dates as invalid_date_count, 0::bigint as non_monotonic_date_count, n_ch
         "json_splits": _with(ORDER_BARS, SPLITS) + "select symbol, count(*) over (partition by symbol) as total_windows, cast(window_index as bigint) as window_index, dev_rows, test_rows, status from spl",
         "json_sensitivity": grid + f"select symbol, param_name, param_value, is_baseline, num_trades, {rs('final_equity', 4)} from met join (select distinct run_id, param_name, param_value, is_baseline from ranged) using (run_id)",
         "report_lines": _with(ORDER_BARS, SPLITS) + "select symbol, count(*) + 12 as n from spl group by symbol",
-        "sink_trades": bt + f"select symbol, tid as trade_id, {r('i_px', 4)} as entry_price, {r('i_stop', 4)} as initial_stop, {r('net_pnl', 4)} as net_pnl, {r('100 * net_pnl / (i_px * i_qty)', 4)} as return_pct from trade",
+        "sink_trades": bt + f"select symbol, tid as trade_id, {r('i_px', 4)} as entry_price, {r('i_stop', 4)} as initial_stop, {r('net_pnl', 4)} as net_pnl, {r('net_pnl / (i_px * i_qty) * 100', 4)} as return_pct from trade",
         "sink_equity": bt + f"select symbol, date, {r('cash', 4)} as cash, cast(qty as bigint) as position_quantity, {r('worth', 4)} as position_market_value, {r('equity', 4)} as equity from curve",
         "lookup": bt + f"select upper(symbol) as symbol, num_trades, {rs('final_equity', 4)} from met where symbol = 'click'",
         "ohlcv_range": _with(EVENT_BARS) + f"select {d}, {rs('open high low close volume')} from bars where symbol = 'click' and date >= timestamp '2024-01-05' and date <= timestamp '2024-01-20'",

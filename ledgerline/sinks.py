@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.functions.parse import rounded
 from ledgerline.schemas import BAR_COLUMNS, EQUITY_FIELDS, SIGNAL_COLUMNS, TRADE_FIELDS
 
 #: Broken rows that a Markdown report shows.
@@ -33,12 +34,12 @@ def trade_rows(ledger: DataFrame) -> DataFrame:
     out = []
     for name, kind in TRADE_FIELDS:
         c = F.col(name) * 100 if name == "return_pct" else F.col(name)
-        out.append((F.round(c, digits.get(name, 4)) if kind == "double" else c).alias(name))
+        out.append((rounded(c, digits.get(name, 4)) if kind == "double" else c).alias(name))
     return ledger.select(out[0], "symbol", *out[1:])
 
 
 def equity_columns() -> list:
-    return [(F.round(n, 4) if k == "double" else F.col(n)).alias(n) for n, k in EQUITY_FIELDS]
+    return [(rounded(F.col(n), 4) if k == "double" else F.col(n)).alias(n) for n, k in EQUITY_FIELDS]
 
 
 def equity_rows(curve: DataFrame) -> DataFrame:

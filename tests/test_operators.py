@@ -308,3 +308,25 @@ def test_averages_keep_their_state_across_batches(spark, tmp_path):
     assert set(got) == set(want)
     for k, row in want.items():
         assert got[k][:2] == pytest.approx(row[:2]) and (row[2] is None) == (got[k][2] is None or got[k][2] != got[k][2]) and (row[2] is None or got[k][2] == pytest.approx(row[2]))
+
+
+def test_rounding_is_by_the_binary_value_with_ties_to_even(spark):
+    import random
+
+    r = random.Random(1)
+    xs = [r.uniform(-1000, 1000) for _ in range(3000)] + [round(r.uniform(-100, 100), 4) + 5e-5 for _ in range(9000)] + [k / 32 for k in range(-200, 200)] + [6.30315, 2.675, 0.0, 1e12 + 0.00005]
+    df = spark.createDataFrame(list(enumerate(xs)), "i long, x double")
+    got = [row.y for row in df.select("i", parse.rounded(F.col("x"), 4).alias("y")).orderBy("i").collect()]
+    assert got == [round(x, 4) for x in xs]
+
+
+def test_windows_that_share_an_index_are_ordered_by_start(spark):
+    rows = [(3, "2001-01-01"), (3, "2000-01-01"), (4, "2002-01-01"), (4, "2002-01-01")]
+    windows = spark.createDataFrame(rows, "window_index int, test_start string").selectExpr(
+        "'A' as symbol", "window_index", "cast(test_start as date) as test_start", "date'1999-01-01' as dev_end", "'OK' as status", "1.0 as final_equity", "0.5 as win_rate", "0.0 as max_drawdown_pct"
+    )
+    points = spark.createDataFrame([("A", "risk_per_trade", True, 1)], "symbol string, param_name string, is_baseline boolean, num_trades long")
+    full = spark.createDataFrame([("A", 1)], "symbol string, num_trades long")
+    for n in (1, 3):
+        got = {g.gate: g.violations for g in validation.gate_violations(windows.repartition(n), points, full).collect()}
+        assert got == {"NO_OVERLAP": 0, "CHRONOLOGICAL": 1, "SYMBOL_ISOLATION": 0, "VALID_METRICS": 0, "SENSITIVITY_BASELINE": 0}
