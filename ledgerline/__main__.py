@@ -14,6 +14,7 @@ def parser() -> argparse.ArgumentParser:
     which.add_argument("--symbol", default=None)
     which.add_argument("--symbols", nargs="+", default=None)
     p.add_argument("--format", choices=("parquet", "csv"), default="parquet", help="of bars and features")
+    p.add_argument("--spread", action="store_true", help="signals: spread each symbol's bars over tasks")
     p.add_argument("--capital", type=float, default=100_000.0)
     p.add_argument("--risk-per-trade", type=float, default=0.01)
     p.add_argument("--slippage", type=float, default=0.0005)
@@ -37,7 +38,7 @@ def main(args: list[str] | None = None, spark=None) -> int:
     if a.plan == "data":
         out = pipelines.data(spark, a.root, symbols, fmt=a.format)
     elif a.plan == "signals":
-        out = pipelines.signals(spark, a.root, symbols, fmt=a.format)
+        out = pipelines.signals(spark, a.root, symbols, fmt=a.format, spread=a.spread)
     elif a.plan == "backtest":
         out = pipelines.backtests(spark, a.root, symbols, a.capital, a.risk_per_trade, a.slippage, a.commission, a.atr_multiplier, a.format)
     else:

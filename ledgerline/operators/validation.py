@@ -38,21 +38,42 @@ def cutoffs(bars: DataFrame, dev_years: int = 3, step_months: int = 6, test_mont
     return out.select("symbol", "window_index", "low", F.least(F.add_months("low", test_months), "last").alias("high"), "last")
 
 
+#: Edges of windows among days: a window begins before its first day and ends after its last.
+BEGIN, DAY, END = 0, 1, 2
+
+
+def lookup(bars: DataFrame, windows: DataFrame) -> DataFrame:
+    """windows (symbol, window_index, low, high) with the dates and counts of the bars before and in each.
+
+    Days, a row per symbol and date with its count, and the windows' edges stand in one order, so what an
+    edge has to know are running sums and the nearest days: no day meets a window. Bars are combined
+    before the shuffle; what a symbol's group holds is its calendar, not its bars.
+    """
+    days = bars.select("symbol", F.to_date("date").alias("at")).where("at is not null").groupBy("symbol", "at").agg(F.count("*").alias("n"))
+    edge = lambda column, kind: windows.select("symbol", F.col(column).alias("at"), F.lit(kind).alias("kind"), "window_index")
+    marks = days.withColumn("kind", F.lit(DAY)).unionByName(edge("low", BEGIN), True).unionByName(edge("high", END), True)
+    order = ("at", "kind", "window_index")
+    on = Window.partitionBy("symbol").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("symbol").orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, 0)
+    day = F.when(F.col("kind") == DAY, F.col("at"))
+    seen = marks.withColumns({"upto": F.coalesce(F.sum("n").over(on), F.lit(0)), "first": F.min(day).over(on), "last": F.max(day).over(on), "next": F.min(day).over(back)})
+    at = lambda kind, column: F.max(F.when(F.col("kind") == kind, F.col(column)))
+    found = seen.where(F.col("kind") != DAY).groupBy("symbol", "window_index").agg(
+        at(BEGIN, "at").alias("low"), at(END, "at").alias("high"), at(BEGIN, "first").alias("dev_start"), at(BEGIN, "last").alias("dev_end"), at(BEGIN, "upto").alias("dev_rows"),
+        at(BEGIN, "next").alias("next"), at(END, "last").alias("last"), (at(END, "upto") - at(BEGIN, "upto")).alias("test_rows"),
+    )
+    some = F.col("test_rows") > 0
+    return found.select(
+        "symbol", "window_index", "low", "high", "dev_start", "dev_end", "dev_rows",
+        F.when(some, F.col("next")).alias("test_start"), F.when(some, F.col("last")).alias("test_end"), "test_rows",
+    )
+
+
 def splits(bars: DataFrame, dev_years: int = 3, step_months: int = 6, test_months: int = 6, min_rows: int = 50) -> DataFrame:
     """The windows with actual first and last dates and row counts. Adjacent windows share a
     boundary day when it has a bar. Dates before a window are its expanding development part."""
     windows = cutoffs(bars, dev_years, step_months, test_months)
-    day = bars.select("symbol", F.to_date("date").alias("day"))
-    # Cumulative counts at each bar make both parts of a window a lookup instead of a join of
-    # every bar with every window: one row per distinct day meets the windows.
-    days = day.groupBy("symbol", "day").agg(F.count("*").alias("n"))
-    joined = windows.join(days, "symbol").where(F.col("day") <= F.col("high"))
-    dev, test = F.col("day") < F.col("low"), F.col("day") >= F.col("low")
-    rows = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
-    out = joined.groupBy("symbol", "window_index", "low", "high").agg(
-        F.min(F.when(dev, F.col("day"))).alias("dev_start"), F.max(F.when(dev, F.col("day"))).alias("dev_end"), rows(dev).alias("dev_rows"),
-        F.min(F.when(test, F.col("day"))).alias("test_start"), F.max(F.when(test, F.col("day"))).alias("test_end"), rows(test).alias("test_rows"),
-    )
+    out = lookup(bars, windows.select("symbol", "window_index", "low", "high"))
     return out.withColumn("status", F.when(F.col("test_rows") >= min_rows, OK).otherwise(INSUFFICIENT))
 
 

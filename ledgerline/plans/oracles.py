@@ -230,6 +230,10 @@ invalid_dates as invalid_date_count, 0::bigint as non_monotonic_date_count, n_ch
         "ema": s + f"select symbol, {d}, {rs('ema20 ema50')} from feat",
         "atr": s + f"select symbol, {d}, {rs('atr14')} from feat",
         "features": s + f"select symbol, {d}, {rs(feature_names)} from feat",
+        "ema_spread": s + f"select symbol, {d}, {rs('ema20 ema50')} from feat",
+        "atr_spread": s + f"select symbol, {d}, {rs('true_range atr14')} from feat",
+        "windows_spread": window("sma20", "sma50", "avg_volume_20", "volume_ratio", "momentum_5", "momentum_20", "previous_high_20"),
+        "drawdown_spread": bt + f"select symbol, date, {r('equity', 4)} as equity, {r('peak', 4)} as peak, {r('(equity - peak) / peak', 4)} as drawdown from down",
         "conditions": s + f"select symbol, {d}, trend_condition, price_condition, breakout_condition, volume_condition from cond",
         "signal": s + f"select symbol, {d}, {rs('close')}, signal from sig",
         "signal_summary": s + "select symbol, count(*) filter (signal = 'LONG') as n_long, count(*) filter (signal <> 'LONG') as n_none, cast(min(date) filter (signal = 'LONG') as varchar) as first_long, cast(max(date) filter (signal = 'LONG') as varchar) as last_long from sig group by symbol",

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ledgerline import sinks
 from ledgerline.operators import backtest, clean, features, metrics, quality, query, validation
+from ledgerline.operators import spread as scans
 from ledgerline.operators.kernels import Config
+from ledgerline.schemas import SIGNAL_COLUMNS
 from ledgerline.sources import catalog as symbols_
 from ledgerline.sources.files import VendorCsv, bars_table, features_table, signals_only, unchanged
 
@@ -74,10 +76,12 @@ def _of(df: DataFrame, symbols) -> DataFrame:
     return df.where(F.col("symbol").isin(_keys(symbols)))
 
 
-def signals(spark: SparkSession, root: str, symbols=DEFAULT, fmt: str = "parquet") -> Outcome:
-    table = features.signal_table(_of(bars_table(spark, f"{root}/processed/stocks", fmt), symbols))
+def signals(spark: SparkSession, root: str, symbols=DEFAULT, fmt: str = "parquet", spread: bool = False) -> Outcome:
+    """spread: for symbols with more bars than one task should read, features by scans over chunks."""
+    bars = _of(bars_table(spark, f"{root}/processed/stocks", fmt), symbols)
+    table = features.signals(scans.features(bars)).select(*SIGNAL_COLUMNS) if spread else features.signal_table(bars)
     path = f"{root}/features/stocks"
-    sinks.write_features(table, path, fmt)
+    sinks.write_features(table, path, fmt, spread)
     kept = signals_only(spark, path, fmt)
     return Outcome([path], {r.symbol: f"{r.n_long} LONG" for r in features.signal_summary(kept).collect()})
 

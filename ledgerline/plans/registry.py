@@ -13,7 +13,7 @@ from ledgerline import sinks
 from ledgerline.functions import parse
 from ledgerline.functions.indicators import by_symbol, with_windowed
 from ledgerline.functions.parse import rounded
-from ledgerline.operators import backtest, clean, features, metrics, quality, query, validation
+from ledgerline.operators import backtest, clean, features, metrics, quality, query, spread, validation
 from ledgerline.operators.kernels import Config
 from ledgerline.schemas import CONDITIONS, FEATURE_COLUMNS
 from ledgerline.sources.bars import bars_events, bars_orders, raw_events
@@ -88,6 +88,19 @@ def breakouts(spark: SparkSession, d: str) -> DataFrame:
     return plain(t.where(hit).select("symbol", "date", "close", "sma20", "previous_high_20", "volume_ratio"))
 
 
+#: Chunks of the scans, so that symbols go over their ends at every scale.
+CHUNKS = 8
+
+
+def _spread(*columns: str):
+    """Features by scans over chunks of bars."""
+    return lambda spark, d: plain(spread.features(bars_events(spark, d), partitions=CHUNKS).select("symbol", "date", *columns))
+
+
+def drawdown_spread(spark: SparkSession, d: str) -> DataFrame:
+    return plain(spread.drawdown(backtest.equity(_tagged(spark, d)), CHUNKS).select("symbol", "date", "equity", "peak", "drawdown"), 4)
+
+
 def conditions(spark: SparkSession, d: str) -> DataFrame:
     return plain(_signals(spark, d).select("symbol", "date", *CONDITIONS))
 
@@ -370,6 +383,10 @@ def queries() -> dict:
         "ema": lambda s, d: plain(features.features(bars_events(s, d)).select("symbol", "date", "ema20", "ema50")),
         "atr": lambda s, d: plain(features.features(bars_events(s, d)).select("symbol", "date", "atr14")),
         "features": feature_table,
+        "ema_spread": _spread("ema20", "ema50"),
+        "atr_spread": _spread("true_range", "atr14"),
+        "windows_spread": _spread("sma20", "sma50", "avg_volume_20", "volume_ratio", "momentum_5", "momentum_20", "previous_high_20"),
+        "drawdown_spread": drawdown_spread,
         "conditions": conditions,
         "signal": signal,
         "signal_summary": lambda s, d: plain(features.signal_summary(_signals(s, d))),

@@ -19,12 +19,14 @@ def write_bars(bars: DataFrame, path: str, fmt: str = "parquet") -> None:
     _write(bars.select(*BAR_COLUMNS), path, fmt)
 
 
-def write_features(table: DataFrame, path: str, fmt: str = "parquet") -> None:
-    _write(table.select(*SIGNAL_COLUMNS), path, fmt)
+def write_features(table: DataFrame, path: str, fmt: str = "parquet", spread: bool = False) -> None:
+    _write(table.select(*SIGNAL_COLUMNS), path, fmt, spread)
 
 
-def _write(df: DataFrame, path: str, fmt: str) -> None:
-    w = df.repartition("symbol").sortWithinPartitions("symbol", "date").write.mode("overwrite").partitionBy("symbol")
+def _write(df: DataFrame, path: str, fmt: str, spread: bool = False) -> None:
+    """A file a symbol; with spread several in the order of dates, so that no symbol is one task's."""
+    dealt = df.repartitionByRange("symbol", "date") if spread else df.repartition("symbol")
+    w = dealt.sortWithinPartitions("symbol", "date").write.mode("overwrite").partitionBy("symbol")
     w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path)
 
 

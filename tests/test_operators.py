@@ -330,3 +330,37 @@ def test_windows_that_share_an_index_are_ordered_by_start(spark):
     for n in (1, 3):
         got = {g.gate: g.violations for g in validation.gate_violations(windows.repartition(n), points, full).collect()}
         assert got == {"NO_OVERLAP": 0, "CHRONOLOGICAL": 1, "SYMBOL_ISOLATION": 0, "VALID_METRICS": 0, "SENSITIVITY_BASELINE": 0}
+
+
+def _days(spark, rows):
+    return spark.createDataFrame(rows, "symbol string, date string").withColumn("date", F.col("date").cast("date"))
+
+
+def test_windows_look_days_up_without_meeting_them(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(s, str(dt.date(2000, 1, 1) + dt.timedelta(r.randrange(2400)))) for s in "ABC" for _ in range(400)] + [("D", "2001-05-05"), ("E", None)]
+    bars = _days(spark, rows)
+    plan = validation.splits(bars)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    got = {(x.symbol, x.window_index): x for x in validation.splits(bars, min_rows=20).collect()}
+    assert len(got) > 9 and not any(k[0] in "DE" for k in got)
+    for (s, _), x in got.items():
+        own = sorted(dt.date.fromisoformat(d) for t, d in rows if t == s)
+        dev, test = [d for d in own if d < x.low], [d for d in own if x.low <= d <= x.high]
+        ends = lambda v: (v[0], v[-1], len(v)) if v else (None, None, 0)
+        assert (x.dev_start, x.dev_end, x.dev_rows) == ends(dev) and (x.test_start, x.test_end, x.test_rows) == ends(test)
+        assert x.status == ("OK" if len(test) >= 20 else "INSUFFICIENT_DATA")
+
+
+def test_an_empty_window_has_no_dates(spark):
+    bars = _days(spark, [("A", "2000-01-01"), ("A", "2003-03-01"), ("A", "2004-12-01")])
+    got = {x.window_index: x for x in validation.splits(bars).collect()}
+    assert got[1].test_rows == 0 and got[1].test_start is None and got[1].test_end is None and got[1].dev_rows == 2
+
+
+def test_lookup_combines_a_hot_symbols_bars_before_the_shuffle(spark):
+    bars = spark.range(0, 1_000_000, 1, 8).select(F.lit("HOT").alias("symbol"), F.timestamp_seconds(F.col("id") * 600).alias("date"))
+    x = validation.splits(bars).agg(F.count("*").alias("n"), F.max("dev_rows").alias("dev"), F.sum("test_rows").alias("test")).first()
+    assert x.n > 20 and x.dev < 1_000_000

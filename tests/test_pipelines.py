@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import random
 
+import pandas as pd
 import pytest
 
 from ledgerline.__main__ import main
@@ -54,6 +55,19 @@ def test_plans(spark, tmp_path, capsys):
     assert text.count("test_range") == windows
 
 
+def test_spread_signals_equal_those_of_one_task(spark, tmp_path):
+    write_raw(tmp_path / "raw/stocks/TCS.csv", 1, 900)
+    write_raw(tmp_path / "raw/stocks/INFY.csv", 2, 300)
+    both = ["--root", str(tmp_path), "--symbols", "TCS", "INFY"]
+    assert main(["data", *both], spark) == 0
+    got = []
+    for extra in ([], ["--spread"]):
+        assert main(["signals", *both, *extra], spark) == 0
+        table = spark.read.parquet(f"{tmp_path}/features/stocks").toPandas().sort_values(["symbol", "date"]).reset_index(drop=True)
+        got.append(table[sorted(table.columns)])
+    pd.testing.assert_frame_equal(*got, rtol=1e-9)
+
+
 def test_plans_over_text_files(spark, tmp_path):
     """CSV between the plans gives what Parquet gives."""
     write_raw(tmp_path / "raw/stocks/TCS.csv", 1, 700)
