@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators.features import LONG, require
-from ledgerline.operators.kernels import Bars, Config, simulate
+from ledgerline.operators.kernels import Bars, Config, Ledger, simulate
 from ledgerline.schemas import CONFIG_FIELDS, EQUITY_FIELDS, SKIP_FIELDS, SPAN_FIELDS, TRADE_FIELDS, ddl
 
 REQUIRED = ("date", "symbol", "open", "high", "low", "close", "ema20", "atr14", "signal")
@@ -31,7 +31,7 @@ def config_table(spark: SparkSession, configs: dict[str, Config]) -> DataFrame:
     return spark.createDataFrame(rows, ddl(CONFIG_FIELDS))
 
 
-def _tagged(kind: str, columns: list, seq: list | np.ndarray, symbol: str, run_id: str, capital: float) -> pa.Table:
+def tagged_rows(kind: str, columns: list, seq: list | np.ndarray, symbol: str, run_id: str, capital: float) -> pa.Table:
     """Rows of one kind: its columns as a struct, the other structs null."""
     n = len(seq)
     struct = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _STRUCTS[kind])], fields=list(_STRUCTS[kind]))
@@ -41,30 +41,42 @@ def _tagged(kind: str, columns: list, seq: list | np.ndarray, symbol: str, run_i
 
 
 def _run(bars: Bars, symbol: str, run_id: str, c: Config) -> Iterator[pa.Table]:
-    done = simulate(bars, c)
-    about = (symbol, run_id, c.initial_capital)
+    yield from rows_of(simulate(bars, c), bars, 0, (symbol, run_id, c.initial_capital))
+    if bars.date:
+        yield tagged_rows("span", [[bars.date[0]], [bars.date[-1]], [bars.open[0]], [bars.close[-1]], [len(bars.date)]], [-1], symbol, run_id, c.initial_capital)
+
+
+def rows_of(done: Ledger, bars: Bars, first: int, about: tuple[str, str, float]) -> Iterator[pa.Table]:
+    """The tagged rows of a run's part, the first of whose bars is the run's ``first``-th."""
+    n = len(done.cash)
     if done.trades:
-        yield _tagged("trade", list(zip(*done.trades)), [4 * i for i in done.trade_at], *about)
+        yield tagged_rows("trade", list(zip(*done.trades)), [4 * i for i in done.trade_at], *about)
     if done.skips:
-        yield _tagged("skip", list(zip(*done.skips)), [4 * i + 1 for i in done.skip_at], *about)
-    worth = np.where(done.quantity > 0, done.quantity * np.array(bars.close), 0.0)
-    curve = [bars.date, np.round(done.cash, 6), done.quantity, np.round(worth, 6), np.round(done.cash + worth, 6)]
-    yield _tagged("equity", curve, 4 * np.arange(len(worth)) + 2, *about)
-    if bars.date:
-        yield _tagged("span", [[bars.date[0]], [bars.date[-1]], [bars.open[0]], [bars.close[-1]], [len(bars.date)]], [-1], *about)
+        yield tagged_rows("skip", list(zip(*done.skips)), [4 * i + 1 for i in done.skip_at], *about)
+    worth = np.where(done.quantity > 0, done.quantity * np.array(bars.close[:n], float), 0.0)
+    curve = [bars.date[:n], np.round(done.cash, 6), done.quantity, np.round(worth, 6), np.round(done.cash + worth, 6)]
+    yield tagged_rows("equity", curve, 4 * (first + np.arange(n)) + 2, *about)
+
+
+def _micros(c: str):
+    return F.unix_micros(F.col(c).cast("timestamp"))
+
+
+def kernel_bars(table: DataFrame, *more: str) -> DataFrame:
+    """The columns that runs read: dates as text (ISO text keeps the order of dates and of timestamps), as
+    microseconds and as days, numbers without nulls."""
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c)
+    return table.select(
+        "symbol", F.col("date").cast("string").alias("date"), _micros("date").alias("at"), F.unix_date(F.to_date("date")).cast("long").alias("day"),
+        *map(number, ("open", "low", "close", "ema20", "atr14")), F.coalesce(F.col("signal") == LONG, F.lit(False)).alias("long"), *more,
+    )
 
 
 def run_backtests(table: DataFrame, configs: dict[str, Config], windows: DataFrame | None = None, window_config: Config = Config()) -> DataFrame:  # noqa: B008 - immutable
     """Tagged rows of every run: each of ``configs`` over all bars, and ``window_config`` over each of
     ``windows`` (symbol, run_id, first_date, last_date; inclusive)."""
     require(table, REQUIRED, "backtest")
-    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c)
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    # ISO text keeps the order of dates and of timestamps.
-    bars = table.select(
-        "symbol", F.col("date").cast("string").alias("date"), micros("date").alias("at"), F.unix_date(F.to_date("date")).cast("long").alias("day"),
-        *map(number, ("open", "low", "close", "ema20", "atr14")), F.coalesce(F.col("signal") == LONG, F.lit(False)).alias("long"),
-    )
+    bars = kernel_bars(table)
 
     def kernel(group: pa.Table, ranges: pa.Table | None = None) -> pa.Table:
         parts: list[pa.Table] = []
@@ -81,11 +93,11 @@ def run_backtests(table: DataFrame, configs: dict[str, Config], windows: DataFra
     if windows is None:
         return bars.groupBy("symbol").applyInArrow(lambda group: kernel(group), TAGGED)
     # A name of its own: windows come from the same table as a rule.
-    ranges = windows.select(F.col("symbol").alias("owner"), "run_id", micros("first_date").alias("low"), micros("last_date").alias("high"))
+    ranges = windows.select(F.col("symbol").alias("owner"), "run_id", _micros("first_date").alias("low"), _micros("last_date").alias("high"))
     return bars.groupBy("symbol").cogroup(ranges.groupBy("owner")).applyInArrow(lambda group, ranges: kernel(group, ranges), TAGGED)
 
 
-_NOTHING = _tagged("span", [[]] * len(SPAN_FIELDS), [], "", "", 0.0)
+_NOTHING = tagged_rows("span", [[]] * len(SPAN_FIELDS), [], "", "", 0.0)
 
 
 def trades(tagged: DataFrame) -> DataFrame:

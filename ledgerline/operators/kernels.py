@@ -102,6 +102,16 @@ class Bars:
         return Bars(*(getattr(self, f.name)[first:last] for f in fields(self)))
 
 
+@dataclass
+class Run:
+    """What a run carries from one part of its bars to the next."""
+
+    cash: float
+    held: Position | None = None
+    trades: int = 0
+    bars: int = 0
+
+
 @dataclass
 class Ledger:
     """What a run did: trades and skipped signals with the places of their bars, and cash and shares
@@ -117,8 +127,9 @@ class Ledger:
 
 @dataclass
 class Position:
-    signal: int
-    entry: int
+    signal_date: str
+    entry_date: str
+    entry_day: int
     reference: float
     price: float
     stop: float
@@ -128,14 +139,14 @@ class Position:
     leaving: bool = False
 
 
-def _exit(p: Position, bars: Bars, i: int) -> tuple[str, float] | None:
+def _exit(p: Position, bars: Bars, i: int, last: bool) -> tuple[str, float] | None:
     if bars.open[i] < p.stop:
         return STOP_GAP, bars.open[i]
     if bars.low[i] <= p.stop:
         return STOP_LOSS, p.stop
     if p.leaving:
         return TREND_EXIT, bars.open[i]
-    return (END_OF_DATA, bars.close[i]) if i == len(bars.close) - 1 else None
+    return (END_OF_DATA, bars.close[i]) if last else None
 
 
 def _enter(bars: Bars, i: int, cash: float, c: Config) -> Position | str:
@@ -152,7 +163,7 @@ def _enter(bars: Bars, i: int, cash: float, c: Config) -> Position | str:
     budget = cash * c.risk_per_trade
     # Cash need not cover the commission.
     quantity = min(math.floor(budget / (price - stop)), math.floor(cash / price))
-    return Position(i, i + 1, reference, price, stop, bars.atr14[i], quantity, budget) if quantity > 0 else ZERO_QTY
+    return Position(bars.date[i], bars.date[i + 1], bars.day[i + 1], reference, price, stop, bars.atr14[i], quantity, budget) if quantity > 0 else ZERO_QTY
 
 
 def _close(p: Position, bars: Bars, i: int, reason: str, reference: float, number: int, c: Config) -> tuple[tuple, float]:
@@ -164,18 +175,24 @@ def _close(p: Position, bars: Bars, i: int, reason: str, reference: float, numbe
     net = gross - costs
     returned = net / (p.price * n) if p.price * n else 0.0
     multiple = net / p.budget if p.budget else 0.0
-    length = max(0, bars.day[i] - bars.day[p.entry])
-    row = (number, bars.date[p.signal], bars.date[p.entry], p.reference, p.price, p.stop, p.atr, n, p.budget, bars.date[i], reference, price, reason, gross, costs, net, returned, multiple, length)
+    length = max(0, bars.day[i] - p.entry_day)
+    row = (number, p.signal_date, p.entry_date, p.reference, p.price, p.stop, p.atr, n, p.budget, bars.date[i], reference, price, reason, gross, costs, net, returned, multiple, length)
     return row, price * n - paid
 
 
 def simulate(bars: Bars, c: Config) -> Ledger:
     """A run over all bars. A signal's purchase is booked on its own bar at the next bar's open, so the
     equity of the signal bar already shows the position; the stop is live from the entry bar on."""
-    n = len(bars.close)
-    out = Ledger(np.full(n, c.initial_capital), np.zeros(n, np.int64))
-    signals = np.flatnonzero(bars.long)
-    cash, held, i = c.initial_capital, None, 0
+    return resume(Run(c.initial_capital), bars, c)
+
+
+def resume(run: Run, bars: Bars, c: Config, ended: bool = True) -> Ledger:
+    """The next part of a run, which is carried on. The last of the bars is the run's last one or, unless
+    ``ended``, waits: it only tells what the bar before it needs, and is the first of the next part."""
+    n = len(bars.close) if ended else max(0, len(bars.close) - 1)
+    out = Ledger(np.full(n, run.cash), np.zeros(n, np.int64))
+    signals = np.flatnonzero(bars.long[:n])
+    cash, held, i = run.cash, run.held, 0
     while i < n:
         if held is None:
             k = int(np.searchsorted(signals, i))
@@ -183,10 +200,11 @@ def simulate(bars: Bars, c: Config) -> Ledger:
             out.cash[i:upto], i = cash, upto
             if i == n:
                 break
-        elif found := _exit(held, bars, i):
-            row, income = _close(held, bars, i, *found, len(out.trades) + 1, c)
+        elif found := _exit(held, bars, i, ended and i == n - 1):
+            run.trades += 1
+            row, income = _close(held, bars, i, *found, run.trades, c)
             out.trades.append(row)
-            out.trade_at.append(i)
+            out.trade_at.append(run.bars + i)
             cash, held = cash + income, None
         elif bars.close[i] < bars.ema20[i]:
             held.leaving = True
@@ -194,10 +212,11 @@ def simulate(bars: Bars, c: Config) -> Ledger:
             got = IN_POSITION if held else _enter(bars, i, cash, c)
             if isinstance(got, str):
                 out.skips.append((bars.date[i], got, DETAILS[got]))
-                out.skip_at.append(i)
+                out.skip_at.append(run.bars + i)
             else:
                 held = got
                 cash = cash - held.price * held.quantity - commission(held.price, held.quantity, c.commission_rate)
         out.cash[i], out.quantity[i] = cash, held.quantity if held else 0
         i += 1
+    run.cash, run.held, run.bars = cash, held, run.bars + n
     return out

@@ -12,23 +12,23 @@ from __future__ import annotations
 
 import pickle
 import tempfile
+import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK = "chunk_id"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder that spark.checkpoint.dir names. A session of one machine takes a
-    folder of its own where that is unset; on a cluster that is an error, as executors don't share it."""
-    spark = df.sparkSession
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. A session of one machine takes one of its own where that
+    is unset; on a cluster that is an error, as executors don't share it."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         where = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,9 +37,20 @@ def written(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
             where = tempfile.mkdtemp(prefix="ledgerline-checkpoint-")
         context.setCheckpointDir(where)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+
+
 def chunks(df: DataFrame, *order: str, partitions: int | None = None) -> DataFrame:
     """df range-partitioned and sorted by ``order`` (keys first), with CHUNK, the partition's number.
     Without ``partitions`` Spark sizes them."""

@@ -239,6 +239,8 @@ invalid_dates as invalid_date_count, 0::bigint as non_monotonic_date_count, n_ch
         "signal_summary": s + "select symbol, count(*) filter (signal = 'LONG') as n_long, count(*) filter (signal <> 'LONG') as n_none, cast(min(date) filter (signal = 'LONG') as varchar) as first_long, cast(max(date) filter (signal = 'LONG') as varchar) as last_long from sig group by symbol",
         "trades": bt + f"select {trade} from trade",
         "equity": bt + f"select symbol, run_id, date, {r('cash', 4)} as cash, cast(qty as bigint) as position_quantity, {r('worth', 4)} as position_market_value, {r('equity', 4)} as equity from curve",
+        "trades_continued": bt + f"select {trade} from trade",
+        "equity_continued": bt + f"select symbol, run_id, date, {r('cash', 4)} as cash, cast(qty as bigint) as position_quantity, {r('worth', 4)} as position_market_value, {r('equity', 4)} as equity from curve",
         "skips": bt + "select symbol, date as signal_date, skip as reason from st where skip is not null",
         "metrics": bt + f"select {met} from met",
         "drawdown": bt + f"select symbol, date, {r('equity', 4)} as equity, {r('peak', 4)} as peak, {r('(equity - peak) / peak', 4)} as drawdown from down",

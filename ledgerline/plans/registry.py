@@ -15,8 +15,10 @@ from ledgerline.functions.indicators import by_symbol, with_windowed
 from ledgerline.functions.parse import rounded
 from ledgerline.operators import backtest, clean, features, metrics, quality, query, spread, validation
 from ledgerline.operators.kernels import Config
+from ledgerline.operators.scan import shared_folder, written
 from ledgerline.schemas import CONDITIONS, FEATURE_COLUMNS
 from ledgerline.sources.bars import bars_events, bars_orders, raw_events
+from ledgerline.streaming import runs
 
 #: A range of days and a symbol that the test tables have at every scale.
 SYMBOL, LOW, HIGH = "click", "2024-01-05", "2024-01-20"
@@ -101,6 +103,18 @@ def drawdown_spread(spark: SparkSession, d: str) -> DataFrame:
     return plain(spread.drawdown(backtest.equity(_tagged(spark, d)), CHUNKS).select("symbol", "date", "equity", "peak", "drawdown"), 4)
 
 
+def _continued(spark: SparkSession, d: str) -> DataFrame:
+    """The tagged rows of a run that is continued twice: bars before LOW, before HIGH, and the rest."""
+    table = _signals(spark, d)
+    last = table.groupBy("symbol").agg(F.max("date").alias("last"))
+    marked = written(table.join(last, "symbol").withColumn("ended", F.col("date") == F.col("last")).drop("last"))
+    where, done = shared_folder(spark), None
+    for part in (F.col("date") < LOW, (F.col("date") >= LOW) & (F.col("date") < HIGH), F.col("date") >= HIGH):
+        marked.where(part).write.mode("append").parquet(f"{where}/parts")
+        done = runs.advanced(spark, f"{where}/parts", marked.schema, where, FULL)
+    return done
+
+
 def conditions(spark: SparkSession, d: str) -> DataFrame:
     return plain(_signals(spark, d).select("symbol", "date", *CONDITIONS))
 
@@ -387,6 +401,8 @@ def queries() -> dict:
         "atr_spread": _spread("true_range", "atr14"),
         "windows_spread": _spread("sma20", "sma50", "avg_volume_20", "volume_ratio", "momentum_5", "momentum_20", "previous_high_20"),
         "drawdown_spread": drawdown_spread,
+        "trades_continued": lambda s, d: plain(backtest.trades(_continued(s, d)), 4),
+        "equity_continued": lambda s, d: plain(backtest.equity(_continued(s, d)), 4),
         "conditions": conditions,
         "signal": signal,
         "signal_summary": lambda s, d: plain(features.signal_summary(_signals(s, d))),
