@@ -97,13 +97,14 @@ def narrow_windows(walked: DataFrame) -> DataFrame:
 
 def research_context(artifacts: dict[str, DataFrame | None]) -> DataFrame:
     """(symbol, place, source, text): every artifact's rows of a symbol as JSON, in the order given;
-    artifacts that are missing give none. A symbol's summaries, windows and grid points are few."""
+    artifacts that are missing give none. An artifact is a table, or (symbol, json) with JSON of its own.
+    A symbol's summaries, windows and grid points are few."""
     out = None
     for place, (name, df) in enumerate(artifacts.items()):
         if df is None:
             continue
-        row = F.struct(*(f"`{c}`" for c in df.columns if c != "symbol"))
-        many = df.groupBy("symbol").agg(F.to_json(F.array_sort(F.collect_list(F.to_json(row)))).alias("text"))
+        row = F.col("json") if df.columns == ["symbol", "json"] else F.to_json(F.struct(*(f"`{c}`" for c in df.columns if c != "symbol")))
+        many = df.groupBy("symbol").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("text"))
         part = many.select("symbol", F.lit(place).alias("place"), F.lit(name).alias("source"), "text")
         out = part if out is None else out.unionByName(part)
     if out is None:

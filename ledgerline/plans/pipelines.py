@@ -1,14 +1,13 @@
 """End-to-end plans: raw files to bars, bars to signals, signals to backtests, and validation.
 
-All symbols of a call run in one job partitioned by symbol; nothing loops over symbols but the
-file list. Tables between steps are Parquet, partitioned by symbol.
+All symbols of a call run in one job partitioned by symbol, and their files are one scan; what the driver has
+of them is a row per file. Tables between steps are Parquet, partitioned by symbol.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +17,8 @@ from ledgerline.operators import spread as scans
 from ledgerline.operators.kernels import Config
 from ledgerline.schemas import SIGNAL_COLUMNS
 from ledgerline.sources import catalog as symbols_
-from ledgerline.sources.files import VendorCsv, bars_table, features_table, signals_only, unchanged
+from ledgerline.sources import vendor
+from ledgerline.sources.files import bars_table, features_table, read_artifact, read_table, signals_only
 
 DEFAULT = ("ITC",)
 
@@ -39,15 +39,13 @@ def _keys(symbols) -> list[str]:
 
 def data(spark: SparkSession, root: str, symbols=DEFAULT, known=symbols_.SYMBOLS, fmt: str = "parquet") -> Outcome:
     """Raw vendor files to canonical bars, issues and quality reports; a FAIL makes it not ok."""
-    out, raw, seen, about = Outcome(), None, {}, {}
-    for s in _keys(symbols):
-        path = symbols_.paths(root, s, known)["raw"]
-        df, source = VendorCsv().load(spark, path, s)
-        seen[path] = source.sha256
-        about[s] = (path.rsplit("/", 1)[-1], source.sha256, *clean.absent(df.columns))
-        df = clean.numbered(df)
-        raw = df if raw is None else raw.unionByName(df, allowMissingColumns=True)
-    c = clean.clean(raw)
+    out = Outcome()
+    raw = vendor.scan_all(spark, {s: symbols_.paths(root, s, known)["raw"] for s in _keys(symbols)})
+    told = raw.reports.collect()  # a row per file
+    if lacking := [f"{r.path}: {'; '.join(r.errors)}" for r in told if r.errors]:
+        raise ValueError("; ".join(lacking))
+    about = {r.symbol: (r.path.rsplit("/", 1)[-1], r.sha256, *clean.absent(r.columns)) for r in told}
+    c = clean.clean(raw.rows)
     bars = c.bars.persist()
     out.written.append(f"{root}/processed/stocks")
     sinks.write_bars(bars, out.written[-1], fmt)
@@ -65,7 +63,7 @@ def data(spark: SparkSession, root: str, symbols=DEFAULT, known=symbols_.SYMBOLS
     out.status = {r.symbol: r.status for r in report.select("symbol", "status").collect()}
     sinks.write_document(sinks.quality_markdown(report, *broken.values()), f"{root}/reports/quality_markdown")
     out.written += [f"{root}/reports/{n}" for n in ("issues", "quality", *broken, "quality_markdown")]
-    out.ok = quality.FAIL not in out.status.values() and all(unchanged(spark, p, h) for p, h in seen.items())
+    out.ok = quality.FAIL not in out.status.values() and not vendor.changed(spark, raw.reports)
     bars.unpersist()
     report.unpersist()
     return out
@@ -130,16 +128,11 @@ def validate(spark: SparkSession, root: str, symbols=DEFAULT, initial_dev_years:
 
 
 def context(spark: SparkSession, root: str) -> DataFrame:
-    """The research context of all symbols, from what the plans wrote."""
-    where = {"backtest summary": "backtests/summary", "data quality report": "reports/quality", "walk-forward summary": "validation/summary", "walk-forward windows": "validation/windows", "sensitivity": "validation/points"}
-    read = {name: _or_none(spark, f"{root}/{path}", "parquet" if path.endswith(("windows", "points")) else "json") for name, path in where.items()}
-    if (walked := read["walk-forward windows"]) is not None:
-        read["walk-forward windows"] = query.narrow_windows(walked)
+    """The research context of all symbols, from what the plans wrote; what is missing or broken of it counts
+    as absent, for its symbol or, a table's file, for its rows."""
+    said = {"backtest summary": "backtests/summary", "data quality report": "reports/quality", "walk-forward summary": "validation/summary"}
+    read: dict[str, DataFrame | None] = {name: read_artifact(spark, f"{root}/{path}") for name, path in said.items()}
+    walked = read_table(spark, f"{root}/validation/windows")
+    read["walk-forward windows"] = None if walked is None else query.narrow_windows(walked)
+    read["sensitivity"] = read_table(spark, f"{root}/validation/points")
     return query.research_context(read)
-
-
-def _or_none(spark: SparkSession, path: str, fmt: str) -> DataFrame | None:
-    try:
-        return spark.read.format(fmt).load(path)
-    except AnalysisException:
-        return None

@@ -117,13 +117,37 @@ def signals_only(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None, strict: bool = False) -> DataFrame | None:
-    """A JSON artifact; None where it is missing or broken, unless strict."""
+    """A JSON artifact; None where it is missing or any of it is broken, unless strict."""
     reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
     try:
         df = (reader.schema(schema) if schema else reader).json(path)
-        df.limit(1).collect()
+        df.write.format("noop").mode("overwrite").save()  # a broken record may stand anywhere
         return df
     except Exception:
         if strict:
             raise
         return None
+
+
+def read_artifact(spark: SparkSession, path: str, whole: bool = False, strict: bool = False) -> DataFrame | None:
+    """(symbol, json) of an artifact of one JSON object a line or, with ``whole``, a file. An object that is
+    broken or names no symbol counts as absent, beside the others; None where nothing is there. strict: such
+    an object raises when it is read, a missing artifact at once."""
+    try:
+        lines = spark.read.text(path, wholetext=whole).where(F.trim("value") != "")
+    except AnalysisException:
+        if strict:
+            raise
+        return None
+    doc = F.parse_json("value") if strict else F.try_parse_json("value")
+    rows = lines.select(F.try_variant_get(doc, "$.symbol", "string").alias("symbol"), F.to_json(doc).alias("json"))
+    return rows.withColumn("symbol", F.coalesce("symbol", F.raise_error(F.lit(f"{path}: an object without a symbol")))) if strict else rows.where("symbol is not null")
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet artifact without the files that are broken; None where none is left."""
+    try:
+        df = spark.read.option("ignoreCorruptFiles", True).option("mergeSchema", True).parquet(path)  # the columns of any good file
+    except AnalysisException:
+        return None
+    return df if "symbol" in df.columns else None

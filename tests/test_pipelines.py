@@ -10,6 +10,7 @@ import pytest
 from ledgerline.__main__ import main
 from ledgerline.operators import query
 from ledgerline.plans import pipelines
+from ledgerline.sources import files
 
 
 def write_raw(path, seed, n=1500):
@@ -107,3 +108,28 @@ def test_bad_calls(spark, tmp_path):
         main(["data", "--root", str(tmp_path)], spark)
     with pytest.raises(SystemExit):
         main(["data", "--root", "x", "--symbol", "A", "--symbols", "B"], spark)
+
+
+def test_broken_artifacts_count_as_absent(spark, tmp_path):
+    root, names = str(tmp_path), ["AAA", "BBB", "CCC", "DDD", "EEE"]
+    (tmp_path / "backtests/summary").mkdir(parents=True)
+    for s in names:
+        text = f'{{"symbol": "{s}", "num_trades": 3}}' if s != "CCC" else '{"symbol": "CCC", "num_tr'
+        (tmp_path / f"backtests/summary/part-{s}.json").write_text(text + "\n\n")
+    (tmp_path / "reports/quality").mkdir(parents=True)
+    (tmp_path / "reports/quality/part.json").write_text('{"symbol": "CCC", "status": "PASS"}\n["no object"]\n{"status": "of none"}\n')
+    (tmp_path / "validation/points").mkdir(parents=True)
+    (tmp_path / "validation/points/part-0.parquet").write_bytes(b"no table")
+    context = pipelines.context(spark, root)
+    told = {s: query.context_text(context, s)[1] for s in names}
+    assert told == {s: ["backtest summary"] if s != "CCC" else ["data quality report"] for s in names}
+    assert '"num_trades' not in query.context_text(context, "CCC")[0]
+    spark.createDataFrame([("AAA", 1)], "symbol string, n long").write.mode("append").parquet(f"{root}/validation/points")
+    assert query.context_text(pipelines.context(spark, root), "AAA")[1] == ["backtest summary", "sensitivity"]
+    read = lambda **more: files.read_artifact(spark, f"{root}/backtests/summary", **more)
+    assert sorted(r.symbol for r in read(whole=True).collect()) == ["AAA", "BBB", "DDD", "EEE"]
+    with pytest.raises(Exception, match="MALFORMED|malformed|Malformed"):
+        read(strict=True).collect()
+    assert files.read_artifact(spark, f"{root}/none") is None and files.read_table(spark, f"{root}/none") is None
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.read_artifact(spark, f"{root}/none", strict=True)
