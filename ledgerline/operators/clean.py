@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.parse import blank_to_null, parse_change_pct, parse_date, parse_price, parse_volume, trim_strings
@@ -55,22 +56,22 @@ def prepared(raw: DataFrame, symbol: str | None) -> DataFrame:
     return df.select("symbol", ROW, *(blank_to_null(F.col(f"`{c}`")).alias(source(c)) for c in RAW_COLUMNS))
 
 
-def mark_exact_duplicates(df: DataFrame) -> DataFrame:
-    """copy: the row's number among rows that equal it in every source string, in source order."""
-    w = Window.partitionBy("symbol", *(F.col(f"`{source(c)}`") for c in RAW_COLUMNS)).orderBy(ROW)
-    return df.withColumn("copy", F.row_number().over(w))
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """A row for each set of rows that are equal in every source string: the first one's place, and how many
+    they are (copies). Tasks combine before the shuffle, so a row repeated without end is no hot key."""
+    return df.groupBy("symbol", *(f"`{source(c)}`" for c in RAW_COLUMNS)).agg(F.min(ROW).alias(ROW), F.count("*").alias("copies"))
 
 
 def parsed(df: DataFrame) -> DataFrame:
     return df.withColumns({name: parse(F.col(f"`{source(c)}`")) for c, (name, parse) in FIELDS.items()})
 
 
-def mark_duplicate_dates(df: DataFrame) -> DataFrame:
-    """nth: the row's number among rows of its date, in source order, and of_date: how many those are.
-    Rows without a date, and copies of others, stand each alone, so that they are no hot key."""
-    alone = F.when(F.col("date").isNull() | (F.col("copy") > 1), F.col(ROW))
-    w = Window.partitionBy("symbol", "date", alone)
-    return df.withColumn("nth", F.row_number().over(w.orderBy(ROW))).withColumn("of_date", F.count("*").over(w))
+def first_of_dates(rows: DataFrame) -> DataFrame:
+    """Of the parsed distinct rows of a date the first in the source, with how many they are (of_date) and
+    all their copies. Rows without a date stand each alone. Combined before the shuffle, too."""
+    alone = F.when(F.col("date").isNull(), F.col(ROW)).alias("alone")
+    values = [n for n, _ in FIELDS.values() if n != "date"]
+    return rows.groupBy("symbol", "date", alone).agg(*(F.min_by(n, ROW).alias(n) for n in values), F.min(ROW).alias(ROW), F.count("*").alias("of_date"), F.sum("copies").alias("copies")).drop("alone")
 
 
 def _issue(row, field_: str, value, reason, action: str):
@@ -78,36 +79,36 @@ def _issue(row, field_: str, value, reason, action: str):
     return F.struct(*(c.alias(n) for n, c in parts.items()))
 
 
-def _issues(marked: DataFrame) -> DataFrame:
-    """Every issue of the marked rows, in one pass, and a summary of the exact duplicates."""
-    row, none, first = F.col(ROW), F.lit(None).cast("long"), F.col("copy") == 1
-    day, kept = F.col("date").cast("string"), F.col("nth") == 1
-    found = [
-        F.when(~first, _issue(row, "row", F.col(f"`{source('Date')}`"), F.lit("exact duplicate"), "removed")),
-        F.when(first & ~kept, _issue(row, "row", day, F.lit("duplicate date"), "removed")),
-        F.when(first & kept & (F.col("of_date") > 1), _issue(none, "Date", day, F.format_string("date of %d rows", "of_date"), "removed")),
-    ]
-    for column, (name, _) in FIELDS.items():
-        raw = F.col(f"`{source(column)}`")
-        found.append(F.when(first & raw.isNotNull() & F.col(name).isNull(), _issue(row, column, raw, F.lit("unparseable"), "reported")))
-    each = marked.select("symbol", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("issue")).select("symbol", "issue.*")
-    copies = marked.where(~first).groupBy("symbol").agg(F.count("*").alias("n"))
-    summary = _issue(none, "row", F.lit(None).cast("string"), F.format_string("%d exact duplicates", "n"), "removed")
-    return each.unionByName(copies.select("symbol", summary.alias("issue")).select("symbol", "issue.*"))
+def _issues(df: DataFrame, rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """What was found: copies and further rows of a date, each at its place, which is a key without
+    repeats; dates and symbols that had them; and what couldn't be parsed."""
+    row, none, day = F.col(ROW), F.lit(None).cast("long"), F.col("date").cast("string")
+    unread = [F.when(F.col(f"`{source(c)}`").isNotNull() & F.col(n).isNull(), _issue(row, c, F.col(f"`{source(c)}`"), F.lit("unparseable"), "reported")) for c, (n, _) in FIELDS.items()]
+    each = rows.select("symbol", F.explode(F.filter(F.array(*unread), lambda x: x.isNotNull())).alias("issue"))
+    place = ["symbol", ROW]
+    copies = df.join(rows.select(*place), place, "left_anti").select("symbol", _issue(row, "row", F.col(f"`{source('Date')}`"), F.lit("exact duplicate"), "removed").alias("issue"))
+    later = rows.where("date is not null").join(kept.select(*place), place, "left_anti").select("symbol", _issue(row, "row", day, F.lit("duplicate date"), "removed").alias("issue"))
+    dates = kept.where("of_date > 1").select("symbol", _issue(none, "Date", day, F.format_string("date of %d rows", "of_date"), "removed").alias("issue"))
+    repeated = rows.groupBy("symbol").agg(F.sum(F.col("copies") - 1).alias("n")).where("n > 0")
+    summary = repeated.select("symbol", _issue(none, "row", F.lit(None).cast("string"), F.format_string("%d exact duplicates", "n"), "removed").alias("issue"))
+    return reduce(DataFrame.unionByName, (each, copies, later, dates, summary)).select("symbol", "issue.*")
 
 
 def clean(raw: DataFrame, symbol: str | None = None) -> Cleaned:
-    """Bars, issues and counts each read the marked rows in one pass of their own."""
+    """Bars, issues and counts; places of rows are unique within a symbol. No window, no group of rows:
+    duplicates are aggregations that combine before they shuffle."""
     warnings, errors = absent(raw.columns)
-    marked = mark_duplicate_dates(parsed(mark_exact_duplicates(prepared(numbered(raw), symbol))))
-    first, kept = F.col("copy") == 1, F.col("nth") == 1
-    bars = marked.where(first & kept).select("date", "symbol", "open", "high", "low", "close", "volume", "change_pct_src", ROW)
-    counts = marked.groupBy("symbol").agg(
-        F.count("*").alias("original_rows"),
-        F.count_if(~first).alias("exact_duplicates"),
-        F.count_if(first & kept & (F.col("of_date") > 1)).alias("duplicate_dates"),
-        F.count_if(first & ~kept).alias("duplicate_date_rows"),
-        F.count_if(first & kept).alias("final_rows"),
+    df = prepared(numbered(raw), symbol)
+    rows = parsed(distinct_rows(df))
+    kept = first_of_dates(rows)
+    bars = kept.select("date", "symbol", "open", "high", "low", "close", "volume", "change_pct_src", ROW)
+    n, distinct = F.count("*"), F.sum("of_date")
+    counts = kept.groupBy("symbol").agg(
+        F.sum("copies").alias("original_rows"),
+        (F.sum("copies") - distinct).alias("exact_duplicates"),
+        F.count_if(F.col("of_date") > 1).alias("duplicate_dates"),
+        (distinct - n).alias("duplicate_date_rows"),
+        n.alias("final_rows"),
     )
     counts = counts.withColumn("removed_rows", F.col("original_rows") - F.col("final_rows"))
-    return Cleaned(bars, _issues(marked), counts, warnings, errors)
+    return Cleaned(bars, _issues(df, rows, kept), counts, warnings, errors)

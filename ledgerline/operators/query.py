@@ -53,6 +53,26 @@ def page(ordered: DataFrame, number: int, size: int = PAGE) -> DataFrame:
     return ordered.offset((max(1, number) - 1) * size).limit(size)
 
 
+def page_after(ledger: DataFrame, column: str, ascending: bool = True, last: tuple | None = None, size: int = PAGE) -> DataFrame:
+    """The page of sort_trades() that follows a row, told by its (value, symbol, trade_id); the first without
+    one. A filter and a top-k: no page sorts the ledger or counts the rows before it, and rows that come
+    in between shift nothing. Missing values stand where the sort has them, first in ascending order."""
+    keys = ((column, ascending), ("symbol", True), ("trade_id", True))
+    if last is not None:
+        beyond, same = F.lit(False), F.lit(True)
+        for (name, up), value in zip(keys, last):
+            c = F.col(name)
+            further = (c.isNotNull() if up else F.lit(False)) if value is None else F.coalesce(c > value, F.lit(False)) if up else (c < value) | c.isNull()
+            beyond, same = beyond | (same & further), same & c.eqNullSafe(F.lit(value))
+        ledger = ledger.where(beyond)
+    return sort_trades(ledger, column, ascending).limit(size)
+
+
+def sort_key(row, column: str) -> tuple:
+    """What page_after() needs of the last row of a page."""
+    return row[column], row["symbol"], row["trade_id"]
+
+
 def exit_reasons(ledger: DataFrame) -> DataFrame:
     return ledger.select("exit_reason").distinct()
 

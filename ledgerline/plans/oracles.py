@@ -277,6 +277,7 @@ invalid_dates as invalid_date_count, 0::bigint as non_monotonic_date_count, n_ch
         "trade_search": bt + "select symbol, tid as trade_id, date as exit_date, x as exit_reason from trade where x = 'STOP_LOSS' and (contains(i_sdate, '2024-01-1') or contains(i_edate, '2024-01-1') or contains(date, '2024-01-1') or contains(cast(tid as varchar), '2024-01-1'))",
         "trade_sort": bt + f"select symbol, tid as trade_id, {r('net_pnl', 4)} as net_pnl from trade order by trade.net_pnl desc, symbol, trade_id",
         "trade_page": bt + "select symbol, tid as trade_id, i_edate as entry_date from trade order by i_edate, symbol, tid offset 10 limit 10",
+        "trade_next_page": bt + f"select symbol, tid as trade_id, {r('net_pnl', 4)} as net_pnl from trade order by trade.net_pnl desc, symbol, tid offset 20 limit 10",
         "distinct_exit": bt + "select distinct x as exit_reason from trade",
         "downsample": _with(EVENT_BARS) + f"select symbol, {d}, {rs('close')} from ({sampled}) where k % greatest(1, cast(ceil(n / 500) as bigint)) = 0 or k = n - 1",
         "downsample_volume": _with(EVENT_BARS) + f"select symbol, {d}, {rs('volume')} from ({sampled}) where k % greatest(1, cast(ceil(n / 400) as bigint)) = 0",

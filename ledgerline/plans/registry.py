@@ -124,8 +124,7 @@ def signal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dedup_exact(spark: SparkSession, d: str) -> DataFrame:
-    marked = clean.mark_exact_duplicates(clean.prepared(raw_events(spark, d), None))
-    return marked.where("copy = 1").select("symbol", "_src_row")
+    return clean.distinct_rows(clean.prepared(raw_events(spark, d), None)).select("symbol", "_src_row")
 
 
 def dedup_date(spark: SparkSession, d: str) -> DataFrame:
@@ -365,6 +364,15 @@ def available_symbols(spark: SparkSession, d: str) -> DataFrame:
     return available(bars_events(spark, d), catalog)
 
 
+def trade_next_page(spark: SparkSession, d: str) -> DataFrame:
+    """The third page, from the last row of the second, and that from the last row of the first."""
+    ledger, last = written(_trades(spark, d)), None
+    for _ in range(2):
+        page = query.page_after(ledger, "net_pnl", False, last, 10).collect()  # a page
+        last = query.sort_key(page[-1], "net_pnl") if page else last
+    return plain(query.page_after(ledger, "net_pnl", False, last, 10).select("symbol", "trade_id", "net_pnl"), 4)
+
+
 def queries() -> dict:
     issues = lambda s, d: _cleaned(s, d).issues
     return {
@@ -444,6 +452,7 @@ def queries() -> dict:
         "trade_search": lambda s, d: query.search_trades(_trades(s, d), "2024-01-1", "STOP_LOSS").select("symbol", "trade_id", "exit_date", "exit_reason"),
         "trade_sort": lambda s, d: plain(query.sort_trades(_trades(s, d), "net_pnl", False).select("symbol", "trade_id", "net_pnl"), 4),
         "trade_page": lambda s, d: query.page(query.sort_trades(_trades(s, d), "entry_date"), 2, 10).select("symbol", "trade_id", "entry_date"),
+        "trade_next_page": trade_next_page,
         "distinct_exit": lambda s, d: query.exit_reasons(_trades(s, d)),
         "downsample": lambda s, d: plain(query.downsample(bars_events(s, d), 500).select("symbol", "date", "close")),
         "downsample_volume": lambda s, d: plain(query.downsample(bars_events(s, d), 400, keep_last=False).select("symbol", "date", "volume")),

@@ -364,3 +364,43 @@ def test_lookup_combines_a_hot_symbols_bars_before_the_shuffle(spark):
     bars = spark.range(0, 1_000_000, 1, 8).select(F.lit("HOT").alias("symbol"), F.timestamp_seconds(F.col("id") * 600).alias("date"))
     x = validation.splits(bars).agg(F.count("*").alias("n"), F.max("dev_rows").alias("dev"), F.sum("test_rows").alias("test")).first()
     assert x.n > 20 and x.dev < 1_000_000
+
+
+@pytest.mark.parametrize("ascending", [True, False])
+def test_pages_after_a_row_are_the_sorted_ledger(spark, ascending):
+    import random
+
+    r = random.Random(3)
+    ledger = spark.createDataFrame([(s, k, r.choice([None, 1.0, 2.5, -3.0, 7.0])) for s in "AB" for k in range(23)], "symbol string, trade_id long, net_pnl double")
+    want = [tuple(x) for x in query.sort_trades(ledger, "net_pnl", ascending).collect()]
+    got, last = [], None
+    while rows := query.page_after(ledger, "net_pnl", ascending, last, 7).collect():
+        got += [tuple(x) for x in rows]
+        last = query.sort_key(rows[-1], "net_pnl")
+    assert got == want
+    plan = query.page_after(ledger, "net_pnl", ascending, last, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan
+
+
+def test_duplicates_of_one_row_and_one_date_are_combined_in_the_tasks(spark):
+    n = 1_000_000
+    raw = spark.range(0, n, 1, 12).select(
+        F.lit("HOT").alias("symbol"), F.col("id").alias("_src_row"), F.lit("01/02/2024").alias("Date"), *(F.when(F.col("id") % 10 == 0, F.col("id") % 1000).otherwise(7).cast("string").alias(c) for c in ("Price", "Open", "High", "Low", "Vol.")), F.lit("1%").alias("Change %")
+    )
+    assert raw.rdd.getNumPartitions() >= 8
+    done = clean.clean(raw)
+    for df in (done.bars, done.counts, done.issues):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Cartesian" not in plan
+    c = done.counts.first()
+    assert (c.original_rows, c.final_rows, c.exact_duplicates, c.duplicate_dates, c.duplicate_date_rows, c.removed_rows) == (n, 1, n - 101, 1, 100, n - 1)
+    assert [(x._src_row, x.close) for x in done.bars.collect()] == [(0, 0.0)]
+    assert done.issues.where("reason = 'exact duplicate'").count() == n - 101 and done.issues.where("reason = 'duplicate date'").count() == 100
+
+
+def test_duplicates_with_missing_strings_and_dates(spark):
+    rows = [("A", 0, None, "1"), ("A", 1, None, "1"), ("A", 2, None, "2"), ("A", 3, "01/02/2024", " 5 "), ("A", 4, "01/02/2024", "5"), ("A", 5, "01/02/2024", "6"), ("B", 0, "bad", "1")]
+    done = clean.clean(spark.createDataFrame(rows, "symbol string, _src_row long, Date string, Price string"))
+    assert sorted((r.symbol, r._src_row) for r in done.bars.collect()) == [("A", 0), ("A", 2), ("A", 3), ("B", 0)]
+    told = sorted((r.symbol, r.row_index, r.reason) for r in done.issues.collect() if r.row_index is not None)
+    assert told == [("A", 1, "exact duplicate"), ("A", 4, "exact duplicate"), ("A", 5, "duplicate date"), ("B", 0, "unparseable")]
