@@ -172,6 +172,12 @@ def grid_table(spark: SparkSession, base: Config = Config()) -> DataFrame:  # no
     return spark.createDataFrame(rows, "run_id string, param_name string, param_value double, is_baseline boolean")
 
 
+def grid_runs(bars: DataFrame, base: Config = Config()) -> DataFrame:  # noqa: B008
+    """(symbol, run_id, param_name, param_value, is_baseline): the runs that the grid makes of each symbol."""
+    points = [F.struct(F.lit(f"{n}={v:g}").alias("run_id"), F.lit(n).alias("param_name"), F.lit(float(v)).alias("param_value"), F.lit(v == getattr(base, n)).alias("is_baseline")) for n, values in GRID.items() for v in values]
+    return bars.select("symbol").distinct().select("symbol", F.explode(F.array(*points)).alias("p")).select("symbol", "p.*")
+
+
 def sensitivity(table: DataFrame, base: Config = Config()) -> DataFrame:  # noqa: B008
     """Metrics of each grid point over the full data."""
     return points_of(metrics(run_backtests(table, grid(base))), base)

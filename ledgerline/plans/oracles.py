@@ -177,6 +177,44 @@ def _with(*parts: str) -> str:
     return "with recursive " + ",\n".join(parts) + "\n"
 
 
+#: Bars as vendor files give them back: four digits, names of letters and digits.
+VENDOR_BARS = ORDER_BARS.replace("bars as (", "bars0 as (") + f""",
+bars as (select date, regexp_replace(upper(symbol), '[^A-Z0-9]', '', 'g') as symbol, {r('open', 4)} as open, {r('high', 4)} as high, {r('low', 4)} as low, {r('close', 4)} as close, {r('volume', 4)} as volume from bars0)"""
+
+
+def _files(cl: str, feature_names: str, every: str) -> dict[str, str]:
+    """The queries over files, which give back what was written."""
+    d, prices = "cast(date as varchar) as date", rs("open high low close volume")
+    bars = _with(ORDER_BARS) + f"select {d}, symbol, {prices} from bars"
+    table = _with(ORDER_BARS, WINDOWED, RECURSIVE) + f"select {d}, symbol, {rs('open high low close volume ' + feature_names, 8)}, trend_condition, price_condition, breakout_condition, volume_condition, signal from sig"
+    summary = "select symbol, count(*) filter (signal = 'LONG') as n_long, count(*) filter (signal <> 'LONG') as n_none, cast(min(date) filter (signal = 'LONG') as varchar) as first_long, cast(max(date) filter (signal = 'LONG') as varchar) as last_long from sig group by symbol"
+    text = lambda c: f"nullif(ltrim({c}), '')"
+    own = (VENDOR_BARS, WINDOWED, RECURSIVE)
+    run = _with(*own, FULL, MACHINE)
+    first = "case when a > 0 then 'NO_OVERLAP' when b > 0 then 'CHRONOLOGICAL' when c > 0 then 'SYMBOL_ISOLATION' when d > 0 then 'VALID_METRICS' when e > 0 then 'SENSITIVITY_BASELINE' else 'PASSED' end"
+    gates = _gates(BROKEN, BROKEN_POINTS)
+    return {
+        "scan_files": _with(RAW) + f"select upper(symbol) as symbol, count(*) as n, count({text('d')}) as n_dates, count({text('vol')}) as n_volumes, arg_min({text('p')}, _src_row) as first_price, arg_max({text('p')}, _src_row) as last_price from raw1 group by symbol",
+        "scan_rows": _with(RAW) + f"select upper(symbol) as symbol, {text('d')} as raw_date, {text('p')} as raw_price, {text('o')} as raw_open, {text('h')} as raw_high, {text('l')} as raw_low, {text('vol')} as raw_volume, {text('c')} as raw_change from raw1",
+        "scan_reports": _with(RAW) + "select upper(symbol) as symbol, count(*) as n_rows, 'unexpected column Note' as warnings, 'missing column High; missing column Vol.' as errors, true as unchanged from raw1 group by symbol",
+        "vendor_source": _with(RAW.replace("raw as (select * from raw1 union all", "raw as (select * replace (upper(symbol) as symbol) from raw1 where symbol in ('click', 'purchase')), unread as ("), CLEAN) + "select symbol, original_rows, exact_duplicates, duplicate_dates, duplicate_date_rows, final_rows, original_rows - final_rows as removed_rows from (select symbol, count(*) as original_rows, count(*) filter (copy > 1) as exact_duplicates from ex group by symbol) join (select symbol, count(*) filter (nth = 1 and of_date > 1) as duplicate_dates, count(*) filter (nth > 1) as duplicate_date_rows, count(*) filter (nth = 1) as final_rows from du group by symbol) using (symbol)",
+        "bars_csv": bars,
+        "bars_parquet": bars,
+        "features_csv": table,
+        "features_parquet": table,
+        "signals_csv": _with(ORDER_BARS, WINDOWED, RECURSIVE) + summary,
+        "artifact_tolerant": _with(EVENT_BARS) + f"select symbol, count(*) as n_bars, {r('max(high)')} as high from bars where symbol <> 'click' group by symbol",
+        "artifact_strict": _with(EVENT_BARS) + f"select symbol, count(*) as n_bars, {r('max(high)')} as high from bars group by symbol",
+        "quality_json": cl + f"select symbol, status, rows, (select count(*) from ex where ex.symbol = x.symbol) as original_rows, (select count(*) from ex where ex.symbol = x.symbol) - rows as removed_rows, n_ohlc, n_change, date_min, date_max, missing_close from ({REPORT}) x",
+        "gate_status": every + gates[: gates.index("\nselect symbol, gate")] + f"\nselect symbol, {first} as status from g3 where symbol is not null",
+        "plan_bars": _with(VENDOR_BARS) + f"select {d}, symbol, {prices} from bars",
+        "plan_signals": _with(*own) + summary,
+        "plan_summary": run + f"select symbol, num_trades, {rs('final_equity total_return_pct win_rate', 4)}, num_trades as n_exits from met",
+        "plan_trades": run + f"select symbol, tid as trade_id, x as exit_reason, {r('i_px', 4)} as entry_price, {r('net_pnl', 4)} as net_pnl, {r('net_pnl / (i_px * i_qty) * 100', 4)} as return_pct from trade",
+        "plan_windows": _with(VENDOR_BARS, WINDOWED, RECURSIVE, SPLITS, WINDOW_RUNS, MACHINE, WALK) + "select symbol, cast(window_index as bigint) as window_index, cast(test_start as varchar) as test_start, cast(test_end as varchar) as test_end, test_rows, status, num_trades, final_equity, bh_final_equity from walk",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     e = (EVENT_BARS, WINDOWED, RECURSIVE)
     s, wide, bt = _with(*e), _with(EVENT_BARS, WINDOWED), _with(*e, FULL, MACHINE)
@@ -197,7 +235,7 @@ date as exit_date, {r('x_ref', 4)} as exit_reference_price, {r('x_px', 4)} as ex
     every = _with(ORDER_BARS, WINDOWED, RECURSIVE, SPLITS, ALL_RUNS, MACHINE, WALK) + ", "
     # The metrics of MACHINE take a capital of 100,000 for granted.
     other = _with(*e, OTHER, MACHINE.replace("100000.0::double as initial_capital", "50000.0::double as initial_capital").replace("final_equity - 100000) / 100000", "final_equity - 50000) / 50000").replace("final_equity - 100000 as", "final_equity - 50000 as"))
-    return {
+    return _files(cl, feature_names, every) | {
         "breakouts": wide + f"select symbol, {d}, {rs('close sma20 previous_high_20 volume_ratio')} from ratio where close > previous_high_20 and volume_ratio > 1.5",
         "bars_events": _with(EVENT_BARS) + f"select {d}, symbol, {rs('open high low close volume')} from bars",
         "bars_orders": _with(ORDER_BARS) + f"select {d}, symbol, {rs('open high low close volume')} from bars",
@@ -255,12 +293,12 @@ invalid_dates as invalid_date_count, 0::bigint as non_monotonic_date_count, n_ch
         "gates_broken": every + _gates(BROKEN, BROKEN_POINTS),
         "metrics_other": other + f"select {met} from met",
         "config_echo": other + "select symbol, num_trades as n_exits, num_signals_skipped as n_skips, 'other' as run_id, 50000.0::double as initial_capital, 0.02::double as risk_per_trade, 3.0::double as atr_multiplier, 0.001::double as slippage_rate, 0.002::double as commission_rate from met",
-        "grid": "select p || '=' || v as run_id, p as param_name, v::double as param_value, b as is_baseline from (values ('risk_per_trade', '0.005', false), ('risk_per_trade', '0.01', true), ('risk_per_trade', '0.015', false), ('risk_per_trade', '0.02', false), ('atr_multiplier', '1.5', false), ('atr_multiplier', '2', true), ('atr_multiplier', '2.5', false), ('atr_multiplier', '3', false), ('commission_rate', '0.0005', true), ('commission_rate', '0.001', false), ('commission_rate', '0.002', false)) t(p, v, b)",
+        "grid": _with(EVENT_BARS) + "select symbol, p || '=' || v as run_id, p as param_name, v::double as param_value, b as is_baseline from (select distinct symbol from bars), (values ('risk_per_trade', '0.005', false), ('risk_per_trade', '0.01', true), ('risk_per_trade', '0.015', false), ('risk_per_trade', '0.02', false), ('atr_multiplier', '1.5', false), ('atr_multiplier', '2', true), ('atr_multiplier', '2.5', false), ('atr_multiplier', '3', false), ('commission_rate', '0.0005', true), ('commission_rate', '0.001', false), ('commission_rate', '0.002', false)) t(p, v, b)",
         "transaction_cost": bt + f"select symbol, tid as trade_id, {r('transaction_cost', 4)} as cost from trade",
         "holding": bt + "select symbol, tid as trade_id, cast(holding_days as bigint) as days from trade",
         "slice_dev": _with(ORDER_BARS) + f"select {d}, symbol, {rs('open high low close volume')} from bars where bars.date < date '1996-01-01'",
         "slice_test": _with(ORDER_BARS) + f"select {d}, symbol, {rs('open high low close volume')} from bars where bars.date between date '1996-01-01' and date '1996-06-30'",
-        "catalog": "select * from (values ('ITC', 'ITC Stock Price History.csv'), ('RELIANCE', 'RELIANCE.csv'), ('TCS', 'TCS.csv'), ('INFY', 'INFY.csv'), ('HDFCBANK', 'HDFCBANK.csv')) t(symbol, raw_file)",
+        "catalog": _with(EVENT_BARS) + "select upper(symbol) as symbol, upper(symbol) || '.csv' as raw_file, 'bars of ' || upper(symbol) as description, count(*) as n_bars from bars group by symbol",
         "context_windows": wf + f"select symbol, total_windows, ok_windows, cast(window_index as bigint) as \"window\", concat_ws(' to ', cast(test_start as varchar), cast(test_end as varchar)) as test_range, status, total_return_pct as strategy_return_pct, bh_total_return_pct as bh_return_pct from walk join (select symbol, count(*) as total_windows, count(*) filter (status = 'OK') as ok_windows from walk group by symbol) using (symbol)",
         "context_sources": wf + "select symbol, 0::bigint as place, 'walk-forward summary' as source, 1::bigint as n from (select distinct symbol from walk) union all select symbol, 1, 'walk-forward windows', count(*) from walk group by symbol",
         "json_windows": wf + f"select symbol, total_windows, ok_windows, cast(window_index as bigint) as window_index, status, num_trades, total_return_pct, {r('total_return_pct - bh_total_return_pct', 4)} as excess_return_pct from walk join (select symbol, count(*) as total_windows, count(*) filter (status = 'OK') as ok_windows from walk group by symbol) using (symbol)",

@@ -16,6 +16,7 @@ from ledgerline.functions.parse import rounded
 from ledgerline.operators import backtest, clean, features, metrics, quality, query, spread, validation
 from ledgerline.operators.kernels import Config
 from ledgerline.operators.scan import shared_folder, written
+from ledgerline.plans import files
 from ledgerline.schemas import CONDITIONS, FEATURE_COLUMNS
 from ledgerline.sources.bars import bars_events, bars_orders, raw_events
 from ledgerline.streaming import runs
@@ -265,7 +266,7 @@ def config_echo(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, d: str) -> DataFrame:
-    return validation.grid_table(spark)
+    return validation.grid_runs(bars_events(spark, d))
 
 
 def transaction_cost(spark: SparkSession, d: str) -> DataFrame:
@@ -290,9 +291,7 @@ def slice_test(spark: SparkSession, d: str) -> DataFrame:
 
 
 def catalog_table(spark: SparkSession, d: str) -> DataFrame:
-    from ledgerline.sources.catalog import catalog_table as table
-
-    return table(spark).select("symbol", "raw_file")
+    return files.catalog_of(spark, d)
 
 
 def context_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -375,7 +374,7 @@ def trade_next_page(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     issues = lambda s, d: _cleaned(s, d).issues
-    return {
+    return files.queries(plain, gates_broken) | {
         "breakouts": breakouts,
         "bars_events": bars,
         "bars_orders": daily_bars,

@@ -53,6 +53,11 @@ def catalog_table(spark: SparkSession, catalog: dict[str, Symbol] = SYMBOLS) ->
     return spark.createDataFrame([(s.symbol, s.raw_file, s.description) for s in catalog.values()], "symbol string, raw_file string, description string")
 
 
+def derived(bars: DataFrame) -> DataFrame:
+    """A catalog of the symbols of bars: (symbol, raw_file, description), and how many bars each has."""
+    return bars.groupBy(F.upper("symbol").alias("symbol")).agg(F.count("*").alias("n_bars")).select("symbol", F.concat("symbol", F.lit(".csv")).alias("raw_file"), F.concat(F.lit("bars of "), "symbol").alias("description"), "n_bars")
+
+
 def available(bars: DataFrame, catalog: DataFrame) -> DataFrame:
     """Catalog rows whose symbol has bars, by symbol."""
     return catalog.join(bars.select("symbol").distinct(), "symbol", "left_semi").orderBy("symbol")
