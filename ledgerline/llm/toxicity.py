@@ -10,7 +10,8 @@ lexicon composed with it reads a clause word by word, and gives the clause's wei
 A document's score is a logistic function of its clauses' weights, not of isolated words.
 
 Learned from labelled rows: the insult stems with their log-odds weights (a stem is a word
-prefix that toxic documents share and others lack, extended as long as it loses no document),
+prefix of 4 to 12 letters, or a whole word of 4 or more, that toxic documents share and others lack,
+extended as long as it loses no document),
 and the coefficients of the contexts.
 
 Scale: scoring is one map over the scan, without a shuffle. Learning takes at most ``TRAIN_ROWS``
@@ -244,7 +245,7 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, learn, rows: int = TRAIN_ROWS) -> Model:
     spark = docs.sparkSession
-    sample = sample_of(docs, labels, "toxic", learn, rows)
+    sample = cut(spark, sample_of(docs, labels, "toxic", learn, rows))  # read three times
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     share = n_pos / (n_pos + n_neg) if n_pos + n_neg else 0.5

@@ -8,13 +8,15 @@ a task that runs again writes the same records.
 
 Scale: one map over the scan, without a shuffle; a page's records stand side by side. Reading a page
 takes time in proportion to its length, whatever it holds. ``file_derivatives`` does the same for the
-response records of WARC files, plain or in gzip members; a file is one task's work.
+response records of WARC files, plain or in gzip members, which are unpacked piece by piece in time
+proportional to their length; a file is one task's work and one value, so at most 2 GB.
 
 Defined cases: a null html is an empty body; a null url leaves WARC-Target-URI out and links
 unresolved; equal rows give equal records; very long pages are read whole; a tag whose quotes never
 close ends at its first ">", as do all after it, and one without any ">" is text; an element of
 scripts or styles that never closes takes the rest; there is nothing to tie; an empty table gives no
-rows; further columns are ignored; bytes that are no WARC record raise ValueError in ``parse``; a body
+rows; further columns are ignored; bytes that are no WARC record raise ValueError in ``parse`` and are rows
+with an error in ``read_files`` and ``file_derivatives``, which go on at the next record; a body
 whose encoding or charset is unknown or broken is read as it stands.
 """
 
@@ -62,40 +64,143 @@ class Record:
         return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in self.headers), "\r\n"]).encode() + self.block + b"\r\n\r\n"
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """The gzip members of data, each unpacked; data itself where it is not packed."""
-    if data[:2] != b"\x1f\x8b":
-        yield data
+@dataclass
+class Broken:
+    """What is no record: where it begins in the unpacked bytes, and why."""
+
+    at: int
+    reason: str
+
+
+#: Bytes that are unpacked at once.
+PIECE = 1 << 16
+_GZIP = b"\x1f\x8b\x08"
+
+
+def pieces(data: bytes) -> Iterator[bytes | None]:
+    """The unpacked bytes of data, which is plain or gzip members, in pieces; None where a member is broken.
+    What follows a broken member is read from the next one's first bytes on."""
+    if data[:2] != _GZIP[:2]:
+        for at in range(0, len(data), PIECE):
+            yield data[at : at + PIECE]
         return
-    while data[:2] == b"\x1f\x8b":
-        unpack = zlib.decompressobj(31)
-        yield unpack.decompress(data) + unpack.flush()
-        data = unpack.unused_data
+    view, at = memoryview(data), 0
+    while 0 <= at < len(data):
+        unpack, began = zlib.decompressobj(31), at
+        try:
+            while not unpack.eof and at < len(data):
+                part = view[at : at + PIECE]
+                out = unpack.decompress(part)
+                at += len(part) - len(unpack.unused_data)
+                if out:
+                    yield out
+            if not unpack.eof:
+                yield None
+                return
+        except zlib.error:
+            yield None
+            at = data.find(_GZIP, max(at, began + 1))
+            continue
+        if data[at : at + 2] != _GZIP[:2]:  # fill after the last member
+            return
+
+
+class _Stream:
+    """The unpacked bytes of a file from a place on, read as they are asked for."""
+
+    def __init__(self, data: bytes):
+        self.pieces, self.buffer, self.start, self.dropped = pieces(data), bytearray(), 0, 0
+        self.ended = self.damaged = False
+
+    def more(self) -> bool:
+        """Whether there are more bytes now. No bytes are added over a broken member; what follows it
+        begins on a new line."""
+        piece = next(self.pieces, b"") if not self.ended else b""
+        if piece is None:
+            self.damaged = True
+            self.buffer += b"\r\n"
+        elif piece:
+            self.buffer += piece
+        else:
+            self.ended = True
+        return bool(piece)
+
+    def find(self, what: bytes, at: int) -> int:
+        """Where ``what`` stands from ``at`` on; -1 if not before a broken member or the end."""
+        while (k := self.buffer.find(what, at)) < 0:
+            at = max(at, len(self.buffer) - len(what) + 1)
+            if not self.more():
+                return -1
+        return k
+
+    def go(self, to: int) -> None:
+        self.start = to
+        if self.start > 4 * PIECE or self.start == len(self.buffer):
+            self.dropped += self.start
+            del self.buffer[: self.start]
+            self.start = 0
+
+    def next_record(self, at: int) -> None:
+        """On to the next version line."""
+        while (k := self.find(b"\nWARC/1.", at)) < 0 and not self.ended:
+            at = max(at, len(self.buffer) - 8)
+        self.go(k + 1 if k >= 0 else len(self.buffer))
+
+
+VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
+
+
+def records(data: bytes) -> Iterator[Record | Broken]:
+    """The records of a WARC file's bytes and what of them is broken, in time proportional to its length.
+    After broken bytes the next version line begins a record."""
+    s = _Stream(data)
+    while True:
+        while s.start < len(s.buffer) and s.buffer[s.start] in b"\r\n":
+            s.start += 1
+        s.go(s.start)
+        if s.damaged:
+            s.damaged = False
+            yield Broken(s.dropped + s.start, "a broken gzip member")
+        if s.start == len(s.buffer):
+            if not s.more() and s.ended:
+                return
+            continue
+        at, begin = s.dropped + s.start, s.start
+        s.find(b"\n", begin)
+        if not VERSION.match(s.buffer, begin):
+            yield Broken(at, "no WARC record")
+            s.next_record(begin)
+            continue
+        end = s.find(b"\r\n\r\n", begin)
+        if end < 0:
+            yield Broken(at, "the record is cut off")
+            s.next_record(begin)
+            continue
+        lines = bytes(s.buffer[begin:end]).decode("utf-8", "replace").split("\r\n")
+        record = Record([tuple(x.strip() for x in line.split(":", 1)) for line in lines[1:] if ":" in line])
+        length = record.get("Content-Length") or "0"
+        if not re.fullmatch(r"[0-9]{1,18}", length):
+            yield Broken(at, f"Content-Length {length[:40]!r}")
+            s.next_record(end)
+            continue
+        last = end + 4 + int(length)
+        while len(s.buffer) < last and s.more():
+            pass
+        if len(s.buffer) < last:
+            yield Broken(at, "the record is cut off")
+            s.next_record(end)
+            continue
+        record.block = bytes(s.buffer[end + 4 : last])
+        yield record
+        s.go(last)
 
 
 def parse(data: bytes) -> Iterator[Record]:
-    """The records of a WARC file's bytes, plain or in gzip members."""
-    for part in members(data):
-        yield from _records(part)
-
-
-def _records(data: bytes) -> Iterator[Record]:
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n") if end >= 0 else [""]
-        if not re.fullmatch(r"WARC/1\.[01]", lines[0]):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = [tuple(x.strip() for x in line.split(":", 1)) for line in lines[1:] if ":" in line]
-        record = Record(headers)
-        size = int(record.get("Content-Length") or 0)
-        record.block = data[end + 4 : end + 4 + size]
-        if len(record.block) != size:
-            raise ValueError(f"the record at byte {at} is cut off")
-        yield record
-        at = end + 4 + size
-        while data[at : at + 2] == b"\r\n":
-            at += 2
+    """The records of a WARC file's bytes, plain or in gzip members; ValueError for broken ones."""
+    for r in records(data):
+        if isinstance(r, Broken):
+            raise ValueError(f"{r.reason} at byte {r.at}")
+        yield r
 
 
 def digest(data: bytes) -> str:
@@ -213,14 +318,18 @@ def _http(block: bytes) -> tuple[str, list[list[str]], bytes]:
     return status, [[x.strip() for x in line.split(":", 1)] for line in lines if ":" in line], payload
 
 
+#: A chunk's size, before any extensions.
+CHUNK_SIZE = re.compile(rb"[ \t]*([0-9A-Fa-f]{1,16})[ \t]*(?=;|\r|$)")
+
+
 def _unchunked(body: bytes) -> bytes:
     """The body of a chunked transfer; what is no chunk is left as it stands."""
     out, at = [], 0
-    while (end := body.find(b"\r\n", at, at + 64)) >= 0:
-        try:
-            size = int(body[at:end].split(b";")[0], 16)
-        except ValueError:
+    while (end := body.find(b"\r\n", at)) >= 0:
+        told = CHUNK_SIZE.match(body, at, end)
+        if not told:
             break
+        size = int(told[1], 16)
         if not size:
             return b"".join(out)
         out.append(body[end + 2 : end + 2 + size])
@@ -287,36 +396,44 @@ def derivatives(pages: DataFrame, date: str = DATE) -> DataFrame:
 
 
 def _files(spark, path: str) -> DataFrame:
+    """The files as values, one an Arrow batch."""
+    tune(spark, 1)
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def read_files(spark, path: str) -> DataFrame:
-    """(path, record) of the records in WARC files, read through Spark."""
+def _from_files(spark, path: str, names: list[str], rows_of) -> DataFrame:
+    """Rows that rows_of(record or what is broken) gives for each record of WARC files, with its path."""
+    kinds = [pa.string() if n != "record" else pa.binary() for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for r in parse(data):
-                    yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([r.to_bytes()], pa.binary())], names=["path", "record"])
+                for r in records(data):
+                    if rows := [(name, *row) for row in rows_of(r)]:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return _files(spark, path).mapInArrow(lean(run), "path string, record binary")
+    return _files(spark, path).mapInArrow(lean(run), ", ".join(f"{n} {'binary' if n == 'record' else 'string'}" for n in names))
+
+
+def read_files(spark, path: str) -> DataFrame:
+    """(path, record, error) of the records in WARC files, read through Spark. Bytes that are no record
+    are a row with an error in place of a record, beside the others."""
+    told = lambda r: [(None, f"{r.reason} at byte {r.at}")] if isinstance(r, Broken) else [(r.to_bytes(), None)]
+    return _from_files(spark, path, ["path", "record", "error"], told)
 
 
 def file_derivatives(spark, path: str) -> DataFrame:
-    """(path, record_type, record_id, refers_to, record): the metadata and conversion records of all
-    HTTP response records in WARC files."""
-    names = ["path", "record_type", "record_id", "refers_to", "record"]
-    kinds = [*[pa.string()] * 4, pa.binary()]
+    """(path, record_type, record_id, refers_to, record, error): the metadata and conversion records of all
+    HTTP response records in WARC files, and a row with an error for bytes that are no record."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for source in parse(data):
-                    if source.get("WARC-Type") == "response" and "http" in (source.get("Content-Type") or ""):
-                        rows = [(name, r.get("WARC-Type"), r.get("WARC-Record-ID"), r.get("WARC-Refers-To"), r.to_bytes()) for r in derive(source)]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+    def made(source: Record | Broken) -> list[tuple]:
+        if isinstance(source, Broken):
+            return [(None, None, None, None, f"{source.reason} at byte {source.at}")]
+        if source.get("WARC-Type") != "response" or "http" not in (source.get("Content-Type") or ""):
+            return []
+        return [(r.get("WARC-Type"), r.get("WARC-Record-ID"), r.get("WARC-Refers-To"), r.to_bytes(), None) for r in derive(source)]
 
-    return _files(spark, path).mapInArrow(lean(run), "path string, record_type string, record_id string, refers_to string, record binary")
+    return _from_files(spark, path, ["path", "record_type", "record_id", "refers_to", "record", "error"], made)
 
 
 def op8_warc_derivatives(spark, sf_dir: str) -> DataFrame:
