@@ -9,12 +9,14 @@ of the rows that were left, as the next would cost more than their scores; what
 gets its final score. The k best rows of earlier blocks of a task already bound the next block.
 
 Scale: rows are read once per block of queries; a block of at most ``QUERY_BYTES`` is broadcast, and
-each task returns k rows per query, merged by one aggregation. The work is queries x rows by the
-query's meaning; nothing is joined or emitted per pair.
-
-Defined cases: scores are exact while the products' sums stay below 2**53; equal scores go to the
-smaller vec_id; very long vectors are compared whole; vectors that are null or hold null or non-finite components take no part; vectors
-of different lengths are compared over the components that both have; rows that share the
+each task returns k rows per query, merged by one aggregation. With more than one block a block's best
+rows are written before the next is read, so the driver and the executors hold one block at a time. The
+work is queries x rows by the query's meaning; nothing is joined or emitted per pair.
+
+Defined cases: where a sum of products may reach 2**53, the block is scored in whole numbers, without
+bounds; one that may reach 2**63 is no long and raises; equal scores go to the smaller vec_id; very
+long vectors are compared whole; vectors that are null or hold null or non-finite components take no
+part; vectors of different lengths are compared over the components that both have; rows that share the
 query's vec_id are its own and no candidates; rows with a null vec_id are no queries, and no
 candidates as ties need an id; repeated candidate rows count each; an empty table gives no rows.
 """
@@ -28,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import lean, table, tune
+from ledgerline.llm.common import cut, lean, table, tune
 
 TOP, EVERY, SCALE = 10, 100, 1024
 #: Bytes of queries broadcast at once; rows of a block of sorted lists; queries handled at once on it.
 QUERY_BYTES, BLOCK_ROWS, QUERY_GROUP = 16 << 20, 4096, 128
+#: Sums that doubles hold exactly, and that longs hold.
+EXACT, LARGEST = float(1 << 53), float((1 << 63) - (1 << 54))
 #: Depths of the reading rounds as shares of a list.
 ROUNDS = (0.125, 0.25, 0.5, 0.75)
 
@@ -89,6 +93,11 @@ def _best(lists: Lists, ids: np.ndarray, q: np.ndarray, own: np.ndarray, floor:
     return [(i, np.flatnonzero(live[i])) for i in range(len(q))]
 
 
+def _scored(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact products of rows and queries (queries x rows) as whole numbers of 64 bits."""
+    return np.stack([(x.astype(np.int64) * one.astype(np.int64)).sum(axis=1) for one in q])
+
+
 def _merge(best: list, i: int, scores: np.ndarray, ids: np.ndarray, k: int) -> None:
     s, v = np.concatenate([best[i][0], scores]), np.concatenate([best[i][1], ids])
     keep = np.lexsort((v, -s))[:k]
@@ -116,20 +125,31 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = TOP, query_bytes: int =
             own, q = sent.value
             if not len(own):
                 return
-            best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in own]
+            best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in own]
             for ids, x in _blocks(batches, q.shape[1]):
+                most = float((np.abs(q) @ np.abs(x).max(axis=0, initial=0)).max())
+                if most >= EXACT:
+                    if most >= LARGEST:
+                        raise ValueError("a score that may reach 2**63 is no long")
+                    for i, scores in enumerate(_scored(x, q)):
+                        _merge(best, i, scores[ids != own[i]], ids[ids != own[i]], k)
+                    continue
                 lists = Lists(x)
                 for a in range(0, len(own), QUERY_GROUP):
                     part = slice(a, a + QUERY_GROUP)
                     floor = np.array([s[-1] if len(s) == k else -np.inf for s, _ in best[part]])
                     for i, live in _best(lists, ids, q[part], own[part], floor, k):
                         if len(live):
-                            _merge(best, a + i, x[live] @ q[a + i], ids[live], k)
+                            _merge(best, a + i, (x[live] @ q[a + i]).astype(np.int64), ids[live], k)
             n = [len(s) for s, _ in best]
             if sum(n):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(own)), n), pa.int32()), pa.array(np.repeat(own, n)), pa.array(np.concatenate([v for _, v in best])), pa.array(np.concatenate([s for s, _ in best]).astype(np.int64))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(own)), n), pa.int32()), pa.array(np.repeat(own, n)), pa.array(np.concatenate([v for _, v in best])), pa.array(np.concatenate([s for s, _ in best]))], schema=schema)
 
-        parts.append(rows.mapInArrow(lean(run), "query_no int, query_id long, vec_id long, score long").withColumn("block", F.lit(b)))
+        part = rows.mapInArrow(lean(run), "query_no int, query_id long, vec_id long, score long").withColumn("block", F.lit(b))
+        if n_blocks > 1:
+            part = cut(spark, part)
+            sent.destroy()
+        parts.append(part)
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
