@@ -35,17 +35,23 @@ def _d4(c: Column) -> Column:
     return rounded(c, 4)
 
 
-def metrics(tagged: DataFrame) -> DataFrame:
+def _peaked(tagged: DataFrame) -> DataFrame:
+    """Adds the running peak of the equity, in the order of seq."""
+    w = Window.partitionBy(*KEYS).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return tagged.withColumn("peak", F.max("equity.equity").over(w))
+
+
+def metrics(tagged: DataFrame, peaked=_peaked) -> DataFrame:
     """One row per symbol and run: the metrics of metrics_and_span() alone."""
-    return metrics_and_span(tagged).drop("span")
+    return metrics_and_span(tagged, peaked).drop("span")
 
 
-def metrics_and_span(tagged: DataFrame) -> DataFrame:
+def metrics_and_span(tagged: DataFrame, peaked=_peaked) -> DataFrame:
     """One row per symbol and run, in one pass over the tagged rows: the running peak and all
-    aggregates share one exchange. Runs without trades have zero counts and null averages. span
+    aggregates share one exchange. ``peaked`` adds the peak: spread.peaked() does so for runs with more
+    bars than one task should read, and the rest is aggregated where the rows are. Runs without trades have zero counts and null averages. span
     holds the ends of the run's bars."""
-    w = Window.partitionBy(*KEYS).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = tagged.withColumn("peak", F.max("equity.equity").over(w))
+    rows = peaked(tagged)
     is_ = lambda kind: F.col("kind") == kind
     net = F.col("trade.net_pnl")  # null but in trade rows
     won, lost = F.when(net > 0, net), F.when(net <= 0, net)

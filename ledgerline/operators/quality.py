@@ -83,11 +83,12 @@ def notes(spark: SparkSession, by_symbol: dict[str, tuple[list[str], list[str]]]
     return spark.createDataFrame(rows, "symbol string, cleaning_warnings array<string>, cleaning_errors array<string>")
 
 
-def report(bars: DataFrame, about: DataFrame | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+def report(bars: DataFrame, about: DataFrame | None = None, tolerance: float = TOLERANCE, stepped=None) -> DataFrame:
     """One row per symbol, counts and status, in one pass over the bars: one window and one aggregation
     share the exchange by symbol.
 
-    ``about`` is what notes() gives. FAIL: errors, missing columns, OHLC violations, dates that do not
+    ``stepped`` (spread.stepped) compares rows with those before in place of the window, for symbols with more
+    bars than one task should read; all else combines before its shuffle. ``about`` is what notes() gives. FAIL: errors, missing columns, OHLC violations, dates that do not
     ascend, volumes of zero or less; WARNING: warnings, further columns, missing volumes, change
     mismatches. The rows behind n_ohlc and n_change are those of violation_rows() and
     mismatch_rows(), tables of their own, since they have no bound.
@@ -95,15 +96,21 @@ def report(bars: DataFrame, about: DataFrame | None = None, tolerance: float = T
     missing, further = column_drift(bars.columns)
     for c in missing:
         bars = bars.withColumn(c, F.lit(None).cast(BARS[c].dataType))
-    rows, v = _stepped(_broken(bars)), F.col("volume")
+    rows, v = (_broken(bars) if stepped else _stepped(_broken(bars))), F.col("volume")
     named = [c for c in BAR_COLUMNS if c != "symbol"]
     pairs = [x for c in named for x in (F.lit(c), F.lit(-1).cast("long") if c in missing else F.count_if(F.col(c).isNull()))]
     counts = {
         "missing_counts": F.create_map(*pairs), "rows": F.count("*"), "invalid_dates": F.count_if(F.col("date").isNull()), "date_min": F.min("date"), "date_max": F.max("date"),
         "missing": F.count_if(v.isNull()), "zero": F.count_if(v == 0), "negative": F.count_if(v < 0),
-        "n_ohlc": F.count_if(F.size("violated_rules") > 0), "n_backward": F.count_if("backward"), "n_change": F.count_if(F.col("difference") > tolerance),
+        "n_ohlc": F.count_if(F.size("violated_rules") > 0),
     }
-    out = rows.groupBy("symbol").agg(*(c.alias(n) for n, c in counts.items()))
+    steps = {"n_backward": F.count_if("backward"), "n_change": F.count_if(F.col("difference") > tolerance)}
+    named_ = lambda columns: [c.alias(n) for n, c in columns.items()]
+    if stepped:
+        out = rows.groupBy("symbol").agg(*named_(counts)).join(stepped(bars).groupBy("symbol").agg(*named_(steps)), "symbol", "left")
+        out = out.withColumns({n: F.coalesce(n, F.lit(0)) for n in steps})
+    else:
+        out = rows.groupBy("symbol").agg(*named_(counts | steps))
     strings = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
     out = out.withColumn("missing_columns", strings(missing)).withColumn("unexpected_columns", strings(further))
     if about is None:

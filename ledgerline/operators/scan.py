@@ -19,7 +19,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,7 +51,7 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
 
 
-def chunks(df: DataFrame, *order: str, partitions: int | None = None) -> DataFrame:
+def chunks(df: DataFrame, *order: str | Column, partitions: int | None = None) -> DataFrame:
     """df range-partitioned and sorted by ``order`` (keys first), with CHUNK, the partition's number.
     Without ``partitions`` Spark sizes them."""
     dealt = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)

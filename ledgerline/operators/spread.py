@@ -1,4 +1,4 @@
-"""Features and drawdowns of symbols whose bars are too many for one task, as scans.
+"""Features, checks and drawdowns of symbols whose bars are too many for one task, as scans.
 
 The recursive averages are affine in their last value, so a chunk's summary has the factor and the offset by
 which it carries that value on; offsets are kept as what a chunk would give if it began at its own first
@@ -239,3 +239,46 @@ def drawdown(curve: DataFrame, partitions: int | None = None) -> DataFrame:
     schema = T.StructType([*rows.schema.fields, T.StructField("peak", T.DoubleType()), T.StructField("drawdown", T.DoubleType())])
     done = scan(chunks(rows, "symbol", "run_id", "date", partitions=partitions), ["symbol", "run_id"], Peak(), schema)
     return done.withColumns({c: nan_to_null(F.col(c)) for c in ("equity", "peak", "drawdown")})
+
+
+def peaked(tagged: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Tagged rows with the running peak of their run's equity, as metrics_and_span() reads them. Of what the
+    scan moves, a row has its place and its equity only."""
+    rows = tagged.select("symbol", "run_id", "seq", "kind", "initial_capital", "trade", "skip", "span", F.col("equity").alias("bar"), F.col("equity.equity").alias("equity"))
+    values = rows.where("kind = 'equity'").select("symbol", "run_id", "seq", F.col("bar.position_quantity").alias("position_quantity"), "equity", "initial_capital")
+    schema = T.StructType([*values.schema.fields, T.StructField("peak", T.DoubleType()), T.StructField("drawdown", T.DoubleType())])
+    done = scan(chunks(values, "symbol", "run_id", "seq", partitions=partitions), ["symbol", "run_id"], Peak(), schema)
+    curve = done.select("symbol", "run_id", "seq", F.lit("equity").alias("kind"), "initial_capital", F.struct("equity", "position_quantity").alias("equity"), nan_to_null(F.col("peak")).alias("peak"))
+    others = tagged.where("kind <> 'equity'").select("symbol", "run_id", "seq", "kind", "initial_capital", "trade", "skip", "span", F.lit(None).cast("double").alias("peak"))
+    return curve.unionByName(others, allowMissingColumns=True)
+
+
+class Steps(Scan):
+    """What compares a row with the one before it: whether its date goes back, and its change."""
+
+    def summarize(self, rows: pd.DataFrame) -> tuple[float, float]:
+        return float(rows["day"].iloc[-1]), float(rows["close"].iloc[-1])
+
+    def advance(self, state, summary: tuple[float, float]) -> tuple[float, float]:
+        return summary
+
+    def apply(self, state: tuple[float, float] | None, rows: pd.DataFrame) -> pd.DataFrame:
+        last = state or (np.nan, np.nan)
+        day, close = rows["day"].to_numpy(float), rows["close"].to_numpy(float)
+        before, was = np.concatenate([[last[0]], day[:-1]]), np.concatenate([[last[1]], close[:-1]])
+        known = ~np.isnan(day) & ~np.isnan(before)
+        return rows.assign(backward=pd.array(np.where(known, day <= before, False), dtype="boolean"), known=known, computed=divided(close, was) - 1)
+
+
+def stepped(bars: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(symbol, date, the source's row, change_pct_src, backward, computed, difference): quality's comparison of
+    each row with the one before, in the order of dates and of the source. Rows without a symbol are no
+    symbol's."""
+    place = [c for c in ("_src_row",) if c in bars.columns]
+    change = F.col("change_pct_src").cast("double") if "change_pct_src" in bars.columns else F.lit(None).cast("double")
+    day = F.when(F.col("date").isNotNull(), F.unix_micros(F.col("date").cast("timestamp")).cast("double"))
+    narrow = bars.where("symbol is not null").select("symbol", "date", *place, change.alias("change_pct_src"), day.alias("day"), F.col("close").cast("double").alias("close"))
+    schema = T.StructType([*narrow.schema.fields, T.StructField("backward", T.BooleanType()), T.StructField("known", T.BooleanType()), T.StructField("computed", T.DoubleType())])
+    done = scan(chunks(narrow, "symbol", F.col("date").asc_nulls_last(), *place, partitions=partitions), ["symbol"], Steps(), schema)
+    change, computed = nan_to_null(F.col("change_pct_src")), nan_to_null(F.col("computed"))
+    return done.select("symbol", "date", *place, change.alias("change_pct_src"), F.when(F.col("known"), F.col("backward")).alias("backward"), computed.alias("computed"), F.abs(computed - change).alias("difference"))

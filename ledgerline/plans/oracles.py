@@ -253,6 +253,8 @@ date as exit_date, {r('x_ref', 4)} as exit_reference_price, {r('x_px', 4)} as ex
         "q_monotonic": raw + f"select symbol, count(*) filter (back) as n from (select symbol, date <= lag(date) over (partition by symbol order by _src_row) as back from (select symbol, _src_row, {P_DATE} as date from raw)) group by symbol",
         "q_change_pct": cl + f"select symbol, _src_row, {d}, {rs('computed difference')} from ch",
         "q_status": cl + f"select symbol, rows, invalid_dates, date_min, date_max, missing, zero, negative, n_ohlc, 0::bigint as n_backward, n_change, status from ({REPORT})",
+        "q_change_spread": cl + f"select symbol, _src_row, {d}, {rs('computed difference')} from ch",
+        "q_status_spread": cl + f"select symbol, rows, invalid_dates, date_min, date_max, missing, zero, negative, n_ohlc, 0::bigint as n_backward, n_change, status from ({REPORT})",
         "q_drift": _with(RAW, CLEAN.replace("nullif(trim(vol), '') as vol", "null::varchar as vol")) + f"select symbol, rows, rows as missing, '' as missing_columns, 'note' as unexpected_columns, 'no column Vol.: volume is null' as cleaning_warnings, '' as cleaning_errors, case when n_ohlc > 0 then 'FAIL' else 'WARNING' end as status from ({REPORT})",
         "q_lacking": cl + f"select symbol, rows, 'open; volume' as missing_columns, -1::bigint as missing_open, missing_close, -1::bigint as missing_volume, 0::bigint as n_ohlc, 'FAIL' as status from ({REPORT})",
         "q_report": cl.rstrip() + ", pa2 as (select pa.*, ex.o, ex.h, ex.l from pa join ex using (_src_row)), iss as (" + issues + """)
@@ -281,6 +283,7 @@ invalid_dates as invalid_date_count, 0::bigint as non_monotonic_date_count, n_ch
         "equity_continued": bt + f"select symbol, run_id, date, {r('cash', 4)} as cash, cast(qty as bigint) as position_quantity, {r('worth', 4)} as position_market_value, {r('equity', 4)} as equity from curve",
         "skips": bt + "select symbol, date as signal_date, skip as reason from st where skip is not null",
         "metrics": bt + f"select {met} from met",
+        "metrics_spread": bt + f"select {met} from met",
         "drawdown": bt + f"select symbol, date, {r('equity', 4)} as equity, {r('peak', 4)} as peak, {r('(equity - peak) / peak', 4)} as drawdown from down",
         "exit_counts": bt + "select symbol, run_id, x as reason, count(*) as n from trade group by all",
         "skip_counts": bt + "select symbol, run_id, skip as reason, count(*) as n from st where skip is not null group by all",

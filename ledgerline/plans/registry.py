@@ -104,6 +104,19 @@ def drawdown_spread(spark: SparkSession, d: str) -> DataFrame:
     return plain(spread.drawdown(backtest.equity(_tagged(spark, d)), CHUNKS).select("symbol", "date", "equity", "peak", "drawdown"), 4)
 
 
+def metrics_spread(spark: SparkSession, d: str) -> DataFrame:
+    return plain(metrics.metrics(_tagged(spark, d), lambda t: spread.peaked(t, CHUNKS)), 4)
+
+
+def q_status_spread(spark: SparkSession, d: str) -> DataFrame:
+    return plain(quality.report(_cleaned(spark, d).bars, stepped=lambda b: spread.stepped(b, CHUNKS)).select(*STATUS))
+
+
+def q_change_spread(spark: SparkSession, d: str) -> DataFrame:
+    done = spread.stepped(_cleaned(spark, d).bars, CHUNKS)
+    return plain(done.where(F.col("difference") > quality.TOLERANCE).select("symbol", "_src_row", "date", "computed", "difference"))
+
+
 def _continued(spark: SparkSession, d: str) -> DataFrame:
     """The tagged rows of a run that is continued twice: bars before LOW, before HIGH, and the rest."""
     table = _signals(spark, d)
@@ -408,6 +421,9 @@ def queries() -> dict:
         "atr_spread": _spread("true_range", "atr14"),
         "windows_spread": _spread("sma20", "sma50", "avg_volume_20", "volume_ratio", "momentum_5", "momentum_20", "previous_high_20"),
         "drawdown_spread": drawdown_spread,
+        "metrics_spread": metrics_spread,
+        "q_status_spread": q_status_spread,
+        "q_change_spread": q_change_spread,
         "trades_continued": lambda s, d: plain(backtest.trades(_continued(s, d)), 4),
         "equity_continued": lambda s, d: plain(backtest.equity(_continued(s, d)), 4),
         "conditions": conditions,

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import features, metrics, spread
+from ledgerline.operators import features, metrics, quality, spread
 from ledgerline.operators.kernels import ema, wilder
 from ledgerline.operators.scan import CHUNK, chunks
 
@@ -108,3 +108,32 @@ def test_drawdown_equals_that_of_one_task(spark):
     want = metrics.drawdown(curve).toPandas().sort_values(key).reset_index(drop=True)
     got = spread.drawdown(curve, partitions=7).toPandas().sort_values(key).reset_index(drop=True)
     pd.testing.assert_frame_equal(got[want.columns], want, check_dtype=False)
+
+
+def test_steps_equal_those_of_one_task(spark):
+    r = np.random.default_rng(5)
+    rows = []
+    for s, n in (("A", 300), ("B", 1), ("C", 40)):
+        for k in range(n):
+            date = None if k % 17 == 0 else f"2020-{1 + int(r.integers(0, 12)):02d}-{1 + int(r.integers(0, 28)):02d}"
+            rows.append((s, k, date, float(r.integers(0, 4)) if k % 7 else None, float(r.normal(0, 0.5)) if k % 5 else None, float(r.integers(-1, 3))))
+    bars = spark.createDataFrame(rows, "symbol string, _src_row long, date string, close double, change_pct_src double, volume double")
+    bars = bars.withColumns({"date": F.col("date").cast("date"), "open": F.col("close"), "high": F.col("close"), "low": F.col("close")})
+    key = ["symbol", "_src_row"]
+    columns = [*key, "backward", "computed", "difference"]
+    want = quality._stepped(bars).select(*columns).toPandas().sort_values(key).reset_index(drop=True)
+    got = spread.stepped(bars, 6).select(*columns).toPandas().sort_values(key).reset_index(drop=True)
+    pd.testing.assert_frame_equal(got, want, check_dtype=False)
+    one, other = quality.report(bars), quality.report(bars, stepped=lambda b: spread.stepped(b, 6))
+    assert sorted(map(str, one.select(*sorted(one.columns)).collect())) == sorted(map(str, other.select(*sorted(one.columns)).collect()))
+    assert {r.symbol: r.n_backward for r in other.collect()}["A"] > 0
+
+
+def test_steps_of_one_hot_symbol(spark):
+    n = 1_000_000
+    i = F.col("id")
+    bars = spark.range(n).select(F.lit("HOT").alias("symbol"), i.alias("_src_row"), F.timestamp_seconds(F.floor(i / 2) * 60).alias("date"), (1 + i % 2).cast("double").alias("close"), F.lit(1.0).alias("change_pct_src"))
+    done = spread.stepped(bars, 12)
+    assert done.rdd.getNumPartitions() >= 8
+    x = done.agg(F.count_if("backward").alias("back"), F.count_if(F.col("difference") > 0.005).alias("off"), F.count("*").alias("n")).first()
+    assert (x.n, x.back, x.off) == (n, n // 2, n // 2 - 1)  # every second row doubles, the others halve
