@@ -66,11 +66,14 @@ def features(texts: pa.Array) -> np.ndarray:
     line_class[10] = False
     l_starts, l_ends, l_first = words_of(data, at, line_class)
     lines, n_lines = word_hashes(data, l_starts, l_ends), np.diff(l_first)
-    same = np.zeros(len(words), bool)
+    # A text's first word has none before it, its last none behind, whatever else is in the batch.
+    same, goes_on = np.zeros(len(words), bool), np.ones(len(words), bool)
     same[1:] = words[1:] == words[:-1]
+    same[first[:-1][count > 0]] = False
+    goes_on[first[1:][count > 0] - 1] = False
     with np.errstate(over="ignore"):
         two = words.copy()
-        two[:-1] += words[1:] * np.uint64(0x9E3779B97F4A7C15)
+        two[:-1] += np.where(goes_on[:-1], words[1:] * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
     last = _KIND[data[ends - 1]] if len(ends) else np.zeros(0, np.uint8)
     solid = np.maximum(kinds.sum(axis=1) - kinds[:, 3], 1)
     letters = np.maximum(kinds[:, 0] + kinds[:, 1], 1)
