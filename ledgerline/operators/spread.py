@@ -282,3 +282,30 @@ def stepped(bars: DataFrame, partitions: int | None = None) -> DataFrame:
     done = scan(chunks(narrow, "symbol", F.col("date").asc_nulls_last(), *place, partitions=partitions), ["symbol"], Steps(), schema)
     change, computed = nan_to_null(F.col("change_pct_src")), nan_to_null(F.col("computed"))
     return done.select("symbol", "date", *place, change.alias("change_pct_src"), F.when(F.col("known"), F.col("backward")).alias("backward"), computed.alias("computed"), F.abs(computed - change).alias("difference"))
+
+
+class Places(Scan):
+    """Each row's number within its key, from 0."""
+
+    def summarize(self, rows: pd.DataFrame) -> int:
+        return len(rows)
+
+    def advance(self, state: int | None, summary: int) -> int:
+        return (state or 0) + summary
+
+    def apply(self, state: int | None, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.assign(place=(state or 0) + np.arange(len(rows)))
+
+
+def downsample(df: DataFrame, most: int, column: str, keep_last: bool = True, partitions: int | None = None) -> DataFrame:
+    """query.downsample() of (symbol, date, column), with no symbol bound to one task; rows without a symbol are
+    no symbol's. A row per symbol says how many rows it has."""
+    rows = df.where("symbol is not null").select("symbol", "date", column)
+    n = rows.groupBy("symbol").agg(F.count("*").alias("n"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("place", T.LongType())])
+    placed = scan(chunks(rows, "symbol", "date", partitions=partitions), ["symbol"], Places(), schema)
+    step = F.greatest(F.lit(1), F.ceil(F.col("n") / most))
+    keep = F.col("place") % step == 0
+    found = placed.join(n, "symbol").where(keep | (F.col("place") == F.col("n") - 1) if keep_last else keep)
+    value = nan_to_null(F.col(column)) if dict(rows.dtypes)[column] == "double" else F.col(column)
+    return found.select("symbol", "date", value.alias(column))

@@ -321,6 +321,7 @@ invalid_dates as invalid_date_count, 0::bigint as non_monotonic_date_count, n_ch
         "trade_next_page": bt + f"select symbol, tid as trade_id, {r('net_pnl', 4)} as net_pnl from trade order by trade.net_pnl desc, symbol, tid offset 20 limit 10",
         "distinct_exit": bt + "select distinct x as exit_reason from trade",
         "downsample": _with(EVENT_BARS) + f"select symbol, {d}, {rs('close')} from ({sampled}) where k % greatest(1, cast(ceil(n / 500) as bigint)) = 0 or k = n - 1",
+        "downsample_spread": _with(EVENT_BARS) + f"select symbol, {d}, {rs('close')} from ({sampled}) where k % greatest(1, cast(ceil(n / 500) as bigint)) = 0 or k = n - 1",
         "downsample_volume": _with(EVENT_BARS) + f"select symbol, {d}, {rs('volume')} from ({sampled}) where k % greatest(1, cast(ceil(n / 400) as bigint)) = 0",
         "topk_signals": s + f"select symbol, cast(g.date as varchar) as date, {r('close')} as close from (select * from sig where signal = 'LONG' order by sig.date, symbol limit 100) g",
     }

@@ -471,5 +471,6 @@ def queries() -> dict:
         "distinct_exit": lambda s, d: query.exit_reasons(_trades(s, d)),
         "downsample": lambda s, d: plain(query.downsample(bars_events(s, d), 500).select("symbol", "date", "close")),
         "downsample_volume": lambda s, d: plain(query.downsample(bars_events(s, d), 400, keep_last=False).select("symbol", "date", "volume")),
+        "downsample_spread": lambda s, d: plain(spread.downsample(bars_events(s, d), 500, "close", partitions=CHUNKS)),
         "topk_signals": lambda s, d: plain(query.markers(_signals(s, d)).select("symbol", "date", "close")),
     }

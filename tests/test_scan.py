@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators import features, metrics, quality, spread
+from ledgerline.operators import features, metrics, quality, query, spread
 from ledgerline.operators.kernels import ema, wilder
 from ledgerline.operators.scan import CHUNK, chunks
 
@@ -137,3 +137,11 @@ def test_steps_of_one_hot_symbol(spark):
     assert done.rdd.getNumPartitions() >= 8
     x = done.agg(F.count_if("backward").alias("back"), F.count_if(F.col("difference") > 0.005).alias("off"), F.count("*").alias("n")).first()
     assert (x.n, x.back, x.off) == (n, n // 2, n // 2 - 1)  # every second row doubles, the others halve
+
+
+@pytest.mark.parametrize("keep_last", [True, False])
+def test_downsampling_equals_that_of_one_task(spark, keep_last):
+    rows = [(s, f"2020-{1 + k // 28:02d}-{1 + k % 28:02d}", float(k) if k % 5 else None) for s, n in (("A", 200), ("B", 3), ("C", 41)) for k in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, date string, close double")
+    got = spread.downsample(df, 40, "close", keep_last, 7)
+    assert sorted(map(str, got.collect())) == sorted(map(str, query.downsample(df, 40, keep_last).select("symbol", "date", "close").collect()))
