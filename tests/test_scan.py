@@ -85,8 +85,11 @@ def test_one_symbol_of_a_million_bars_is_spread_over_tasks(spark):
     sizes = chunks(bars, "symbol", "date", partitions=12).groupBy(CHUNK).count().collect()
     assert len(sizes) >= 8 and max(r["count"] for r in sizes) < n / 4
     got = spread.features(bars, partitions=12)
-    f = bars.orderBy("date").toPandas()
+    k = np.arange(n)
+    price = 100 + 10 * np.sin(k / 977.0) + (k * 7919 % 101) / 50.0
+    f = pd.DataFrame({"high": price + 1 + k % 3, "low": price - 1 - k % 2, "close": price, "volume": 1000.0 + k % 977})
     whole = spread.Features().apply(None, f)
+    got = got.persist()
     last = got.orderBy(F.desc("date")).limit(3).toPandas().sort_values("date")
     for c in spread.ADDED:
         np.testing.assert_allclose(last[c], whole[c].iloc[-3:], rtol=1e-9, err_msg=c)
@@ -94,10 +97,11 @@ def test_one_symbol_of_a_million_bars_is_spread_over_tasks(spark):
     assert sums.n == n
     for c in spread.ADDED:
         assert abs(sums[c] - np.nansum(whole[c])) <= 1e-9 * np.nansum(np.abs(whole[c])), c
+    got.unpersist()
     curve = bars.select("symbol", F.lit("full").alias("run_id"), "date", F.col("close").alias("equity"))
     low = spread.drawdown(curve, partitions=12).agg(F.min("drawdown").alias("d"), F.max("peak").alias("p")).first()
     peak = np.maximum.accumulate(f["close"])
-    assert low.d == ((f["close"] - peak) / peak).min() and low.p == peak.max()
+    assert low.d == pytest.approx(((f["close"] - peak) / peak).min(), rel=1e-9) and low.p == pytest.approx(peak.max(), rel=1e-12)
 
 
 def test_drawdown_equals_that_of_one_task(spark):
