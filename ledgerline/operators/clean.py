@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,12 +67,17 @@ def parsed(df: DataFrame) -> DataFrame:
     return df.withColumns({name: parse(F.col(f"`{source(c)}`")) for c, (name, parse) in FIELDS.items()})
 
 
+def _unread_count():
+    """How many strings of a parsed row say nothing."""
+    return reduce(add, ((F.col(f"`{source(c)}`").isNotNull() & F.col(n).isNull()).cast("long") for c, (n, _) in FIELDS.items()))
+
+
 def first_of_dates(rows: DataFrame) -> DataFrame:
     """Of the parsed distinct rows of a date the first in the source, with how many they are (of_date) and
-    all their copies. Rows without a date stand each alone. Combined before the shuffle, too."""
+    all their copies and unreadable strings. Rows without a date stand each alone. Combined before the shuffle, too."""
     alone = F.when(F.col("date").isNull(), F.col(ROW)).alias("alone")
     values = [n for n, _ in FIELDS.values() if n != "date"]
-    return rows.groupBy("symbol", "date", alone).agg(*(F.min_by(n, ROW).alias(n) for n in values), F.min(ROW).alias(ROW), F.count("*").alias("of_date"), F.sum("copies").alias("copies")).drop("alone")
+    return rows.groupBy("symbol", "date", alone).agg(*(F.min_by(n, ROW).alias(n) for n in values), F.min(ROW).alias(ROW), F.count("*").alias("of_date"), F.sum("copies").alias("copies"), F.sum(_unread_count()).alias("unread")).drop("alone")
 
 
 def _issue(row, field_: str, value, reason, action: str):
@@ -109,6 +115,9 @@ def clean(raw: DataFrame, symbol: str | None = None) -> Cleaned:
         F.count_if(F.col("of_date") > 1).alias("duplicate_dates"),
         (distinct - n).alias("duplicate_date_rows"),
         n.alias("final_rows"),
+        F.sum("unread").alias("unread"),
     )
-    counts = counts.withColumn("removed_rows", F.col("original_rows") - F.col("final_rows"))
+    # As many as there are rows of issues: each of these, and one for a symbol with exact duplicates.
+    issues = F.col("unread") + F.col("exact_duplicates") + (F.col("exact_duplicates") > 0).cast("long") + F.col("duplicate_dates") + F.col("duplicate_date_rows")
+    counts = counts.withColumn("removed_rows", F.col("original_rows") - F.col("final_rows")).withColumn("n_issues", issues).drop("unread")
     return Cleaned(bars, _issues(df, rows, kept), counts, warnings, errors)

@@ -64,8 +64,7 @@ def vendor_source(spark: SparkSession, d: str) -> DataFrame:
     """Rows of two symbols from the data source, parsed."""
     files_ = {s: p.removeprefix("file:") for s, p in _raw_files(spark, d).items()}
     rows = vendor.vendor(spark, files_, ["click", "purchase"])
-    c = clean.clean(rows)
-    return c.counts
+    return clean.clean(rows).counts.drop("n_issues")
 
 
 def _written_bars(spark: SparkSession, d: str, fmt: str) -> str:

@@ -50,11 +50,10 @@ def data(spark: SparkSession, root: str, symbols=DEFAULT, known=symbols_.SYMBOLS
     out.written.append(f"{root}/processed/stocks")
     sinks.write_bars(bars, out.written[-1], fmt)
     c.issues.write.mode("overwrite").partitionBy("symbol").parquet(f"{root}/reports/issues")
-    issues = spark.read.schema(c.issues.schema).parquet(f"{root}/reports/issues").groupBy("symbol").agg(F.count("*").alias("n_issues"))
     notes = quality.notes(spark, {s: (warnings, errors) for s, (_, _, warnings, errors) in about.items()})
     files = spark.createDataFrame([(s, name, digest) for s, (name, digest, *_) in about.items()], "symbol string, source_filename string, sha256 string")
     report = quality.report(bars, notes).join(c.counts, "symbol").join(F.broadcast(files), "symbol")  # a row per symbol asked for
-    report = report.join(issues, "symbol", "left").withColumn("n_issues", F.coalesce("n_issues", F.lit(0))).persist()
+    report = report.persist()
     sinks.write_json(report, f"{root}/reports/quality")
     # Not by symbol: a table without rows then still has a file with its columns.
     broken = {"quality_ohlc": quality.violation_rows(bars), "quality_change": quality.mismatch_rows(bars)}

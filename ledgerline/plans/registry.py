@@ -185,9 +185,7 @@ def q_lacking(spark: SparkSession, d: str) -> DataFrame:
 def q_report(spark: SparkSession, d: str) -> DataFrame:
     """The reader's view of the whole report."""
     done = _cleaned(spark, d)
-    issues = done.issues.groupBy("symbol").agg(F.count("*").alias("n_issues"))
-    whole = quality.report(done.bars).join(done.counts, "symbol").join(issues, "symbol", "left")
-    view = query.quality_view(whole.withColumn("n_issues", F.coalesce("n_issues", F.lit(0))))
+    view = query.quality_view(quality.report(done.bars).join(done.counts, "symbol"))
     return plain(view.withColumn("missing_close", F.col("missing_counts")["close"]).drop("missing_counts"))
 
 
@@ -397,7 +395,7 @@ def queries() -> dict:
         "parse_price": _parse("Price", "price", parse.parse_price),
         "dedup_exact": dedup_exact,
         "dedup_date": dedup_date,
-        "clean_counts": lambda s, d: _cleaned(s, d).counts,
+        "clean_counts": lambda s, d: _cleaned(s, d).counts.drop("n_issues"),
         "clean_issues": issues,
         "q_missing": q_missing,
         "q_ohlc": q_ohlc,

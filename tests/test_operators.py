@@ -402,5 +402,7 @@ def test_duplicates_with_missing_strings_and_dates(spark):
     rows = [("A", 0, None, "1"), ("A", 1, None, "1"), ("A", 2, None, "2"), ("A", 3, "01/02/2024", " 5 "), ("A", 4, "01/02/2024", "5"), ("A", 5, "01/02/2024", "6"), ("B", 0, "bad", "1")]
     done = clean.clean(spark.createDataFrame(rows, "symbol string, _src_row long, Date string, Price string"))
     assert sorted((r.symbol, r._src_row) for r in done.bars.collect()) == [("A", 0), ("A", 2), ("A", 3), ("B", 0)]
+    listed = [r.symbol for r in done.issues.collect()]
+    assert {r.symbol: r.n_issues for r in done.counts.collect()} == {s: listed.count(s) for s in "AB"}
     told = sorted((r.symbol, r.row_index, r.reason) for r in done.issues.collect() if r.row_index is not None)
     assert told == [("A", 1, "exact duplicate"), ("A", 4, "exact duplicate"), ("A", 5, "duplicate date"), ("B", 0, "unparseable")]
