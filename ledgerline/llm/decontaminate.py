@@ -9,9 +9,11 @@ within ``slop`` positions instead: a window is near where a share of its terms i
 Scale: the index is sharded by documents and a shard's lists live as long as it is looked up, so
 postings never move: one map over the scan, no shuffle. The benchmark's windows are made on the
 driver and broadcast, in blocks of at most ``block_bytes`` of text, checked before: a window is 52
-bytes and there are fewer of them than bytes of text / 2. With more than one block the documents'
-hits so far are written out between blocks, so neither the driver nor an executor holds more than
-one block. Windows with a term that the shard lacks (for proximity: with too many) end there.
+bytes and there are fewer of them than bytes of text / 2. With more than one block the documents
+are numbered and written once, each block gives the numbers and hits of documents that it hits,
+written before the next one is made, and the last block's map merges them: neither the driver nor an
+executor holds more than one block, and texts move once, however many blocks there are. Windows with
+a term that the shard lacks (for proximity: with too many) end there.
 
 Defined cases: null text has no words; an item or document without words matches nothing; an
 item of fewer than 13 words is one window; repeated items count by item id; repeated documents
@@ -24,9 +26,11 @@ columns are kept, but for those named as the operator's own, in any case.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -200,7 +204,13 @@ def _covered(first: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     return np.cumsum(change)[:-1] > 0
 
 
-OUT = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>, near_items array<string>"
+#: What match() adds to a row.
+STATE = {"n_words": "long", "spans": "array<struct<start:long,end:long>>", "items": "array<string>", "near_items": "array<string>"}
+
+
+def _nothing() -> list:
+    """The columns of STATE for a row that nothing is known of."""
+    return [(F.lit(0).cast("long") if kind == "long" else F.expr(f"cast(array() as {kind})")).alias(c) for c, kind in STATE.items()]
 
 
 def match(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", width: int = WINDOW, slop: int = 0, share: float = SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -212,25 +222,42 @@ def match(docs: DataFrame, benchmark: DataFrame, item_col: str = "item_id", text
     items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     n_blocks = max(1, -(-int(size) // block_bytes))
-    kept = others(docs.columns, "n_words", "spans", "items", "near_items")
-    text = "text"
-    out = docs.select(*kept)
-    state = "n_words long, spans array<struct<start:long,end:long>>, items array<string>, near_items array<string>"
-    for c, kind in (x.split(" ", 1) for x in ("n_words long", "spans array<struct<start:long,end:long>>", "items array<string>", "near_items array<string>")):
-        out = out.withColumn(c, F.lit(0).cast("long") if kind == "long" else F.expr(f"cast(array() as {kind})"))
-    for b in range(n_blocks):
+    kept = others(docs.columns, *STATE)
+
+    def shipped(b: int):
         block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == b).collect()
-        windows = spark.sparkContext.broadcast(Windows([r.item for r in block], [r.text for r in block], width))
+        return spark.sparkContext.broadcast(Windows([r.item for r in block], [r.text for r in block], width))
 
-        def run(batches: Iterator[pa.RecordBatch], windows=windows) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield _hits(batch, batch.schema.get_field_index(text), windows.value, slop, share)
+    def looked_up(rows: DataFrame, windows, hit_only: bool = False) -> DataFrame:
+        names = [n for n in rows.columns if not (hit_only and n == "text")]
 
-        out = out.mapInArrow(lean(run), f"{fields_of(docs, kept)}, {state}")
-        if b + 1 < n_blocks:
-            out = cut(spark, out)
-            windows.unpersist()
-    return out
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                done = _hits(batch, batch.schema.get_field_index("text"), windows.value, slop, share)
+                yield _with_hits(done).select(names) if hit_only else done
+
+        return rows.mapInArrow(lean(run), fields_of(rows, names))
+
+    if n_blocks == 1:
+        return looked_up(docs.select(*kept, *_nothing()), shipped(0))
+    # Rows are numbered and written once. All blocks but the last give what they hit, without texts.
+    place = next(n for n in (f"place_{k}" for k in range(len(kept) + 1)) if n not in [c.lower() for c in kept])
+    numbered = cut(spark, docs.select(*kept, F.monotonically_increasing_id().alias(place)))
+    hits = []
+    for b in range(n_blocks - 1):
+        windows = shipped(b)
+        hits.append(cut(spark, looked_up(numbered.select(place, "text", *_nothing()), windows, hit_only=True)))
+        windows.unpersist()
+    lists = [c for c, kind in STATE.items() if kind != "long"]
+    before = reduce(DataFrame.union, hits).groupBy(place).agg(*(F.flatten(F.collect_list(c)).alias(c) for c in lists))
+    state = [none if c == "n_words" else F.coalesce(c, none).alias(c) for c, none in zip(STATE, _nothing())]
+    return looked_up(numbered.join(before, place, "left").select(*kept, *state), shipped(n_blocks - 1))
+
+
+def _with_hits(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows that an exact or a proximity match stands in."""
+    n = sum(pa.compute.list_value_length(batch.column(c)).to_numpy(zero_copy_only=False) for c in ("spans", "near_items"))
+    return batch.filter(pa.array(n > 0))
 
 
 def _hits(batch: pa.RecordBatch, text_at: int, windows: Windows, slop: int, share: float) -> pa.RecordBatch:

@@ -185,6 +185,12 @@ def test_decontamination_equals_brute_force(spark):
             n, hit, names = plain_match(r.text, items)
             assert (r.n_words, r.n_hit, r.items_sha256, r.n_items) == (n, hit, hashlib.sha256(names.encode()).hexdigest(), len(names.split(",")) if names else 0), r.text
             assert r.contaminated == (hit > 0 and 20 * hit >= n)
+    # A column that is called as the rows' numbers would be stays, and blocks add up to what one finds.
+    other = docs(spark, rows).withColumn("PLACE_0", F.lit("own"))
+    one, many = (decontaminate.match(other, bench, block_bytes=block, slop=1) for block in (32 << 20, 60))
+    assert one.columns == many.columns and "PLACE_0" in one.columns
+    assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+    assert decontaminate.match(docs(spark, rows).where("false"), bench, block_bytes=60).count() == 0
     assert decontaminate.judge(decontaminate.match(docs(spark, rows), bench.where("false"))).where("n_hit > 0").count() == 0
     assert decontaminate.match(docs(spark, rows).where("false"), bench).count() == 0
 
