@@ -18,6 +18,8 @@ Scale and skew:
   cost nothing more.
 * Ids alone (24 bytes) are counted by node. Only rows of nodes that hold two components or more
   take their tokens along; most sets meet nobody and end here.
+* The nodes (fewer than ``HOT_NODES``) that hold more than a ``HOT_NODES``-th of a level's rows are
+  broadcast to their rows, so no large node is one task of a join by node.
 * A node larger than ``SLAB`` is dealt over slabs, which are groups of their own; ``PIVOTS`` of its
   rows stand in each slab. Then its rows branch on; after ``LEVELS`` levels they are closed.
 * From a group go at most as many pairs as it has rows: all likely ones if they are so few, else
@@ -54,6 +56,8 @@ COORDINATES, TREES, BRANCHES, LEVELS = 96, 4, 3, 3
 LIKELY = 54
 #: Rows up to which a node is compared exhaustively; rows of a larger node that every slab sees.
 SLAB, PIVOTS = 4096, 4
+#: Nodes with more than a HOT_NODES-th of a level's rows are broadcast: there are fewer of them.
+HOT_NODES = 10_000
 #: Full sets of one block of a node that is closed.
 BLOCK_BYTES = 8 << 20
 #: Endpoints up to which their ids (8 bytes each) are broadcast to the scan of the texts.
@@ -188,12 +192,30 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return counted.where("low <> high").drop("low", "high")
 
 
-def _groups(rows: DataFrame, mixed: DataFrame) -> DataFrame:
+def _hot(nodes: DataFrame) -> DataFrame | None:
+    """Of nodes (node, n, ..) of n rows each, those with more than a ``HOT_NODES``-th of all rows and
+    more than ``SLAB``: fewer than ``HOT_NODES``. None if there are none."""
+    most, rows = nodes.agg(F.max("n"), F.sum("n")).first()
+    least = max(SLAB, (rows or 0) // HOT_NODES)
+    return nodes.where(F.col("n") > least) if (most or 0) > least else None
+
+
+def _at_nodes(rows: DataFrame, nodes: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """rows (node, ..) of the nodes (node, ..) with the nodes' columns. Rows of hot nodes meet theirs where
+    they are; the others meet by key, and none of these has many rows."""
+    if hot is None:
+        return rows.join(nodes, "node")
+    named = F.broadcast(hot.select("node"))
+    rest = rows.join(named, "node", "left_anti").join(nodes.join(named, "node", "left_anti"), "node")
+    return rest.unionByName(rows.join(F.broadcast(nodes.join(named, "node", "left_semi")), "node"))
+
+
+def _groups(rows: DataFrame, mixed: DataFrame, hot: DataFrame | None) -> DataFrame:
     """(node, slab, a): the rows of mixed nodes, those of a large node dealt over slabs, with the
     node's pivots in each."""
     slabs = F.ceil(F.col("n") / SLAB).cast("int")
     slab = F.pmod(F.xxhash64("a"), slabs).cast("int")
-    own = rows.select("node", "a").join(mixed.select("node", "n"), "node").select("node", slab.alias("slab"), "a")
+    own = _at_nodes(rows, mixed.select("node", "n"), hot).select("node", slab.alias("slab"), "a")
     large = mixed.where(F.col("n") > SLAB).select("node", "n", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("a"))
     seen = large.select("node", F.explode(F.sequence(F.lit(0), slabs - 1)).alias("slab"), "a", slab.alias("home"))
     return own.union(seen.where("slab <> home").select("node", "slab", "a"))
@@ -339,7 +361,9 @@ def _close(docs: DataFrame, rows: DataFrame, sets: DataFrame, nodes: DataFrame)
     counted = named.groupBy("node").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("items"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
     blocks = F.ceil(F.greatest(F.col("items") * 8 / BLOCK_BYTES, F.col("n") / SLAB)).cast("int")
     mine = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
-    open_ = cut(spark, named.join(counted.select("node", blocks.alias("blocks")), "node").select("node", "a", "comp", "rep", "blocks", mine.alias("part")))
+    counted = cut(spark, counted.select("node", "n", blocks.alias("blocks")))
+    met = _at_nodes(named, counted.select("node", "blocks"), _hot(counted))
+    open_ = cut(spark, met.select("node", "a", "comp", "rep", "blocks", mine.alias("part")))
     ends = open_.select(F.col("a").alias("set_id"), "rep").distinct()
     if not (n_ends := ends.count()):
         return None
@@ -427,9 +451,9 @@ class _Join:
     def look(self, rows: DataFrame, last: bool) -> DataFrame | None:
         """Compare the nodes of rows (node, a); the rows of large nodes, None if there are none."""
         sets = self.sets()
-        rows = rows.join(sets.select(F.col("set_id").alias("a"), "comp"), "a")
-        mixed = cut(self.spark, _mixed(rows))
-        found = cut(self.spark, _compare(_groups(rows, mixed), sets, self.nodes))
+        mixed = cut(self.spark, _mixed(rows.join(sets.select(F.col("set_id").alias("a"), "comp"), "a")))
+        hot = _hot(mixed)
+        found = cut(self.spark, _compare(_groups(rows, mixed, hot), sets, self.nodes))
         n_pairs, n_rows, n_large = (*found.agg(F.count("b"), F.count_if(F.col("b").isNull())).first(), mixed.where(F.col("n") > SLAB).count())
         if n_pairs:
             self.add(confirmed(self.docs, found.where("b is not null").select("a", "b").distinct(), n_pairs, sets))
@@ -438,7 +462,7 @@ class _Join:
         if n_large:
             large = mixed.where(F.col("n") > SLAB).select("node")
             again = again if again is None else again.join(large, "node", "left_anti")
-            rest = cut(self.spark, rows.join(large, "node", "left_semi").select("node", "a"))
+            rest = cut(self.spark, _at_nodes(rows, large, hot))
             if last:
                 again, rest = rest if again is None else again.union(rest), None
         if again is not None and (links := _close(self.docs, again, self.sets(), self.nodes)) is not None:
