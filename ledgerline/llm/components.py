@@ -79,6 +79,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == state or not now[0]:
             break
+        if now[0] <= CHUNK:  # one task's chunk holds them all
+            e = cut(spark, _contracted(e.coalesce(1)))
+            break
         state = now
         e = cut(spark, _contracted(_small_star(_large_star(e))).distinct())
     else:

@@ -192,12 +192,12 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return counted.where("low <> high").drop("low", "high")
 
 
-def _hot(nodes: DataFrame) -> DataFrame | None:
+def _hot(nodes: DataFrame) -> tuple[DataFrame | None, int]:
     """Of nodes (node, n, ..) of n rows each, those with more than a ``HOT_NODES``-th of all rows and
-    more than ``SLAB``: fewer than ``HOT_NODES``. None if there are none."""
-    most, rows = nodes.agg(F.max("n"), F.sum("n")).first()
+    more than ``SLAB``: fewer than ``HOT_NODES``; None if there are none. And how many have more than ``SLAB``."""
+    most, rows, n_large = nodes.agg(F.max("n"), F.sum("n"), F.count_if(F.col("n") > SLAB)).first()
     least = max(SLAB, (rows or 0) // HOT_NODES)
-    return nodes.where(F.col("n") > least) if (most or 0) > least else None
+    return (nodes.where(F.col("n") > least) if (most or 0) > least else None), n_large
 
 
 def _at_nodes(rows: DataFrame, nodes: DataFrame, hot: DataFrame | None) -> DataFrame:
@@ -362,7 +362,7 @@ def _close(docs: DataFrame, rows: DataFrame, sets: DataFrame, nodes: DataFrame)
     blocks = F.ceil(F.greatest(F.col("items") * 8 / BLOCK_BYTES, F.col("n") / SLAB)).cast("int")
     mine = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
     counted = cut(spark, counted.select("node", "n", blocks.alias("blocks")))
-    met = _at_nodes(named, counted.select("node", "blocks"), _hot(counted))
+    met = _at_nodes(named, counted.select("node", "blocks"), _hot(counted)[0])
     open_ = cut(spark, met.select("node", "a", "comp", "rep", "blocks", mine.alias("part")))
     ends = open_.select(F.col("a").alias("set_id"), "rep").distinct()
     if not (n_ends := ends.count()):
@@ -441,20 +441,20 @@ class _Join:
             before = [] if self.labels is None else [self.labels.where("node <> component").select("node", "component")]
             self.labels = components(reduce(DataFrame.union, self.links + before))
             self.links = []
-        if self.labels is not None:
-            bare = bare.join(self.labels.withColumnRenamed("node", "rep"), "rep", "left")
+        if self.labels is None:
+            self.known = bare.withColumn("comp", F.col("rep"))
         else:
-            bare = bare.withColumn("component", F.col("rep"))
-        self.known = cut(self.spark, bare.select("set_id", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp")))
+            bare = bare.join(self.labels.withColumnRenamed("node", "rep"), "rep", "left")
+            self.known = cut(self.spark, bare.select("set_id", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp")))
         return self.known
 
     def look(self, rows: DataFrame, last: bool) -> DataFrame | None:
         """Compare the nodes of rows (node, a); the rows of large nodes, None if there are none."""
         sets = self.sets()
         mixed = cut(self.spark, _mixed(rows.join(sets.select(F.col("set_id").alias("a"), "comp"), "a")))
-        hot = _hot(mixed)
+        hot, n_large = _hot(mixed)
         found = cut(self.spark, _compare(_groups(rows, mixed, hot), sets, self.nodes))
-        n_pairs, n_rows, n_large = (*found.agg(F.count("b"), F.count_if(F.col("b").isNull())).first(), mixed.where(F.col("n") > SLAB).count())
+        n_pairs, n_rows = found.agg(F.count("b"), F.count_if(F.col("b").isNull())).first()
         if n_pairs:
             self.add(confirmed(self.docs, found.where("b is not null").select("a", "b").distinct(), n_pairs, sets))
         again = found.where("b is null").select("node", "a") if n_rows else None
@@ -481,8 +481,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = cut(spark, nodes)
     join = _Join(docs, nodes)
     # Rows that repeat a doc_id with several sets are one document: their nodes are linked.
-    several = cut(spark, usable.groupBy("doc_id").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("doc_id"))
-    if not several.isEmpty():
+    several = usable.groupBy("doc_id").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("doc_id")
+    if several.count():
         join.add(usable.join(several, "doc_id").join(nodes.select("set_id", "rep"), "set_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
     rows = _roots(nodes)
     for level in range(LEVELS):
