@@ -223,6 +223,12 @@ def gate_violations(windows: DataFrame, points: DataFrame, full: DataFrame) -> D
     return both.select("symbol", gates.alias("g")).select("symbol", "g.gate", "g.violations")
 
 
+def gate_status(violations: DataFrame) -> DataFrame:
+    """(symbol, status): the first gate, in order, that a symbol fails, or PASSED. One aggregation."""
+    failed = F.when(F.col("violations") > 0, F.struct(F.array_position(F.array(*map(F.lit, GATES)), F.col("gate")).alias("place"), "gate"))
+    return violations.groupBy("symbol").agg(F.coalesce(F.min(failed)["gate"], F.lit("PASSED")).alias("status"))
+
+
 def check_gates(violations: DataFrame) -> None:
     """Raise at the first gate, in order, that a symbol fails."""
     bad = violations.where("violations > 0").groupBy("gate").agg(F.sum("violations").alias("n"), F.min("symbol").alias("symbol")).collect()

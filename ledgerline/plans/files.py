@@ -119,16 +119,9 @@ def quality_json(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(kinds).json(where).withColumn("missing_close", F.col("missing_counts")["close"]).drop("missing_counts")
 
 
-def gate_status(spark: SparkSession, violations: DataFrame) -> DataFrame:
-    """What the gate runner says of each symbol, and the first gate that it names."""
-    violations, out = written(violations), []
-    for r in violations.select("symbol").where("symbol is not null").distinct().collect():  # the caller's symbols
-        try:
-            validation.check_gates(violations.where(F.col("symbol") == r.symbol))
-            out.append((r.symbol, "PASSED"))
-        except validation.IntegrityError as e:
-            out.append((r.symbol, str(e).split(":")[0].removeprefix("gate ")))
-    return spark.createDataFrame(out, "symbol string, status string")
+def gate_status(violations: DataFrame) -> DataFrame:
+    """The first gate that each of the caller's symbols fails."""
+    return validation.gate_status(violations).where("symbol is not null")
 
 
 def _vendor_bars(spark: SparkSession, d: str) -> tuple[str, list[str], dict[str, catalog.Symbol]]:
@@ -196,7 +189,7 @@ def queries(plain: Callable[..., DataFrame], broken_gates: Callable[[SparkSessio
         "scan_files": scan_files, "scan_rows": scan_rows, "scan_reports": scan_reports, "vendor_source": vendor_source,
         "bars_csv": bars_table("csv"), "bars_parquet": bars_table("parquet"), "features_csv": features_table("csv"), "features_parquet": features_table("parquet"), "signals_csv": signals_only,
         "artifact_tolerant": artifact(False), "artifact_strict": artifact(True), "quality_json": quality_json,
-        "gate_status": lambda s, d: gate_status(s, broken_gates(s, d)),
+        "gate_status": lambda s, d: gate_status(broken_gates(s, d)),
         "plan_bars": plan_bars, "plan_signals": plan_signals, "plan_summary": plan_summary, "plan_trades": plan_trades, "plan_windows": plan_windows,
     }
     # Means of prices with five digits often end in a 5 at the seventh.

@@ -332,6 +332,18 @@ def test_windows_that_share_an_index_are_ordered_by_start(spark):
         assert got == {"NO_OVERLAP": 0, "CHRONOLOGICAL": 1, "SYMBOL_ISOLATION": 0, "VALID_METRICS": 0, "SENSITIVITY_BASELINE": 0}
 
 
+def test_first_failed_gate_of_each_symbol(spark):
+    failed = {"A": (), "B": ("SYMBOL_ISOLATION", "VALID_METRICS"), "C": ("NO_OVERLAP", "SENSITIVITY_BASELINE"), None: ("SYMBOL_ISOLATION",)}
+    rows = [(s, g, int(g in bad)) for s, bad in failed.items() for g in validation.GATES[::-1]]
+    violations = spark.createDataFrame(rows, "symbol string, gate string, violations long")
+    got = {r.symbol: r.status for r in validation.gate_status(violations).collect()}
+    assert got == {"A": "PASSED", "B": "SYMBOL_ISOLATION", "C": "NO_OVERLAP", None: "SYMBOL_ISOLATION"}
+    assert validation.gate_status(violations.where("false")).count() == 0
+    # The runner raises at the first of these, in the gates' order.
+    with pytest.raises(validation.IntegrityError, match="NO_OVERLAP: 1 violations, first in C"):
+        validation.check_gates(violations)
+
+
 def _days(spark, rows):
     return spark.createDataFrame(rows, "symbol string, date string").withColumn("date", F.col("date").cast("date"))
 
