@@ -192,30 +192,32 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return counted.where("low <> high").drop("low", "high")
 
 
-def _hot(nodes: DataFrame) -> tuple[DataFrame | None, int]:
-    """Of nodes (node, n, ..) of n rows each, those with more than a ``HOT_NODES``-th of all rows and
-    more than ``SLAB``: fewer than ``HOT_NODES``; None if there are none. And how many have more than ``SLAB``."""
+def _hot(nodes: DataFrame) -> tuple[int | None, int]:
+    """Of nodes (node, n, ..) of n rows each: the n above which they are hot, a ``HOT_NODES``-th of all rows
+    and ``SLAB`` at least, so that fewer than ``HOT_NODES`` are; None if none is. And how many are above ``SLAB``."""
     most, rows, n_large = nodes.agg(F.max("n"), F.sum("n"), F.count_if(F.col("n") > SLAB)).first()
     least = max(SLAB, (rows or 0) // HOT_NODES)
-    return (nodes.where(F.col("n") > least) if (most or 0) > least else None), n_large
+    return (least if (most or 0) > least else None), n_large
 
 
-def _at_nodes(rows: DataFrame, nodes: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """rows (node, ..) of the nodes (node, ..) with the nodes' columns. Rows of hot nodes meet theirs where
-    they are; the others meet by key, and none of these has many rows."""
+def _at_nodes(rows: DataFrame, nodes: DataFrame, hot: int | None, value: str = "n") -> DataFrame:
+    """rows (node, a, ..) of the nodes (node, n, ..) with the nodes' value, in one pass over the rows. Those of
+    hot nodes get it by broadcast and are dealt by a; the others meet by key, and no key has many."""
     if hot is None:
-        return rows.join(nodes, "node")
-    named = F.broadcast(hot.select("node"))
-    rest = rows.join(named, "node", "left_anti").join(nodes.join(named, "node", "left_anti"), "node")
-    return rest.unionByName(rows.join(F.broadcast(nodes.join(named, "node", "left_semi")), "node"))
+        return rows.join(nodes.select("node", value), "node")
+    known = nodes.where(F.col("n") > hot).select("node", F.col(value).alias("hot"))
+    others = nodes.where(F.col("n") <= hot).select(F.col("node").alias("key"), F.col(value).alias("cold"))
+    key = F.when(F.col("hot").isNull(), F.col("node")).otherwise(F.xxhash64("a"))
+    met = rows.join(F.broadcast(known), "node", "left").withColumn("key", key).join(others, "key", "left")
+    return met.withColumn(value, F.coalesce("hot", "cold")).where(F.col(value).isNotNull()).drop("hot", "cold", "key")
 
 
-def _groups(rows: DataFrame, mixed: DataFrame, hot: DataFrame | None) -> DataFrame:
+def _groups(rows: DataFrame, mixed: DataFrame, hot: int | None) -> DataFrame:
     """(node, slab, a): the rows of mixed nodes, those of a large node dealt over slabs, with the
     node's pivots in each."""
     slabs = F.ceil(F.col("n") / SLAB).cast("int")
     slab = F.pmod(F.xxhash64("a"), slabs).cast("int")
-    own = _at_nodes(rows, mixed.select("node", "n"), hot).select("node", slab.alias("slab"), "a")
+    own = _at_nodes(rows, mixed, hot).select("node", slab.alias("slab"), "a")
     large = mixed.where(F.col("n") > SLAB).select("node", "n", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS))))).alias("a"))
     seen = large.select("node", F.explode(F.sequence(F.lit(0), slabs - 1)).alias("slab"), "a", slab.alias("home"))
     return own.union(seen.where("slab <> home").select("node", "slab", "a"))
@@ -362,7 +364,7 @@ def _close(docs: DataFrame, rows: DataFrame, sets: DataFrame, nodes: DataFrame)
     blocks = F.ceil(F.greatest(F.col("items") * 8 / BLOCK_BYTES, F.col("n") / SLAB)).cast("int")
     mine = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
     counted = cut(spark, counted.select("node", "n", blocks.alias("blocks")))
-    met = _at_nodes(named, counted.select("node", "blocks"), _hot(counted)[0])
+    met = _at_nodes(named, counted, _hot(counted)[0], "blocks")
     open_ = cut(spark, met.select("node", "a", "comp", "rep", "blocks", mine.alias("part")))
     ends = open_.select(F.col("a").alias("set_id"), "rep").distinct()
     if not (n_ends := ends.count()):
@@ -460,9 +462,9 @@ class _Join:
         again = found.where("b is null").select("node", "a") if n_rows else None
         rest = None
         if n_large:
-            large = mixed.where(F.col("n") > SLAB).select("node")
-            again = again if again is None else again.join(large, "node", "left_anti")
-            rest = cut(self.spark, _at_nodes(rows, large, hot))
+            large = mixed.where(F.col("n") > SLAB).select("node", "n")
+            again = again if again is None else again.join(large.select("node"), "node", "left_anti")
+            rest = cut(self.spark, _at_nodes(rows, large, hot).select("node", "a"))
             if last:
                 again, rest = rest if again is None else again.union(rest), None
         if again is not None and (links := _close(self.docs, again, self.sets(), self.nodes)) is not None:

@@ -170,7 +170,7 @@ def test_large_nodes_lose_no_link(spark, monkeypatch):
             w[r.randrange(60)] = f"e{r.randint(0, 99)}"
         rows.append((i, " ".join(w)))
     monkeypatch.setattr(near_dup, "BROADCAST_IDS", 0)
-    for slab, block, levels, hot in ((4, 900, 3, 10_000), (4, 900, 3, 12), (4, 900, 2, 1), (4096, 900, 1, 10_000)):
+    for slab, block, levels, hot in ((4, 900, 3, 10_000), (4, 900, 2, 12), (4096, 900, 1, 1)):
         monkeypatch.setattr(near_dup, "SLAB", slab)
         monkeypatch.setattr(near_dup, "HOT_NODES", hot)  # all large nodes, some or none are broadcast
         monkeypatch.setattr(near_dup, "BLOCK_BYTES", block)
