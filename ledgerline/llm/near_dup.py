@@ -428,31 +428,29 @@ class _Join:
 
     def __init__(self, docs: DataFrame, nodes: DataFrame):
         self.docs, self.nodes, self.spark = docs, nodes, docs.sparkSession
-        self.labels, self.links, self.known = None, [], None
+        self.labels, self.links = None, []
 
     def add(self, links: DataFrame) -> None:
         self.links.append(cut(self.spark, links.where("u <> v")))
 
-    def sets(self) -> DataFrame:
-        """(set_id, rep, n_shingles, comp): comp is the least known document of the set's component."""
-        if self.known is not None and not self.links:
-            return self.known
-        bare = self.nodes.select("set_id", "rep", "n_shingles")
+    def sets(self, rows: DataFrame | None = None) -> DataFrame:
+        """(set_id, rep, n_shingles, comp) of all sets, or of those in rows (.., a): comp is the least known
+        document of the set's component. After the first level only the rows that go on are labelled anew."""
         if self.links:
             # The components so far stand for their links.
             before = [] if self.labels is None else [self.labels.where("node <> component").select("node", "component")]
             self.labels = components(reduce(DataFrame.union, self.links + before))
             self.links = []
+        bare = self.nodes.select("set_id", "rep", "n_shingles")
         if self.labels is None:
-            self.known = bare.withColumn("comp", F.col("rep"))
-        else:
-            bare = bare.join(self.labels.withColumnRenamed("node", "rep"), "rep", "left")
-            self.known = cut(self.spark, bare.select("set_id", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp")))
-        return self.known
-
-    def look(self, rows: DataFrame, last: bool) -> DataFrame | None:
-        """Compare the nodes of rows (node, a); the rows of large nodes, None if there are none."""
-        sets = self.sets()
+            return bare.withColumn("comp", F.col("rep"))
+        if rows is not None:
+            bare = rows.select(F.col("a").alias("set_id")).distinct().join(bare, "set_id")
+        bare = bare.join(self.labels.withColumnRenamed("node", "rep"), "rep", "left")
+        return cut(self.spark, bare.select("set_id", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp")))
+
+    def look(self, rows: DataFrame, sets: DataFrame, last: bool) -> DataFrame | None:
+        """Compare the nodes of rows (node, a), whose sets are known; the rows of large nodes, None if there are none."""
         mixed = cut(self.spark, _mixed(rows.join(sets.select(F.col("set_id").alias("a"), "comp"), "a")))
         hot, n_large = _hot(mixed)
         found = cut(self.spark, _compare(_groups(rows, mixed, hot), sets, self.nodes))
@@ -467,8 +465,10 @@ class _Join:
             rest = cut(self.spark, _at_nodes(rows, large, hot).select("node", "a"))
             if last:
                 again, rest = rest if again is None else again.union(rest), None
-        if again is not None and (links := _close(self.docs, again, self.sets(), self.nodes)) is not None:
-            self.add(links)
+        if again is not None:
+            links = _close(self.docs, again, self.sets(again) if self.links else sets, self.nodes)
+            if links is not None:
+                self.add(links)
         return rest
 
 
@@ -486,12 +486,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     several = usable.groupBy("doc_id").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("doc_id")
     if several.count():
         join.add(usable.join(several, "doc_id").join(nodes.select("set_id", "rep"), "set_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
-    rows = _roots(nodes)
+    rows, sets = _roots(nodes), join.sets()
     for level in range(LEVELS):
-        rows = join.look(rows, last=level == LEVELS - 1)
-        if rows is None:
+        rest = join.look(rows, sets, last=level == LEVELS - 1)
+        if rest is None:
             break
-        rows = cut(spark, _children(rows, nodes))
+        rows, sets = cut(spark, _children(rest, nodes)), join.sets(rest)
     named = join.sets().select("set_id", F.col("comp").alias("component"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_id")).alias("set_id")).join(named, "set_id", "left")
     own = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

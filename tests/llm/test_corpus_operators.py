@@ -179,6 +179,27 @@ def test_large_nodes_lose_no_link(spark, monkeypatch):
         assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == plain_near(rows)
 
 
+def test_only_rows_that_go_on_are_labelled_anew(spark, monkeypatch):
+    """Beside a large group stand documents that meet nobody: they are labelled once, at the end,
+    however many levels the group goes through."""
+    r, n, alone, written = random.Random(5), 40, 200, []
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(f"e{i}" if k == r.randrange(60) else w for k, w in enumerate(base))) for i in range(n)]
+    rows += [(1000 + i, " ".join(f"x{i}y{k}" for k in range(20))) for i in range(alone)]
+
+    def noted(spark, df, own=near_dup.cut):
+        out = own(spark, df)
+        if out.columns == ["set_id", "rep", "n_shingles", "comp"]:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "SLAB", 4)
+    monkeypatch.setattr(near_dup, "cut", noted)
+    got = near_dup.near_duplicates(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == plain_near(rows)
+    assert len(written) > 2 and sum(written) <= alone + n * len(written)
+
+
 def test_pairs_stay_together_at_any_depth(spark):
     """Of pairs at the threshold, 0.98 share a node of one tree's branches however deep it goes."""
     rng, pairs, nodes = np.random.default_rng(4), [], []
