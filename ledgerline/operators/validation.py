@@ -146,13 +146,20 @@ def walk_of(done: DataFrame, windows: DataFrame, config: Config = Config()) -> D
     )
 
 
+def _mean(column: str, where):
+    """The mean of a symbol's windows, added in their order: a sum of doubles depends on its order, and
+    a mean on a tie would be rounded either way. There are a few windows a year."""
+    values = F.array_sort(F.collect_list(F.when(where & F.col(column).isNotNull(), F.struct("window_index", F.col(column).alias("value")))))
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x["value"]), F.size(values))
+
+
 def rollup(windows: DataFrame) -> DataFrame:
     """Counts of window kinds, and averages over OK windows only."""
     ok = F.col("status") == OK
     share = F.try_divide(100.0 * F.count_if(ok & (F.col("total_return_pct") > 0)), F.count_if(ok))
     return windows.groupBy("symbol").agg(
         F.count("*").alias("total_windows"), F.count_if(ok).alias("ok_windows"), F.count_if(F.col("status") == ZERO_TRADES).alias("zero_trade_windows"), F.count_if(F.col("status") == INSUFFICIENT).alias("insufficient_data_windows"),
-        rounded(F.avg(F.when(ok, F.col("total_return_pct"))), 4).alias("avg_return_pct"), rounded(F.avg(F.when(ok, F.col("bh_total_return_pct"))), 4).alias("avg_bh_return_pct"), rounded(share, 2).alias("pct_profitable"),
+        rounded(_mean("total_return_pct", ok), 4).alias("avg_return_pct"), rounded(_mean("bh_total_return_pct", ok), 4).alias("avg_bh_return_pct"), rounded(share, 2).alias("pct_profitable"),
     )
 
 

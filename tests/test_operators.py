@@ -175,6 +175,17 @@ def test_splits_and_walk_forward(spark):
     assert len(sinks.section(lots, "Windows", ("window_index",), ("window_index",), 20).first().text.splitlines()) == 24
 
 
+def test_rollup_does_not_depend_on_the_order_of_rows(spark):
+    """Both means are ties in decimals: added in another order, the doubles round to -0.0879 and 35.7884."""
+    returns, held = (0.0738, -0.231, 0.3666, 0.1851, -0.1733, -0.7489), (53.6304, 175.7358, -96.4768, -18.3315, 112.2715, -12.0987)
+    rows = [("A", k, "OK", x, y) for k, (x, y) in enumerate(zip(returns, held))]
+    rows += [("A", 6, "ZERO_TRADES", 0.0, 9.0), ("A", 7, "INSUFFICIENT_DATA", 0.0, 0.0), ("B", 0, "ZERO_TRADES", 0.0, 1.0)]
+    for order in ((0, 1, 2, 3, 4, 5), (1, 4, 2, 5, 3, 0)):
+        data = spark.createDataFrame([*(rows[k] for k in order), *rows[6:]], "symbol string, window_index long, status string, total_return_pct double, bh_total_return_pct double").coalesce(1)
+        got = {r.symbol: tuple(r)[1:] for r in validation.rollup(data).collect()}
+        assert got == {"A": (8, 6, 1, 1, -0.088, 35.7885, 50.0), "B": (1, 0, 1, 0, None, None, None)}
+
+
 def test_buy_hold(spark):
     free = Config(initial_capital=10_000, slippage_rate=0, commission_rate=0)
     df = frame(spark, 16, price=lambda i: 100.0 + i)
